@@ -356,8 +356,8 @@ SQL_LONG = """long AS (SELECT fold_id, partition, receptor_id, unnest([24, 48, 7
     "fold_id:s partition:s horizon_hours:i receptor_id:i scope:s rows:i eligible:i positive:i negative:i unknown:i positive_fraction:f",
     f"""WITH {SQL_LABELS}, {SQL_LONG}
         SELECT fold_id, partition, horizon_hours, receptor_id, CASE WHEN grouping(receptor_id) = 1 THEN 'POOLED' ELSE 'RECEPTOR' END AS scope,
-          count(*) AS rows, count(label) AS eligible, count_if(label = 1) AS positive, count_if(label = 0) AS negative,
-          count(*) - count(label) AS unknown, count_if(label = 1) / nullif(count(label), 0) AS positive_fraction
+          count(*) AS rows, count(label) AS eligible, count(*) FILTER (WHERE label = 1) AS positive, count(*) FILTER (WHERE label = 0) AS negative,
+          count(*) - count(label) AS unknown, count(*) FILTER (WHERE label = 1) / nullif(count(label), 0) AS positive_fraction
         FROM long GROUP BY GROUPING SETS ((fold_id, partition, horizon_hours, receptor_id), (fold_id, partition, horizon_hours))""",
 )
 def label_support(spark, sf):
