@@ -125,3 +125,23 @@ def percent_rank_average(
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
     return df.join(rank, on, "left").select(*df.columns, out)
+
+
+def previous_in_order(df: DataFrame, keys: Sequence[str], order: str, width: float, cols: Sequence[str]) -> DataFrame:
+    """``prev_<c>`` of the preceding row per key by a numeric order column.
+
+    A key is cut into order buckets of ``width``; each bucket hands its last row to the next non-empty bucket, so
+    a key with most of the rows is still spread over many tasks.
+    """
+    keys = list(keys)
+    b = df.withColumn("__b", F.floor(F.col(order) / width))
+    last = b.groupBy(*keys, "__b").agg(F.max_by(F.struct(*cols), order).alias("__last"))
+    over = Window.partitionBy(*keys).orderBy("__b")
+    carry = last.select(*keys, "__b", F.lag("__last").over(over).alias("__carry"))
+    inside = Window.partitionBy(*keys, "__b").orderBy(order)
+    j = b.join(carry, [*keys, "__b"])
+    first = F.row_number().over(inside) == 1
+    staged = j.select(
+        *df.columns, F.when(first, F.col("__carry")).otherwise(F.lag(F.struct(*cols)).over(inside)).alias("__prev")
+    )
+    return staged.select(*df.columns, *[F.col("__prev")[c].alias(f"prev_{c}") for c in cols])
