@@ -18,21 +18,25 @@ _RANGE = "__range"
 
 
 def value_splits(df: DataFrame, value: str, n: int = RANGES) -> list[float]:
-    """At most ``n - 1`` ascending cut points of a numeric column."""
+    """At most ``n - 1`` ascending cut points of a numeric column.
+
+    One shuffle-free pass over a single column, run while the plan is built; give it the rows before any
+    aggregation so that the scan is all it costs.
+    """
     probs = [i / n for i in range(1, n)]
     return sorted(set(df.select(F.col(value).cast("double").alias("v")).approxQuantile("v", probs, 0.002)))
 
 
-def range_of(value: Column, splits: Sequence[float]) -> Column:
-    """Index of the range of ``value``: a balanced tree of comparisons, not a scan of the cut points."""
+def range_of(value: str, splits: Sequence[float]) -> Column:
+    """Index of the range of a column's value: a balanced tree of comparisons, not a scan of the cut points."""
 
-    def tree(lo: int, hi: int) -> Column:
+    def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(value < F.lit(splits[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return f"CASE WHEN `{value}` < {splits[mid]!r}D THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
 
-    return tree(0, len(splits))
+    return F.expr(tree(0, len(splits)))
 
 
 def running_totals(
@@ -51,7 +55,7 @@ def running_totals(
     keys = list(keys)
     if splits is None:
         splits = value_splits(df, order)
-    ranged = df.withColumn(_RANGE, range_of(F.col(order), splits))
+    ranged = df.withColumn(_RANGE, range_of(order, splits))
     totals = ranged.groupBy(*keys, _RANGE).agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
     all_ranges = Window.partitionBy(*keys)
     by_range = all_ranges.orderBy(F.col(_RANGE).desc() if descending else F.col(_RANGE).asc())
@@ -96,17 +100,16 @@ def exact_quantiles(
     """Linear-interpolated quantiles per key without holding a group in one task."""
     keys = list(keys)
     names = list(names or [f"q{round(p * 1000):03d}" for p in probs])
+    if splits is None:
+        splits = value_splits(df, value)
     cum = running_totals(histogram(df, keys, value), keys, value, ["n"], splits=splits)
-    last = F.col("cum_n") - 1
-    first = F.col("cum_n") - F.col("n")
     aggs = []
     for p, name in zip(probs, names):
-        pos = F.lit(float(p)) * (F.col("tot_n") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        v_lo = F.max(F.when((first <= lo) & (lo <= last), F.col(value)))
-        v_hi = F.max(F.when((first <= hi) & (hi <= last), F.col(value)))
-        frac = F.max(pos - lo)
-        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(name))
+        # Value at a 0-based rank: the row whose span of ranks [cum_n - n, cum_n - 1] holds it.
+        pos = f"({float(p)!r}D * (tot_n - 1))"
+        at = "max(CASE WHEN cum_n - n <= {0}({1}) AND {0}({1}) < cum_n THEN `{2}` END)"
+        lo, hi = at.format("floor", pos, value), at.format("ceil", pos, value)
+        aggs.append(F.expr(f"{lo} + ({hi} - {lo}) * max({pos} - floor({pos}))").alias(name))
     return cum.groupBy(*keys).agg(*aggs)
 
 
@@ -115,6 +118,8 @@ def percent_rank_average(
 ) -> DataFrame:
     """Average-method percentile rank in 0..100; NULL values keep a NULL rank."""
     keys = list(keys)
+    if splits is None:
+        splits = value_splits(df, value)
     cum = running_totals(histogram(df, keys, value), keys, value, ["n"], splits=splits)
     rank = cum.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys],

@@ -94,10 +94,11 @@ def first_by(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> Data
     return best.select(*key, *[F.col("__best")[n].alias(n) for n in names])
 
 
-def runs(df: DataFrame, key: Sequence[str], date: str, merge_gap: int = 0) -> DataFrame:
+def runs(df: DataFrame, key: Sequence[str], date: str, merge_gap: int = 0, extra: Sequence[Column] = ()) -> DataFrame:
     """Gaps and islands: dates no further apart than ``merge_gap + 1`` days share a run.
 
-    ``df`` has one row per (key, date) at most, so a key is bounded by the calendar.
+    ``df`` has one row per (key, date) at most, so a key is bounded by the calendar.  ``extra`` are further
+    aggregates over the rows of a run.
     """
     w = Window.partitionBy(*key).orderBy(date)
     new = F.coalesce((F.datediff(F.col(date), F.lag(date).over(w)) > merge_gap + 1).cast("int"), F.lit(1))
@@ -105,7 +106,7 @@ def runs(df: DataFrame, key: Sequence[str], date: str, merge_gap: int = 0) -> Da
         df.withColumn("__new", new)
         .withColumn("run_id", F.sum("__new").over(w) - 1)
         .groupBy(*key, "run_id")
-        .agg(F.min(date).alias("start_date"), F.max(date).alias("end_date"), F.count(F.lit(1)).alias("days"))
+        .agg(F.min(date).alias("start_date"), F.max(date).alias("end_date"), F.count(F.lit(1)).alias("days"), *extra)
     )
 
 

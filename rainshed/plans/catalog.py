@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from rainshed.plans import field_queries, function_queries, panel_queries, station_queries  # noqa: F401
+from rainshed.plans import (  # noqa: F401
+    evaluation_queries,
+    field_queries,
+    function_queries,
+    panel_queries,
+    station_queries,
+)
 from rainshed.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
