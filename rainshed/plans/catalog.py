@@ -4,6 +4,7 @@ from rainshed.plans import (  # noqa: F401
     evaluation_queries,
     field_queries,
     function_queries,
+    operation_queries,
     panel_queries,
     station_queries,
 )

@@ -434,7 +434,8 @@ def static_identity_check(spark, sf):
         SELECT *, row_number() OVER (PARTITION BY receptor_id ORDER BY retrieval_priority, floor(ranking_score * 1000) DESC, event_id) AS position FROM p""",
 )
 def event_ranking(spark, sf):
-    p = B.dense_panel(spark, sf).select("receptor_id", "date", "value", "peak")
+    # The panel (receptors x calendar days) is read by both ranks, the runs and the event windows.
+    p = B.dense_panel(spark, sf).select("receptor_id", "date", "value", "peak").persist()
     p = percent_rank_average(p, ["receptor_id"], "value", "ap")
     p = percent_rank_average(p, ["receptor_id"], "peak", "bp")
     events = W.runs(p.where("ap >= 90 OR bp >= 90"), ["receptor_id"], "date", merge_gap=1).select(

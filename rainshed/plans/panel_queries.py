@@ -175,7 +175,7 @@ def antecedent_completeness(spark, sf):
         FROM sparse""",
 )
 def percentile_rank(spark, sf):
-    p = B.sparse_panel(spark, sf)
+    p = B.sparse_panel(spark, sf).persist()
     return percent_rank_average(p, [], "value", "value_pct_rank")
 
 
