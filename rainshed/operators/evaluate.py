@@ -230,28 +230,35 @@ def fit_climatology(fit: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
     return fit.where(F.col(y).isNotNull()).groupBy(*keys).agg(F.avg(y).alias("fit_climatology"), F.count(y).alias("fit_rows"))
 
 
+def _with_total_key(keys: Sequence[str], *frames: DataFrame) -> tuple[list[str], list[DataFrame]]:
+    """Without group keys, one constant key lets group totals be joined like any other."""
+    if keys:
+        return list(keys), list(frames)
+    return ["__all"], [f.withColumn("__all", F.lit(1)) for f in frames]
+
+
 def smoothed_climatology(fit: DataFrame, target: DataFrame, keys: Sequence[str], receptor: str, y: str, k: float) -> DataFrame:
     """Receptor frequency shrunk to the global one with strength k; unseen receptors get the global one."""
-    keys = list(keys)
+    keys, (fit, target) = _with_total_key(keys, fit, target)
     per = fit.where(F.col(y).isNotNull()).groupBy(*keys, receptor).agg(F.sum(y).alias("__s"), F.count(y).alias("__n"))
     total = per.groupBy(*keys).agg((F.sum("__s") / F.sum("__n")).alias("global_climatology"))
     probs = per.join(total, keys).select(
         *keys, receptor, ((F.col("__s") + F.col("global_climatology") * k) / (F.col("__n") + k)).alias("__p")
     )
     out = target.join(total, keys, "left").join(probs, [*keys, receptor], "left")
-    return out.withColumn("probability", F.coalesce("__p", "global_climatology")).drop("__p")
+    return out.withColumn("probability", F.coalesce("__p", "global_climatology")).drop("__p", "__all")
 
 
-def balance_weights(rows: DataFrame, keys: Sequence[str], receptor: str, extra: Sequence[str] = ()) -> DataFrame:
+def balance_weights(rows: DataFrame, keys: Sequence[str], receptor: str) -> DataFrame:
     """n / (receptors * rows of the receptor) per group: every receptor carries the same total weight.
 
     Counts come from an aggregate joined back, not from a window that would gather a group in one task.
     """
-    keys = list(keys)
+    keys, (rows,) = _with_total_key(keys, rows)
     per = rows.groupBy(*keys, receptor).agg(F.count(F.lit(1)).alias("__nr"))
     total = per.groupBy(*keys).agg(F.sum("__nr").alias("__n"), F.count(F.lit(1)).alias("__r"))
     w = per.join(total, keys).select(*keys, receptor, (F.col("__n") / (F.col("__r") * F.col("__nr"))).alias("weight"))
-    return rows.join(w, [*keys, receptor])
+    return rows.join(w, [*keys, receptor]).drop("__all")
 
 
 def top_bottom(df: DataFrame, group: Sequence[str], metric: str, tie: str, k: int = 5) -> DataFrame:

@@ -82,6 +82,17 @@ def metric_rank(group: Sequence[str], metric: str, descending: bool = True) -> C
     return F.when(F.col(metric).isNotNull(), F.rank().over(Window.partitionBy(*group).orderBy(order)))
 
 
+def panel_percent_rank(key: Sequence[str], value: str) -> Column:
+    """Average-method percentile rank (0..100) within the days of one receptor; NULL stays NULL.
+
+    For panels only: a receptor's days fit one window.  ``distributed.percent_rank_average`` has no such bound.
+    """
+    inside = Window.partitionBy(*key)
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*key, value))
+    rank = F.rank().over(inside.orderBy(F.col(value).asc_nulls_last())) + (ties - 1) / 2
+    return F.when(F.col(value).isNotNull(), rank / F.count(value).over(inside) * 100)
+
+
 def first_by(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row per key.
 

@@ -14,7 +14,6 @@ from rainshed.operators import evaluate as E
 from rainshed.operators import labels as L
 from rainshed.operators import quality as Q
 from rainshed.operators import windows as W
-from rainshed.operators.distributed import percent_rank_average
 from rainshed.plans import bindings as B
 from rainshed.plans.panel_queries import labels
 from rainshed.plans.registry import query
@@ -434,10 +433,10 @@ def static_identity_check(spark, sf):
         SELECT *, row_number() OVER (PARTITION BY receptor_id ORDER BY retrieval_priority, floor(ranking_score * 1000) DESC, event_id) AS position FROM p""",
 )
 def event_ranking(spark, sf):
-    # The panel (receptors x calendar days) is read by both ranks, the runs and the event windows.
-    p = B.dense_panel(spark, sf).select("receptor_id", "date", "value", "peak").persist()
-    p = percent_rank_average(p, ["receptor_id"], "value", "ap")
-    p = percent_rank_average(p, ["receptor_id"], "peak", "bp")
+    key = ["receptor_id"]
+    p = B.dense_panel(spark, sf).select(
+        "receptor_id", "date", "value", "peak", W.panel_percent_rank(key, "value").alias("ap"), W.panel_percent_rank(key, "peak").alias("bp")
+    )
     events = W.runs(p.where("ap >= 90 OR bp >= 90"), ["receptor_id"], "date", merge_gap=1).select(
         "receptor_id", F.col("run_id").alias("event_id"), "start_date", "end_date"
     )

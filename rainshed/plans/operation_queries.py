@@ -60,9 +60,13 @@ _RAW = "replace(p_name, ' ', '_')"
 @query(
     "P-06",
     "canonical:s source_column:s method:s",
-    f"""WITH c AS (SELECT DISTINCT {_RAW} AS raw FROM part), a AS (SELECT raw, length(raw) % 5 AS k FROM c)
-        SELECT 'static__' || raw AS canonical, CASE k WHEN 0 THEN 'static__' || raw WHEN 1 THEN raw WHEN 2 THEN upper(raw) WHEN 3 THEN 'src_' || raw END AS source_column,
-          CASE k WHEN 0 THEN 'EXACT_CANONICAL' WHEN 1 THEN 'EXACT_UNPREFIXED' WHEN 2 THEN 'CASE_INSENSITIVE_UNPREFIXED' WHEN 3 THEN 'UNIQUE_SUFFIX_MATCH' ELSE 'UNRESOLVED' END AS method FROM a""",
+    f"""WITH c AS (SELECT DISTINCT {_RAW} AS raw FROM part),
+        a AS (SELECT CASE length(raw) % 5 WHEN 0 THEN 'static__' || raw WHEN 1 THEN raw WHEN 2 THEN upper(raw) WHEN 3 THEN 'src_' || raw END AS col FROM c WHERE length(raw) % 5 < 4),
+        sx AS (SELECT raw, count(*) AS n, min(col) AS col FROM c JOIN a ON ends_with(lower(col), lower(raw)) GROUP BY 1),
+        h AS (SELECT raw, col, 0 AS rnk, 'EXACT_CANONICAL' AS method FROM c JOIN a ON col = 'static__' || raw UNION ALL SELECT raw, col, 1, 'EXACT_UNPREFIXED' FROM c JOIN a ON col = raw
+          UNION ALL SELECT raw, col, 2, 'CASE_INSENSITIVE_UNPREFIXED' FROM c JOIN a ON lower(col) = lower(raw) AND col <> raw UNION ALL SELECT raw, col, 4, 'UNIQUE_SUFFIX_MATCH' FROM sx WHERE n = 1),
+        b AS (SELECT raw, arg_min(col, rnk) AS col, arg_min(method, rnk) AS method, min(rnk) AS r, count(DISTINCT col) AS k FROM h GROUP BY 1)
+        SELECT 'static__' || raw AS canonical, CASE WHEN r = 0 OR k = 1 THEN col END AS source_column, CASE WHEN r IS NULL THEN 'UNRESOLVED' WHEN r > 0 AND k > 1 THEN 'AMBIGUOUS' ELSE method END AS method FROM c LEFT JOIN b USING (raw)""",
 )
 def canonical_names(spark, sf):
     raw = F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))

@@ -491,9 +491,9 @@ def event_window_join(spark, sf):
     return j.groupBy("receptor_id", "run_id").agg(F.count(F.lit(1)).alias("days"), F.sum("value").alias("total"), F.max("value").alias("peak"))
 
 
-@query("J-12", "c_custkey:i", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("J-12", "c_custkey:i", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def unmatched_keys(spark, sf):
-    o = B.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = B.table(spark, sf, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
     return B.table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
 
 
@@ -562,11 +562,11 @@ def distinct_pairs(spark, sf):
 @query(
     "O-03 P-07",
     "side:s nationkey:i",
-    """SELECT 'missing' AS side, n AS nationkey FROM (SELECT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)
-       UNION ALL SELECT 'extra', n FROM (SELECT s_nationkey AS n FROM supplier WHERE s_acctbal > 0 EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)""",
+    """SELECT 'missing' AS side, n AS nationkey FROM (SELECT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)
+       UNION ALL SELECT 'extra', n FROM (SELECT s_nationkey AS n FROM supplier WHERE s_acctbal > 9000 EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)""",
 )
 def set_differences(spark, sf):
-    c, s = B.table(spark, sf, "customer"), B.table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("nationkey"))
+    c, s = B.table(spark, sf, "customer"), B.table(spark, sf, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("nationkey"))
     missing = c.select(F.col("c_nationkey").alias("nationkey")).subtract(s).withColumn("side", F.lit("missing"))
-    extra = s.subtract(c.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nationkey"))).withColumn("side", F.lit("extra"))
+    extra = s.subtract(c.where("c_acctbal > 9900").select(F.col("c_nationkey").alias("nationkey"))).withColumn("side", F.lit("extra"))
     return missing.unionByName(extra)
