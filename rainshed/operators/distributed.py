@@ -113,6 +113,30 @@ def exact_quantiles(
     return cum.groupBy(*keys).agg(*aggs)
 
 
+def quantile_grid(
+    df: DataFrame, keys: Sequence[str], value: str, parts: int, *, splits: Sequence[float] | None = None
+) -> DataFrame:
+    """The ``parts - 1`` inner quantiles i/parts of each key as rows (keys, i, quantile).
+
+    Each row of the value table knows its span of ranks and so which few i it can answer; a wide list of
+    conditional aggregates would test every row against every quantile.
+    """
+    keys = list(keys)
+    if splits is None:
+        splits = value_splits(df, value)
+    cum = running_totals(histogram(df, keys, value), keys, value, ["n"], splits=splits)
+    first, last, span = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1, F.col("tot_n") - 1
+    low = F.when(span > 0, F.greatest(F.lit(1), F.floor((first - 1) * parts / span).cast("int"))).otherwise(1)
+    high = F.when(span > 0, F.least(F.lit(parts - 1), F.ceil((last + 1) * parts / span).cast("int"))).otherwise(parts - 1)
+    candidates = cum.where(low <= high).select(*keys, value, first.alias("__a"), last.alias("__b"), span.alias("__s"), F.explode(F.sequence(low, high)).alias("i"))
+    pos = F.col("i") / parts * F.col("__s")
+    lo, hi = F.floor(pos).between(F.col("__a"), F.col("__b")), F.ceil(pos).between(F.col("__a"), F.col("__b"))
+    picked = candidates.where(lo | hi).groupBy(*keys, "i").agg(
+        F.max(F.when(lo, F.col(value))).alias("lo"), F.max(F.when(hi, F.col(value))).alias("hi"), F.max(pos - F.floor(pos)).alias("f")
+    )
+    return picked.select(*keys, "i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f")).alias("quantile"))
+
+
 def percent_rank_average(
     df: DataFrame, keys: Sequence[str], value: str, out: str, *, splits: Sequence[float] | None = None
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rainshed import policy
 from rainshed.functions.rows import clip
-from rainshed.operators.distributed import exact_quantiles, running_totals, value_splits
+from rainshed.operators.distributed import quantile_grid, running_totals, value_splits
 from rainshed.operators.windows import runs
 
 EPS = policy.PROBABILITY_CLIP
@@ -110,11 +110,11 @@ def threshold_sweep(pred: DataFrame, keys: Sequence[str], y: str, p: str) -> Dat
     scores = rows.groupBy(*keys, F.col(p).cast("double").alias("p")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("pos")
     )
-    names = [f"t{i}" for i in range(1, 100)]
     splits = value_splits(rows, p)
-    q = exact_quantiles(rows, keys, p, [i / 100 for i in range(1, 100)], names=names, splits=splits)
+    percentiles = quantile_grid(rows, keys, p, 100, splits=splits).select(*keys, F.col("quantile").alias("p"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(998)), lambda i: F.lit(0.001) + i * F.lit(0.998 / 998.0))
-    levels = q.select(*keys, F.explode(F.array_distinct(F.concat(grid, F.array(*names)))).alias("p"))
+    levels = scores.select(*keys).distinct() if keys else percentiles.select(F.lit(1).alias("one")).distinct()
+    levels = levels.select(*keys, F.explode(grid).alias("p")).unionByName(percentiles)
     zero = F.lit(0).cast("bigint")
     marks = levels.select(*keys, "p", zero.alias("n"), zero.alias("pos"), F.lit(1).alias("mark"))
     merged = (

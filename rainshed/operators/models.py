@@ -6,6 +6,7 @@ Only fitted coefficients, medians and candidate lists live on the driver; all ro
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -207,13 +208,14 @@ def benchmark(
 
 # ---- permutation importance --------------------------------------------------------------------------------------
 def _hash_rank(df: DataFrame, key: Sequence[str], seed: int, name: str) -> DataFrame:
-    """Rank 1..n of rows in the order of a seeded hash of their key.
+    """Rank 1..n of rows in the order of a seeded 60-bit hash of their key.
 
     Hashes are uniform, so equal cuts of the hash range balance the work and need no look at the data.
     """
-    h = df.select(*key, F.xxhash64(*key, F.lit(seed)).alias("__h"), F.lit(1).alias("__one"))
-    cuts = [int(-(2**63) + i * (2**64 // 64)) for i in range(1, 64)]
-    ranked = running_totals(h.withColumn("__d", F.col("__h").cast("double")), [], "__d", ["__one"], splits=[float(c) for c in cuts])
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
+    h = df.select(*key, F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint").alias("__h"), F.lit(1).alias("__one"))
+    cuts = [float(i * 2**54) for i in range(1, 64)]
+    ranked = running_totals(h, [], "__h", ["__one"], splits=cuts)
     return ranked.select(*key, F.col("cum___one").alias(name))
 
 
@@ -235,6 +237,31 @@ def permute_receptors(df: DataFrame, receptor: str, column: str, seed: int) -> D
     return df.drop(column).join(moved, receptor).select(*df.columns)
 
 
+def _affine_moves(n: int, repeats: int, seed: int) -> Column:
+    """Per repeat a map rank -> (a * rank + b) mod n with a coprime to n: a permutation of 0..n-1."""
+    rng = random.Random(seed)
+    moves = []
+    for r in range(repeats):
+        a = rng.randrange(3, 2**20)
+        while math.gcd(a, n) != 1:
+            a += 1
+        b = rng.randrange(n)
+        moves.append(F.struct(F.lit(r).alias("repeat"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")))
+    return F.array(*moves)
+
+
+def _donors(rows: DataFrame, ident: Sequence[str], columns: Sequence[str], repeats: int, seed: int, out: str) -> DataFrame:
+    """(ident, repeat, struct of the donor row's columns): rows in hash order, moved by one affine map per repeat."""
+    ranked = rows.select(*ident, *columns).join(
+        _hash_rank(rows.select(*ident), ident, seed, "__rank").withColumn("__rank", F.col("__rank") - 1), list(ident)
+    ).persist()
+    n = ranked.count()
+    giving = ranked.select(F.col("__rank").alias("__from"), F.struct(*columns).alias(out))
+    taking = ranked.select(*ident, "__rank", F.explode(_affine_moves(n, repeats, seed)).alias("__m"))
+    source = F.pmod(F.col("__m.a") * F.col("__rank") + F.col("__m.b"), F.lit(n).cast("bigint"))
+    return taking.select(*ident, F.col("__m.repeat").alias("repeat"), source.alias("__from")).join(giving, "__from").drop("__from")
+
+
 def permutation_importance(
     val: DataFrame,
     model: tuple[Prepared, PipelineModel],
@@ -248,20 +275,28 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and std of the drop in average precision per predictor.
 
-    All permuted copies are scored and stacked, so one grouped pass yields every average precision.
+    One plan for all predictors and repeats: rows meet one donor row per repeat, are copied once per predictor
+    with that predictor's value taken from the donor, scored together and evaluated in one grouped pass.  Static
+    predictors take the value of a donor receptor, so they stay constant inside a receptor.
     """
-    val = val.persist()
-    base = score(val, model, "p").select(F.lit("").alias("predictor"), F.lit(0).alias("repeat"), y, "p")
-    stacked = base
-    for i, c in enumerate(predictors):
-        for r in range(repeats):
-            s = seed + 1000 * i + 2 * r
-            shuffled = permute_receptors(val, receptor, c, s) if c in static else permute_rows(val, key, c, s)
-            stacked = stacked.unionByName(
-                score(shuffled, model, "p").select(F.lit(c).alias("predictor"), F.lit(r).alias("repeat"), y, "p")
-            )
-    ap = E.probability_metrics(stacked, ["predictor", "repeat"], y, "p").select("predictor", "repeat", "average_precision").persist()
-    base_ap = ap.where("predictor = ''").select("average_precision").scalar()
-    drops = ap.where("predictor <> ''").withColumn("drop", base_ap - F.col("average_precision"))
-    g = drops.groupBy("predictor").agg(F.avg("drop").alias("mean_ap_drop"), F.stddev_pop("drop").alias("std_ap_drop"), F.count("drop").alias("repeats"))
-    return g
+    dynamic = [c for c in predictors if c not in static]
+    val = val.select(*key, y, *predictors).persist()
+    x = val.join(_donors(val, key, dynamic, repeats, seed, "__dyn"), list(key)) if dynamic else val.withColumn(
+        "repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    )
+    if static:
+        values = val.groupBy(receptor).agg(*[F.first(c, ignorenulls=True).alias(c) for c in static])
+        x = x.join(_donors(values, [receptor], static, repeats, seed + 1, "__stat"), [receptor, "repeat"])
+    x = x.withColumn("predictor", F.explode(F.array(*[F.lit(c) for c in predictors])))
+
+    def swapped(c: str) -> Column:
+        donor = F.col("__stat" if c in static else "__dyn")[c]
+        return F.when(F.col("predictor") == c, donor).otherwise(F.col(c)).alias(c)
+
+    moved = x.select("predictor", "repeat", y, *[swapped(c) for c in predictors])
+    ap = E.probability_metrics(score(moved, model, "p").persist(), ["predictor", "repeat"], y, "p")
+    base = E.probability_metrics(score(val, model, "p"), [], y, "p").select("average_precision").scalar()
+    drops = ap.withColumn("drop", base - F.col("average_precision"))
+    return drops.groupBy("predictor").agg(
+        F.avg("drop").alias("mean_ap_drop"), F.stddev_pop("drop").alias("std_ap_drop"), F.count("drop").alias("repeats")
+    )

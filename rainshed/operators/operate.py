@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from rainshed.operators.panel import season_day
 from rainshed.operators.windows import SeasonWindow
+from rainshed.sources.integrity import prepare_checkpoints
 
 
 def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -39,6 +40,7 @@ def upsert_partitions(batch: DataFrame, path: str, keys: Sequence[str], partitio
     merged days are checkpointed first because their old files are replaced by this very write.
     """
     spark = batch.sparkSession
+    prepare_checkpoints(spark)
     days = [r[0] for r in batch.select(partition).distinct().collect()]  # partition names of one batch
     if not days:
         return

@@ -14,6 +14,13 @@ def in_season(date: Column, first_year: int, last_year: int, months: tuple[int,
     return F.month(date).between(*months) & F.year(date).between(first_year, last_year)
 
 
+def season_span(ts: Column, first_year: int, last_year: int, months: tuple[int, int] = policy.SEASON_MONTHS) -> Column:
+    """Range on a raw timestamp column that covers all seasons: unlike ``in_season`` it reaches the Parquet scan."""
+    start = F.lit(f"{first_year}-{months[0]:02d}-01 00:00:00").cast("timestamp_ntz")
+    end = F.lit(f"{last_year + months[1] // 12}-{months[1] % 12 + 1:02d}-01 00:00:00").cast("timestamp_ntz")
+    return (ts >= start) & (ts < end)
+
+
 def season_day(date: Column, start_month: int = policy.SEASON_START_MONTH) -> Column:
     return F.datediff(date, F.make_date(F.year(date), F.lit(start_month), F.lit(1))) + 1
 
@@ -59,8 +66,12 @@ def densify(
     densifying, features and labels share a single exchange.
     """
     key = keys.columns
-    skeleton = season_calendar(keys, first_year, last_year, date)
-    values = daily.where(in_season(F.col(date), first_year, last_year)).select(
+    # Keys are filtered here, so that every later use of the panel has the same plan and shares its exchanges.
+    known = F.lit(True)
+    for k in key:
+        known = known & F.col(k).isNotNull()
+    skeleton = season_calendar(keys.where(known), first_year, last_year, date)
+    values = daily.where(known & in_season(F.col(date), first_year, last_year)).select(
         *key, F.year(date).alias("season_year"), date, *measures
     )
     both = skeleton.withColumn("__grid", F.lit(True)).unionByName(

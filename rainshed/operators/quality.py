@@ -60,21 +60,30 @@ def sensitivity(results: DataFrame, group: Sequence[str], ident: Sequence[str],
 
 
 # ---- distribution profile and drift ------------------------------------------------------------------------------
-def profile(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Eleven exact quantiles, range, mean, population std, IQR and robust scale per key, for groups of any size."""
+def profile(df: DataFrame, keys: Sequence[str], value: str, bounded: bool = False) -> DataFrame:
+    """Eleven exact quantiles, range, mean, population std, IQR and robust scale per key.
+
+    ``bounded`` states that a key has few rows (a panel: at most the days of the record) and takes the quantiles in
+    the same aggregate; otherwise they come from value ranges, for groups of any size.
+    """
     names = [f"q{str(p)[2:]}" for p in PROFILE_PROBS]
     v = F.col(value)
-    base = df.groupBy(*keys).agg(
+    stats = [
         F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")
-    )
-    q = exact_quantiles(df, keys, value, PROFILE_PROBS, names=names)
+    ]
+    if bounded:
+        q = F.percentile(v, F.array(*[F.lit(p) for p in PROFILE_PROBS])).alias("__q")
+        base = df.groupBy(*keys).agg(*stats, q)
+        out = base.select(*base.columns[:-1], *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+    else:
+        out = df.groupBy(*keys).agg(*stats).join(exact_quantiles(df, keys, value, PROFILE_PROBS, names=names), list(keys), "left")
     iqr = F.col("q75") - F.col("q25")
-    return base.join(q, list(keys), "left").select(
-        "*", iqr.alias("iqr"), F.when(iqr > 0, iqr / ROBUST_FACTOR).alias("robust_scale")
-    )
+    return out.select("*", iqr.alias("iqr"), F.when(iqr > 0, iqr / ROBUST_FACTOR).alias("robust_scale"))
 
 
-def midrank_cdf(reference: DataFrame, current: DataFrame, keys: Sequence[str], value: str, ident: Sequence[str]) -> DataFrame:
+def midrank_cdf(
+    reference: DataFrame, current: DataFrame, keys: Sequence[str], value: str, ident: Sequence[str], bounded: bool = False
+) -> DataFrame:
     """Mid-rank position of each current value in the reference sample of its key.
 
     Both sides are merged to distinct values and one running total of reference counts serves every current
@@ -84,7 +93,11 @@ def midrank_cdf(reference: DataFrame, current: DataFrame, keys: Sequence[str], v
     ref = histogram(reference, keys, value).select(*keys, value, F.col("n").alias("nref"))
     cur = current.where(F.col(value).isNotNull()).select(*keys, value).distinct().withColumn("nref", F.lit(0).cast("bigint"))
     merged = ref.unionByName(cur).groupBy(*keys, value).agg(F.sum("nref").alias("nref"))
-    cum = running_totals(merged, keys, value, ["nref"], splits=value_splits(reference, value))
+    if bounded:
+        by_key = Window.partitionBy(*keys)
+        cum = merged.select("*", F.sum("nref").over(by_key.orderBy(value)).alias("cum_nref"), F.sum("nref").over(by_key).alias("tot_nref"))
+    else:
+        cum = running_totals(merged, keys, value, ["nref"], splits=value_splits(reference, value))
     below = F.col("cum_nref") - F.col("nref")
     cdf = cum.select(
         *keys, value, F.when(F.col("tot_nref") > 0, (below + F.col("cum_nref")) / (2.0 * F.col("tot_nref"))).alias("percentile")
@@ -109,10 +122,15 @@ def range_state(x: Column, n: Column, low: Column, high: Column, pct: Column) ->
     )
 
 
-def compatibility(current: DataFrame, history: DataFrame, keys: Sequence[str], ident: Sequence[str], value: str) -> DataFrame:
-    """Range state, percentile and robust z of every current value against its key's history."""
-    prof = profile(history, keys, value).select(*keys, "n", "min", "max", F.col("q5").alias("median"), "robust_scale")
-    pos = midrank_cdf(history, current, keys, value, ident)
+def compatibility(
+    current: DataFrame, history: DataFrame, keys: Sequence[str], ident: Sequence[str], value: str, bounded: bool = True
+) -> DataFrame:
+    """Range state, percentile and robust z of every current value against its key's history.
+
+    History is a receptor-day panel by default, so a key has one value per day of the record.
+    """
+    prof = profile(history, keys, value, bounded).select(*keys, "n", "min", "max", F.col("q5").alias("median"), "robust_scale")
+    pos = midrank_cdf(history, current, keys, value, ident, bounded)
     x = F.col(value)
     return pos.join(prof, list(keys), "left").select(
         *dict.fromkeys([*keys, *ident]),

@@ -118,7 +118,8 @@ def infer_cadence(obs: DataFrame, series: Sequence[str], ts: str, interval: str
     timed = obs.where(F.col(ts).isNotNull()).select(*keys, seconds.alias("__s"))
     prev = previous_in_order(timed, keys, "__s", policy.MAX_CADENCE_GAP_SECONDS, ["__s"])
     gap = F.col("__s") - F.col("prev___s")
-    gaps = prev.select(*keys, gap.alias("gap")).where((gap > 0) & (gap <= policy.MAX_CADENCE_GAP_SECONDS))
+    # Read twice (cut points, then value counts); kept so that the ordering work is done once.
+    gaps = prev.select(*keys, gap.alias("gap")).where((gap > 0) & (gap <= policy.MAX_CADENCE_GAP_SECONDS)).persist()
     base = obs.groupBy(*keys).agg((F.bool_or(daily) if daily is not None else F.lit(False)).alias("__daily"))
     base = base.join(exact_quantiles(gaps, keys, "gap", [0.5], names=["__gap"]), keys, "left")
     if interval is not None:

@@ -26,7 +26,8 @@ def money(c):
 
 def orders_daily(spark, sf_dir) -> DataFrame:
     """Order value per (nation of the customer, day)."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("date"))
+    o = table(spark, sf_dir, "orders").where(P.season_span(F.col("o_orderdate"), FIRST_YEAR, LAST_YEAR))
+    o = o.select("o_custkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("date"))
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("receptor_id"))
     return (
         o.where(P.in_season(F.col("date"), FIRST_YEAR, LAST_YEAR))
@@ -46,7 +47,8 @@ def sparse_panel(spark, sf_dir) -> DataFrame:
 
 def ship_daily(spark, sf_dir) -> DataFrame:
     """Shipped quantity per (region of the supplier, day); suppliers are pre-aggregated before the join."""
-    li = table(spark, sf_dir, "lineitem").select(
+    li = table(spark, sf_dir, "lineitem").where(P.season_span(F.col("l_shipdate"), FIRST_YEAR, LAST_YEAR))
+    li = li.select(
         "l_suppkey",
         F.col("l_shipdate").cast("date").alias("date"),
         money(F.col("l_quantity")).alias("q"),

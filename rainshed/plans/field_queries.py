@@ -19,14 +19,19 @@ from rainshed.plans.registry import query
 
 
 # ---- bindings ----------------------------------------------------------------------------------------------------
-def elements(spark, sf):
-    """(vec_id, pos, v) for every element."""
-    e = B.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+def elements(spark, sf, by_time=False):
+    """(vec_id, pos, v) for every element.
+
+    ``by_time`` lays the vectors out by time before they are exploded: sums per (receptor, sector, time) then need
+    no exchange, which pays when there are more such sums per time than cells.
+    """
+    e = B.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    e = (e.repartition("vec_id") if by_time else e).select("vec_id", F.posexplode("embedding").alias("pos", "x"))
     return e.select("vec_id", "pos", F.col("x").cast("double").alias("v"))
 
 
-def field(spark, sf):
-    e = elements(spark, sf)
+def field(spark, sf, by_time=False):
+    e = elements(spark, sf, by_time)
     pos, t = F.col("pos"), F.col("vec_id")
     return e.select(
         "vec_id",
@@ -71,7 +76,7 @@ SQL_WEIGHTS = """w0 AS (SELECT r_regionkey AS receptor_id, c AS cell_id, CAST(1
 
 # ---- regridding --------------------------------------------------------------------------------------------------
 @query(
-    "D-03 J-05 A-01",
+    "D-01 D-03 J-05 A-01",
     "receptor_id:i vec_id:i mean_value:f",
     f"""WITH {SQL_FIELD}, {SQL_WEIGHTS} SELECT receptor_id, vec_id, sum(value * w) / nullif(sum(CASE WHEN value IS NOT NULL THEN w END), 0) AS mean_value
         FROM field JOIN weights USING (cell_id) GROUP BY 1, 2""",
@@ -394,7 +399,7 @@ SQL_REC = "rec AS (SELECT r_regionkey AS receptor_id, 41 + 0.7 * r_regionkey::DO
 
 
 @query(
-    "M-08 J-16",
+    "M-08 J-16 D-06",
     "receptor_id:i cell_id:i distance_km:f3 bearing:f3",
     f"""WITH {SQL_AREA}, {SQL_REC}, u AS (SELECT DISTINCT cell_id, lat, lon FROM g)
         SELECT * FROM (SELECT receptor_id, cell_id, {sql_dist('lat0', 'lon0', 'lat', 'lon')} AS distance_km, {sql_bear('lat0', 'lon0', 'lat', 'lon')} AS bearing FROM rec CROSS JOIN u) WHERE distance_km <= 150""",
@@ -482,7 +487,7 @@ def base_weights(spark, sf, scenarios=C.BASE_ONLY):
 
 
 def corridor_all(spark, sf, scenarios=C.BASE_ONLY):
-    sums = C.sector_sums(field(spark, sf), base_weights(spark, sf, scenarios), "vec_id", "value")
+    sums = C.sector_sums(field(spark, sf, by_time=True), base_weights(spark, sf, scenarios), "vec_id", "value")
     panel = bearing_panel(spark, sf).withColumn("k", F.explode(C.kernel_scenarios(scenarios)))
     panel = panel.withColumn("scenario", F.col("k.scenario")).drop("k")
     return C.corridor(panel, C.sector_profile(sums, "vec_id"), ["scenario", "receptor_id", "vec_id"], "source_bearing")

@@ -44,7 +44,19 @@ def candidate_benchmark(spark, sf):
     return M.benchmark(master(spark, sf), ["F3"], [HOURS], "receptor_id", PREDICTORS, configs, L.label_name, iterations=5)
 
 
-@query("E-11 E-12 M-16", "intercept:f2 slope:f2 rows:i")
+SQL_NEWTON = f"""{SQL_PRED}, z AS (SELECT y, ln(q / (1 - q)) AS z, count(*) AS w FROM (SELECT y, least(greatest(p, 1e-6), 1 - 1e-6) AS q FROM pred) GROUP BY 1, 2),
+  st AS (SELECT sum(w) AS n FROM z),
+  it AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+    UNION ALL SELECT i + 1, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM
+      (SELECT i, a, b, sum(w * (m - y)) AS g0, sum(w * (m - y) * z) + 1e-6 * b AS g1, sum(w * m * (1 - m)) AS h00, sum(w * m * (1 - m) * z) AS h01, sum(w * m * (1 - m) * z * z) + 1e-6 AS h11
+       FROM (SELECT i, a, b, w, y, z, 1 / (1 + exp(-(a + b * z))) AS m FROM it CROSS JOIN z WHERE i < 20) GROUP BY i, a, b))"""
+
+
+@query(
+    "E-11 E-12 M-16",
+    "intercept:f3 slope:f3 rows:i",
+    f"WITH RECURSIVE {SQL_NEWTON} SELECT a AS intercept, b AS slope, n AS rows FROM it CROSS JOIN st WHERE i = 20",
+)
 def platt_calibration(spark, sf):
     pred = predictions(spark, sf)
     a, b = M.fit_platt(pred, "y", "p")
@@ -55,7 +67,31 @@ def platt_calibration(spark, sf):
 def permutation_importance(spark, sf):
     fit, val = parts(spark, sf)
     m = M.fit_logistic(fit, PREDICTORS, "y", "weight", 1.0, 0.0)
-    return M.permutation_importance(val, m, ["receptor_id", "issue_date"], "receptor_id", PREDICTORS, STATIC, "y", repeats=1)
+    return M.permutation_importance(val, m, ["receptor_id", "issue_date"], "receptor_id", PREDICTORS, STATIC, "y", repeats=5)
+
+
+@query(
+    "E-19",
+    "doc_id:i n_chars:i",
+    """WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY ('0x' || substr(md5(doc_id || '|11'), 1, 15))::BIGINT) AS r FROM documents),
+       b AS (SELECT n_chars, row_number() OVER (ORDER BY ('0x' || substr(md5(doc_id || '|12'), 1, 15))::BIGINT) AS r FROM documents)
+       SELECT doc_id, n_chars FROM a JOIN b USING (r)""",
+)
+def row_permutation(spark, sf):
+    return M.permute_rows(B.table(spark, sf, "documents").select("doc_id", "n_chars"), ["doc_id"], "n_chars", 11)
+
+
+@query(
+    "E-19",
+    "c_custkey:i nation_balance:f2",
+    """WITH v AS (SELECT c_nationkey AS k, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS v FROM customer GROUP BY 1),
+       a AS (SELECT k, row_number() OVER (ORDER BY ('0x' || substr(md5(k || '|21'), 1, 15))::BIGINT) AS r FROM v), b AS (SELECT v, row_number() OVER (ORDER BY ('0x' || substr(md5(k || '|22'), 1, 15))::BIGINT) AS r FROM v)
+       SELECT c_custkey, b.v AS nation_balance FROM customer JOIN a ON k = c_nationkey JOIN b USING (r)""",
+)
+def receptor_permutation(spark, sf):
+    c = B.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    total = c.groupBy("c_nationkey").agg(F.sum(B.money(F.col("c_acctbal"))).cast("double").alias("nation_balance"))
+    return M.permute_receptors(c.join(total, "c_nationkey").select("c_custkey", "c_nationkey", "nation_balance"), "c_nationkey", "nation_balance", 21)
 
 
 @query(

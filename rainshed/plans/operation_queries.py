@@ -180,7 +180,9 @@ STATIC = ("customers", "mean_balance")
 
 def master(spark, sf):
     w = W.SeasonWindow(KEY)
-    dyn = B.sparse_panel(spark, sf).select(
+    # The panel (receptors x days) stands for a stored table here: labels, features and the key check read it.
+    panel = B.sparse_panel(spark, sf).persist()
+    dyn = panel.select(
         "receptor_id", "date", "value", w.lag("value").alias("prev1d"), w.previous("value", 3).alias("prev3d_sum"), "season_day"
     )
     stat = (
@@ -189,7 +191,7 @@ def master(spark, sf):
         .agg(F.count(F.lit(1)).alias("customers"), (F.sum(B.money(F.col("c_acctbal"))).cast("double") / F.count(F.lit(1))).alias("mean_balance"))
         .where(F.col("receptor_id") != 13)
     )
-    return M.build_master(labels(spark, sf), dyn, stat, "receptor_id", DYNAMIC, STATIC)
+    return M.build_master(labels(spark, sf, panel), dyn, stat, "receptor_id", DYNAMIC, STATIC)
 
 
 SQL_MASTER = f"""{B.SQL_LABELS}, dyn AS (SELECT receptor_id, date, value AS dynamic__value, max(value) {_frame(_day(1), _day(1))} AS dynamic__prev1d, {_full('sum', 'value', _day(3), _day(1), 3)} AS dynamic__prev3d_sum, season_day AS dynamic__season_day FROM sparse),

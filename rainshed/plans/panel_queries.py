@@ -310,8 +310,8 @@ def season_edge_nulls(spark, sf):
 
 
 # ---- folds and labels --------------------------------------------------------------------------------------------
-def labels(spark, sf):
-    p = B.sparse_panel(spark, sf)
+def labels(spark, sf, panel=None):
+    p = B.sparse_panel(spark, sf) if panel is None else panel
     return L.label_panel(p, "receptor_id", "value", L.fold_thresholds(p, "receptor_id", "value", B.FOLDS), B.FOLDS)
 
 

@@ -70,20 +70,26 @@ def interval_file_scan(spark, sf):
     "SELECT user_id, 'Stazione ' || user_id AS station, count(*) AS rows, count(*) FILTER (WHERE event_type <> 'click') AS numeric_rows, sum(value) FILTER (WHERE event_type <> 'click') AS total FROM events GROUP BY 1",
 )
 def hourly_file_scan(spark, sf):
-    """One file per user: a header block, then timestamp;value lines (clicks without a value)."""
+    """Files per user: a header block, then timestamp;value lines (clicks without a value).
+
+    A file holds at most a million consecutive events, so a busy user is written by several tasks.
+    """
     path = I.scratch_dir(spark, "hourly")
     e = B.table(spark, sf, "events")
+    part = F.floor(F.col("event_id") / 1_000_000)
     data = e.select(
         "user_id",
+        part.alias("part"),
         F.col("event_id").alias("n"),
         F.concat_ws(";", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("event_type") == "click", "").otherwise(F.format_string("%.2f", F.col("value")))).alias("line"),
     )
-    head = e.select("user_id").distinct().select(
+    head = e.select("user_id", part.alias("part")).distinct().select(
         "user_id",
+        "part",
         F.posexplode(F.array(F.concat(F.lit("Stazione: Stazione "), F.col("user_id")), F.lit("Unità: °C"), F.lit("Data;Valore"))).alias("i", "line"),
-    ).select("user_id", (F.col("i") - 10).cast("bigint").alias("n"), "line")
-    lines = data.unionByName(head).repartition("user_id").sortWithinPartitions("user_id", "n")
-    lines.select("user_id", "line").write.partitionBy("user_id").option("quote", "").option("sep", "\u0001").option("encoding", "ISO-8859-1").csv(path)
+    ).select("user_id", "part", (F.col("i") - 10).cast("bigint").alias("n"), "line")
+    lines = data.unionByName(head).repartition("user_id", "part").sortWithinPartitions("user_id", "part", "n")
+    lines.select("user_id", "part", "line").write.partitionBy("user_id", "part").option("quote", "").option("sep", "\u0001").option("encoding", "ISO-8859-1").csv(path)
     rows, header = X.parse_hourly(X.scan_lines(spark, path))
     station = header.where("key = 'Stazione'").select("path", F.col("value").alias("station"))
     user = F.regexp_extract("path", r"/user_id=(\d+)/", 1).cast("bigint")
@@ -160,6 +166,28 @@ def latest_complete_run(spark, sf):
     return I.latest_run(e, ["signup", "error"])
 
 
+@query(
+    "E-23 S-10",
+    "run_id:s opened:i refused:i",
+    "SELECT o_orderpriority AS run_id, 1 AS opened, 1 AS refused FROM orders GROUP BY 1",
+)
+def one_shot_seal(spark, sf):
+    """Every holdout (one per order priority) can be opened once; the second attempt is refused."""
+    base = I.scratch_dir(spark, "seal")
+    runs = sorted(r[0] for r in B.table(spark, sf, "orders").select("o_orderpriority").distinct().collect())
+    out = []
+    for r in runs:
+        I.seal(spark, f"{base}/{r[0]}", r)
+        try:
+            I.seal(spark, f"{base}/{r[0]}", r)
+            refused = 0
+        except I.AlreadyOpenedError:
+            refused = 1
+        out.append((r, refused))
+    opened = spark.read.json(f"{base}/*").groupBy(F.col("note").alias("run_id")).agg(F.count(F.lit(1)).alias("opened"))
+    return opened.join(spark.createDataFrame(out, "run_id string, refused int"), "run_id")
+
+
 @query("S-14", "file:s bytes:i sha256:s")
 def artifact_checksums(spark, sf):
     return I.checksums(spark, sf, "*.parquet")

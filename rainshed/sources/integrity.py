@@ -10,17 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_base: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder the cluster names; a local one only where none is set, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        base = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own_base:
+            _own_base.append(tempfile.mkdtemp(prefix="run-"))
+        base = _own_base[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def prepare_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoint() at the shared folder of the session."""
+    """Make checkpoint() usable: the session's folder when it names one, else a scratch folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoints"))
 

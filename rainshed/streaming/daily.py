@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from rainshed import policy
 from rainshed.operators.operate import upsert_partitions
 from rainshed.operators.stations import circular_angle, policy_of
-from rainshed.sources.integrity import prepare_checkpoints
 
 
 def daily_stream(events: DataFrame, series: Sequence[str], code: str, ts: str, value: str, policies: dict[str, str] = policy.STATION_POLICY, late: str = "1 day") -> DataFrame:
@@ -48,7 +47,6 @@ def keep_daily_table(stream: DataFrame, path: str, checkpoint: str, keys: Sequen
 
     The sink is idempotent: a batch that is replayed after a failure rewrites the same keys.
     """
-    prepare_checkpoints(stream.sparkSession)
 
     def write(batch: DataFrame, _: int) -> None:
         batch.persist()
