@@ -103,8 +103,9 @@ def network_stats(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
     wangle, wstrength = circular_mean(v, w)
     wsum = F.sum(F.when(v.isNotNull() & (w > 0), w))
     return daily.groupBy(*keys).agg(
-        F.countDistinct("station_key").alias("station_count"),
-        F.countDistinct(F.when(F.col("canonical_is_primary"), F.col("station_key"))).alias("primary_station_count"),
+        # Sets of at most the stations of one basin: a second count-distinct would copy every row through Expand.
+        F.size(F.collect_set("station_key")).alias("station_count"),
+        F.size(F.collect_set(F.when(F.col("canonical_is_primary"), F.col("station_key")))).alias("primary_station_count"),
         F.avg(cov).alias("coverage_mean"),
         F.min(cov).alias("coverage_min"),
         F.avg((F.col("day_completeness") == "COMPLETE").cast("double")).alias("complete_fraction"),

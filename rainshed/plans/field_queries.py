@@ -26,7 +26,9 @@ def elements(spark, sf, by_time=False):
     no exchange, which pays when there are more such sums per time than cells.
     """
     e = B.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    e = (e.repartition("vec_id") if by_time else e).select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    if by_time:
+        e = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
+    e = e.select("vec_id", F.posexplode("embedding").alias("pos", "x"))
     return e.select("vec_id", "pos", F.col("x").cast("double").alias("v"))
 
 

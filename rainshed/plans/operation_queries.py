@@ -75,7 +75,7 @@ def canonical_names(spark, sf):
     col = F.when(k == 0, F.concat(F.lit("static__"), r)).when(k == 1, r).when(k == 2, F.upper(r)).when(k == 3, F.concat(F.lit("src_"), r))
     available = c.select(col.alias("col")).where(F.col("col").isNotNull())
     canonical = c.select(F.concat(F.lit("static__"), r).alias("name"))
-    declared = canonical.select("name", F.lit("not_there").alias("col"))
+    declared = canonical.select("name", F.concat(F.lit("not_"), F.reverse("name")).alias("col"))
     return M.map_names(canonical, available, declared)
 
 
