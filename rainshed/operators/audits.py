@@ -16,16 +16,16 @@ def time_audit(df: DataFrame, unit: Sequence[str], ts: str, order: str, start: C
     ``start``/``end`` bound the expected grid of a unit; ``order`` is the position in the source.
     """
     unit = list(unit)
-    present = df.groupBy(*unit, F.col(ts).alias("__ts")).agg(F.count(F.lit(1)).alias("n"))
+    present = df.groupBy(*unit, F.col(ts).alias("__ts")).agg(F.count(F.lit(1)).alias("__n"))
     bounds = df.groupBy(*unit).agg(start.alias("__start"), end.alias("__end"))
     expected = bounds.select(*unit, F.explode(F.sequence("__start", "__end", F.expr(step))).alias("__ts"), F.lit(True).alias("__want"))
     both = expected.join(present, [*unit, "__ts"], "full_outer")
     counts = both.groupBy(*unit).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("time_count"),
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("time_count"),
         F.count_if("__want").alias("expected_time_count"),
-        F.count_if(F.col("__want") & F.col("n").isNull()).alias("missing_times"),
+        F.count_if(F.col("__want") & F.col("__n").isNull()).alias("missing_times"),
         F.count_if(F.col("__want").isNull()).alias("extra_times"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_times"),
+        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_times"),
     )
     sec = df.select(*unit, order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("__s"))
     prev = previous_in_order(sec, unit, order, order_width, ["__s"])

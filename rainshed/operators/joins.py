@@ -39,20 +39,20 @@ def active_per_day(intervals: DataFrame, group: Sequence[str], member: str, star
     """
     merged = merge_intervals(intervals, [*group, member], start, end)
     change = F.array(
-        F.struct(F.col(start).alias("date"), F.lit(1).alias("d")),
-        F.struct(F.date_add(end, 1).alias("date"), F.lit(-1).alias("d")),
+        F.struct(F.col(start).alias("date"), F.lit(1).alias("step")),
+        F.struct(F.date_add(end, 1).alias("date"), F.lit(-1).alias("step")),
     )
-    events = merged.select(*group, F.explode(change).alias("e")).select(*group, "e.*")
-    per_day = events.groupBy(*group, "date").agg(F.sum("d").alias("d"))
+    events = merged.select(*group, F.explode(change).alias("__e")).select(*group, "__e.*")
+    per_day = events.groupBy(*group, "date").agg(F.sum("step").alias("__step"))
     w = Window.partitionBy(*group).orderBy("date")
     level = per_day.select(
         *group,
         "date",
-        F.sum("d").over(w).alias("active"),
-        F.date_sub(F.lead("date").over(w), 1).alias("until"),
+        F.sum("__step").over(w).alias("active"),
+        F.date_sub(F.lead("date").over(w), 1).alias("__until"),
     )
     return level.where(F.col("active") > 0).select(
-        *group, F.explode(F.sequence(F.col("date"), F.coalesce("until", "date"))).alias("date"), "active"
+        *group, F.explode(F.sequence(F.col("date"), F.coalesce("__until", "date"))).alias("date"), "active"
     )
 
 

@@ -50,10 +50,10 @@ def fold_thresholds(
         (F.col("partition") == FIT) & F.col(value).isNotNull()
     )
     q = fit.groupBy("fold_id", key).agg(
-        F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("q"), F.count(value).alias("fit_days")
+        F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("__q"), F.count(value).alias("fit_days")
     )
     names = ("q95_fit_threshold", "q975_fit_severity_threshold")
-    return q.select("fold_id", key, "fit_days", *[F.col("q")[i].alias(n) for i, n in zip(range(len(probs)), names)])
+    return q.select("fold_id", key, "fit_days", *[F.col("__q")[i].alias(n) for i, n in zip(range(len(probs)), names)])
 
 
 def three_valued(future_max: Column, future_count: Column, threshold: Column, days: int) -> Column:
@@ -107,7 +107,7 @@ def long_labels(labels: DataFrame, ids: Sequence[str], horizons: Sequence[int] =
     entries = F.array(
         *[F.struct(F.lit(h).alias("horizon_hours"), F.col(label_name(h)).alias("label")) for h in horizons]
     )
-    return labels.select(*ids, F.explode(entries).alias("e")).select(*ids, "e.*")
+    return labels.select(*ids, F.explode(entries).alias("__e")).select(*ids, "__e.*")
 
 
 def label_support(labels: DataFrame, key: str) -> DataFrame:

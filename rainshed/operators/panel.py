@@ -169,21 +169,21 @@ def audit_panel(
     receptor = key[0]
     # Grouping by the primary key first makes duplicates and every count one two-step aggregate.
     per_key = panel.groupBy(*key, date).agg(
-        F.count(F.lit(1)).alias("n"), *[F.count(m).alias(f"__c_{m}") for m in measures]
+        F.count(F.lit(1)).alias("__n"), *[F.count(m).alias(f"__c_{m}") for m in measures]
     )
     per_receptor = per_key.groupBy(receptor).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") - 1).alias("dup"),
-        F.min("n").alias("lo"),
-        F.max("n").alias("hi"),
+        F.sum("__n").alias("__n"),
+        F.sum(F.col("__n") - 1).alias("__dup"),
+        F.min("__n").alias("__lo"),
+        F.max("__n").alias("__hi"),
         *[F.sum(f"__c_{m}").alias(f"__c_{m}") for m in measures],
     )
     total = per_receptor.agg(
-        F.sum("n").alias("rows"),
-        F.sum("dup").alias("duplicate_keys"),
+        F.sum("__n").alias("rows"),
+        F.sum("__dup").alias("duplicate_keys"),
         F.count(F.lit(1)).alias("receptors"),
-        F.min("lo").alias("min_samples_per_day"),
-        F.max("hi").alias("max_samples_per_day"),
+        F.min("__lo").alias("min_samples_per_day"),
+        F.max("__hi").alias("max_samples_per_day"),
         F.filter(
             F.array(*[F.when(F.sum(f"__c_{m}") == 0, F.lit(m)) for m in measures]), lambda x: x.isNotNull()
         ).alias("all_null"),

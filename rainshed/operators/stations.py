@@ -62,12 +62,12 @@ def daily_station(
         .groupBy(*keys, F.to_date(ts).alias("date_model"))
         .agg(
             F.count(F.lit(1)).alias("observed_count"),
-            F.avg(v).alias("m"),
-            F.min(v).alias("lo"),
-            F.max(v).alias("hi"),
-            F.sum(v).alias("total"),
-            F.avg(F.sin(rad)).alias("s"),
-            F.avg(F.cos(rad)).alias("c"),
+            F.avg(v).alias("__m"),
+            F.min(v).alias("__lo"),
+            F.max(v).alias("__hi"),
+            F.sum(v).alias("__total"),
+            F.avg(F.sin(rad)).alias("__s"),
+            F.avg(F.cos(rad)).alias("__c"),
         )
         .withColumn("daily_primary_statistic", policy_of(F.col(code), policies))
         .withColumn("expected_count_per_day", expected)
@@ -75,11 +75,11 @@ def daily_station(
     p = F.col("daily_primary_statistic")
     circular = p == "CIRCULAR_MEAN"
     primary = (
-        F.when(p == "SUM", F.col("total"))
-        .when(p == "MIN", F.col("lo"))
-        .when(p == "MAX", F.col("hi"))
-        .when(circular, circular_angle(F.col("s"), F.col("c")))
-        .otherwise(F.col("m"))
+        F.when(p == "SUM", F.col("__total"))
+        .when(p == "MIN", F.col("__lo"))
+        .when(p == "MAX", F.col("__hi"))
+        .when(circular, circular_angle(F.col("__s"), F.col("__c")))
+        .otherwise(F.col("__m"))
     )
     return agg.select(
         *keys,
@@ -90,8 +90,8 @@ def daily_station(
         completeness(F.col("observed_count"), F.col("expected_count_per_day")).alias("day_completeness"),
         "daily_primary_statistic",
         primary.alias("daily_value"),
-        *[F.when(~circular, F.col(x)).alias(f"daily_{n}") for x, n in (("m", "mean"), ("lo", "min"), ("hi", "max"), ("total", "sum"))],
-        F.when(circular, circular_strength(F.col("s"), F.col("c"))).alias("circular_resultant_strength"),
+        *[F.when(~circular, F.col(x)).alias(f"daily_{n}") for x, n in (("__m", "mean"), ("__lo", "min"), ("__hi", "max"), ("__total", "sum"))],
+        F.when(circular, circular_strength(F.col("__s"), F.col("__c"))).alias("circular_resultant_strength"),
     )
 
 
@@ -153,8 +153,8 @@ def infer_cadence(obs: DataFrame, series: Sequence[str], ts: str, interval: str
 
 def year_coverage(obs: DataFrame, station: Sequence[str], date: str, first_year: int, last_year: int, days: int = policy.SEASON_DAYS) -> DataFrame:
     """Rows, distinct days and coverage of every station and year; years without rows are explicit zeros."""
-    per_day = obs.groupBy(*station, F.year(date).alias("year"), date).agg(F.count(F.lit(1)).alias("n"))
-    per_year = per_day.groupBy(*station, "year").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("unique_dates"))
+    per_day = obs.groupBy(*station, F.year(date).alias("year"), date).agg(F.count(F.lit(1)).alias("__n"))
+    per_year = per_day.groupBy(*station, "year").agg(F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("unique_dates"))
     years = F.explode(F.sequence(F.lit(first_year), F.lit(last_year)))
     zero = F.lit(0).cast("bigint")
     grid = per_year.select(*station).distinct().select("*", years.alias("year"), zero.alias("rows"), zero.alias("unique_dates"))

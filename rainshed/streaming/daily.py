@@ -23,21 +23,21 @@ def daily_stream(events: DataFrame, series: Sequence[str], code: str, ts: str, v
         .groupBy(F.window(ts, "1 day"), *series, code)
         .agg(
             F.count(F.lit(1)).alias("observed_count"),
-            F.avg(v).alias("m"),
-            F.min(v).alias("lo"),
-            F.max(v).alias("hi"),
-            F.sum(v).alias("total"),
-            F.avg(F.sin(r)).alias("s"),
-            F.avg(F.cos(r)).alias("c"),
+            F.avg(v).alias("__m"),
+            F.min(v).alias("__lo"),
+            F.max(v).alias("__hi"),
+            F.sum(v).alias("__total"),
+            F.avg(F.sin(r)).alias("__s"),
+            F.avg(F.cos(r)).alias("__c"),
         )
     )
     p = policy_of(F.col(code), policies)
     primary = (
-        F.when(p == "SUM", F.col("total"))
-        .when(p == "MIN", F.col("lo"))
-        .when(p == "MAX", F.col("hi"))
-        .when(p == "CIRCULAR_MEAN", circular_angle(F.col("s"), F.col("c")))
-        .otherwise(F.col("m"))
+        F.when(p == "SUM", F.col("__total"))
+        .when(p == "MIN", F.col("__lo"))
+        .when(p == "MAX", F.col("__hi"))
+        .when(p == "CIRCULAR_MEAN", circular_angle(F.col("__s"), F.col("__c")))
+        .otherwise(F.col("__m"))
     )
     return agg.select(*series, code, F.to_date("window.start").alias("date_model"), "observed_count", primary.alias("daily_value"))
 
