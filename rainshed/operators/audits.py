@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rainshed.functions.clock import wall_micros
 from rainshed.operators.distributed import exact_quantiles, previous_in_order
 
 
@@ -27,7 +28,7 @@ def time_audit(df: DataFrame, unit: Sequence[str], ts: str, order: str, start: C
         F.count_if(F.col("__want").isNull()).alias("extra_times"),
         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_times"),
     )
-    sec = df.select(*unit, order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("__s"))
+    sec = df.select(*unit, order, (wall_micros(F.col(ts)) / 1e6).alias("__s"))
     prev = previous_in_order(sec, unit, order, order_width, ["__s"])
     steps = prev.select(*unit, (F.col("__s") - F.col("prev___s")).alias("hop")).where(F.col("hop").isNotNull())
     steps = steps.persist()  # read by the disorder count, the cut points and the value counts

@@ -275,7 +275,9 @@ def top_bottom(df: DataFrame, group: Sequence[str], metric: str, tie: str, k: in
 def select_candidates(metrics: DataFrame, horizon: str, config: str, ap: str, brier: str) -> DataFrame:
     """Selection rank per horizon over mean fold metrics: AP descending, Brier ascending, config as last key."""
     m = metrics.groupBy(horizon, config).agg(F.avg(ap).alias("mean_ap"), F.avg(brier).alias("mean_brier"), F.count(F.lit(1)).alias("folds"))
-    w = Window.partitionBy(horizon).orderBy(F.col("mean_ap").desc_nulls_last(), F.col("mean_brier").asc_nulls_last(), config)
+    # Means that differ only in the last bits of a sum are ties.
+    ap_key, brier_key = F.round("mean_ap", 12), F.round("mean_brier", 12)
+    w = Window.partitionBy(horizon).orderBy(ap_key.desc_nulls_last(), brier_key.asc_nulls_last(), config)
     return m.withColumn("selection_rank", F.row_number().over(w))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rainshed.functions.clock import wall_micros
 from rainshed.functions.geo import bearing_toward
 from rainshed.operators.distributed import exact_quantiles
 
@@ -212,7 +213,7 @@ def compare_grids(a: DataFrame, b: DataFrame, on: Sequence[str], value: str, by:
 # ---- extremes ----------------------------------------------------------------------------------------------------
 def daily_peak(df: DataFrame, key: Sequence[str], ts: str, value: str) -> DataFrame:
     """Daily maximum and its first time: ``max_by`` on (value, reversed time) keeps one row per map task."""
-    seconds = F.unix_micros(F.col(ts).cast("timestamp"))
+    seconds = wall_micros(F.col(ts))
     return df.where(F.col(value).isNotNull()).groupBy(*key, F.to_date(ts).alias("date")).agg(
         F.max(value).alias("peak"), F.max_by(F.col(ts), F.struct(F.col(value), -seconds)).alias("peak_ts")
     )

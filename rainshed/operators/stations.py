@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainshed import policy
+from rainshed.functions.clock import wall_micros
 from rainshed.operators.distributed import exact_quantiles, previous_in_order
 
 
@@ -114,7 +115,7 @@ def infer_cadence(obs: DataFrame, series: Sequence[str], ts: str, interval: str
     resolved inside buckets; medians are taken from value counts.
     """
     keys = list(series)
-    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+    seconds = wall_micros(F.col(ts)) / 1e6
     timed = obs.where(F.col(ts).isNotNull()).select(*keys, seconds.alias("__s"))
     prev = previous_in_order(timed, keys, "__s", policy.MAX_CADENCE_GAP_SECONDS, ["__s"])
     gap = F.col("__s") - F.col("prev___s")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from rainshed.functions.clock import wall_micros
+
 _AGG = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
 
 
@@ -66,8 +68,8 @@ def complete(*cols: str) -> Column:
 
 
 def rolling_hours(df: DataFrame, key: Sequence[str], ts: str, value: str, hours: Sequence[int]) -> DataFrame:
-    """Partial rolling sums over the last h hours, ``<value>_<h>h``."""
-    seconds = F.unix_timestamp(F.col(ts).cast("timestamp"))
+    """Partial rolling sums over the last h hours, ``<value>_<h>h``; a key has one row per time step at most."""
+    seconds = F.floor(wall_micros(F.col(ts)) / 1_000_000)
     w = Window.partitionBy(*key).orderBy("__s")
     return (
         df.withColumn("__s", seconds)

@@ -224,7 +224,7 @@ def top_and_bottom(spark, sf):
     "horizon:s config:i mean_ap:f mean_brier:f folds:i selection_rank:i",
     """WITH f AS (SELECT o_orderpriority AS horizon, o_custkey % 19 AS config, year(o_orderdate) AS fold, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS ap, avg(o_totalprice / 500000) AS brier FROM orders GROUP BY 1, 2, 3),
        m AS (SELECT horizon, config, avg(ap) AS mean_ap, avg(brier) AS mean_brier, count(*) AS folds FROM f GROUP BY 1, 2)
-       SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY mean_ap DESC, mean_brier, config) AS selection_rank FROM m""",
+       SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY round(mean_ap, 12) DESC, round(mean_brier, 12), config) AS selection_rank FROM m""",
 )
 def candidate_selection(spark, sf):
     o = B.table(spark, sf, "orders")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rainshed import policy
 from rainshed.functions import geo
+from rainshed.functions.clock import wall_micros
 from rainshed.operators import corridor as C
 from rainshed.operators import joins as J
 from rainshed.operators import quality as Q
@@ -314,7 +315,7 @@ def raster_difference(spark, sf):
 )
 def daily_peak_time(spark, sf):
     p = R.daily_peak(B.table(spark, sf, "events"), ["user_id"], "ts", "value")
-    return p.withColumn("peak_us", F.unix_micros(F.col("peak_ts").cast("timestamp")))
+    return p.withColumn("peak_us", wall_micros(F.col("peak_ts")))
 
 
 @query(

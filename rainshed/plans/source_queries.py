@@ -214,8 +214,7 @@ STREAM_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type s
 def streamed_daily_layer(spark, sf):
     """The daily layer built by a stream and an idempotent keyed sink equals the batch layer."""
     events = spark.readStream.schema(STREAM_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
-    utc = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = D.daily_stream(utc, ["user_id"], "event_type", "ts", "value", POLICIES)
+    stream = D.daily_stream(events, ["user_id"], "event_type", "ts", "value", POLICIES)
     path = I.scratch_dir(spark, "daily")
     D.keep_daily_table(stream, path, I.scratch_dir(spark, "offsets"), ["user_id", "event_type", "date_model"], "date_model")
     return spark.read.parquet(path)

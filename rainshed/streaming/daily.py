@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainshed import policy
+from rainshed.functions.clock import utc_date, utc_instant
 from rainshed.operators.operate import upsert_partitions
 from rainshed.operators.stations import circular_angle, policy_of
 
 
 def daily_stream(events: DataFrame, series: Sequence[str], code: str, ts: str, value: str, policies: dict[str, str] = policy.STATION_POLICY, late: str = "1 day") -> DataFrame:
     """Event-time form of the daily station layer: one-day tumbling windows, rows later than ``late`` are left to
-    a batch repair run.  ``ts`` must be a timestamp; state is one row of sums per open (series, code, day)."""
+    a batch repair run.  Days are UTC days; a timestamp without zone is read as UTC.  State is one row of sums per open (series, code, day)."""
     v = F.col(value).cast("double")
     r = F.radians(F.pmod(v, F.lit(360.0)))
+    if dict(events.dtypes)[ts] == "timestamp_ntz":
+        events = events.withColumn(ts, utc_instant(F.col(ts)))
     agg = (
         events.where(F.col(value).isNotNull())
         .withWatermark(ts, late)
@@ -39,7 +42,7 @@ def daily_stream(events: DataFrame, series: Sequence[str], code: str, ts: str, v
         .when(p == "CIRCULAR_MEAN", circular_angle(F.col("__s"), F.col("__c")))
         .otherwise(F.col("__m"))
     )
-    return agg.select(*series, code, F.to_date("window.start").alias("date_model"), "observed_count", primary.alias("daily_value"))
+    return agg.select(*series, code, utc_date(F.col("window.start")).alias("date_model"), "observed_count", primary.alias("daily_value"))
 
 
 def keep_daily_table(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], partition: str) -> None:
