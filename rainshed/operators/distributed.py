@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+RANGES = 256
+SMALL_ROWS = 200_000  # a few counters per row: tens of megabytes at most when broadcast
 _RANGE = "__range"
 
 
@@ -24,19 +26,29 @@ def value_splits(df: DataFrame, value: str, n: int = RANGES) -> list[float]:
     aggregation so that the scan is all it costs.
     """
     probs = [i / n for i in range(1, n)]
-    return sorted(set(df.select(F.col(value).cast("double").alias("v")).approxQuantile("v", probs, 0.002)))
+    return sorted(set(df.select(F.col(value).cast("double").alias("v")).approxQuantile("v", probs, 0.3 / n)))
 
 
-def range_of(value: str, splits: Sequence[float]) -> Column:
-    """Index of the range of a column's value: a balanced tree of comparisons, not a scan of the cut points."""
+def with_range(df: DataFrame, value: str, splits: Sequence[float]) -> DataFrame:
+    """Adds the index of the value's range (a binary search per row)."""
+    edges = [float("-inf"), *splits, float("inf")]
+    cut = Bucketizer(splits=edges, inputCol="__v", outputCol=_RANGE, handleInvalid="keep")
+    ranged = cut.transform(df.withColumn("__v", F.col(value).cast("double"))).drop("__v")
+    return ranged.withColumn(_RANGE, F.col(_RANGE).cast("int"))
 
-    def tree(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"CASE WHEN `{value}` < {splits[mid]!r}D THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
 
-    return F.expr(tree(0, len(splits)))
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of keys with their prefixed copies."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return on
+
+
+def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint when ``df`` really has at most ``rows`` rows; otherwise the plain frame, joined by shuffle."""
+    kept = df.persist()
+    return F.broadcast(kept) if kept.count() <= rows else kept
 
 
 def running_totals(
@@ -55,7 +67,7 @@ def running_totals(
     keys = list(keys)
     if splits is None:
         splits = value_splits(df, order)
-    ranged = df.withColumn(_RANGE, range_of(order, splits))
+    ranged = with_range(df, order, splits)
     totals = ranged.groupBy(*keys, _RANGE).agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
     all_ranges = Window.partitionBy(*keys)
     by_range = all_ranges.orderBy(F.col(_RANGE).desc() if descending else F.col(_RANGE).asc())
@@ -66,9 +78,7 @@ def running_totals(
         *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums],
         *[F.sum(f"__t_{c}").over(all_ranges).alias(f"tot_{c}") for c in sums],
     )
-    on = F.col(_RANGE) == F.col("__k_range")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    on = (F.col(_RANGE) == F.col("__k_range")) & _same(keys, "__k_")
     inside = (
         Window.partitionBy(*keys, _RANGE)
         .orderBy(F.col(order).desc() if descending else F.col(order).asc())
@@ -88,6 +98,66 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, weight: Column | N
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.cast("bigint").alias("n"))
 
 
+def _selected_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], splits: Sequence[float] | None) -> DataFrame:
+    """(keys, i, quantile): linear-interpolated quantile number i of each key, by selection.
+
+    Counts per (key, value range) tell which ranges hold the wanted ranks; only rows of those ranges are counted
+    by value and ordered.  Most rows are read but never shuffled.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    ranged = with_range(rows, value, value_splits(rows, value) if splits is None else splits)
+    counts = ranged.groupBy(*keys, _RANGE).agg(F.count(F.lit(1)).alias("__c"))
+    key = Window.partitionBy(*keys)
+    before = key.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys],
+        F.col(_RANGE).alias("__k_range"),
+        "__c",
+        F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"),
+        F.sum("__c").over(key).alias("__t"),
+    )
+    # Wanted 0-based ranks of each quantile that fall into the range.
+    wanted = F.transform(
+        F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]),
+        lambda x: F.struct(
+            x["i"].alias("i"),
+            F.floor(x["p"] * (F.col("__t") - 1)).alias("lo"),
+            F.ceil(x["p"] * (F.col("__t") - 1)).alias("hi"),
+            (x["p"] * (F.col("__t") - 1) - F.floor(x["p"] * (F.col("__t") - 1))).alias("f"),
+        ),
+    )
+    end = F.col("__o") + F.col("__c")
+    here = F.filter(
+        wanted, lambda x: ((x["lo"] >= F.col("__o")) & (x["lo"] < end)) | ((x["hi"] >= F.col("__o")) & (x["hi"] < end))
+    )
+    needed = placed.withColumn("__w", here).where(F.size("__w") > 0).drop("__c", "__t")
+    kept = ranged.join(
+        bounded_broadcast(needed, SMALL_ROWS), (F.col(_RANGE) == F.col("__k_range")) & _same(keys, "__k_"), "left_semi"
+    )
+    values = kept.groupBy(*keys, _RANGE, value).agg(F.count(F.lit(1)).alias("__n"))
+    inside = Window.partitionBy(*keys, _RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = values.withColumn("__cum", F.sum("__n").over(inside)).join(
+        needed, (F.col(_RANGE) == F.col("__k_range")) & _same(keys, "__k_")
+    )
+    last = F.col("__o") + F.col("__cum")
+    first = last - F.col("__n")
+
+    def at(rank: Column) -> Column:
+        return (rank >= first) & (rank < last)
+
+    hits = spans.select(
+        *keys, value, first.alias("__a"), last.alias("__b"), F.explode(F.filter("__w", lambda x: at(x["lo"]) | at(x["hi"]))).alias("__x")
+    )
+
+    def value_at(rank: str) -> Column:
+        r = F.col(f"__x.{rank}")
+        return F.max(F.when((r >= F.col("__a")) & (r < F.col("__b")), F.col(value)))
+
+    picked = hits.groupBy(*keys, F.col("__x.i").alias("i")).agg(value_at("lo").alias("__lo"), value_at("hi").alias("__hi"), F.max("__x.f").alias("__f"))
+    return picked.select(*keys, "i", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")).alias("quantile"))
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -97,44 +167,16 @@ def exact_quantiles(
     names: Sequence[str] | None = None,
     splits: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key without holding a group in one task."""
-    keys = list(keys)
+    """Linear-interpolated quantiles per key as columns, without holding a group in one task."""
     names = list(names or [f"q{round(p * 1000):03d}" for p in probs])
-    if splits is None:
-        splits = value_splits(df, value)
-    cum = running_totals(histogram(df, keys, value), keys, value, ["n"], splits=splits)
-    aggs = []
-    for p, name in zip(probs, names):
-        # Value at a 0-based rank: the row whose span of ranks [cum_n - n, cum_n - 1] holds it.
-        pos = f"({float(p)!r}D * (tot_n - 1))"
-        at = "max(CASE WHEN cum_n - n <= {0}({1}) AND {0}({1}) < cum_n THEN `{2}` END)"
-        lo, hi = at.format("floor", pos, value), at.format("ceil", pos, value)
-        aggs.append(F.expr(f"{lo} + ({hi} - {lo}) * max({pos} - floor({pos}))").alias(name))
-    return cum.groupBy(*keys).agg(*aggs)
-
-
-def quantile_grid(
-    df: DataFrame, keys: Sequence[str], value: str, parts: int, *, splits: Sequence[float] | None = None
-) -> DataFrame:
-    """The ``parts - 1`` inner quantiles i/parts of each key as rows (keys, i, quantile).
+    long = _selected_quantiles(df, keys, value, probs, splits)
+    return long.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("quantile"))).alias(n) for i, n in enumerate(names)])
 
-    Each row of the value table knows its span of ranks and so which few i it can answer; a wide list of
-    conditional aggregates would test every row against every quantile.
-    """
-    keys = list(keys)
-    if splits is None:
-        splits = value_splits(df, value)
-    cum = running_totals(histogram(df, keys, value), keys, value, ["n"], splits=splits)
-    first, last, span = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1, F.col("tot_n") - 1
-    low = F.when(span > 0, F.greatest(F.lit(1), F.floor((first - 1) * parts / span).cast("int"))).otherwise(1)
-    high = F.when(span > 0, F.least(F.lit(parts - 1), F.ceil((last + 1) * parts / span).cast("int"))).otherwise(parts - 1)
-    candidates = cum.where(low <= high).select(*keys, value, first.alias("__a"), last.alias("__b"), span.alias("__s"), F.explode(F.sequence(low, high)).alias("i"))
-    pos = F.col("i") / parts * F.col("__s")
-    lo, hi = F.floor(pos).between(F.col("__a"), F.col("__b")), F.ceil(pos).between(F.col("__a"), F.col("__b"))
-    picked = candidates.where(lo | hi).groupBy(*keys, "i").agg(
-        F.max(F.when(lo, F.col(value))).alias("lo"), F.max(F.when(hi, F.col(value))).alias("hi"), F.max(pos - F.floor(pos)).alias("f")
-    )
-    return picked.select(*keys, "i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f")).alias("quantile"))
+
+def quantile_grid(df: DataFrame, keys: Sequence[str], value: str, parts: int, *, splits: Sequence[float] | None = None) -> DataFrame:
+    """The ``parts - 1`` inner quantiles i/parts of each key as rows (keys, i, quantile)."""
+    long = _selected_quantiles(df, keys, value, [i / parts for i in range(1, parts)], splits)
+    return long.withColumn("i", F.col("i") + 1)
 
 
 def percent_rank_average(

@@ -39,8 +39,8 @@ def test_hot_key_is_spread_over_ranges(skewed):
     splits = D.value_splits(df, "v")
     sizes = df.groupBy("k").agg({"v": "count"}).toPandas()
     assert sizes["count(v)"].max() > len(pdf) / 2
-    ranged = D.histogram(df, ["k"], "v").withColumn("r", D.range_of("v", splits))
-    assert ranged.groupBy("k", "r").count().toPandas()["count"].max() < len(pdf) / 20
+    ranged = D.with_range(D.histogram(df, ["k"], "v"), "v", splits)
+    assert ranged.groupBy("k", "__range").count().toPandas()["count"].max() < len(pdf) / 20
 
 
 @pytest.mark.parametrize("descending", [False, True])
