@@ -202,17 +202,24 @@ def previous_in_order(df: DataFrame, keys: Sequence[str], order: str, width: flo
     """``prev_<c>`` of the preceding row per key by a numeric order column.
 
     A key is cut into order buckets of ``width``; each bucket hands its last row to the next non-empty bucket, so
-    a key with most of the rows is still spread over many tasks.
+    a key with most of the rows is still spread over many tasks.  ``keys``, ``order`` and ``cols`` hold no NULL order.
     """
     keys = list(keys)
-    b = df.withColumn("__b", F.floor(F.col(order) / width))
-    last = b.groupBy(*keys, "__b").agg(F.max_by(F.struct(*cols), order).alias("__last"))
+    b = df.withColumn("__b", F.floor(F.col(order) / width)).withColumn("__ghost", F.lit(False))
+    # Plain columns, not a struct: their buffers stay in a hash aggregate.
+    last = b.groupBy(*keys, "__b").agg(
+        F.max(order).alias("__order"), *[F.max_by(c, order).alias(f"__last_{c}") for c in cols if c != order]
+    )
     over = Window.partitionBy(*keys).orderBy("__b")
-    carry = last.select(*keys, "__b", F.lag("__last").over(over).alias("__carry"))
+    handed = last.select(
+        *keys,
+        "__b",
+        F.lag("__order").over(over).alias(order),
+        *[F.lag(f"__last_{c}").over(over).alias(c) for c in cols if c != order],
+        F.lit(True).alias("__ghost"),
+    ).where(F.col(order).isNotNull())
+    # The row handed over sorts before its new bucket, so one window serves bucket and border alike.
     inside = Window.partitionBy(*keys, "__b").orderBy(order)
-    j = b.join(carry, [*keys, "__b"])
-    first = F.row_number().over(inside) == 1
-    staged = j.select(
-        *df.columns, F.when(first, F.col("__carry")).otherwise(F.lag(F.struct(*cols)).over(inside)).alias("__prev")
-    )
-    return staged.select(*df.columns, *[F.col("__prev")[c].alias(f"prev_{c}") for c in cols])
+    both = b.unionByName(handed, allowMissingColumns=True)
+    prev = both.select("*", *[F.lag(c).over(inside).alias(f"prev_{c}") for c in cols])
+    return prev.where(~F.col("__ghost")).drop("__b", "__ghost")

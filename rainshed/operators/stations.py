@@ -117,7 +117,7 @@ def infer_cadence(obs: DataFrame, series: Sequence[str], ts: str, interval: str
     keys = list(series)
     seconds = wall_micros(F.col(ts)) / 1e6
     timed = obs.where(F.col(ts).isNotNull()).select(*keys, seconds.alias("__s"))
-    prev = previous_in_order(timed, keys, "__s", policy.MAX_CADENCE_GAP_SECONDS, ["__s"])
+    prev = previous_in_order(timed, keys, "__s", policy.DAY_SECONDS, ["__s"])
     gap = F.col("__s") - F.col("prev___s")
     # Read twice (cut points, then value counts); kept so that the ordering work is done once.
     gaps = prev.select(*keys, gap.alias("gap")).where((gap > 0) & (gap <= policy.MAX_CADENCE_GAP_SECONDS)).persist()

@@ -49,7 +49,7 @@ def test_cadence_methods(spark):
     assert got["stated"] == (900, 96, "INTERVAL_SECONDS")
     assert got["daily"] == (86400, 1, "DAILY_SOURCE")
     assert got["odd"] == (None, None, "UNRESOLVED")
-    # The gaps of "five" cross six-hour buckets: the previous row is found in the bucket before.
+    # Gaps of "five" also cross day buckets: the previous row is found in the bucket before.
     assert got["five"] == (21500, 4, "MEDIAN_TIMESTAMP_DELTA")
 
 
