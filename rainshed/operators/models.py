@@ -201,6 +201,7 @@ def benchmark(
                 )
                 stacked = p if stacked is None else stacked.unionByName(p)
     keys = ["horizon_hours", "fold_id", "config_id", "family"]
+    stacked = stacked.persist()  # keys, label and score only; read by cut points, micro and macro metrics
     micro = E.probability_metrics(stacked, keys, "y", "p")
     macro = E.macro_average_precision(stacked, keys, receptor, "y", "p")
     return micro.join(macro, keys, "left")
