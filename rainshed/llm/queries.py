@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainshed.llm import url_filter
+from rainshed.llm import mixing, url_filter
 from rainshed.llm.common import read
 
 URL_RULES = (
@@ -22,8 +22,40 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).documents
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_mixing": op7_mixing,
     "op8_url_filters": op8_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The same takes without a schedule: a source's stream is read from its start until its quota is met.
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+  FROM documents),
+z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM z),
+w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, 3.0::DOUBLE * source_size AS cap FROM n),
+c AS (
+  SELECT *, cap / w AS r, CAST(sum(source_size) OVER () AS DOUBLE) AS tot, sum(w) OVER () AS ws,
+         coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
+         coalesce(sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w0
+  FROM w),
+l AS (SELECT *, (tot - caps) / (ws - w0) AS level, (tot - caps) / (ws - w0) >= r AS stops FROM c),
+t AS (
+  SELECT source, source_size, round(CASE WHEN stops THEN cap ELSE w * (SELECT arg_min(level, (r, sid)) FROM l WHERE NOT stops) END, 6) AS target
+  FROM l),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(least(round(t.target), 3 * t.source_size) AS BIGINT) AS quota,
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN size = 0 THEN 0::BIGINT ELSE (quota // source_size) * size + greatest(0, least(size, quota % source_size - start)) END AS taken
+FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
