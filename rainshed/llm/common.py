@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,19 +46,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def learning_rows(documents: DataFrame, labels: DataFrame, label: str, parts: int, held: int) -> DataFrame:
-    """(id, text, label) of the labelled documents outside the held-out fold; one label a document, the smallest if they differ."""
-    one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
-    return documents.select("doc_id", "text").where(fold(F.col("doc_id"), parts) != held).join(one, "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
+def share(key: Column) -> Column:
+    """A number in [0, 1) from a hash of the key: who is in a sample is the same on every run and machine."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 31)) / F.lit(float(1 << 31))
 
 
-def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """At most ``most`` rows of each value of ``by``, those with the smallest hashes of id and text: the same on every run.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most: int) -> DataFrame:
+    """(id, text, label, part): about ``most`` labelled documents of each class, none of them from the held-out fold.
 
-    Tasks keep their own smallest rows before the exchange, so no task receives a whole class.
+    Chosen by hash on the narrow label table, so that documents are only filtered, not exchanged: the chosen labels are
+    at most about ``most`` a class and are therefore safe to broadcast.  ``part`` in [0, 1) splits the sample again.
+    A document with labels of both classes counts with the smaller one; null ids and null labels teach nothing.
     """
-    order = [F.xxhash64("id", "text"), F.col("id"), F.col("text")]
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    known = labels.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != held))
+    one = known.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label")).where("label IS NOT NULL")
+    rate = F.lit(0.0)
+    for value, n in one.groupBy("label").count().collect():
+        rate = F.when(F.col("label") == value, most / max(n, 1)).otherwise(rate)
+    chosen = one.where(share(F.col("doc_id")) < rate).select(F.col("doc_id").alias("id"), "label")
+    texts = documents.select(F.col("doc_id").alias("id"), "text")
+    return texts.join(F.broadcast(chosen), "id").withColumn("part", F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(1000)) / 1000.0)
+
+
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Cut the batches that go to Python workers by bytes as well as by rows: memory stays bounded with long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def running_before(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str) -> DataFrame:
@@ -97,14 +109,3 @@ def components(links: DataFrame) -> DataFrame:
         if not changed:
             leaf = edges.groupBy("u").agg(F.min("v").alias("component"))
             return leaf.select(F.col("u").alias("node"), "component").unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def batches(rows: Iterator, size: int) -> Iterator[list]:
-    batch = []
-    for row in rows:
-        batch.append(row)
-        if len(batch) == size:
-            yield batch
-            batch = []
-    if batch:
-        yield batch

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rainshed.llm import mixing, url_filter
-from rainshed.llm.common import read
+from rainshed.llm import language, mixing, quality, toxicity, url_filter
+from rainshed.llm.common import fold, read
 
 URL_RULES = (
     url_filter.Rule("allow", "org", "/"),
@@ -22,11 +23,37 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    s = F.col("toxicity.score")
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"), F.col("toxicity.spans").alias("spans"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model, "score")
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 3) == 1
+    model = language.fit(docs.where(~held))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.accepted").alias("accepted"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).documents
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
+    "op5_language": op5_language,
     "op7_mixing": op7_mixing,
     "op8_url_filters": op8_url_filters,
 }
