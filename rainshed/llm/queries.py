@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainshed.llm import language, mixing, quality, toxicity, url_filter
+from rainshed.llm import decontamination, language, mixing, quality, simhash, toxicity, url_filter
 from rainshed.llm.common import fold, read
 
 URL_RULES = (
@@ -23,6 +23,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -50,12 +54,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).documents
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op7_mixing": op7_mixing,
     "op8_url_filters": op8_url_filters,
+    "op9_decontamination": op9_decontamination,
 }
 
 #: The same takes without a schedule: a source's stream is read from its start until its quota is met.
@@ -85,4 +95,21 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
+#: Exact containment without any index.
+OP9_SQL = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+iw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+d AS (SELECT DISTINCT row, doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s FROM dw),
+i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s FROM iw),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+p AS (SELECT row, any_value(doc_id) AS doc_id, item_id, count(*) AS shared FROM d JOIN i USING (s) GROUP BY row, item_id)
+SELECT doc_id, item_id, CAST(shared AS INTEGER) AS shared, CAST(n AS INTEGER) AS shingles, shared / n AS containment
+FROM p JOIN n USING (item_id) WHERE shared >= 0.8 * n - 1e-9
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_decontamination": OP9_SQL}
