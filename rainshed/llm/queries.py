@@ -104,8 +104,8 @@ WITH dw AS (
 iw AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM (SELECT DISTINCT item_id, text FROM benchmark)),
-d AS (SELECT DISTINCT row, doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s FROM dw),
-i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s FROM iw),
+d AS (SELECT DISTINCT row, doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM dw),
+i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM iw),
 n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
 p AS (SELECT row, any_value(doc_id) AS doc_id, item_id, count(*) AS shared FROM d JOIN i USING (s) GROUP BY row, item_id)
 SELECT doc_id, item_id, CAST(shared AS INTEGER) AS shared, CAST(n AS INTEGER) AS shingles, shared / n AS containment
