@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainshed.llm import decontamination, language, mixing, quality, simhash, toxicity, url_filter
+from rainshed.llm import decontamination, language, language_model, mixing, quality, simhash, toxicity, url_filter
 from rainshed.llm.common import fold, read
 
 URL_RULES = (
@@ -58,6 +58,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.held_out_scores(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_toxicity": op3_toxicity,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_url_filters": op8_url_filters,
     "op9_decontamination": op9_decontamination,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 #: The same takes without a schedule: a source's stream is read from its start until its quota is met.
