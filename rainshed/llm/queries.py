@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainshed.llm import decontamination, language, language_model, mixing, quality, simhash, toxicity, url_filter
+from rainshed.llm import decontamination, language, language_model, mixing, quality, simhash, token_files, toxicity, url_filter
 from rainshed.llm.common import fold, read
 
 URL_RULES = (
@@ -50,6 +50,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.accepted").alias("accepted"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encoded(read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).documents
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
+    "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
     "op8_url_filters": op8_url_filters,
     "op9_decontamination": op9_decontamination,
