@@ -148,9 +148,9 @@ def mixed(documents: DataFrame, params: Params = Params()) -> DataFrame:
 
     A document without words is in no mix.
     """
-    key = Window.partitionBy("_k").orderBy("_k")
-    keyed = documents.withColumn("_k", F.xxhash64("doc_id", "text", "source")).withColumn("_n", F.row_number().over(key))
-    takes = mix(keyed, params, ["_k", "_n"]).documents.where("taken > 0")
-    copies = takes.select("_k", "_n", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    out = keyed.join(copies, ["_k", "_n"])
-    return out.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(c) for c in documents.columns])
+    key = Window.partitionBy("_llm_k").orderBy("_llm_k")
+    keyed = documents.withColumn("_llm_k", F.xxhash64("doc_id", "text", "source")).withColumn("_llm_n", F.row_number().over(key))
+    takes = mix(keyed, params, ["_llm_k", "_llm_n"]).documents.where("taken > 0")
+    copies = takes.select("_llm_k", "_llm_n", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_llm_copies"))
+    out = keyed.join(copies, ["_llm_k", "_llm_n"])
+    return out.withColumn("_llm_c", F.explode(F.sequence(F.lit(1), F.col("_llm_copies")))).select(*[F.col(c) for c in documents.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainshed.llm import decontamination, language, language_model, mixing, quality, simhash, token_files, toxicity, url_filter
+from rainshed.llm import decontamination, language, language_model, mixing, quality, simhash, token_files, topk, toxicity, url_filter
 from rainshed.llm.common import fold, read
 
 URL_RULES = (
@@ -27,6 +27,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -68,6 +72,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_topk": op2_topk,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
@@ -122,4 +127,15 @@ SELECT doc_id, item_id, CAST(shared AS INTEGER) AS shared, CAST(n AS INTEGER) AS
 FROM p JOIN n USING (item_id) WHERE shared >= 0.8 * n - 1e-9
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_decontamination": OP9_SQL}
+OP2_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op7_mixing": OP7_SQL, "op9_decontamination": OP9_SQL}

@@ -167,9 +167,9 @@ def deduplicated(documents: DataFrame, params: Params = Params()) -> DataFrame:
     """``documents`` with one row of each component: that of its smallest id (of its smallest texts, if the id repeats)."""
     bounded_batches(documents.sparkSession)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text", "source").alias("h"), F.monotonically_increasing_id().alias("row"))
-    kept = written(documents.withColumn("_fp", fingerprint(F.col("text"), params.shingle)).withColumn("_rank", rank), "candidates")
-    nodes = written(kept.groupBy(F.col("_fp").alias("fp")).agg(F.min("_rank").alias("first")), "nodes")
+    kept = written(documents.withColumn("_llm_fp", fingerprint(F.col("text"), params.shingle)).withColumn("_llm_rank", rank), "candidates")
+    nodes = written(kept.groupBy(F.col("_llm_fp").alias("fp")).agg(F.min("_llm_rank").alias("first")), "nodes")
     joined = components(thinned(links(nodes.select("fp"), params)))
     named = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("first", F.coalesce("component", "fp").alias("component"))
-    stays = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return kept.withColumn("_row", F.col("_rank.row")).join(stays, "_row", "left_semi").select(*[F.col(c) for c in documents.columns])
+    stays = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_llm_row"))
+    return kept.withColumn("_llm_row", F.col("_llm_rank.row")).join(stays, "_llm_row", "left_semi").select(*[F.col(c) for c in documents.columns])
