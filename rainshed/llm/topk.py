@@ -3,7 +3,7 @@
 Rows are dealt into blocks of bounded size, queries likewise; each pair of blocks is one group of a cogrouped map.  In
 a group both sides are indexed by a cover tree: the children's centres of a node are picked farthest first until all
 points are within half the node's scale, then every point goes to its nearest centre; a node keeps the exact radius that
-covers its points.  Pairs of nodes are visited together.  The inner product of any two points of two nodes is at most
+covers its points.  A small node is split only if its fan of centres covers it at half the scale.  Pairs of nodes are visited together.  The inner product of any two points of two nodes is at most
 c.d + r|d| + s|c| + rs for centres c, d and radii r, s; a pair whose bound is below the worst k-th score of the query
 node is pruned, reference nodes are otherwise taken in order of the bound.  The blocks' best are merged by rank.
 
@@ -29,6 +29,7 @@ class Params:
     rows: int = 8192
     queries: int = 4096
     leaf: int = 48
+    least: int = 16
     fan: int = 24
 
 
@@ -65,7 +66,7 @@ class CoverTree:
 
     def _split(self, node: int) -> list[int]:
         begin, end = self.begin[node], self.end[node]
-        if end - begin <= self.params.leaf or self.radius[node] == 0:
+        if end - begin <= self.params.least or self.radius[node] == 0:
             return []
         rows = self.order[begin:end]
         centres = [self.centre[node]]
@@ -76,6 +77,8 @@ class CoverTree:
             far = self._far(rows, centres[-1])
             owner[far < near] = len(centres) - 1
             near = np.minimum(near, far)
+        if end - begin <= self.params.leaf and near.max() > self.radius[node] / 2:
+            return []  # small, and without clusters to tell apart
         self.order[begin:end] = rows[np.argsort(owner, kind="stable")]
         at = begin + np.r_[0, np.cumsum(np.bincount(owner, minlength=len(centres)))]
         self.children[node] = [self._node(int(a), int(b), c) for a, b, c in zip(at[:-1], at[1:], centres) if a < b]
