@@ -82,127 +82,103 @@ def overlay_features(cache: DataFrame, snapshot: DataFrame, key: Sequence[str],
 
 
 # ---- source mapping ----------------------------------------------------------------------------------------------
-# Fixed values: (name pattern, provider parameter, equivalence class, morning status, blocker), first match wins.
-SOURCE_RULES = (
-    (r"season_day$", "issue_date", "EXACT_LOCAL", "READY", ""),
-    (
-        r"x_ivt_proxy",
-        "MedSea temperature/OHC field × operational IVT",
-        "PROXY_REQUIRES_VALIDATION",
-        "LATEST_AVAILABLE_MARINE_DAY_PLUS_OPERATIONAL_IVT",
-        "CMEMS_PUBLICATION_LATENCY_AND_OPERATIONAL_IVT_EQUIVALENCE_NOT_YET_VALIDATED",
+ATMOSPHERE, MARINE = "era5", "medsea_ivt"
+_PROXY, _OPEN = "PROXY_REQUIRES_VALIDATION", "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY"
+_SHIFT = "MODEL_SYSTEM_DISTRIBUTION_SHIFT_NOT_YET_VALIDATED"
+_LATE = "CMEMS_PUBLICATION_LATENCY_AND_PRODUCT_SHIFT_VS_HISTORICAL_SERIES"
+_LAST_DAY = "LATEST_PUBLISHED_DAY_NOT_GUARANTEED_CURRENT_DAY"
+# Name pattern, provider parameter, transformation, equivalence class, morning status, needs the local
+# cache, blocker; the first match of a source wins.
+SOURCE_RULES = {
+    ATMOSPHERE: (
+        (r"season_day$", "issue_date", "CALENDAR", "EXACT_LOCAL", "READY", False, ""),
+        (r"^(?!.*dir_).*ivt_", "q,u,v pressure-level fields", "TRANSPORT_INTEGRAL", _PROXY, _OPEN, False, "IVT_VERTICAL_LEVEL_EQUIVALENCE_NOT_YET_VALIDATED"),
+        (r"ivt_dir_(sin|cos)", "derived from operational IVT east/north components", "DIRECTION_COMPONENT", _PROXY, _OPEN, False, "IVT_DIRECTION_DEPENDS_ON_UNVALIDATED_OPERATIONAL_IVT_PROXY"),
+        (r"tcwv", "tcwv", "RECEPTOR_DAY_STATISTIC", _PROXY, _OPEN, False, ""),
+        (r"cape", "mucape/cape candidate", "RECEPTOR_DAY_ANALOGUE", _PROXY, _OPEN, False, "CAPE_DEFINITION_AND_TEMPORAL_SAMPLING_EQUIVALENCE_NOT_YET_VALIDATED"),
+        (r"mslp", "msl", "RECEPTOR_DAY_STATISTIC", _PROXY, _OPEN, False, ""),
+        (r"(u|v|q|t|wind)925", "u,v,q,t @ 925 hPa", "PRESSURE_LEVEL_STATISTIC", _PROXY, _OPEN, False, ""),
+        (r"(u|v|q|t|wind)850", "u,v,q,t @ 850 hPa", "PRESSURE_LEVEL_STATISTIC", _PROXY, _OPEN, False, ""),
+        (r"(u|v|q|t|wind)700", "u,v,q,t @ 700 hPa", "PRESSURE_LEVEL_STATISTIC", _PROXY, _OPEN, False, ""),
+        (r"precip_max_?1h", "tp/tprate", "INTENSITY_APPROXIMATION", "NON_EXACT_PROXY", "PROXY_ONLY", False, "PRECIP_1H_MAX_NOT_EXACTLY_REPRODUCIBLE_FROM_OPEN_IFS_CADENCE"),
+        (r"precip", "tp", "FORECAST_INCREMENT_SUM", _PROXY, _OPEN, False, ""),
+        (r"soil_water_l1", "vsw level=1", "SOIL_LAYER", _PROXY, _OPEN, False, _SHIFT),
+        (r"soil_water_l2", "vsw level=2", "SOIL_LAYER", _PROXY, _OPEN, False, _SHIFT),
+        (r"soil_water_l3", "vsw level=3 (IFS Open Data)", "SOIL_LAYER", _PROXY, _OPEN, False, _SHIFT),
+        (r"soil_profile_mean", "vsw levels 1-3", "SOIL_PROFILE_MEAN", _PROXY, _OPEN, False, _SHIFT),
+        (r"snow_depth_mwe", "sd", "RECEPTOR_DAY_STATISTIC", _PROXY, _OPEN, False, ""),
+        (r"", "UNMAPPED", "MANUAL", "UNMAPPED", "BLOCKED", False, "UNMAPPED_ERA5_FEATURE"),
     ),
-    (
-        r"ivt_dir_(sin|cos)",
-        "derived from operational IVT east/north components",
-        "PROXY_REQUIRES_VALIDATION",
-        "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY",
-        "IVT_DIRECTION_DEPENDS_ON_UNVALIDATED_OPERATIONAL_IVT_PROXY",
+    MARINE: (
+        (
+            r"support_weight|medsea_support_(baseline|angle_wide|robust_core)",
+            "operational IVT + frozen MedSea geometry/support algorithm",
+            "CORRIDOR_SUPPORT",
+            "DERIVED_PROXY_REQUIRES_IVT_VALIDATION",
+            "AVAILABLE_IF_OPERATIONAL_IVT_AVAILABLE",
+            False,
+            "INHERITS_OPERATIONAL_IVT_EQUIVALENCE_GAP",
+        ),
+        (
+            r"x_ivt_proxy",
+            "MedSea temperature/OHC field × operational IVT",
+            "ANOMALY_TIMES_TRANSPORT",
+            _PROXY,
+            "LATEST_AVAILABLE_MARINE_DAY_PLUS_OPERATIONAL_IVT",
+            True,
+            "CMEMS_PUBLICATION_LATENCY_AND_OPERATIONAL_IVT_EQUIVALENCE_NOT_YET_VALIDATED",
+        ),
+        (r"sst_anom", "thetao near-surface from daily temperature dataset", "CORRIDOR_ANOMALY", _PROXY, _LAST_DAY, True, _LATE),
+        (r"ohc", "thetao profile 0-100 m", "HEAT_CONTENT_INTEGRAL", _PROXY, _LAST_DAY, True, _LATE),
+        (r"tmean", "thetao profile 0-100 m", "DEPTH_MEAN", _PROXY, _LAST_DAY, True, _LATE),
+        (r"", "UNMAPPED", "MANUAL", "UNMAPPED", "BLOCKED", False, "UNMAPPED_MEDSEA_FEATURE"),
     ),
-    (
-        r"ivt_",
-        "q,u,v pressure-level fields",
-        "PROXY_REQUIRES_VALIDATION",
-        "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY",
-        "IVT_VERTICAL_LEVEL_EQUIVALENCE_NOT_YET_VALIDATED",
-    ),
-    (r"tcwv", "tcwv", "PROXY_REQUIRES_VALIDATION", "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY", ""),
-    (
-        r"cape",
-        "mucape/cape candidate",
-        "PROXY_REQUIRES_VALIDATION",
-        "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY",
-        "CAPE_DEFINITION_AND_TEMPORAL_SAMPLING_EQUIVALENCE_NOT_YET_VALIDATED",
-    ),
-    (r"mslp", "msl", "PROXY_REQUIRES_VALIDATION", "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY", ""),
-    (r"(u|v|q|t|wind)925", "u,v,q,t @ 925 hPa", "PROXY_REQUIRES_VALIDATION", "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY", ""),
-    (r"(u|v|q|t|wind)850", "u,v,q,t @ 850 hPa", "PROXY_REQUIRES_VALIDATION", "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY", ""),
-    (r"(u|v|q|t|wind)700", "u,v,q,t @ 700 hPa", "PROXY_REQUIRES_VALIDATION", "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY", ""),
-    (
-        r"precip_max_?1h",
-        "tp/tprate",
-        "NON_EXACT_PROXY",
-        "PROXY_ONLY",
-        "PRECIP_1H_MAX_NOT_EXACTLY_REPRODUCIBLE_FROM_OPEN_IFS_CADENCE",
-    ),
-    (r"precip", "tp", "PROXY_REQUIRES_VALIDATION", "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY", ""),
-    (
-        r"soil_water_l1",
-        "vsw level=1",
-        "PROXY_REQUIRES_VALIDATION",
-        "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY",
-        "MODEL_SYSTEM_DISTRIBUTION_SHIFT_NOT_YET_VALIDATED",
-    ),
-    (
-        r"soil_water_l2",
-        "vsw level=2",
-        "PROXY_REQUIRES_VALIDATION",
-        "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY",
-        "MODEL_SYSTEM_DISTRIBUTION_SHIFT_NOT_YET_VALIDATED",
-    ),
-    (
-        r"soil_water_l3",
-        "vsw level=3 (IFS Open Data)",
-        "PROXY_REQUIRES_VALIDATION",
-        "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY",
-        "MODEL_SYSTEM_DISTRIBUTION_SHIFT_NOT_YET_VALIDATED",
-    ),
-    (
-        r"soil_profile_mean",
-        "vsw levels 1-3",
-        "PROXY_REQUIRES_VALIDATION",
-        "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY",
-        "MODEL_SYSTEM_DISTRIBUTION_SHIFT_NOT_YET_VALIDATED",
-    ),
-    (r"snow_depth_mwe", "sd", "PROXY_REQUIRES_VALIDATION", "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY", ""),
-)
-UNMAPPED = ("UNMAPPED", "UNMAPPED", "BLOCKED", "UNMAPPED_FEATURE")
-MAPPING_FIELDS = ("provider_parameter", "equivalence_class", "morning_status", "blocker")
+}
+MAPPING_FIELDS = ("provider_parameter", "transformation", "equivalence_class", "morning_status", "requires_local_cache", "blocker")
 
 
-def source_mapping(names: DataFrame, name: str, rules: Sequence[tuple] = SOURCE_RULES) -> DataFrame:
-    """Attributes of the first rule whose pattern the feature name matches, then the lag / change / today overlay.
+def source_mapping(names: DataFrame, name: str, source: str, rules: dict[str, Sequence[tuple]] = SOURCE_RULES) -> DataFrame:
+    """Attributes of the first rule of the feature's source that its name matches; NULL for an unknown source.
 
-    The rules are one literal array; the matching index is found once per name.
+    Atmospheric features that are not known exactly at issue time then get the overlay of their time suffix: lags need
+    the completed daily cache, changes the cache and the current proxy, sums up to today a filled current day.  Each
+    source's rules are one literal array whose index is found once per name.
     """
-    index: Column | None = None
-    for i, rule in enumerate(rules):
-        hit = F.col(name).rlike(rule[0])
-        index = F.when(hit, i) if index is None else index.when(hit, i)
-    table = F.array(
-        *[F.struct(*[F.lit(v).alias(f) for f, v in zip(MAPPING_FIELDS, r)]) for r in [*[x[1:] for x in rules], UNMAPPED]]
-    )
-    m = names.withColumn("__i", F.coalesce(index, F.lit(len(rules)))).withColumn("__m", F.get(table, F.col("__i")))
     n = F.col(name)
+    found: Column | None = None
+    for key, table in rules.items():
+        index = F.lit(len(table) - 1)
+        for i in range(len(table) - 2, -1, -1):
+            index = F.when(n.rlike(table[i][0]), i).otherwise(index)
+        entries = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(MAPPING_FIELDS, r[1:])]) for r in table])
+        here = F.get(entries, index)
+        found = F.when(F.col(source) == key, here) if found is None else found.when(F.col(source) == key, here)
+    m = names.withColumn("__m", found)
     today, change = n.contains("incl_today"), n.contains("change_24h")
     lag = n.rlike("_prev(1|3|7|14)d") & ~today & ~change
+    full_day = n.rlike("_mean|_max|_min|_sum|soil_water|snow_depth|qwind") & ~n.contains("prev") & ~today & ~change
+    timed = (F.col(source) == ATMOSPHERE) & (F.col("__m.equivalence_class") != "EXACT_LOCAL")
     mapped = F.col("__m.equivalence_class") != "UNMAPPED"
-    blocker = F.col("__m.blocker")
-    current = n.rlike("_mean|_max|_min|_sum|soil_water|snow_depth|qwind") & ~n.contains("prev") & ~today & ~change
-    # Values known exactly at issue time, and unmapped names, keep their rule's status.
-    open_rule = mapped & (F.col("__m.equivalence_class") != "EXACT_LOCAL")
+    own, blocker = F.col("__m.morning_status"), F.col("__m.blocker")
+    filled = "CURRENT_DAY_ANALYSIS_FORECAST_FILL_REQUIRED"
     status = (
-        F.when(open_rule & lag, "READY_AFTER_OPERATIONAL_DAILY_CACHE")
-        .when(open_rule & change, "CURRENT_PROXY_PLUS_PREVIOUS_DAY_CACHE")
-        .when(open_rule & today, "CURRENT_DAY_ANALYSIS_FORECAST_FILL_REQUIRED")
-        .when(
-            open_rule & current & (F.col("__m.morning_status") == "AVAILABLE_AS_ANALYSIS_FORECAST_PROXY"),
-            "CURRENT_DAY_ANALYSIS_FORECAST_FILL_REQUIRED",
-        )
-        .otherwise(F.col("__m.morning_status"))
+        F.when(timed & today, filled)
+        .when(timed & change, "CURRENT_PROXY_PLUS_PREVIOUS_DAY_CACHE")
+        .when(timed & lag & mapped, "READY_AFTER_OPERATIONAL_DAILY_CACHE")
+        .when(timed & full_day & (own == _OPEN), filled)
+        .otherwise(own)
     )
     extra = (
-        F.when(open_rule & change, "CURRENT_DAY_PROXY_NOT_IDENTICAL_TO_END_OF_DAY_ERA5_TRAINING_STATE")
-        .when(open_rule & (today | current), "MORNING_RUN_CANNOT_OBSERVE_FULL_TRAINING_DAY_T")
+        F.when(timed & change, "CURRENT_DAY_PROXY_NOT_IDENTICAL_TO_END_OF_DAY_ERA5_TRAINING_STATE")
+        .when(timed & (today | full_day), "MORNING_RUN_CANNOT_OBSERVE_FULL_TRAINING_DAY_T")
         .otherwise("")
     )
     return m.select(
         *names.columns,
-        F.col("__m.provider_parameter").alias("provider_parameter"),
-        F.col("__m.equivalence_class").alias("equivalence_class"),
+        *[F.col(f"__m.{f}").alias(f) for f in MAPPING_FIELDS[:3]],
         status.alias("morning_status"),
+        (F.col("__m.requires_local_cache") | (timed & (lag | change | today))).alias("requires_local_cache"),
         F.when(blocker == "", extra).otherwise(blocker).alias("blocker"),
-        (lag | change | today).alias("requires_local_cache"),
     )
 
 

@@ -100,30 +100,63 @@ def padded_retrieval_windows(spark, sf):
     return O.padded_windows(W.runs(B.orders_daily(spark, sf), KEY, "date", merge_gap=1), "start_date", "end_date")
 
 
-NAMES = ("era5__ivt_mag_mean", "tcwv_change_24h", "cape_max", "precip_max_1h_mm", "precip_prev7d_mm", "precip_3d_incl_today_mm", "qwind850_proxy", "soil_water_l1_prev1d", "season_day", "visibility", "ivt_dir_sin", "sst_anom_x_ivt_proxy")
+FEATURES = (
+    "era5__ivt_mag_mean", "tcwv_change_24h", "cape_max", "precip_max_1h_mm", "precip_prev7d_mm", "precip_3d_incl_today_mm", "qwind850_proxy",
+    "soil_water_l1_prev1d", "season_day", "visibility_change_24h", "ivt_dir_sin", "ivt_dir_veer", "sst_anom_x_ivt_proxy", "ohc_0_100m_anom_prev1d",
+    "tmean_0_100m", "support_weight_sum", "medsea_support_robust_core", "sst_anom_mean", "salinity", "mslp_min", "snow_depth_mwe", "precip_max_1h_prev1d", "t700_mean", "unknown_prev3d",
+)
+
+
+def _sql_has(*parts: str) -> str:
+    return "(" + " OR ".join(f"contains(name, '{p}')" for p in parts) + ")"
+
+
+# The decision steps as text: for the atmosphere the family of the name and then its time suffix, for the sea the family.
+SQL_MAPPING = f"""n AS (SELECT p_partkey, {list(FEATURES)}[1 + p_size % {len(FEATURES)}] AS name, CASE WHEN p_partkey % 2 = 0 THEN 'era5' ELSE 'medsea_ivt' END AS source FROM part),
+fam AS (SELECT *, CASE WHEN source = 'era5' THEN CASE
+    WHEN suffix(name, 'season_day') THEN 'day' WHEN contains(name, 'ivt_') AND NOT contains(name, 'dir_') THEN 'ivt' WHEN {_sql_has('ivt_dir_sin', 'ivt_dir_cos')} THEN 'dir'
+    WHEN contains(name, 'tcwv') THEN 'tcwv' WHEN contains(name, 'cape') THEN 'cape' WHEN contains(name, 'mslp') THEN 'msl'
+    WHEN {_sql_has(*[f"{x}925" for x in ("u", "v", "q", "t", "wind")])} THEN '925' WHEN {_sql_has(*[f"{x}850" for x in ("u", "v", "q", "t", "wind")])} THEN '850'
+    WHEN {_sql_has(*[f"{x}700" for x in ("u", "v", "q", "t", "wind")])} THEN '700' WHEN {_sql_has('precip_max_1h', 'precip_max1h')} THEN 'rate' WHEN contains(name, 'precip') THEN 'tp'
+    WHEN contains(name, 'soil_water_l1') THEN 'soil1' WHEN contains(name, 'soil_water_l2') THEN 'soil2' WHEN contains(name, 'soil_water_l3') THEN 'soil3' WHEN contains(name, 'soil_profile_mean') THEN 'soil'
+    WHEN contains(name, 'snow_depth_mwe') THEN 'sd' ELSE 'none' END
+  ELSE CASE WHEN {_sql_has('support_weight', 'medsea_support_baseline', 'medsea_support_angle_wide', 'medsea_support_robust_core')} THEN 'support' WHEN contains(name, 'x_ivt_proxy') THEN 'product'
+    WHEN contains(name, 'sst_anom') THEN 'sst' WHEN contains(name, 'ohc') THEN 'ohc' WHEN contains(name, 'tmean') THEN 'tmean' ELSE 'none' END END AS family,
+  contains(name, 'incl_today') AS today, contains(name, 'change_24h') AS change,
+  {_sql_has('_prev1d', '_prev3d', '_prev7d', '_prev14d')} AND NOT contains(name, 'incl_today') AND NOT contains(name, 'change_24h') AS lag FROM n),
+b AS (SELECT *, source = 'era5' AND family <> 'day' AS timed, {_sql_has('_mean', '_max', '_min', '_sum', 'soil_water', 'snow_depth', 'qwind')} AND NOT lag AND NOT contains(name, 'prev') AND NOT today AND NOT change AS full_day,
+  CASE family WHEN 'none' THEN CASE source WHEN 'era5' THEN 'UNMAPPED_ERA5_FEATURE' ELSE 'UNMAPPED_MEDSEA_FEATURE' END WHEN 'ivt' THEN 'IVT_VERTICAL_LEVEL_EQUIVALENCE_NOT_YET_VALIDATED' WHEN 'dir' THEN 'IVT_DIRECTION_DEPENDS_ON_UNVALIDATED_OPERATIONAL_IVT_PROXY'
+    WHEN 'cape' THEN 'CAPE_DEFINITION_AND_TEMPORAL_SAMPLING_EQUIVALENCE_NOT_YET_VALIDATED' WHEN 'rate' THEN 'PRECIP_1H_MAX_NOT_EXACTLY_REPRODUCIBLE_FROM_OPEN_IFS_CADENCE' WHEN 'support' THEN 'INHERITS_OPERATIONAL_IVT_EQUIVALENCE_GAP'
+    WHEN 'product' THEN 'CMEMS_PUBLICATION_LATENCY_AND_OPERATIONAL_IVT_EQUIVALENCE_NOT_YET_VALIDATED'
+    ELSE CASE WHEN family IN ('sst', 'ohc', 'tmean') THEN 'CMEMS_PUBLICATION_LATENCY_AND_PRODUCT_SHIFT_VS_HISTORICAL_SERIES' WHEN starts_with(family, 'soil') THEN 'MODEL_SYSTEM_DISTRIBUTION_SHIFT_NOT_YET_VALIDATED' ELSE '' END END AS blocker0,
+  CASE WHEN family = 'none' THEN 'BLOCKED' WHEN family = 'day' THEN 'READY' WHEN family = 'rate' THEN 'PROXY_ONLY' WHEN family = 'support' THEN 'AVAILABLE_IF_OPERATIONAL_IVT_AVAILABLE' WHEN family = 'product' THEN 'LATEST_AVAILABLE_MARINE_DAY_PLUS_OPERATIONAL_IVT'
+    WHEN source = 'medsea_ivt' THEN 'LATEST_PUBLISHED_DAY_NOT_GUARANTEED_CURRENT_DAY' ELSE 'AVAILABLE_AS_ANALYSIS_FORECAST_PROXY' END AS status0 FROM fam)"""
 
 
 @query(
     "P-14",
-    "p_partkey:i provider_parameter:s equivalence_class:s morning_status:s blocker:s requires_local_cache:b",
-    """WITH m(i, a, b, c, d, e) AS (VALUES
-        (0, 'q,u,v pressure-level fields', 'PROXY_REQUIRES_VALIDATION', 'CURRENT_DAY_ANALYSIS_FORECAST_FILL_REQUIRED', 'IVT_VERTICAL_LEVEL_EQUIVALENCE_NOT_YET_VALIDATED', false),
-        (1, 'tcwv', 'PROXY_REQUIRES_VALIDATION', 'CURRENT_PROXY_PLUS_PREVIOUS_DAY_CACHE', 'CURRENT_DAY_PROXY_NOT_IDENTICAL_TO_END_OF_DAY_ERA5_TRAINING_STATE', true),
-        (2, 'mucape/cape candidate', 'PROXY_REQUIRES_VALIDATION', 'CURRENT_DAY_ANALYSIS_FORECAST_FILL_REQUIRED', 'CAPE_DEFINITION_AND_TEMPORAL_SAMPLING_EQUIVALENCE_NOT_YET_VALIDATED', false),
-        (3, 'tp/tprate', 'NON_EXACT_PROXY', 'PROXY_ONLY', 'PRECIP_1H_MAX_NOT_EXACTLY_REPRODUCIBLE_FROM_OPEN_IFS_CADENCE', false),
-        (4, 'tp', 'PROXY_REQUIRES_VALIDATION', 'READY_AFTER_OPERATIONAL_DAILY_CACHE', '', true),
-        (5, 'tp', 'PROXY_REQUIRES_VALIDATION', 'CURRENT_DAY_ANALYSIS_FORECAST_FILL_REQUIRED', 'MORNING_RUN_CANNOT_OBSERVE_FULL_TRAINING_DAY_T', true),
-        (6, 'u,v,q,t @ 850 hPa', 'PROXY_REQUIRES_VALIDATION', 'CURRENT_DAY_ANALYSIS_FORECAST_FILL_REQUIRED', 'MORNING_RUN_CANNOT_OBSERVE_FULL_TRAINING_DAY_T', false),
-        (7, 'vsw level=1', 'PROXY_REQUIRES_VALIDATION', 'READY_AFTER_OPERATIONAL_DAILY_CACHE', 'MODEL_SYSTEM_DISTRIBUTION_SHIFT_NOT_YET_VALIDATED', true),
-        (8, 'issue_date', 'EXACT_LOCAL', 'READY', '', false),
-        (9, 'UNMAPPED', 'UNMAPPED', 'BLOCKED', 'UNMAPPED_FEATURE', false),
-        (10, 'derived from operational IVT east/north components', 'PROXY_REQUIRES_VALIDATION', 'AVAILABLE_AS_ANALYSIS_FORECAST_PROXY', 'IVT_DIRECTION_DEPENDS_ON_UNVALIDATED_OPERATIONAL_IVT_PROXY', false),
-        (11, 'MedSea temperature/OHC field × operational IVT', 'PROXY_REQUIRES_VALIDATION', 'LATEST_AVAILABLE_MARINE_DAY_PLUS_OPERATIONAL_IVT', 'CMEMS_PUBLICATION_LATENCY_AND_OPERATIONAL_IVT_EQUIVALENCE_NOT_YET_VALIDATED', false))
-       SELECT p_partkey, a AS provider_parameter, b AS equivalence_class, c AS morning_status, d AS blocker, e AS requires_local_cache FROM part JOIN m ON i = p_size % 12""",
+    "p_partkey:i provider_parameter:s transformation:s equivalence_class:s morning_status:s requires_local_cache:b blocker:s",
+    f"""WITH {SQL_MAPPING}
+       SELECT p_partkey,
+         CASE family WHEN 'none' THEN 'UNMAPPED' WHEN 'day' THEN 'issue_date' WHEN 'ivt' THEN 'q,u,v pressure-level fields' WHEN 'dir' THEN 'derived from operational IVT east/north components' WHEN 'tcwv' THEN 'tcwv'
+           WHEN 'cape' THEN 'mucape/cape candidate' WHEN 'msl' THEN 'msl' WHEN 'rate' THEN 'tp/tprate' WHEN 'tp' THEN 'tp' WHEN 'soil1' THEN 'vsw level=1' WHEN 'soil2' THEN 'vsw level=2' WHEN 'soil3' THEN 'vsw level=3 (IFS Open Data)'
+           WHEN 'soil' THEN 'vsw levels 1-3' WHEN 'sd' THEN 'sd' WHEN 'support' THEN 'operational IVT + frozen MedSea geometry/support algorithm' WHEN 'product' THEN 'MedSea temperature/OHC field × operational IVT'
+           WHEN 'sst' THEN 'thetao near-surface from daily temperature dataset' WHEN 'ohc' THEN 'thetao profile 0-100 m' WHEN 'tmean' THEN 'thetao profile 0-100 m' ELSE 'u,v,q,t @ ' || family || ' hPa' END AS provider_parameter,
+         CASE WHEN family = 'none' THEN 'MANUAL' WHEN family = 'day' THEN 'CALENDAR' WHEN family = 'ivt' THEN 'TRANSPORT_INTEGRAL' WHEN family = 'dir' THEN 'DIRECTION_COMPONENT' WHEN family IN ('tcwv', 'msl', 'sd') THEN 'RECEPTOR_DAY_STATISTIC'
+           WHEN family = 'cape' THEN 'RECEPTOR_DAY_ANALOGUE' WHEN family = 'rate' THEN 'INTENSITY_APPROXIMATION' WHEN family = 'tp' THEN 'FORECAST_INCREMENT_SUM' WHEN family = 'soil' THEN 'SOIL_PROFILE_MEAN' WHEN starts_with(family, 'soil') THEN 'SOIL_LAYER'
+           WHEN family = 'support' THEN 'CORRIDOR_SUPPORT' WHEN family = 'product' THEN 'ANOMALY_TIMES_TRANSPORT' WHEN family = 'sst' THEN 'CORRIDOR_ANOMALY' WHEN family = 'ohc' THEN 'HEAT_CONTENT_INTEGRAL' WHEN family = 'tmean' THEN 'DEPTH_MEAN'
+           ELSE 'PRESSURE_LEVEL_STATISTIC' END AS transformation,
+         CASE family WHEN 'none' THEN 'UNMAPPED' WHEN 'day' THEN 'EXACT_LOCAL' WHEN 'rate' THEN 'NON_EXACT_PROXY' WHEN 'support' THEN 'DERIVED_PROXY_REQUIRES_IVT_VALIDATION' ELSE 'PROXY_REQUIRES_VALIDATION' END AS equivalence_class,
+         CASE WHEN timed AND today THEN 'CURRENT_DAY_ANALYSIS_FORECAST_FILL_REQUIRED' WHEN timed AND change THEN 'CURRENT_PROXY_PLUS_PREVIOUS_DAY_CACHE' WHEN timed AND lag AND family <> 'none' THEN 'READY_AFTER_OPERATIONAL_DAILY_CACHE'
+           WHEN timed AND full_day AND status0 = 'AVAILABLE_AS_ANALYSIS_FORECAST_PROXY' THEN 'CURRENT_DAY_ANALYSIS_FORECAST_FILL_REQUIRED' ELSE status0 END AS morning_status,
+         family IN ('product', 'sst', 'ohc', 'tmean') OR (timed AND (lag OR change OR today)) AS requires_local_cache,
+         CASE WHEN blocker0 <> '' OR NOT timed THEN blocker0 WHEN change THEN 'CURRENT_DAY_PROXY_NOT_IDENTICAL_TO_END_OF_DAY_ERA5_TRAINING_STATE' WHEN today OR full_day THEN 'MORNING_RUN_CANNOT_OBSERVE_FULL_TRAINING_DAY_T' ELSE '' END AS blocker
+       FROM b""",
 )
 def source_mapping(spark, sf):
-    name = F.get(F.array(*[F.lit(n) for n in NAMES]), (F.col("p_size") % 12).cast("int"))
-    return O.source_mapping(B.table(spark, sf, "part").select("p_partkey", name.alias("name")), "name")
+    name = F.get(F.array(*[F.lit(n) for n in FEATURES]), (F.col("p_size") % len(FEATURES)).cast("int"))
+    source = F.when(F.col("p_partkey") % 2 == 0, O.ATMOSPHERE).otherwise(O.MARINE)
+    return O.source_mapping(B.table(spark, sf, "part").select("p_partkey", name.alias("name"), source.alias("source")), "name", "source")
 
 
 @query(

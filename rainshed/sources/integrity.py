@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -10,16 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_own_base: list[str] = []
+_own_base: dict[str, str] = {}
+
+
+def _default_base(spark: SparkSession) -> str:
+    """A folder of this application under the default filesystem, removed when the application ends."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _own_base:
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"/tmp/{sc.applicationId}-{uuid.uuid4().hex}")
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        path = fs.makeQualified(path)
+        refuse_local(path.toString(), sc.master)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _own_base[sc.applicationId] = path.toString()
+    return _own_base[sc.applicationId]
+
+
+def refuse_local(path: str, master: str) -> None:
+    """Driver and executors of a cluster do not share a local disk; only a local master may use one."""
+    if path.startswith("file:") and not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share; {path} is on one machine")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder the cluster names; a local one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not _own_base:
-            _own_base.append(tempfile.mkdtemp(prefix="run-"))
-        base = _own_base[0]
+    """A new folder name under spark.checkpoint.dir, or where that is unset under the default filesystem."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _default_base(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
