@@ -55,6 +55,11 @@ def checksums(spark: SparkSession, path: str | Sequence[str], glob: str | None =
     )
 
 
+def content_checksums(artifacts: DataFrame) -> DataFrame:
+    """(file, bytes, sha256) of artifacts that are rows (file, content)."""
+    return artifacts.select("file", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def verify(registry: DataFrame, files: DataFrame) -> DataFrame:
     """Registry entries with OK / MISSING / HASH_MISMATCH."""
     f = files.select("file", F.col("sha256").alias("__actual"))

@@ -31,15 +31,16 @@ def scan_table(spark: SparkSession, stem: str, schema: str | T.StructType) -> Da
     return scan_csv(spark, f"{stem}.csv", schema)
 
 
-def sniff_delimiter(spark: SparkSession, path: str, lines: int = 50) -> str:
-    """Delimiter that splits the head of a file into the most columns, the same number on every line."""
-    head = [r[0] for r in spark.read.text(path).limit(lines).collect()]  # a bounded head, for its format only
+def sniff_delimiter(spark: SparkSession, path: str) -> str:
+    """Delimiter that splits the lines into the most columns, the same number on every line; quoted parts do not count.
 
-    def columns(d: str) -> int:
-        counts = {len(re.split(re.escape(d), line)) for line in head if line.strip()}
-        return counts.pop() if len(counts) == 1 else 1
-
-    return max(DELIMITERS, key=lambda d: (columns(d), -DELIMITERS.index(d)))
+    One aggregate over all lines.  A quoted line feed is not foreseen.
+    """
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    lines = spark.read.text(path).where(F.trim("value") != "").select(*[F.size(F.split(bare, re.escape(d))).alias(f"n{i}") for i, d in enumerate(DELIMITERS)])
+    low_high = lines.agg(*[f(f"n{i}") for i in range(len(DELIMITERS)) for f in (F.min, F.max)]).first()
+    columns = [low if low is not None and low == high else 1 for low, high in zip(low_high[::2], low_high[1::2])]
+    return max(DELIMITERS, key=lambda d: (columns[DELIMITERS.index(d)], -DELIMITERS.index(d)))
 
 
 def scan_any(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -50,7 +51,7 @@ def scan_union(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Files with the same meaning but differing columns, by name, each row with its source file."""
     out: DataFrame | None = None
     for p in paths:
-        df = spark.read.parquet(p).select("*", F.col("_metadata.file_name").alias("source_file"))
+        df = spark.read.parquet(p).select("*", F.col("_metadata.file_path").alias("source_file"))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
