@@ -46,16 +46,17 @@ def out_of_month(df: DataFrame, unit: Sequence[str], ts: str, year: Column, mont
     return df.groupBy(*unit).agg(F.count(F.lit(1)).alias("rows"), F.count_if(outside).alias("out_of_month_times"))
 
 
-def grid_audit(cells: DataFrame, file: str, tolerance: float = 1e-10) -> DataFrame:
-    """Grid signature per file (cell count and coordinate bounds) against the first file's."""
+def grid_audit(cells: DataFrame, file: str, order: str, tolerance: float = 1e-8) -> DataFrame:
+    """Grid signature per file (cell count, coordinate bounds, first and last cell in ``order``) against the first file's."""
     sig = cells.groupBy(file).agg(
         F.count(F.lit(1)).alias("cells"),
         F.min("lat").alias("lat_min"),
         F.max("lat").alias("lat_max"),
         F.min("lon").alias("lon_min"),
         F.max("lon").alias("lon_max"),
+        *[f(c, order).alias(f"{c}_{n}") for c in ("lat", "lon") for n, f in (("first", F.min_by), ("last", F.max_by))],
     )
-    names = ["cells", "lat_min", "lat_max", "lon_min", "lon_max"]
+    names = ["cells", *[f"{c}_{n}" for n in ("min", "max", "first", "last") for c in ("lat", "lon")]]
     ref = sig.agg(F.min_by(F.struct(*names), file).alias("r")).scalar()
     marked = sig.withColumn("__r", ref)
     same = F.col("cells") == F.col("__r.cells")

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 256
-SMALL_ROWS = 200_000  # a few counters per row: tens of megabytes at most when broadcast
 _RANGE = "__range"
 
 
@@ -45,12 +44,6 @@ def _same(keys: Sequence[str], prefix: str) -> Column:
     return on
 
 
-def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint when ``df`` really has at most ``rows`` rows; otherwise the plain frame, joined by shuffle."""
-    kept = df.persist()
-    return F.broadcast(kept) if kept.count() <= rows else kept
-
-
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -132,9 +125,8 @@ def _selected_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: S
         wanted, lambda x: ((x["lo"] >= F.col("__o")) & (x["lo"] < end)) | ((x["hi"] >= F.col("__o")) & (x["hi"] < end))
     )
     needed = placed.withColumn("__w", here).where(F.size("__w") > 0).drop("__c", "__t")
-    kept = ranged.join(
-        bounded_broadcast(needed, SMALL_ROWS), (F.col(_RANGE) == F.col("__k_range")) & _same(keys, "__k_"), "left_semi"
-    )
+    # A few counters a row: the planner broadcasts them while they are small and shuffles them beyond that.
+    kept = ranged.join(needed, (F.col(_RANGE) == F.col("__k_range")) & _same(keys, "__k_"), "left_semi")
     values = kept.groupBy(*keys, _RANGE, value).agg(F.count(F.lit(1)).alias("__n"))
     inside = Window.partitionBy(*keys, _RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = values.withColumn("__cum", F.sum("__n").over(inside)).join(
@@ -195,7 +187,9 @@ def percent_rank_average(
     on = F.col(value) == F.col("__r_value")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    return df.join(rank, on, "left").select(*df.columns, out)
+    # Rows without a value go round the join: they would all meet on one key.
+    ranked = df.where(F.col(value).isNotNull()).join(rank, on, "left").select(*df.columns, out)
+    return ranked.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def previous_in_order(df: DataFrame, keys: Sequence[str], order: str, width: float, cols: Sequence[str]) -> DataFrame:

@@ -308,10 +308,13 @@ def rank_events(events: DataFrame, daily: DataFrame, on: Sequence[str], date: st
     def peak_day(c: str) -> Column:
         return F.max_by(F.when(F.col(c).isNotNull(), F.col(date)), F.when(F.col(c).isNotNull(), F.struct(F.col(c), first_day)))
 
+    both_high = both & (F.col(a_pct) >= high) & (F.col(b_pct) >= high)
     g = j.groupBy(*on, "event_id", "start_date", "end_date").agg(
         F.max(a_pct).alias("max_a"),
         F.max(b_pct).alias("max_b"),
         F.max(joint).alias("max_joint"),
+        F.max_by(F.when(both, F.col(date)), F.when(both, F.struct(joint, first_day))).alias("joint_best_date"),
+        F.coalesce(F.bool_or(both_high), F.lit(False)).alias("same_day_both_high"),
         peak_day(a).alias("a_peak_date"),
         peak_day(b).alias("b_peak_date"),
         F.count_if(F.col(a).isNull()).alias("a_missing_days"),

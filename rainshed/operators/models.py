@@ -122,20 +122,25 @@ def score_with_flags(df: DataFrame, predictors: Sequence[str], p: str, max_csi:
 
 
 # ---- calibration -------------------------------------------------------------------------------------------------
-def fit_platt(pred: DataFrame, y: str, p: str, c: float = 1e6) -> tuple[float, float]:
-    """(intercept, slope) of a logistic fit on the logit of the scores."""
+def fit_platt(pred: DataFrame, y: str, p: str, c: float = 1e6) -> tuple[float | None, float | None]:
+    """(intercept, slope) of a logistic fit on the logit of the scores; nothing to fit (None) with one class only."""
     rows = pred.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(F.col(y).cast("double").alias("y"), logit(F.col(p)).alias("z"))
     # Equal scores are merged: the fit needs one weighted row per distinct (score, label).
     merged = rows.groupBy("y", "z").agg(F.count(F.lit(1)).cast("double").alias("w")).persist()
-    n = merged.agg(F.sum("w")).first()[0]
+    n, low, high = merged.agg(F.sum("w"), F.min("y"), F.max("y")).first()
+    if low == high:
+        merged.unpersist()
+        return None, None
     x = VectorAssembler(inputCols=["z"], outputCol="features").transform(merged)
     m = LogisticRegression(labelCol="y", weightCol="w", regParam=1.0 / (c * n), standardization=False, maxIter=1000, tol=1e-9).fit(x)
     merged.unpersist()
     return float(m.intercept), float(m.coefficients[0])
 
 
-def calibrate(pred: DataFrame, p: str, coefficients: tuple[float, float], out: str = "calibrated_probability") -> DataFrame:
+def calibrate(pred: DataFrame, p: str, coefficients: tuple[float | None, float | None], out: str = "calibrated_probability") -> DataFrame:
     a, b = coefficients
+    if a is None or b is None:
+        return pred.withColumn(out, F.lit(None).cast("double"))
     return pred.withColumn(out, platt(F.col(p), a, b))
 
 

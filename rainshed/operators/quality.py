@@ -32,6 +32,16 @@ def agreement(base: Column, test: Column) -> list[Column]:
     ]
 
 
+def bounded_ratio(base: Column, test: Column, least: float) -> Column:
+    """test / base where the base exceeds ``least``; else NULL."""
+    return F.when(base > least, test / base)
+
+
+def angular_difference(a: Column, b: Column) -> Column:
+    """Smallest turn between two directions in degrees."""
+    return F.abs((a - b + 540.0) % 360.0 - 180.0)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.count_if(a & b), F.count_if(a | b))
 
@@ -123,11 +133,11 @@ def range_state(x: Column, n: Column, low: Column, high: Column, pct: Column) ->
 
 
 def compatibility(
-    current: DataFrame, history: DataFrame, keys: Sequence[str], ident: Sequence[str], value: str, bounded: bool = True
+    current: DataFrame, history: DataFrame, keys: Sequence[str], ident: Sequence[str], value: str, bounded: bool = False
 ) -> DataFrame:
     """Range state, percentile and robust z of every current value against its key's history.
 
-    History is a receptor-day panel by default, so a key has one value per day of the record.
+    ``bounded`` as in ``profile``: only for histories with few rows a key.
     """
     prof = profile(history, keys, value, bounded).select(*keys, "n", "min", "max", F.col("q5").alias("median"), "robust_scale")
     pos = midrank_cdf(history, current, keys, value, ident, bounded)
@@ -161,10 +171,10 @@ def compatibility_summary(states: DataFrame, by: Sequence[str]) -> DataFrame:
     return g.withColumn("compatibility_state", state)
 
 
-def missingness_shift(parts: DataFrame, part: str, features: Sequence[str]) -> DataFrame:
-    """Missing fraction of each feature per part of the data (FIT, VALIDATION, current)."""
-    m = parts.groupBy(part).agg(*[F.avg(F.col(f).isNull().cast("double")).alias(f) for f in features])
-    return m.unpivot([part], list(features), "feature", "missing_fraction")
+def missingness_shift(parts: DataFrame, part: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Missing fraction of each feature per part of the data (fold; FIT, VALIDATION, current)."""
+    m = parts.groupBy(*part).agg(*[F.avg(F.col(f).isNull().cast("double")).alias(f) for f in features])
+    return m.unpivot(list(part), list(features), "feature", "missing_fraction")
 
 
 # ---- missing cells and gates -------------------------------------------------------------------------------------

@@ -68,14 +68,17 @@ def complete(*cols: str) -> Column:
 
 
 def rolling_hours(df: DataFrame, key: Sequence[str], ts: str, value: str, hours: Sequence[int]) -> DataFrame:
-    """Partial rolling sums over the last h hours, ``<value>_<h>h``; a key has one row per time step at most."""
-    seconds = F.floor(wall_micros(F.col(ts)) / 1_000_000)
-    w = Window.partitionBy(*key).orderBy("__s")
-    return (
-        df.withColumn("__s", seconds)
-        .select("*", *[F.sum(value).over(w.rangeBetween(-(h * 3600 - 1), 0)).alias(f"{value}_{h}h") for h in hours])
-        .drop("__s")
-    )
+    """Partial rolling sums over the last h hours, ``<value>_<h>h``.
+
+    Time is cut into buckets of the longest span; each bucket also gets the rows of the one before, as ghosts that are
+    dropped again.  So a key of any length is spread over tasks, and a window holds two buckets.
+    """
+    span = max(hours) * 3600
+    timed = df.withColumn("__s", F.floor(wall_micros(F.col(ts)) / 1_000_000)).withColumn("__b", F.floor(F.col("__s") / span))
+    both = timed.withColumn("__ghost", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("__b", F.col("__b") + F.col("__ghost").cast("int"))
+    w = Window.partitionBy(*key, "__b").orderBy("__s")
+    sums = [F.sum(value).over(w.rangeBetween(-(h * 3600 - 1), 0)).alias(f"{value}_{h}h") for h in hours]
+    return both.select("*", *sums).where(~F.col("__ghost")).drop("__s", "__b", "__ghost")
 
 
 def metric_rank(group: Sequence[str], metric: str, descending: bool = True) -> Column:

@@ -14,6 +14,7 @@ from rainshed.operators import evaluate as E
 from rainshed.operators import labels as L
 from rainshed.operators import quality as Q
 from rainshed.operators import windows as W
+from rainshed.operators.distributed import exact_quantiles
 from rainshed.plans import bindings as B
 from rainshed.plans.panel_queries import labels
 from rainshed.plans.registry import query
@@ -65,6 +66,16 @@ def metrics_by_receptor(spark, sf):
     return E.probability_metrics(predictions(spark, sf), ["receptor_id"], "y", "p")
 
 
+SQL_SCORES_Y = f"{SQL_PRED}, sc AS (SELECT 1990 + doc_id % 11 AS year, least(greatest(p, 1e-8), 1 - 1e-8) AS p, count(*) AS n, count(*) FILTER (WHERE y = 1) AS pos FROM pred GROUP BY 1, 2)"
+
+
+@query("E-16", "year:i " + METRIC_OUT, f"WITH {SQL_SCORES_Y}, {sql_metrics('sc', 'year')} SELECT * FROM metrics")
+def metrics_by_year(spark, sf):
+    """Scores by issue year; the documents' ids stand for years."""
+    p = predictions(spark, sf).withColumn("year", 1990 + F.col("doc_id") % 11)
+    return E.probability_metrics(p, ["year"], "y", "p")
+
+
 @query(
     "E-09",
     "macro_average_precision:f receptors:i",
@@ -310,24 +321,32 @@ def compatibility_rollup(spark, sf):
 
 @query(
     "Q-09 A-27",
-    "partition:s feature:s missing_fraction:f",
-    f"""WITH {B.SQL_DENSE}, {B.SQL_FOLDS}, {B.sql_expand('dense')} SELECT partition, unnest(['value', 'discount', 'late']) AS feature,
-        unnest([avg(CAST(value IS NULL AS INT)), avg(CAST(discount IS NULL AS INT)), avg(CAST((CASE WHEN season_day > 14 THEN value END) IS NULL AS INT))]) AS missing_fraction FROM expanded WHERE fold_id = 'F3' GROUP BY 1""",
+    "fold_id:s partition:s feature:s missing_fraction:f",
+    f"""WITH {B.SQL_DENSE}, {B.SQL_FOLDS}, {B.sql_expand('dense')} SELECT fold_id, partition, unnest(['value', 'discount', 'late']) AS feature,
+        unnest([avg(CAST(value IS NULL AS INT)), avg(CAST(discount IS NULL AS INT)), avg(CAST((CASE WHEN season_day > 14 THEN value END) IS NULL AS INT))]) AS missing_fraction FROM expanded GROUP BY fold_id, partition""",
 )
 def missingness_shift(spark, sf):
     p = B.dense_panel(spark, sf).withColumn("late", F.when(F.col("season_day") > 14, F.col("value")))
-    return Q.missingness_shift(L.expand_folds(p, B.FOLDS).where("fold_id = 'F3'"), "partition", ["value", "discount", "late"])
+    return Q.missingness_shift(L.expand_folds(p, B.FOLDS), ["fold_id", "partition"], ["value", "discount", "late"])
 
 
 @query(
     "A-30",
-    "receptor_id:i common_n:i pearson:f mae:f bias:f rmse:f nrmse:f",
-    f"""WITH {B.SQL_DENSE} SELECT receptor_id, count(*) FILTER (WHERE value IS NOT NULL) AS common_n, corr(value, peak / 1000) AS pearson, avg(abs(peak / 1000 - value)) AS mae, avg(peak / 1000 - value) AS bias,
-        sqrt(avg((peak / 1000 - value) ** 2)) AS rmse, sqrt(avg((peak / 1000 - value) ** 2)) / stddev_pop(value) AS nrmse FROM dense GROUP BY 1""",
+    "receptor_id:i common_n:i pearson:f mae:f bias:f rmse:f nrmse:f median_ratio:f angle_median:f angle_p90:f",
+    f"""WITH {B.SQL_DENSE}, a AS (SELECT *, CASE WHEN value > 1 THEN peak / 1000 / value END AS ratio, abs((value * 7 % 360 - peak / 100 % 360 + 540) % 360 - 180) AS turn FROM dense)
+        SELECT receptor_id, count(*) FILTER (WHERE value IS NOT NULL) AS common_n, corr(value, peak / 1000) AS pearson, avg(abs(peak / 1000 - value)) AS mae, avg(peak / 1000 - value) AS bias,
+        sqrt(avg((peak / 1000 - value) ** 2)) AS rmse, sqrt(avg((peak / 1000 - value) ** 2)) / stddev_pop(value) AS nrmse,
+        quantile_cont(ratio, 0.5) AS median_ratio, quantile_cont(turn, 0.5) AS angle_median, quantile_cont(turn, 0.9) AS angle_p90 FROM a GROUP BY 1""",
 )
 def series_agreement(spark, sf):
+    """Agreement of two series, the median of their ratio, and median and p90 of the angle between two directions."""
     p = B.dense_panel(spark, sf)
-    return p.groupBy("receptor_id").agg(*Q.agreement(F.col("value"), F.col("peak") / 1000))
+    base = p.groupBy("receptor_id").agg(*Q.agreement(F.col("value"), F.col("peak") / 1000))
+    turn = Q.angular_difference(F.col("value") * 7 % 360, F.col("peak") / 100 % 360)
+    extra = p.select("receptor_id", Q.bounded_ratio(F.col("value"), F.col("peak") / 1000, 1.0).alias("ratio"), turn.alias("turn"))
+    ratio = exact_quantiles(extra, ["receptor_id"], "ratio", [0.5], names=["median_ratio"])
+    angle = exact_quantiles(extra, ["receptor_id"], "turn", [0.5, 0.9], names=["angle_median", "angle_p90"])
+    return base.join(ratio, "receptor_id", "left").join(angle, "receptor_id", "left")
 
 
 # ---- missing cells and gates -------------------------------------------------------------------------------------
@@ -380,6 +399,27 @@ def feature_gate_states(spark, sf):
     return g.select("feature", "date", gate.alias("gate_state"))
 
 
+SQL_EQUIVALENCE = "CASE receptor_id % 3 WHEN 0 THEN 'EXACT_LOCAL' WHEN 1 THEN 'PROXY_REQUIRES_VALIDATION' END"
+
+
+@query(
+    "P-09",
+    "receptor_id:i date_month:i gate_state:s",
+    f"""WITH {SQL_COMPAT}, g AS (SELECT receptor_id, month(date) AS date_month, count(*) AS n, count(*) FILTER (WHERE range_state = 'CURRENT_MISSING') AS missing, count(*) FILTER (WHERE range_state IN ('BELOW_HISTORICAL_MIN', 'ABOVE_HISTORICAL_MAX')) AS outside FROM st GROUP BY 1, 2)
+        SELECT receptor_id, date_month, CASE WHEN missing = n THEN 'BLOCKED_MISSING_CURRENT' WHEN outside > 0 THEN 'REVIEW_OUTSIDE_TRAINING_SUPPORT' WHEN contains(coalesce({SQL_EQUIVALENCE}, ''), 'PROXY') THEN 'PROXY_RANGE_PLAUSIBLE_SEMANTIC_VALIDATION_PENDING' ELSE 'READY_RANGE_CHECK' END AS gate_state FROM g""",
+)
+def compatibility_gate_states(spark, sf):
+    """Gate of the current values by range state and equivalence class, per receptor and month."""
+    cur, hist = current_and_history(spark, sf)
+    c = Q.compatibility(cur, hist, ["receptor_id"], ["receptor_id", "date"], "value")
+    s = F.col("range_state")
+    g = c.groupBy("receptor_id", F.month("date").alias("date_month")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(s == "CURRENT_MISSING").alias("missing"), F.count_if(s.isin("BELOW_HISTORICAL_MIN", "ABOVE_HISTORICAL_MAX")).alias("outside")
+    )
+    gate = Q.compatibility_gate(F.col("missing"), F.col("n"), F.col("outside"), F.expr(SQL_EQUIVALENCE))
+    return g.select("receptor_id", "date_month", gate.alias("gate_state"))
+
+
 @query(
     "Q-10",
     "receptor_id:i unexpected:i verdict:s beta_allowed:b",
@@ -419,13 +459,14 @@ def static_identity_check(spark, sf):
 # ---- events ------------------------------------------------------------------------------------------------------
 @query(
     "E-24 M-15",
-    "receptor_id:i event_id:i start_date:d end_date:d max_a:f max_b:f max_joint:f a_peak_date:d b_peak_date:d peak_offset_days:i category:s retrieval_priority:i ranking_score:f2 position:i",
+    "receptor_id:i event_id:i start_date:d end_date:d max_a:f max_b:f max_joint:f joint_best_date:d same_day_both_high:b a_peak_date:d b_peak_date:d peak_offset_days:i category:s retrieval_priority:i ranking_score:f2 position:i",
     f"""WITH {B.SQL_DENSE}, pr AS (SELECT receptor_id, date, value, peak, CASE WHEN value IS NOT NULL THEN (rank() OVER (PARTITION BY receptor_id ORDER BY value NULLS LAST) + (count(*) OVER (PARTITION BY receptor_id, value) - 1) / 2.0) / count(value) OVER (PARTITION BY receptor_id) * 100 END AS ap,
           CASE WHEN peak IS NOT NULL THEN (rank() OVER (PARTITION BY receptor_id ORDER BY peak NULLS LAST) + (count(*) OVER (PARTITION BY receptor_id, peak) - 1) / 2.0) / count(peak) OVER (PARTITION BY receptor_id) * 100 END AS bp FROM dense),
         hd AS (SELECT receptor_id, date FROM pr WHERE ap >= 90 OR bp >= 90),
         f AS (SELECT *, CASE WHEN date_diff('day', lag(date) OVER (PARTITION BY receptor_id ORDER BY date), date) <= 2 THEN 0 ELSE 1 END AS new FROM hd), r AS (SELECT *, sum(new) OVER (PARTITION BY receptor_id ORDER BY date) - 1 AS event_id FROM f),
         ev AS (SELECT receptor_id, event_id, min(date) AS s, max(date) AS e FROM r GROUP BY 1, 2),
         g AS (SELECT ev.receptor_id, event_id, s AS start_date, e AS end_date, max(ap) AS max_a, max(bp) AS max_b, max(CASE WHEN ap IS NOT NULL AND bp IS NOT NULL THEN least(ap, bp) END) AS max_joint,
+          (list(date ORDER BY CASE WHEN ap IS NOT NULL AND bp IS NOT NULL THEN least(ap, bp) END DESC NULLS LAST, date) FILTER (WHERE ap IS NOT NULL AND bp IS NOT NULL))[1] AS joint_best_date, coalesce(bool_or(ap >= 90 AND bp >= 90), false) AS same_day_both_high,
           (list(date ORDER BY value DESC NULLS LAST, date))[1] AS a_peak_date, (list(date ORDER BY peak DESC NULLS LAST, date))[1] AS b_peak_date FROM ev JOIN pr ON pr.receptor_id = ev.receptor_id AND pr.date BETWEEN s AND e GROUP BY 1, 2, 3, 4),
         o AS (SELECT *, date_diff('day', a_peak_date, b_peak_date) AS off FROM g),
         c AS (SELECT *, CASE WHEN max_a >= 90 AND max_b >= 90 THEN CASE WHEN off = 0 THEN 'BOTH_HIGH_SAME_DAY_PEAK_CONTROL' WHEN off > 0 THEN 'BOTH_HIGH_SECOND_PEAK_LATER_DAILY' ELSE 'BOTH_HIGH_SECOND_PEAK_EARLIER_DAILY' END WHEN max_a >= 90 THEN 'FIRST_DOMINANT' WHEN max_b >= 90 THEN 'SECOND_DOMINANT' ELSE 'MIXED_BELOW_EVENT_MAX_THRESHOLD' END AS category FROM o),

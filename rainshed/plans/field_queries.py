@@ -297,14 +297,15 @@ def block_aggregation(spark, sf):
 
 @query(
     "J-18",
-    "lat_idx:i cells:i mean_diff:f min_diff:f max_diff:f rmse:f changed_cells:i",
-    f"""WITH {SQL_FIELD}, a AS (SELECT * FROM field WHERE step = 0), b AS (SELECT * FROM field WHERE step = 1),
-        d AS (SELECT a.lat_idx, b.raw - a.raw AS d FROM a JOIN b ON a.date = b.date AND a.cell_id = b.cell_id)
-        SELECT lat_idx, count(*) AS cells, avg(d) AS mean_diff, min(d) AS min_diff, max(d) AS max_diff, sqrt(avg(d * d)) AS rmse, count(*) FILTER (WHERE d <> 0) AS changed_cells FROM d GROUP BY 1""",
+    "step:i lat_idx:i cells:i mean_diff:f min_diff:f max_diff:f rmse:f changed_cells:i",
+    f"""WITH {SQL_FIELD}, d AS (SELECT a.step, a.lat_idx, b.raw - a.raw AS d FROM field a JOIN field b ON a.date = b.date AND a.cell_id = b.cell_id AND b.step = a.step + 1)
+        SELECT step, lat_idx, count(*) AS cells, avg(d) AS mean_diff, min(d) AS min_diff, max(d) AS max_diff, sqrt(avg(d * d)) AS rmse, count(*) FILTER (WHERE d <> 0) AS changed_cells FROM d GROUP BY 1, 2""",
 )
 def raster_difference(spark, sf):
+    """Every step against the next one of its day."""
     f = field(spark, sf)
-    return R.compare_grids(f.where("step = 0"), f.where("step = 1"), ["date", "cell_id", "lat_idx"], "raw", ["lat_idx"])
+    following = f.withColumn("step", F.col("step") - 1)
+    return R.compare_grids(f, following, ["date", "step", "cell_id", "lat_idx"], "raw", ["step", "lat_idx"])
 
 
 @query(

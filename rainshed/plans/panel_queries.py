@@ -30,7 +30,7 @@ def dense_season_grid(spark, sf):
     "o_orderkey:i season_year:i month:i day_of_year:i season_day:i",
     """SELECT o_orderkey, year(o_orderdate) AS season_year, month(o_orderdate) AS month, dayofyear(o_orderdate) AS day_of_year,
        date_diff('day', make_date(year(o_orderdate), 9, 1), CAST(o_orderdate AS DATE)) + 1 AS season_day
-       FROM orders WHERE month(o_orderdate) BETWEEN 9 AND 12 AND year(o_orderdate) BETWEEN 1995 AND 2000""",
+       FROM orders WHERE month(o_orderdate) BETWEEN 9 AND 12 AND year(o_orderdate) BETWEEN 1995 AND 2001""",
 )
 def calendar_keys(spark, sf):
     o = B.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
@@ -114,6 +114,17 @@ def strict_lag_and_change(spark, sf):
     )
 
 
+@query(
+    "W-05",
+    "event_id:i " + " ".join(f"value_{h}h:f2" for h in (6, 12, 24, 48)),
+    "WITH e AS (SELECT event_id, user_id, value, floor(epoch_us(ts) / 1000000) AS s FROM events) SELECT event_id, "
+    + ", ".join(f"sum(value) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN {h * 3600 - 1} PRECEDING AND CURRENT ROW) AS value_{h}h" for h in (6, 12, 24, 48))
+    + " FROM e",
+)
+def rolling_hours(spark, sf):
+    return W.rolling_hours(B.table(spark, sf, "events").select("event_id", "user_id", "ts", "value"), ["user_id"], "ts", "value", (6, 12, 24, 48))
+
+
 @query(
     "W-03 W-04 W-05",
     "receptor_id:i date:d prev3_sum:f2 prev7_sum:f2 prev14_sum:f2 prev3_mean:f prev7_mean:f prev3_max:f2 incl3_sum:f2 incl7_sum:f2 incl3_mean:f partial7_sum:f2",

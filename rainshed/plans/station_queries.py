@@ -245,16 +245,19 @@ def out_of_month_audit(spark, sf):
 
 @query(
     "A-35",
-    "vec_id:i cells:i lat_min:f lon_max:f grid_matches:b",
-    """WITH c AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings), x AS (SELECT vec_id, 40 + ((i - 1) // 8) * CASE WHEN vec_id % 50 = 7 THEN 0.6 ELSE 0.5 END AS lat, 5 + 0.5 * ((i - 1) % 8) AS lon FROM c)
-       SELECT vec_id, count(*) AS cells, min(lat) AS lat_min, max(lon) AS lon_max, count(*) = 64 AND abs(max(lat) - 43.5) <= 1e-10 AS grid_matches FROM x GROUP BY 1""",
+    "vec_id:i cells:i lat_min:f lon_max:f lat_first:f lon_last:f grid_matches:b",
+    """WITH c AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
+       x AS (SELECT vec_id, i, 40 + (CASE WHEN vec_id % 50 = 9 THEN 7 - (i - 1) // 8 ELSE (i - 1) // 8 END) * CASE WHEN vec_id % 50 = 7 THEN 0.6 ELSE 0.5 END AS lat, 5 + 0.5 * ((i - 1) % 8) AS lon FROM c)
+       SELECT vec_id, count(*) AS cells, min(lat) AS lat_min, max(lon) AS lon_max, arg_min(lat, i) AS lat_first, arg_max(lon, i) AS lon_last,
+         count(*) = 64 AND abs(max(lat) - 43.5) <= 1e-8 AND abs(arg_min(lat, i) - 40) <= 1e-8 AS grid_matches FROM x GROUP BY 1""",
 )
 def grid_consistency(spark, sf):
     from rainshed.plans.field_queries import field
 
     stretch = F.when(F.col("vec_id") % 50 == 7, 0.6).otherwise(0.5)
-    f = field(spark, sf).select("vec_id", (40 + F.col("lat_idx") * stretch).alias("lat"), "lon")
-    return A.grid_audit(f, "vec_id")
+    row = F.when(F.col("vec_id") % 50 == 9, 7 - F.col("lat_idx")).otherwise(F.col("lat_idx"))  # a flipped axis
+    f = field(spark, sf).select("vec_id", "cell_id", (40 + row * stretch).alias("lat"), "lon")
+    return A.grid_audit(f, "vec_id", "cell_id")
 
 
 @query(
