@@ -123,21 +123,38 @@ def active_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.withColumn("active", F.col("numeric_values") > 0)
 
 
-def detect_timestamp_column(df: DataFrame, columns: Sequence[str], minimum: float = 0.5) -> DataFrame:
-    """Parsable share per candidate; the best one at or above ``minimum`` is chosen."""
+DATE_WORDS, HOUR_WORDS = ("date", "data"), ("hour", "ora", "time")
+
+
+def detect_timestamp_pair(df: DataFrame, columns: Sequence[str], minimum: float = 0.5) -> DataFrame:
+    """Parsable share of each date column joined to each hour column, by their names; the first good pair is chosen.
+
+    For tables of which no single column parses.  A good pair parses in ``minimum`` of the rows and in two at least.
+    """
+    named = lambda words: [c for c in columns if any(w in c.lower() for w in words)]
+    pairs = [(d, h) for d in named(DATE_WORDS) for h in named(HOUR_WORDS) if d != h]
+    joined = {f"{d}+{h}": F.concat_ws(" ", F.trim(F.col(d).cast("string")), F.trim(F.col(h).cast("string"))) for d, h in pairs}
+    return detect_timestamp_column(df.select(*[v.alias(k) for k, v in joined.items()]), list(joined), minimum, first=True)
+
+
+def detect_timestamp_column(df: DataFrame, columns: Sequence[str], minimum: float = 0.5, first: bool = False) -> DataFrame:
+    """Parsable share per candidate; of those at or above ``minimum``, and of two values at least, the best one is
+    chosen, or the first one."""
     counts = df.agg(
-        F.count(F.lit(1)).alias("__n"), *[F.count(parse_timestamp(F.col(c))).alias(c) for c in columns]
+        F.count(F.lit(1)).alias("__n"), *[F.count(parse_timestamp(F.col(f"`{c}`"))).alias(c) for c in columns]
     )
-    best = F.greatest(*[F.col(c) for c in columns]) if len(columns) > 1 else F.col(columns[0])
-    first_best = F.coalesce(*[F.when(F.col(c) == F.col("__best"), F.lit(c)) for c in columns])
+    col = lambda c: F.col(f"`{c}`")
+    least = F.greatest(F.lit(2), F.floor(F.col("__n") * minimum))
+    best = F.greatest(*[col(c) for c in columns], F.lit(0))
+    first_best = F.coalesce(*[F.when((col(c) >= least) if first else ((col(c) == F.col("__best")) & (col(c) >= least)), F.lit(c)) for c in columns])
     marked = counts.withColumn("__best", best).withColumn("__first", first_best)
-    long = marked.unpivot(["__n", "__best", "__first"], list(columns), "column_name", "parsed")
+    long = marked.unpivot(["__n", "__best", "__first"], [f"`{c}`" for c in columns], "column_name", "parsed")
     fraction = F.try_divide(F.col("parsed"), F.col("__n"))
     return long.select(
         "column_name",
         "parsed",
         fraction.alias("fraction"),
-        ((F.col("column_name") == F.col("__first")) & (fraction >= minimum)).alias("chosen"),
+        F.coalesce(F.col("column_name") == F.col("__first"), F.lit(False)).alias("chosen"),
     )
 
 

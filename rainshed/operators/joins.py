@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,10 +92,14 @@ def overlapping_boxes(a: DataFrame, b: DataFrame, a_id: str, b_id: str, block: f
     return j.where(overlap & home).select(a_id, b_id)
 
 
-def priority_lookup(wanted: DataFrame, key: str, choices: str, available: DataFrame, name: str, score: str) -> DataFrame:
-    """First available choice of each key's ordered list; equal positions prefer the higher score."""
-    exploded = wanted.select(key, F.posexplode(choices).alias("position", name))
-    hits = exploded.join(available, name)
+def priority_lookup(wanted: DataFrame, key: str, choices: str, available: DataFrame, name: str, score: str, normalise: Callable[[Column], Column] | None = None) -> DataFrame:
+    """First available choice of each key's ordered list; equal positions prefer the higher score.
+
+    Names meet after ``normalise`` on both sides, if given.
+    """
+    same = normalise or (lambda c: c)
+    exploded = wanted.select(key, F.posexplode(choices).alias("position", "__choice")).withColumn("__name", same(F.col("__choice"))).drop("__choice")
+    hits = exploded.join(available.withColumn("__name", same(F.col(name))), "__name").drop("__name")
     return first_by(hits, [key], [F.col("position"), -F.col(score), F.col(name)])
 
 

@@ -156,7 +156,7 @@ def alert_clusters(spark, sf):
     return E.cluster_metrics(daily_predictions(spark, sf), [], "receptor_id", "issue_date", "y", "p", F.lit(0.6))
 
 
-REPS = 200
+REPS = policy.BOOTSTRAP_REPLICATES
 SQL_BOOT = f"""{SQL_PRED}, bl AS (SELECT receptor_id, source, row_number() OVER (ORDER BY receptor_id, source) - 1 AS block_id, count(*) OVER () AS nb FROM (SELECT DISTINCT receptor_id, source FROM pred)),
   dr AS (SELECT rep AS replicate, (('0x' || substr(md5(rep || '|' || block_id || '|' || {policy.SEED}), 1, 8))::BIGINT % nb) AS block_id FROM bl CROSS JOIN range(1, {REPS + 1}) t(rep)),
   mu AS (SELECT replicate, block_id, count(*) AS m FROM dr GROUP BY 1, 2),

@@ -51,8 +51,12 @@ def field(spark, sf, by_time=False):
 
 
 def grid(spark, sf):
-    f = field(spark, sf)
-    return f.select("cell_id", "lat_idx", "lon_idx", "lat", "lon").distinct()
+    """The cells as a dimension, from the longest vector's length: the field itself is not exploded for it."""
+    cells = B.table(spark, sf, "embeddings").agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("n"))
+    pos = F.col("cell_id")
+    return cells.where("n > 0").select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("cell_id")).select(
+        "cell_id", F.floor(pos / 8).cast("int").alias("lat_idx"), (pos % 8).cast("int").alias("lon_idx"), (40 + 0.5 * F.floor(pos / 8)).alias("lat"), (5 + 0.5 * (pos % 8)).alias("lon")
+    )
 
 
 def weights(spark, sf):

@@ -327,13 +327,12 @@ def leakage_guard(spark, sf):
 @query(
     "T-21",
     "n_nationkey:i label:s",
-    """SELECT n_nationkey, CASE WHEN n_name = 'NATION_1' THEN '1' ELSE 'Nation ' || substr(n_name, 8) END AS label FROM nation WHERE n_name LIKE 'NATION%'""",
+    """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN substr(n_name, 8) ELSE 'Area ' || substr(n_name, 8) END AS label FROM nation WHERE n_name LIKE 'NATION%'""",
 )
 def human_labels(spark, sf):
-    n = B.table(spark, sf, "nation")
-    code = F.when(F.col("n_name") == "NATION_1", F.concat(F.lit("NATION_"), F.col("n_name"))).otherwise(F.col("n_name"))
-    stripped = F.when(F.col("n_name") == "NATION_1", text.human_label(F.regexp_replace(code, "^NATION_NATION_", "NW_"), ["NW_"]))
-    return n.select("n_nationkey", F.coalesce(stripped, text.human_label(F.col("n_name"), ["NW_"])).alias("label"))
+    """Codes with a known prefix lose it, others keep theirs as a word."""
+    code = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.regexp_replace("n_name", "^NATION_", "AREA_"))
+    return B.table(spark, sf, "nation").select("n_nationkey", text.human_label(code, ["NATION_"]).alias("label"))
 
 
 @query(
@@ -362,6 +361,20 @@ def timestamp_column_detection(spark, sf):
     return D.detect_timestamp_column(o, o.columns)
 
 
+@query(
+    "T-22",
+    "column_name:s parsed:i fraction:f chosen:b",
+    """SELECT 'order_date+order_hour' AS column_name, count(*) FILTER (WHERE o_orderkey % 4 <> 0) AS parsed, count(*) FILTER (WHERE o_orderkey % 4 <> 0) / count(*) AS fraction, true AS chosen FROM orders
+       UNION ALL SELECT 'order_date+ship_time', 0, 0.0, false FROM orders HAVING count(*) > 0""",
+)
+def timestamp_pair_detection(spark, sf):
+    """No single column holds a time; a date column and an hour column do together."""
+    o = B.table(spark, sf, "orders")
+    hour = F.when(F.col("o_orderkey") % 4 != 0, F.format_string("%02d:30", F.col("o_orderkey") % 24)).otherwise("n.d.")
+    d = o.select(F.concat(F.lit(" "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" ")).alias("order_date"), hour.alias("order_hour"), F.col("o_orderpriority").alias("ship_time"))
+    return D.detect_timestamp_pair(d, d.columns)
+
+
 # ---- angles and geometry -----------------------------------------------------------------------------------------
 def sql_mod(a: str, b: str) -> str:
     return f"((({a}) % {b}) + {b}) % {b}"

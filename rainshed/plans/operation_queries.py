@@ -274,16 +274,23 @@ def snapshots(spark, sf):
     "R-01 R-02 D-15",
     "receptor_id:i issue_date:d run_id:i value:f2 extra:f",
     """WITH s AS (SELECT user_id AS receptor_id, CAST(ts AS DATE) AS issue_date, event_id AS run_id, value FROM events)
-       SELECT receptor_id, issue_date, arg_max(run_id, run_id) AS run_id, arg_max(value, run_id) AS value, NULL AS extra FROM s GROUP BY 1, 2""",
+       , e AS (SELECT receptor_id, issue_date, arg_max(run_id, run_id) AS run_id, arg_max(value, run_id) AS value, 1.0 AS extra FROM s WHERE day(issue_date) <= 20 GROUP BY 1, 2),
+       l AS (SELECT receptor_id, issue_date, arg_max(run_id, run_id) AS run_id, arg_max(value, run_id) AS value, CAST(NULL AS DOUBLE) AS extra FROM s WHERE day(issue_date) >= 11 AND receptor_id % 3 <> 0 GROUP BY 1, 2)
+       SELECT * FROM l UNION ALL SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.receptor_id = e.receptor_id AND l.issue_date = e.issue_date)""",
 )
 def snapshot_upsert(spark, sf):
-    """Two halves of the stream, upserted one after the other, the second one twice."""
+    """Two batches whose keys overlap in part, upserted one after the other, the second one twice.
+
+    Days up to the 20th come first; the second batch replaces some keys from the 11th on, adds later ones and lacks a
+    column of the first.
+    """
     keys = ["receptor_id", "issue_date"]
-    s = snapshots(spark, sf).withColumn("extra", F.lit(None).cast("double"))
-    early = O.latest_per_key(s.where(F.col("kind") == "view"), keys, "run_id").select("receptor_id", "issue_date", "run_id", "value", "extra")
-    everything = O.latest_per_key(s.drop("extra"), keys, "run_id").select("receptor_id", "issue_date", "run_id", "value")
-    once = O.upsert(early, everything, keys)
-    return O.upsert(once, everything, keys)
+    s = snapshots(spark, sf)
+    day = F.dayofmonth("issue_date")
+    early = O.latest_per_key(s.where(day <= 20), keys, "run_id").select("receptor_id", "issue_date", "run_id", "value", F.lit(1.0).alias("extra"))
+    late = O.latest_per_key(s.where((day >= 11) & (F.col("receptor_id") % 3 != 0)), keys, "run_id").select("receptor_id", "issue_date", "run_id", "value")
+    once = O.upsert(early, late, keys)
+    return O.upsert(once, late, keys)
 
 
 SPECS = {"prev1d": ("lag", "value", 1), "change_24h": ("change", "value", 1), "prev3d_sum": ("sum", "value", 3), "prev7d_mean": ("mean", "discount", 7), "incl3d_sum": ("incl_sum", "value", 3)}

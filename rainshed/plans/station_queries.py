@@ -11,6 +11,7 @@ from rainshed.operators import labels as L
 from rainshed.operators import network as N
 from rainshed.operators import panel as P
 from rainshed.operators import stations as S
+from rainshed.functions.text import norm_key
 from rainshed.plans import bindings as B
 from rainshed.plans.registry import query
 
@@ -523,16 +524,20 @@ def known_ids_only(spark, sf):
 
 @query(
     "J-15 F-09",
-    "c_custkey:i position:i s_suppkey:i score:f2",
+    "c_custkey:i position:i s_name:s score:f2",
     """WITH w AS (SELECT c_custkey, unnest([c_custkey % 211, c_custkey % 53, c_custkey % 7]) AS s_suppkey, unnest([0, 1, 2]) AS position FROM customer)
-       SELECT c_custkey, position, w.s_suppkey, s_acctbal AS score FROM w JOIN supplier s ON s.s_suppkey = w.s_suppkey
+       SELECT c_custkey, position, s_name, s_acctbal AS score FROM w JOIN supplier s ON s.s_suppkey = w.s_suppkey
        QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY position, s_acctbal DESC, w.s_suppkey) = 1""",
 )
 def priority_station_choice(spark, sf):
+    """Wanted names are written otherwise than the registry's: lower case, an accent, marks for separators."""
+    s = B.table(spark, sf, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").alias("score"))
     k = F.col("c_custkey")
-    w = B.table(spark, sf, "customer").select("c_custkey", F.array(k % 211, k % 53, k % 7).alias("choices"))
-    s = B.table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("score"))
-    return J.priority_lookup(w, "c_custkey", "choices", s, "s_suppkey", "score")
+    keys = B.table(spark, sf, "customer").select("c_custkey", F.posexplode(F.array(k % 211, k % 53, k % 7)).alias("position", "s_suppkey"))
+    odd = F.regexp_replace(F.regexp_replace(F.lower("s_name"), "u", "ù"), "[^a-zù0-9]+", "-")
+    named = keys.join(s.select("s_suppkey", odd.alias("wanted")), "s_suppkey", "left")
+    w = named.groupBy("c_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "wanted"))), lambda x: x["wanted"]).alias("choices"))
+    return J.priority_lookup(w, "c_custkey", "choices", s.drop("s_suppkey"), "s_name", "score", norm_key)
 
 
 @query(
