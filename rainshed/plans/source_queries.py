@@ -218,3 +218,19 @@ def streamed_daily_layer(spark, sf):
     path = I.scratch_dir(spark, "daily")
     D.keep_daily_table(stream, path, I.scratch_dir(spark, "offsets"), ["user_id", "event_type", "date_model"], "date_model")
     return spark.read.parquet(path)
+
+
+@query(
+    "R-05 R-01",
+    "user_id:i event_type:s date_model:d observed_count:i daily_value:f",
+    f"WITH {SQL_DAILY} SELECT user_id, event_type, date_model, observed_count, daily_value FROM daily",
+)
+def repaired_daily_layer(spark, sf):
+    """Files out of time order, a micro-batch each: rows behind the watermark reach the table through the repair."""
+    landed, table = I.scratch_dir(spark, "landed"), I.scratch_dir(spark, "daily")
+    B.table(spark, sf, "events").repartition(4, "event_id").write.parquet(landed)
+    events = spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", 1).parquet(landed)
+    stream = D.daily_stream(events, ["user_id"], "event_type", "ts", "value", POLICIES)
+    D.keep_daily_table(stream, table, I.scratch_dir(spark, "offsets"), ["user_id", "event_type", "date_model"], "date_model")
+    D.repair_late_days(spark.read.parquet(landed), table, ["user_id"], "event_type", "ts", "value", POLICIES)
+    return spark.read.parquet(table)

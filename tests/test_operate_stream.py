@@ -142,3 +142,58 @@ def test_stream_in_several_batches_equals_one(spark, tmp_path):
         D.keep_daily_table(D.daily_stream(stream, ["s"], "code", "ts", "v"), out, ck, ["s", "code", "date_model"], "date_model")
     got = sorted((str(r.date_model), r.observed_count, r.daily_value) for r in spark.read.parquet(out).collect())
     assert got == [("2024-01-01", 24, 24.0), ("2024-01-02", 24, 48.0)]
+
+
+def test_late_rows_are_counted_and_repaired(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "s string, code string, ts timestamp, v double"
+    t0 = dt.datetime(2024, 1, 1)
+    for day, n in ((20, 3), (20, 1), (20, 1), (1, 2)):  # the last file is far behind the watermark
+        part = [("s", "PRECIP_MM", t0 + dt.timedelta(days=day, hours=h), 1.0) for h in range(n)]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    D.keep_daily_table(D.daily_stream(stream, ["s"], "code", "ts", "v"), out, str(tmp_path / "ck"), ["s", "code", "date_model"], "date_model")
+    landed = spark.read.parquet(src)
+    late = D.repair_late_days(landed, out, ["s"], "code", "ts", "v").collect()
+    assert [(str(r.date_model), r.late_rows) for r in late] == [("2024-01-02", 2)]
+    got = sorted((str(r.date_model), r.observed_count, r.daily_value) for r in spark.read.parquet(out).collect())
+    assert got == [("2024-01-02", 2, 2.0), ("2024-01-21", 5, 5.0)]
+    assert D.repair_late_days(landed, out, ["s"], "code", "ts", "v").count() == 0
+
+
+def test_scratch_folders(spark):
+    from rainshed.sources import integrity as I
+
+    assert I.scratch_dir(spark, "x") != I.scratch_dir(spark, "x")
+    I.refuse_local("file:/tmp/a", "local[8]")
+    I.refuse_local("hdfs://n/tmp/a", "yarn")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            I.refuse_local("file:/tmp/a", master)
+
+
+def test_platt_needs_two_classes(spark):
+    from rainshed.operators import models
+
+    p = spark.createDataFrame([(1.0, 0.2), (1.0, 0.7)], "y double, p double")
+    assert models.fit_platt(p, "y", "p") == (None, None)
+    assert [r.calibrated_probability for r in models.calibrate(p, "p", (None, None)).collect()] == [None, None]
+
+
+def test_sniffing_ignores_quoted_marks(spark, tmp_path):
+    from rainshed.sources import tables
+
+    (tmp_path / "a.csv").write_text('id;name\n1;"a, b, c"\n2;"x"\n\n3;"p, q"\n')
+    assert tables.sniff_delimiter(spark, str(tmp_path / "a.csv")) == ";"
+
+
+def test_hourly_sums_of_one_long_series(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("k", t0 + dt.timedelta(hours=h), float(h % 7)) for h in range(0, 300) if h % 11]
+    d = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    from rainshed.operators import windows
+
+    got = {r.ts: (r.v_6h, r.v_48h) for r in windows.rolling_hours(d, ["k"], "ts", "v", (6, 48)).collect()}
+    for _, t, _ in rows:
+        want = tuple(sum(v for _, u, v in rows if t - dt.timedelta(hours=n) < u <= t) for n in (6, 48))
+        assert got[t] == want
