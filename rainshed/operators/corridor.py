@@ -142,6 +142,39 @@ def corridor(panel: DataFrame, profile: DataFrame, on: Sequence[str], bearing: s
     )
 
 
+def corridor_at_bearing(observed: DataFrame, pairs: DataFrame, on: Sequence[str], bearing: str, value: str, scenarios: Sequence[tuple] = BASE_ONLY) -> DataFrame:
+    """(on, scenario, corridor_value, corridor_support) when every time has its own bearing.
+
+    ``observed``: field rows (receptor_id, time, cell_id, value) with the bearing of their receptor and time; ``pairs``:
+    distance, bearing and area of each (receptor_id, cell_id) in reach.  Only the two sectors around the bearing count;
+    as both sums are interpolated linearly, their weights are mixed per cell, and one aggregate sums all scenarios.
+    Keys without a value in reach are left out: they have no support.
+    """
+    geometry = pairs.select("receptor_id", "cell_id", "area_m2", "distance_km", F.col("bearing").alias("__cell"))
+    b = F.col(bearing)
+    rows = observed.where(F.col(value).isNotNull()).join(geometry, ["receptor_id", "cell_id"])
+    turn = [geo.angular_difference(F.col("__cell"), s(b) * policy.SECTOR_STEP_DEG) for s in (geo.sector_low, geo.sector_high)]
+    rows = rows.select(*on, value, "area_m2", "distance_km", turn[0].alias("__low"), turn[1].alias("__high"), geo.sector_fraction(b).alias("__f"))
+    sums = []
+    for i, (_, sigma, cutoff, scale, dmax) in enumerate(scenarios):
+
+        def weight(angle: str, sigma=sigma, cutoff=cutoff, scale=scale, dmax=dmax) -> Column:
+            inside = (F.col("distance_km") <= dmax) & (F.col(angle) <= cutoff)
+            return F.when(inside, geo.kernel_weight(F.col("area_m2"), F.col("distance_km"), F.col(angle), sigma, scale)).otherwise(0.0)
+
+        w = (1 - F.col("__f")) * weight("__low") + F.col("__f") * weight("__high")
+        sums += [F.sum(F.col(value) * w).alias(f"__n{i}"), F.sum(w).alias(f"__d{i}")]
+    total = rows.groupBy(*on).agg(*sums)
+    each = F.array(*[F.struct(F.lit(s[0]).alias("scenario"), F.col(f"__n{i}").alias("n"), F.col(f"__d{i}").alias("d")) for i, s in enumerate(scenarios)])
+    long = total.select(*on, F.explode(each).alias("s"))
+    return long.select(
+        *on,
+        "s.scenario",
+        F.when(F.col("s.d") > 0, F.col("s.n") / F.col("s.d")).alias("corridor_value"),
+        F.when(F.col("s.d") > 0, F.col("s.d")).otherwise(0.0).alias("corridor_support"),
+    )
+
+
 def support_class(sst_value: Column, sst_support: Column, ohc_value: Column, ohc_support: Column) -> Column:
     supported = (sst_support > 0) & (ohc_support > 0) & sst_value.isNotNull() & ohc_value.isNotNull()
     zero = F.lit(0.0)

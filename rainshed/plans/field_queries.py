@@ -20,21 +20,14 @@ from rainshed.plans.registry import query
 
 
 # ---- bindings ----------------------------------------------------------------------------------------------------
-def elements(spark, sf, by_time=False):
-    """(vec_id, pos, v) for every element.
-
-    ``by_time`` lays the vectors out by time before they are exploded: sums per (receptor, sector, time) then need
-    no exchange, which pays when there are more such sums per time than cells.
-    """
-    e = B.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    if by_time:
-        e = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
-    e = e.select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+def elements(spark, sf):
+    """(vec_id, pos, v) for every element."""
+    e = B.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
     return e.select("vec_id", "pos", F.col("x").cast("double").alias("v"))
 
 
-def field(spark, sf, by_time=False):
-    e = elements(spark, sf, by_time)
+def field(spark, sf):
+    e = elements(spark, sf)
     pos, t = F.col("pos"), F.col("vec_id")
     return e.select(
         "vec_id",
@@ -495,10 +488,18 @@ def base_weights(spark, sf, scenarios=C.BASE_ONLY):
 
 
 def corridor_all(spark, sf, scenarios=C.BASE_ONLY):
-    sums = C.sector_sums(field(spark, sf, by_time=True), base_weights(spark, sf, scenarios), "vec_id", "value")
-    panel = bearing_panel(spark, sf).withColumn("k", F.explode(C.kernel_scenarios(scenarios)))
-    panel = panel.withColumn("scenario", F.col("k.scenario")).drop("k")
-    return C.corridor(panel, C.sector_profile(sums, "vec_id"), ["scenario", "receptor_id", "vec_id"], "source_bearing")
+    """Vectors meet their receptors' bearings before they are exploded, so only one row a time is exchanged."""
+    panel = bearing_panel(spark, sf)
+    pairs = C.within_distance(receptors(spark, sf), C.grid_with_area(grid(spark, sf)), max(s[4] for s in scenarios))
+    seen = B.table(spark, sf, "embeddings").select("vec_id", "embedding").join(panel, "vec_id")
+    observed = seen.select("receptor_id", "vec_id", "source_bearing", F.posexplode("embedding").alias("cell_id", "x"))
+    value = F.when(F.col("x") >= 0, F.col("x").cast("double")).alias("value")
+    observed = observed.select("receptor_id", "vec_id", "source_bearing", "cell_id", value)
+    on = ["receptor_id", "vec_id", "source_bearing"]
+    found = C.corridor_at_bearing(observed, pairs, on, "source_bearing", "value", scenarios)
+    every = panel.withColumn("scenario", F.explode(F.array(*[F.lit(s[0]) for s in scenarios])))
+    joined = every.join(found, [*on, "scenario"], "left")
+    return joined.withColumn("corridor_support", F.coalesce("corridor_support", F.lit(0.0)))
 
 
 BASE = policy.KERNEL_SCENARIOS[:1]

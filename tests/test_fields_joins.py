@@ -70,6 +70,27 @@ def test_corridor_three_cells_by_hand(spark):
     assert none2.corridor_value is None and none2.corridor_support == 0.0
 
 
+def test_corridor_at_one_bearing_equals_the_all_sector_form(spark):
+    rng = np.random.default_rng(12)
+    cells = [(i, 40 + 0.5 * (i // 8), 5 + 0.5 * (i % 8), float(rng.uniform(1, 2))) for i in range(64)]
+    receptors = spark.createDataFrame([("a", 41.0, 6.0), ("b", 42.5, 8.5)], "receptor_id string, lat0 double, lon0 double")
+    grid = spark.createDataFrame(cells, "cell_id int, lat double, lon double, area_m2 double")
+    panel = spark.createDataFrame([(r, t, float(rng.uniform(0, 360))) for r in "ab" for t in range(6)], "receptor_id string, t int, bearing double")
+    values = [(i, t, None if rng.random() < 0.4 else float(rng.normal())) for i in range(64) for t in range(5)]  # none at t = 5
+    field = spark.createDataFrame(values, "cell_id int, t int, v double")
+    scenarios = policy.KERNEL_SCENARIOS
+    sums = C.sector_sums(field, C.sector_weights(receptors, grid, scenarios), "t", "v")
+    every = panel.withColumn("scenario", F.explode(F.array(*[F.lit(s[0]) for s in scenarios])))
+    want = C.corridor(every, C.sector_profile(sums, "t"), ["scenario", "receptor_id", "t"], "bearing").where("corridor_support > 0")
+    pairs = C.within_distance(receptors, grid, max(s[4] for s in scenarios))
+    got = C.corridor_at_bearing(field.join(panel, "t"), pairs, ["receptor_id", "t"], "bearing", "v", scenarios).where("corridor_support > 0")
+    key = lambda r: (r.scenario, r.receptor_id, r.t)
+    a, b = {key(r): r for r in got.collect()}, {key(r): r for r in want.collect()}
+    assert a.keys() == b.keys() and len(a) > 30
+    for k in a:
+        assert a[k].corridor_value == pytest.approx(b[k].corridor_value) and a[k].corridor_support == pytest.approx(b[k].corridor_support)
+
+
 def test_weighted_mean_skips_missing_and_needs_support(spark):
     f = spark.createDataFrame([(0, 1, 2.0), (1, 1, None), (0, 2, None), (1, 2, None)], "cell_id int, t int, v double")
     w = spark.createDataFrame([("a", 0, 0.25), ("a", 1, 0.75)], "receptor_id string, cell_id int, w double")

@@ -63,6 +63,16 @@ def test_equals_sql_and_has_a_clean_plan(spark, sf, duck, name):
     spark.catalog.clearCache()
 
 
+SLOW_TO_BUILD = {"boosting_scores", "candidate_benchmark", "permutation_importance", "streamed_daily_layer", "repaired_daily_layer"}
+
+
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - set(SAMPLE) - SLOW_TO_BUILD))
+def test_no_query_runs_python_or_all_pairs(spark, sf, name):
+    text = plan(REGISTRY[name].run(spark, sf))
+    assert not [n for n in FORBIDDEN if n in text]
+    spark.catalog.clearCache()
+
+
 def test_features_and_labels_share_one_season_layout(spark, sf):
     """Raw rows are aggregated once, laid out once by (receptor, season) and reused by the thresholds."""
     df = REGISTRY["labelled_features"].run(spark, sf)
