@@ -41,7 +41,7 @@ ADD = 0.1
 @dataclass(frozen=True)
 class Params:
     """Relative frequencies from which on words are broadcast, words take part in longer n-grams, and those are kept.
-    Each bounds what it keeps by its inverse."""
+    Each bounds what it keeps by its inverse.  ``memory``: words that a counting task holds before it hands them on."""
 
     words: float = 2.0**-20
     parts: float = 2.0**-18
@@ -61,21 +61,19 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Coder(dict):
-    """Word to its number if frequent, else to its key; forgotten when large."""
+    """Word to its number if frequent, else to its key.  Frequent words are remembered, which bounds the memory."""
 
-    def __init__(self, keys: np.ndarray, most: int):
+    def __init__(self, keys: np.ndarray):
         super().__init__()
-        self.sorted = np.argsort(keys).astype(np.int64)
-        self.keys, self.most = keys[self.sorted], most
+        self.numbers = {k: i for i, k in enumerate(keys.tolist())}
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
         key = word_key(word)
-        i = int(np.searchsorted(self.keys, key))
-        code = int(self.sorted[i]) if i < len(self.keys) and int(self.keys[i]) == key else key
-        self[word] = code
-        return code
+        number = self.numbers.get(key)
+        if number is None:
+            return key
+        self[word] = number
+        return number
 
     def codes(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(code of each token, documents' first tokens) of a batch, end tokens included."""
@@ -127,7 +125,7 @@ def gram_counts(training: DataFrame, keys: np.ndarray, parts: int, level2, param
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, pairs = shared.value
-        coder = Coder(own, params.memory)
+        coder = Coder(own)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +326,7 @@ class Trie:
         return out
 
 
-def score(documents: DataFrame, model: Model, counts: DataFrame, memory: int = Params.memory) -> DataFrame:
+def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; a null or empty text is the end alone.
 
     Without training tokens every score is that of an unknown word each.  Repeated rows and ids are rows of their own.
@@ -339,7 +337,7 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, memory: int = P
 
     def known(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        coder, trie = Coder(m.keys, memory), Trie(m)
+        coder, trie = Coder(m.keys), Trie(m)
         exact = np.log10((m.counts + ADD) / m.floor) if len(m.counts) else np.zeros(0)
         for frame in frames:
             if not len(frame):
@@ -393,5 +391,5 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, memory: int = P
 def held_out_scores(documents: DataFrame, parts: int = 10, held: int = 0, params: Params = Params()) -> DataFrame:
     """Learns from the documents whose fold is not ``held`` and scores all."""
     model, counts = fit(documents.where(fold(F.col("doc_id"), parts) != held), params)
-    scored = score(documents, model, counts, params.memory)
+    scored = score(documents, model, counts)
     return scored.withColumn("held_out", fold(F.col("doc_id"), parts) == held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
