@@ -8,11 +8,12 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from rainshed import policy
 from rainshed.functions.rows import logit, platt
 from rainshed.operators import evaluate as E
-from rainshed.operators.distributed import running_totals
+from rainshed.operators.distributed import exact_quantiles, running_totals
+from rainshed.sources.integrity import prepare_checkpoints, scratch_dir
 
 LOGIT_GRID = ((0.1, 0.0), (0.1, 0.5), (1.0, 0.0), (1.0, 0.5))  # C, l1 ratio
 BOOST_GRID = ((0.05, 15), (0.05, 31), (0.10, 15), (0.10, 31))  # learning rate, leaves
@@ -29,48 +31,48 @@ WEIGHTINGS = ("NATURAL_ROW_WEIGHTING", "RECEPTOR_BALANCED_WEIGHTING")
 
 @dataclass(frozen=True)
 class Prepared:
-    """FIT-only preparation: predictors, those with any value, and those with missing values."""
+    """FIT-only preparation: exact medians of the predictors with any value, the ones with gaps, centre and scale."""
 
     columns: tuple[str, ...]
-    present: tuple[str, ...]
+    medians: dict[str, float]
     gappy: tuple[str, ...]
-
-    def apply(self, df: DataFrame) -> DataFrame:
-        """Doubles, constant 0 for predictors without any FIT value, 0/1 missing indicators before imputation."""
-        cols = [
-            F.col(c).cast("double").alias(f"x_{c}") if c in self.present else F.lit(0.0).alias(f"x_{c}") for c in self.columns
-        ]
-        flags = [F.col(c).isNull().cast("double").alias(f"m_{c}") for c in self.gappy]
-        return df.select("*", *cols, *flags)
+    moments: dict[str, tuple[float, float]]
 
     @property
     def features(self) -> list[str]:
         return [f"x_{c}" for c in self.columns] + [f"m_{c}" for c in self.gappy]
 
-
-def prepare(fit: DataFrame, columns: Sequence[str]) -> Prepared:
-    """One aggregate over FIT decides which predictors are empty and which have gaps."""
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Doubles with gaps filled, constant 0 for predictors without any FIT value, 0/1 indicators of the gaps; then
+        centred and scaled, if the preparation has moments."""
+        filled = [F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) if c in self.medians else F.lit(0.0) for c in self.columns]
+        flags = [F.col(c).isNull().cast("double") for c in self.gappy]
+        scaled = []
+        for name, x in zip(self.features, [*filled, *flags]):
+            mean, std = self.moments.get(name, (0.0, 1.0))
+            scaled.append(((x - mean) / (std or 1.0)).alias(name))
+        return df.select("*", *scaled)
+
+
+def prepare(fit: DataFrame, columns: Sequence[str], scale: bool) -> Prepared:
+    """Counts, exact medians by value ranges, and with ``scale`` mean and population deviation of the filled columns."""
     row = fit.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in columns]).first()
     n = row["n"]
-    return Prepared(tuple(columns), tuple(c for c in columns if row[c] > 0), tuple(c for c in columns if row[c] < n))
-
-
-def _stages(prep: Prepared, scale: bool) -> list:
-    x = [f"x_{c}" for c in prep.present]
-    stages = [
-        Imputer(strategy="median", inputCols=x, outputCols=x),
-        VectorAssembler(inputCols=prep.features, outputCol="raw_features"),
-    ]
-    if scale:
-        stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
-    return stages
-
-
-def fit_logistic(fit: DataFrame, columns: Sequence[str], label: str, weight: str, c: float, l1_ratio: float) -> tuple[Prepared, PipelineModel]:
-    """Elastic-net logistic regression; ``C`` on summed losses becomes lambda = 1 / (C * sum of weights)."""
-    prep = prepare(fit, columns)
-    total = fit.agg(F.sum(weight)).first()[0]
-    clf = LogisticRegression(
+    present = [c for c in columns if row[c] > 0]
+    medians: dict[str, float] = {}
+    if present:
+        long = fit.select(*[F.col(c).cast("double").alias(c) for c in present]).unpivot([], present, "column", "value")
+        medians = {r["column"]: r["median"] for r in exact_quantiles(long, ["column"], "value", [0.5], names=["median"]).collect()}
+    prep = Prepared(tuple(columns), medians, tuple(c for c in columns if row[c] < n), {})
+    if not scale:
+        return prep
+    stats = prep.apply(fit).agg(*[f(c).alias(f"{k}_{c}") for c in prep.features for k, f in (("a", F.avg), ("s", F.stddev_pop))]).first()
+    return replace(prep, moments={c: (stats[f"a_{c}"], stats[f"s_{c}"]) for c in prep.features})
+
+
+def _logistic(label: str, weight: str, c: float, l1_ratio: float, total: float) -> LogisticRegression:
+    """``C`` on summed losses becomes lambda = 1 / (C * sum of weights)."""
+    return LogisticRegression(
         featuresCol="features",
         labelCol=label,
         weightCol=weight,
@@ -80,17 +82,11 @@ def fit_logistic(fit: DataFrame, columns: Sequence[str], label: str, weight: str
         maxIter=2000,
         tol=1e-4,
     )
-    return prep, Pipeline(stages=[*_stages(prep, True), clf]).fit(prep.apply(fit))
 
 
-def fit_boosting(
-    fit: DataFrame, columns: Sequence[str], label: str, weight: str, rate: float, leaves: int, iterations: int = 200
-) -> tuple[Prepared, PipelineModel]:
-    """Gradient-boosted trees; leaves set the depth.  Missing values are imputed with an indicator, since the
-    library's trees do not take them natively."""
-    prep = prepare(fit, columns)
-    clf = GBTClassifier(
-        featuresCol="raw_features",
+def _boosting(label: str, weight: str, rate: float, leaves: int, iterations: int) -> GBTClassifier:
+    return GBTClassifier(
+        featuresCol="features",
         labelCol=label,
         weightCol=weight,
         stepSize=rate,
@@ -99,7 +95,27 @@ def fit_boosting(
         minInstancesPerNode=20,
         seed=policy.SEED,
     )
-    return prep, Pipeline(stages=[*_stages(prep, False), clf]).fit(prep.apply(fit))
+
+
+def _assembled(prep: Prepared, df: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=prep.features, outputCol="features").transform(prep.apply(df)).drop(*prep.features)
+
+
+def fit_logistic(fit: DataFrame, columns: Sequence[str], label: str, weight: str, c: float, l1_ratio: float) -> tuple[Prepared, PipelineModel]:
+    """Elastic-net logistic regression on centred and scaled features."""
+    prep = prepare(fit, columns, scale=True)
+    clf = _logistic(label, weight, c, l1_ratio, fit.agg(F.sum(weight)).first()[0])
+    return prep, Pipeline(stages=[VectorAssembler(inputCols=prep.features, outputCol="features"), clf]).fit(prep.apply(fit))
+
+
+def fit_boosting(
+    fit: DataFrame, columns: Sequence[str], label: str, weight: str, rate: float, leaves: int, iterations: int = 200
+) -> tuple[Prepared, PipelineModel]:
+    """Gradient-boosted trees; leaves set the depth.  Missing values are imputed with an indicator, since the
+    library's trees do not take them natively."""
+    prep = prepare(fit, columns, scale=False)
+    clf = _boosting(label, weight, rate, leaves, iterations)
+    return prep, Pipeline(stages=[VectorAssembler(inputCols=prep.features, outputCol="features"), clf]).fit(prep.apply(fit))
 
 
 def score(df: DataFrame, model: tuple[Prepared, PipelineModel], out: str = "raw_probability") -> DataFrame:
@@ -155,22 +171,43 @@ def candidates(logit_grid: Sequence[tuple] = LOGIT_GRID, boost_grid: Sequence[tu
     return out
 
 
-def candidate_scores(
-    fit: DataFrame, val: DataFrame, candidate: tuple, receptor: str, predictors: Sequence[str], label: str, iterations: int = 200
-) -> DataFrame:
-    """Validation rows with the candidate's probability ``p``."""
+@dataclass(frozen=True)
+class Split:
+    """FIT and VALIDATION rows (receptor, y) of a fold and horizon, with assembled features, scaled and plain."""
+
+    fit: dict[bool, DataFrame]
+    val: dict[bool, DataFrame]
+
+
+def split_rows(rows: DataFrame, receptor: str, predictors: Sequence[str]) -> Split:
+    """Prepared once for all candidates, and written, so that every fit reads vectors only."""
+    prepare_checkpoints(rows.sparkSession)
+    parts = [rows.where(F.col("partition") == p) for p in ("FIT", "VALIDATION")]
+    scaled = prepare(parts[0], predictors, scale=True)
+    out: list[dict[bool, DataFrame]] = [{}, {}]
+    for scale, prep in ((True, scaled), (False, replace(scaled, moments={}))):
+        for i, part in enumerate(parts):
+            out[i][scale] = _assembled(prep, part.select(receptor, "y", *predictors)).select(receptor, "y", "features").checkpoint()
+    return Split(*out)
+
+
+def candidate_scores(split: Split, candidate: tuple, receptor: str, iterations: int = 200) -> DataFrame:
+    """Validation rows (receptor, y) with the candidate's probability ``p``."""
     _, family, weighting, params = candidate
+    scale = family == "LOGISTIC"
+    fit, val = split.fit[scale], split.val[scale]
     if family == "BASELINE":
         if params is None:
-            return val.withColumn("p", E.fit_climatology(fit, [], label).select("fit_climatology").scalar())
-        smooth = E.smoothed_climatology(fit, val, [], receptor, label, float(params))
-        return smooth.withColumnRenamed("probability", "p").drop("global_climatology")
+            out = val.withColumn("p", E.fit_climatology(fit, [], "y").select("fit_climatology").scalar())
+        else:
+            out = E.smoothed_climatology(fit, val, [], receptor, "y", float(params)).withColumnRenamed("probability", "p")
+        return out.select(receptor, "y", "p")
     rows = E.balance_weights(fit, [], receptor) if weighting == WEIGHTINGS[1] else fit.withColumn("weight", F.lit(1.0))
-    if family == "LOGISTIC":
-        model = fit_logistic(rows, predictors, label, "weight", *params)
+    if scale:
+        clf = _logistic("y", "weight", *params, rows.agg(F.sum("weight")).first()[0])
     else:
-        model = fit_boosting(rows, predictors, label, "weight", *params, iterations=iterations)
-    return score(val, model, "p")
+        clf = _boosting("y", "weight", *params, iterations)
+    return clf.fit(rows).transform(val).select(receptor, "y", vector_to_array("probability")[1].alias("p"))
 
 
 def benchmark(
@@ -182,33 +219,35 @@ def benchmark(
     configs: Sequence[tuple],
     label_name,
     iterations: int = 200,
+    threads: int = 4,
 ) -> DataFrame:
     """Validation metrics of every candidate x fold x horizon.
 
-    The driver loops over fits only.  Scores of all candidates are stacked and scored in one grouped pass.
+    The driver only starts fits, a few at a time; each writes its scores as a part of one table in the shared folder,
+    and the metrics of all come from one grouped pass over that table.
     """
+    spark = master.sparkSession
+    path = scratch_dir(spark, "scores")
     master = master.persist()
-    stacked: DataFrame | None = None
+    jobs = []
     for h in horizons:
-        y = label_name(h)
         for fold in folds:
-            rows = master.where((F.col("fold_id") == fold) & F.col(y).isNotNull()).withColumn("y", F.col(y).cast("double"))
-            fit, val = rows.where("partition = 'FIT'"), rows.where("partition = 'VALIDATION'")
-            for cand in configs:
-                p = candidate_scores(fit, val, cand, receptor, predictors, "y", iterations).select(
-                    F.lit(h).alias("horizon_hours"),
-                    F.lit(fold).alias("fold_id"),
-                    F.lit(cand[0]).alias("config_id"),
-                    F.lit(cand[1]).alias("family"),
-                    receptor,
-                    "y",
-                    "p",
-                )
-                stacked = p if stacked is None else stacked.unionByName(p)
+            y = F.col(label_name(h)).cast("double")
+            split = split_rows(master.where((F.col("fold_id") == fold) & y.isNotNull()).withColumn("y", y), receptor, predictors)
+            jobs += [(h, fold, split, c) for c in configs]
+    master.unpersist()
+
+    def run(job: tuple) -> None:
+        h, fold, split, c = job
+        named = [F.lit(h).alias("horizon_hours"), F.lit(fold).alias("fold_id"), F.lit(c[0]).alias("config_id"), F.lit(c[1]).alias("family")]
+        candidate_scores(split, c, receptor, iterations).select(*named, receptor, "y", "p").write.parquet(f"{path}/{h}-{fold}-{c[0]}")
+
+    with ThreadPoolExecutor(threads) as pool:
+        list(pool.map(run, jobs))
+    scores = spark.read.parquet(f"{path}/*")
     keys = ["horizon_hours", "fold_id", "config_id", "family"]
-    stacked = stacked.persist()  # keys, label and score only; read by cut points, micro and macro metrics
-    micro = E.probability_metrics(stacked, keys, "y", "p")
-    macro = E.macro_average_precision(stacked, keys, receptor, "y", "p")
+    micro = E.probability_metrics(scores, keys, "y", "p")
+    macro = E.macro_average_precision(scores, keys, receptor, "y", "p")
     return micro.join(macro, keys, "left")
 
 

@@ -8,7 +8,7 @@ from rainshed.operators import evaluate as E
 from rainshed.operators import labels as L
 from rainshed.operators import models as M
 from rainshed.plans import bindings as B
-from rainshed.plans.evaluation_queries import SQL_PRED, predictions
+from rainshed.plans.evaluation_queries import SQL_PRED, predictions, sql_metrics
 from rainshed.plans.operation_queries import PREDICTORS, master
 from rainshed.plans.registry import query
 
@@ -33,15 +33,38 @@ def logistic_scores(spark, sf):
 @query("E-04 E-21", "receptor_id:i issue_date:d y:i probability:f")
 def boosting_scores(spark, sf):
     fit, val = parts(spark, sf)
-    m = M.fit_boosting(fit, PREDICTORS, "y", "weight", 0.1, 15, iterations=20)
+    m = M.fit_boosting(fit, PREDICTORS, "y", "weight", 0.1, 15)
     return M.score(val, m, "probability")
 
 
-@query("E-05 L-03", "horizon_hours:i fold_id:s config_id:s family:s rows:i average_precision:f brier_score:f macro_average_precision:f")
+FOLDS, HORIZONS = [f[0] for f in B.FOLDS], [24, 48, 72]
+BENCH_OUT = "horizon_hours:i fold_id:s config_id:s family:s rows:i average_precision:f brier_score:f macro_average_precision:f"
+SQL_BASELINES = f"""{B.SQL_LABELS}, y AS (SELECT fold_id, receptor_id, partition, h, y FROM (SELECT fold_id, receptor_id, partition, unnest([24, 48, 72]) AS h,
+    unnest([label_extreme_within_24h, label_extreme_within_48h, label_extreme_within_72h]) AS y FROM labels) WHERE y IS NOT NULL),
+  g AS (SELECT h, fold_id, avg(y) AS g FROM y WHERE partition = 'FIT' GROUP BY 1, 2), r AS (SELECT h, fold_id, receptor_id, sum(y) AS s, count(*) AS n FROM y WHERE partition = 'FIT' GROUP BY 1, 2, 3),
+  v AS (SELECT y.*, g, coalesce(s, 0) AS s, coalesce(r.n, 0) AS k FROM y JOIN g USING (h, fold_id) LEFT JOIN r USING (h, fold_id, receptor_id) WHERE partition = 'VALIDATION'),
+  sc0 AS (SELECT h AS horizon_hours, fold_id, receptor_id, y, unnest(['B1_GLOBAL', 'B2_RECEPTOR_K50', 'B2_RECEPTOR_K200']) AS config_id, unnest([g, (s + 50 * g) / (k + 50), (s + 200 * g) / (k + 200)]) AS p0 FROM v),
+  sp AS (SELECT *, least(greatest(p0, 1e-8), 1 - 1e-8) AS p FROM sc0),
+  sc AS (SELECT horizon_hours, fold_id, config_id, p, count(*) AS n, count(*) FILTER (WHERE y = 1) AS pos FROM sp GROUP BY 1, 2, 3, 4),
+  sr AS (SELECT horizon_hours, fold_id, config_id, receptor_id, p, count(*) AS n, count(*) FILTER (WHERE y = 1) AS pos FROM sp GROUP BY 1, 2, 3, 4, 5)"""
+
+
+@query(
+    "E-05",
+    BENCH_OUT,
+    f"""WITH {SQL_BASELINES}, {sql_metrics('sc', 'horizon_hours, fold_id, config_id')}, {sql_metrics('sr', 'horizon_hours, fold_id, config_id, receptor_id', 'r_')},
+        m AS (SELECT horizon_hours, fold_id, config_id, avg(average_precision) FILTER (WHERE positives > 0 AND positives < rows) AS macro_average_precision FROM r_metrics GROUP BY 1, 2, 3)
+        SELECT *, 'BASELINE' AS family FROM metrics LEFT JOIN m USING (horizon_hours, fold_id, config_id)""",
+)
+def baseline_benchmark(spark, sf):
+    """The baselines of the benchmark in every fold and horizon."""
+    return M.benchmark(master(spark, sf), FOLDS, HORIZONS, "receptor_id", PREDICTORS, M.candidates((), ()), L.label_name)
+
+
+@query("E-05 L-03", BENCH_OUT)
 def candidate_benchmark(spark, sf):
-    """All baselines and one configuration per model family under each weighting."""
-    configs = M.candidates(M.LOGIT_GRID[:1], M.BOOST_GRID[:1])
-    return M.benchmark(master(spark, sf), ["F3"], [HOURS], "receptor_id", PREDICTORS, configs, L.label_name, iterations=5)
+    """Baselines and all logistic configurations under both weightings in every fold and horizon."""
+    return M.benchmark(master(spark, sf), FOLDS, HORIZONS, "receptor_id", PREDICTORS, M.candidates(M.LOGIT_GRID, ()), L.label_name)
 
 
 SQL_NEWTON = f"""{SQL_PRED}, z AS (SELECT y, ln(q / (1 - q)) AS z, count(*) AS w FROM (SELECT y, least(greatest(p, 1e-6), 1 - 1e-6) AS q FROM pred) GROUP BY 1, 2),
