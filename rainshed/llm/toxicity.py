@@ -69,18 +69,17 @@ def _grouped(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else np.zeros(0)
 
 
-def train(bags: list[list[list[int]]], labels: np.ndarray, width: int, params: Params) -> tuple[float, np.ndarray]:
-    """bags: for each document, for each sentence, feature numbers (repeats count).  Every sentence has a feature."""
-    counts = np.array([len(d) for d in bags])
+def train(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, width: int, params: Params) -> tuple[float, np.ndarray]:
+    """documents: feature numbers (repeats count) and how many of them each sentence has; no sentence is empty."""
+    counts = np.array([len(sizes) for _, sizes in documents])
     docs = np.flatnonzero(counts)
     y = labels[docs]
-    flat = [s for d in bags for s in d]
-    sizes = np.array([len(s) for s in flat])
-    ids = np.concatenate([np.asarray(s, dtype=np.int64) for s in flat])
-    starts, owner = np.r_[0, np.cumsum(sizes)[:-1]], np.repeat(np.arange(len(flat)), sizes)
+    ids = np.concatenate([ids for ids, _ in documents]).astype(np.int64)
+    sizes = np.concatenate([sizes for _, sizes in documents]).astype(np.int64)
+    starts, owner = np.r_[0, np.cumsum(sizes)[:-1]], np.repeat(np.arange(len(sizes)), sizes)
     first, of = np.r_[0, np.cumsum(counts[docs])[:-1]], np.repeat(np.arange(len(docs)), counts[docs])
     prior = min(max(y.mean(), 0.01), 0.99)
-    bias = float(np.log(1 / max((1 - prior) ** (-len(docs) / len(flat)) - 1, 1e-6)) * -1)
+    bias = float(np.log(1 / max((1 - prior) ** (-len(docs) / len(sizes)) - 1, 1e-6)) * -1)
     w, square, square_bias = np.zeros(width), np.full(width, 1e-8), 1e-8
     for _ in range(params.steps):
         z = np.clip(bias + _grouped(w[ids], starts), -30, 30)
@@ -119,14 +118,20 @@ def fit(documents: DataFrame, labels: DataFrame, params: Params = Params(), part
         return Model(float(np.log(prior / (1 - prior))) if len(share) == 1 else -3.0, {}, params.longest, prior if total else 0.0)
     number = {f: i for i, f in enumerate(names)}
 
-    @pandas_udf("array<array<int>>")
-    def numbered(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @pandas_udf("ids binary, sizes binary")
+    def numbered(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            bags = [[[number[f] for x in sorted(w) for f in features(x) if f in number] for _, _, w in sentences(t, params.longest)] if t else [] for t in s]
-            yield pd.Series([[x for x in bag if x] for bag in bags])
-
-    bags = sorted(sample.select("id", "label", numbered("text").alias("bag")).collect())
-    bias, w = train([r.bag for r in bags], np.array([r.label for r in bags], dtype=float), len(names), params)
+            out = []
+            for t in s:
+                bags = [[number[f] for x in sorted(w) for f in features(x) if f in number] for _, _, w in sentences(t or "", params.longest)]
+                bags = [x for x in bags if x]
+                ids = np.array([i for x in bags for i in x], dtype=np.int32)
+                out.append((ids.tobytes(), np.array([len(x) for x in bags], dtype=np.int32).tobytes()))
+            yield pd.DataFrame(out, columns=["ids", "sizes"])
+
+    rows = sorted(sample.select("id", "label", numbered("text").alias("d")).collect(), key=lambda r: (r.id, r.label, bytes(r.d.ids)))
+    documents = [(np.frombuffer(r.d.ids, dtype=np.int32), np.frombuffer(r.d.sizes, dtype=np.int32)) for r in rows]
+    bias, w = train(documents, np.array([r.label for r in rows], dtype=float), len(names), params)
     return Model(bias, {f: float(w[i]) for f, i in number.items() if w[i]}, params.longest, 0.0)
 
 
