@@ -68,7 +68,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, parts:
     return texts.join(F.broadcast(chosen), "id").withColumn("part", F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(1000)) / 1000.0)
 
 
-def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Cut the batches that go to Python workers by bytes as well as by rows: memory stays bounded with long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 

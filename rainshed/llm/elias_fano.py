@@ -21,26 +21,14 @@ class Bits:
 
     def __init__(self, packed: np.ndarray):
         self.packed = packed
-        words = packed.reshape(-1, 8)
-        ones = _ONES[words].sum(axis=1)
-        self.ones = np.r_[0, np.cumsum(ones)]
-        self.zeros = np.arange(len(self.ones)) * 64 - self.ones
+        self.ones = np.r_[0, np.cumsum(_ONES[packed])].astype(np.int32)
+        self.zeros = (np.arange(len(self.ones)) * 8 - self.ones).astype(np.int32)
 
     def place(self, k: np.ndarray, one: bool) -> np.ndarray:
         counts = self.ones if one else self.zeros
-        word = np.searchsorted(counts, k, side="right") - 1
-        left = k - counts[word]
-        out, todo = np.zeros(len(k), dtype=np.int64), np.ones(len(k), dtype=bool)
-        for j in range(8):
-            byte = self.packed[word * 8 + j]
-            if not one:
-                byte = ~byte
-            n = _ONES[byte]
-            here = todo & (left < n)
-            out[here] = word[here] * 64 + j * 8 + _PLACE[byte[here], left[here]]
-            todo &= ~here
-            left = np.where(todo, left - n, left)
-        return out
+        at = np.searchsorted(counts, k.astype(np.int32), side="right") - 1
+        byte = self.packed[at] if one else ~self.packed[at]
+        return at * 8 + _PLACE[byte, k - counts[at]]
 
 
 class EliasFano:
@@ -57,7 +45,7 @@ class EliasFano:
         low_bits = max(0, int(universe // max(n, 1)).bit_length() - 1)
         kind = np.uint8 if low_bits <= 8 else np.uint16 if low_bits <= 16 else np.uint32 if low_bits <= 32 else np.uint64
         low = (values & ((1 << low_bits) - 1)).astype(kind)
-        size = (n + (universe >> low_bits) + 2 + 63) // 64 * 64
+        size = (n + (universe >> low_bits) + 2 + 7) // 8 * 8
         bits = np.zeros(size, dtype=np.uint8)
         bits[(values >> low_bits) + np.arange(n)] = 1
         return n, low_bits, low, np.packbits(bits, bitorder="little")

@@ -190,14 +190,18 @@ class Level:
         """Place of the child among the successors of the node, -1 if it is none."""
         if not len(node) or not self.numbers.n:
             return np.full(len(node), -1, dtype=np.int64)
-        begin, end = self.pointers.access(node), self.pointers.access(node + 1)
-        value = child + self.base.access(node)
+        heads = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])  # each run of a node is looked up once
+        times = np.diff(np.r_[heads, len(node)])
+        begin, end = self.pointers.access(node[heads]), self.pointers.access(node[heads] + 1)
+        base = self.base.access(node[heads])
+        begin, end, base = (np.repeat(x, times) for x in (begin, end, base))
         out = np.full(len(node), -1, dtype=np.int64)
         some = np.flatnonzero(begin < end)
-        at = self.numbers.successor(value[some], begin[some], end[some])
+        value = child[some] + base[some]
+        at = self.numbers.successor(value, begin[some], end[some])
         inside = at < end[some]
         hit = np.zeros(len(some), dtype=bool)
-        hit[inside] = self.numbers.access(at[inside]) == value[some][inside]
+        hit[inside] = self.numbers.access(at[inside]) == value[inside]
         out[some[hit]] = at[hit]
         return out
 
@@ -225,7 +229,7 @@ class Model:
 
 def fit(training: DataFrame, params: Params = Params()) -> tuple[Model, DataFrame]:
     """The model, and the table (key, c) of all words.  ``training`` needs a column text; null is an empty text."""
-    bounded_batches(training.sparkSession)
+    bounded_batches(training.sparkSession, 4 << 20)
     counts = written(word_counts(training, params), "words")
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     keys, c1 = _arrays(counts.where(F.col("c") >= max(1.0, params.words * total)), "key")
@@ -332,7 +336,7 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     Without training tokens every score is that of an unknown word each.  Repeated rows and ids are rows of their own.
     """
     spark = documents.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 4 << 20)
     shared = spark.sparkContext.broadcast(model)
 
     def known(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
