@@ -1,15 +1,19 @@
 """Language-model scores from an n-gram trie in Elias-Fano form with quantised back-off probabilities.
 
-Counting covers all training documents, by Spark, in three passes: words, pairs, triples.  A word is known to Spark by a
-62-bit hash of its bytes.  The trie keeps the n-grams whose relative frequency reaches a threshold.  As frequencies add
-up to one, that bounds each level by 1 / threshold entries on any corpus (``Params``), so the trie may be broadcast;
-workers map it into memory from an unlinked file.  All other words keep exact counts in a table and meet the documents
-in a join; none of them is frequent, so no key of that join is hot.
+Counting covers all training documents and the whole vocabulary, by Spark, in two passes: words; pairs and triples.  A
+word is known to Spark by a 62-bit hash of its bytes, a longer n-gram by a 63-bit hash of its parts.  Every pair and
+triple of a fixed count or more is kept, in a table that grows with the corpus.  The frequent ones (``Params``; as
+frequencies add up to one, their number is bounded on any corpus) are also broadcast as a trie; workers map it into
+memory from an unlinked file.  All others meet the documents in a join; none of them is frequent, so no key is hot.
 
-Model: P(w | v u) is (c(v u w) - D) / c(v u) for a triple of the trie, else the back-off weight of (v u) times
+Model: P(w | v u) is (c(v u w) - D) / c(v u) for a kept triple, else the back-off weight of (v u) times
 P(w | u); P(w | u) likewise down to P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).  A weight is what the kept continuations
 leave, over what the shorter context gives all others, so the probabilities of a context add up to one.
 
+The log of a document's score is a sum over its n-grams, each with a value of its own: a word brings log P(w) and its
+weight as a context; a kept pair or triple what it adds to the backed-off log, and the weight of the pair.  The end is
+never a context.  So an n-gram is looked up alone, wherever its entry is.
+
 Trie: level 1 has the words by rank of count; level 2 the successors of each word, level 3 those of each pair.  The
 first successor's place of each node is a monotone sequence; the successors' numbers are made monotone by adding the
 last number of the node before, and are found by a successor search relative to it.
@@ -29,6 +33,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from rainshed.llm.common import bounded_batches, fold, word_list, written
 from rainshed.llm.elias_fano import Codebook, EliasFano
@@ -40,12 +46,16 @@ ADD = 0.1
 
 @dataclass(frozen=True)
 class Params:
-    """Relative frequencies from which on words are broadcast, words take part in longer n-grams, and those are kept.
-    Each bounds what it keeps by its inverse.  ``memory``: words that a counting task holds before it hands them on."""
+    """Relative frequencies from which on words, the words of the trie's longer n-grams, and those are broadcast
+    (``words``, ``parts``, ``trie``).  Each bounds what is broadcast by its inverse and cuts nothing from the model.
+    Pairs and triples are kept from ``least`` occurrences on, and from the relative frequency ``grams`` if that is set.
+    ``memory``: words that a counting task holds before it hands them on."""
 
     words: float = 2.0**-20
     parts: float = 2.0**-18
-    grams: float = 2.0**-21
+    trie: float = 2.0**-21
+    least: int = 2
+    grams: float = 0.0
     discount: float = 0.5
     memory: int = 400_000
 
@@ -109,7 +119,7 @@ def word_counts(training: DataFrame, params: Params) -> DataFrame:
 
 
 def _pairs(codes: np.ndarray, firsts: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose token and the one before it are both parts of longer n-grams, in one document; and the pair."""
+    """Positions whose token and the one before it are both words of the trie's pairs, in one document; and the pair."""
     inner = codes < parts
     both = np.zeros(len(codes), dtype=bool)
     both[1:] = inner[1:] & inner[:-1]
@@ -118,40 +128,43 @@ def _pairs(codes: np.ndarray, firsts: np.ndarray, parts: int) -> tuple[np.ndarra
     return at, codes[at - 1] * parts + codes[at]
 
 
-def gram_counts(training: DataFrame, keys: np.ndarray, parts: int, level2, params: Params) -> DataFrame:
-    """(gram, c): counts of pairs first * parts + second, or with ``level2`` of triples pair number * parts + third."""
-    sc = training.sparkSession.sparkContext
-    shared = sc.broadcast((keys, level2))
+def gram_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A negative number from two: the pair of two words, or the triple of two pairs that share a word."""
+    x = np.ascontiguousarray(a, dtype=np.int64).view(np.uint64)
+    for y in (0, np.ascontiguousarray(b, dtype=np.int64).view(np.uint64)):
+        x = x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019) + y
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = x ^ (x >> np.uint64(31))
+    return (x | np.uint64(1 << 63)).view(np.int64)
+
+
+def _grams(keys: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair that ends at each token (0 at the first of a document); positions at which pairs and triples end."""
+    n = len(keys)
+    old = np.ones(n, dtype=bool)
+    old[firsts] = False
+    at2 = np.flatnonzero(old)
+    pair = np.zeros(n, dtype=np.int64)
+    pair[at2] = gram_key(keys[at2 - 1], keys[at2])
+    return pair, at2, at2[old[at2 - 1]]
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, pairs = shared.value
-        coder = Coder(own)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            grams, back = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-            return grams, np.bincount(back, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+def gram_counts(training: DataFrame) -> DataFrame:
+    """(a, b, c): counts of all pairs of words, and of all triples as pairs of pairs, which are negative."""
 
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = Coder(np.zeros(0, dtype=np.int64))
         for frame in frames:
-            codes, firsts = coder.codes(frame["text"])
-            at, grams = _pairs(codes, firsts, parts)
-            if pairs is not None:
-                number = np.full(len(codes), -1, dtype=np.int64)
-                number[at] = _find(pairs, grams)
-                before = number[at - 1]
-                before[np.isin(at - 1, firsts)] = -1
-                grams = (before * parts + codes[at])[(before >= 0) & (number[at] >= 0)]
-            held.append(np.unique(grams, return_counts=True))
-            if sum(len(g) for g, _ in held) > 1_000_000:
-                held = [merged()]
-                if len(held[0][0]) > 1_000_000:
-                    yield pd.DataFrame({"gram": held[0][0], "c": held[0][1]})
-                    held = []
-        if held:
-            grams, counts = merged()
-            yield pd.DataFrame({"gram": grams, "c": counts})
-
-    return training.select("text").mapInPandas(count, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
+            keys, firsts = coder.codes(frame["text"])
+            pair, at2, at3 = _grams(keys, firsts)
+            for at, of in ((at2, keys), (at3, pair)):
+                a, b = of[at - 1], of[at]
+                _, first, c = np.unique(pair[at] if of is keys else gram_key(a, b), return_index=True, return_counts=True)
+                yield pd.DataFrame({"a": a[first], "b": b[first], "c": c})
+
+    rows = training.select("text").mapInPandas(count, "a bigint, b bigint, c bigint")
+    return rows.groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
 def _find(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -162,14 +175,6 @@ def _find(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(ordered[at] == values, at, -1)
 
 
-def _arrays(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of bounded number, ordered by key."""
-    frame = rows.toPandas()
-    k, c = frame[key].to_numpy(dtype=np.int64), frame["c"].to_numpy(dtype=np.int64)
-    order = np.argsort(k)
-    return k[order], c[order]
-
-
 def level(parents: np.ndarray, children: np.ndarray, nodes: int, width: int) -> tuple:
     """Pointers and numbers of a level in Elias-Fano form; parents ascend, children ascend within a parent."""
     starts = np.searchsorted(parents, np.arange(nodes + 1))
@@ -206,11 +211,15 @@ class Level:
         return out
 
 
-def _weights(parents: np.ndarray, kept: np.ndarray, shorter: np.ndarray, nodes: int) -> np.ndarray:
-    """log10 of what the continuations of each node leave, over what the shorter context gives all others."""
-    left = 1 - np.bincount(parents, weights=kept, minlength=nodes)
-    rest = 1 - np.bincount(parents, weights=shorter, minlength=nodes)
-    return np.log10(np.clip(left, 1e-6, 1) / np.clip(rest, 1e-6, 1))
+def _weight(kept: str, shorter: str):
+    """log10 of what the continuations of a context leave, over what the shorter context gives all others."""
+    left, rest = (F.greatest(1 - F.sum(c), F.lit(1e-6)) for c in (kept, shorter))
+    return F.log10(F.least(left, F.lit(1.0)) / F.least(rest, F.lit(1.0)))
+
+
+@pandas_udf(LongType())
+def _gram_column(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(gram_key(a.to_numpy(), b.to_numpy()))
 
 
 @dataclass(frozen=True)
@@ -227,33 +236,71 @@ class Model:
         return self.total + ADD * (self.types + 1)
 
 
+def values(counts: DataFrame, grams: DataFrame, floor: float, discount: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, c, v) of words: count and weight as a context; (key, a, b, c, v) of pairs and of triples: what each adds."""
+    word = (F.col("c") + ADD) / F.lit(float(floor))
+    first, second = counts.select(F.col("key").alias("a"), F.col("c").alias("ca")), counts.select(F.col("key").alias("b"), word.alias("shorter"))
+    two = grams.where("a > 0").join(first, "a").join(second, "b")
+    two = written(two.select(_gram_column("a", "b").alias("key"), "a", "b", "c", ((F.col("c") - discount) / F.col("ca")).alias("p"), "shorter"), "pairs")
+    first, second = two.select(F.col("key").alias("a"), F.col("c").alias("ca")), two.select(F.col("key").alias("b"), F.col("p").alias("shorter"))
+    three = grams.where("a < 0").join(first, "a").join(second, "b")
+    three = written(three.select(_gram_column("a", "b").alias("key"), "a", "b", "c", ((F.col("c") - discount) / F.col("ca")).alias("p"), "shorter"), "triples")
+    of1, of2 = (x.groupBy("a").agg(_weight("p", "shorter").alias("weight")) for x in (two, three))
+    added = F.log10("p") - F.col("weight") - F.log10("shorter")
+    weight = F.coalesce("weight", F.lit(0.0))
+    words = counts.join(of1.withColumnRenamed("a", "key"), "key", "left").select("key", "c", weight.alias("v"))
+    pairs = two.join(of1, "a").select("key", "a", "b", "c", added.alias("d")).join(of2.withColumnRenamed("a", "key"), "key", "left")
+    triples = three.join(of2, "a").select("key", "a", "b", "c", added.alias("v"))
+    return words, pairs.select("key", "a", "b", "c", (F.col("d") + weight).alias("v")), triples
+
+
 def fit(training: DataFrame, params: Params = Params()) -> tuple[Model, DataFrame]:
-    """The model, and the table (key, c) of all words.  ``training`` needs a column text; null is an empty text."""
+    """The model's frequent part, and the table (key, a, b, c, v) of all words, pairs and triples; a is null for words.
+    ``training`` needs a column text; null is an empty text."""
     bounded_batches(training.sparkSession, 4 << 20)
     counts = written(word_counts(training, params), "words")
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    keys, c1 = _arrays(counts.where(F.col("c") >= max(1.0, params.words * total)), "key")
+    least = max(params.least, int(np.ceil(params.grams * total)))
+    grams = written(gram_counts(training).where(F.col("c") >= least), "grams")
+    floor = total + ADD * (types + 1)
+    words, pairs, triples = values(counts, grams, floor, params.discount)
+    none = F.lit(None).cast("bigint")
+    table = words.select("key", none.alias("a"), none.alias("b"), "c", "v").unionAll(pairs).unionAll(triples)
+    table = written(table, "model")
+
+    def frequent(condition: str, share: float) -> pd.DataFrame:
+        """Entries of bounded number."""
+        return table.where(condition).where(F.col("c") >= max(1.0, share * total)).toPandas()
+
+    top = frequent("a IS NULL", params.words)
+    keys, c1, v1 = top["key"].to_numpy(np.int64), top["c"].to_numpy(np.int64), top["v"].to_numpy(float)
     order = np.lexsort((keys, -c1))
-    keys, c1 = keys[order], c1[order]
+    keys, c1, v1 = keys[order], c1[order], v1[order]
     parts = max(1, int((c1 >= params.parts * total).sum()))
-    least = max(2, int(np.ceil(params.grams * total)))
-    g2, c2 = _arrays(gram_counts(training, keys, parts, None, params).where(F.col("c") >= least), "gram")
-    g3, c3 = _arrays(gram_counts(training, keys, parts, g2, params).where(F.col("c") >= least), "gram")
-    p1 = (c1 + ADD) / (total + ADD * (types + 1)) if len(c1) else np.zeros(0)
-    u, w = g2 // parts, g2 % parts
-    p2 = (c2 - params.discount) / c1[u] if len(g2) else np.zeros(0)
-    node, x = g3 // parts, g3 % parts
-    p3 = (c3 - params.discount) / c2[node] if len(g3) else np.zeros(0)
-    below = _find(g2, w[node] * parts + x) if len(g3) else np.zeros(0, dtype=np.int64)
-    shorter = np.where(below >= 0, p2[below], 0.0) if len(g3) else np.zeros(0)
-    b1 = _weights(u, p2, p1[w] if len(g2) else np.zeros(0), parts)
-    b2 = _weights(node, p3, shorter, len(g2)) if len(g2) else np.zeros(0)
+    ranks = np.argsort(keys[:parts])
+
+    def place(sorted_keys: np.ndarray, at: np.ndarray, values: pd.Series) -> np.ndarray:
+        found = _find(sorted_keys, values.to_numpy(np.int64))
+        return np.where(found >= 0, at[found], -1) if len(at) else found
+
+    two = frequent("a > 0", params.trie)
+    u, w = (place(keys[:parts][ranks], ranks, two[c]) for c in ("a", "b"))
+    inner = np.flatnonzero((u >= 0) & (w >= 0))
+    inner = inner[np.lexsort((w[inner], u[inner]))]
+    u, w, g2, v2 = u[inner], w[inner], two["key"].to_numpy(np.int64)[inner], two["v"].to_numpy(float)[inner]
+    three = frequent("a < 0", params.trie)
+    ranks = np.argsort(g2)
+    node, last = (place(g2[ranks], ranks, three[c]) for c in ("a", "b"))
+    inner = np.flatnonzero((node >= 0) & (last >= 0))
+    node, x, v3 = node[inner], w[last[inner]], three["v"].to_numpy(float)[inner]
+    order = np.lexsort((x, node))
+    node, x, v3 = node[order], x[order], v3[order]
     levels = {
-        "one": (Codebook.encode(np.log10(p1)), Codebook.encode(b1)),
-        "two": (level(u, w, parts, parts), Codebook.encode(np.log10(p2)), Codebook.encode(b2)),
-        "three": (level(node, x, len(g2), parts), Codebook.encode(np.log10(p3))),
+        "one": (Codebook.encode(np.log10((c1 + ADD) / floor)), Codebook.encode(v1)),
+        "two": (level(u, w, parts, parts), Codebook.encode(v2)),
+        "three": (level(node, x, len(g2), parts), Codebook.encode(v3)),
     }
-    return Model(keys, c1, parts, total, types, pickle.dumps(levels, protocol=5)), counts
+    return Model(keys, c1, parts, total, types, pickle.dumps(levels, protocol=5)), table
 
 
 def mapped(stored: bytes) -> dict:
@@ -293,51 +340,41 @@ class Trie:
         levels = mapped(model.stored)
         self.parts = model.parts
         (self.book1, self.prob1), (self.bookb1, self.back1) = levels["one"]
-        two, (self.book2, self.prob2), (self.bookb2, self.back2) = levels["two"]
-        three, (self.book3, self.prob3) = levels["three"]
+        two, (self.book2, self.value2) = levels["two"]
+        three, (self.book3, self.value3) = levels["three"]
         self.two, self.three = Level(two), Level(three)
 
-    def scores(self, codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token, without log10 P(w) of a rare word that is backed off to."""
-        n = len(codes)
-        start = np.zeros(n, dtype=bool)
-        start[firsts] = True
+    def scores(self, codes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sum of the values of the trie's n-grams that end at each token; places of the pair and of the triple that end
+        there, -1 where the trie has none."""
+        out = np.zeros(len(codes))
         frequent = codes < len(self.prob1)
-        out = np.zeros(n)
-        out[frequent] = self.book1[self.prob1[codes[frequent]]]
-        # first the shorter context: a pair of the trie, or the weight of the word before
-        prior = np.zeros(n, dtype=bool)
-        prior[1:] = (codes[:-1] < self.parts) & ~start[1:]
-        at = np.flatnonzero(prior)
-        out[at] += self.bookb1[self.back1[codes[at - 1]]]
-        pair = np.full(n, -1, dtype=np.int64)
+        own = codes[frequent]
+        out[frequent] = self.book1[self.prob1[own]] + self.bookb1[self.back1[own]]
+        pair, triple = np.full((2, len(codes)), -1, dtype=np.int64)
         at, grams = _pairs(codes, firsts, self.parts)
         distinct, back = np.unique(grams, return_inverse=True)
         pair[at] = self.two.find(distinct // self.parts, distinct % self.parts)[back]
         hit = np.flatnonzero(pair >= 0)
-        out[hit] = self.book2[self.prob2[pair[hit]]]
-        # then the longer one
-        long = np.zeros(n, dtype=bool)
-        long[1:] = (pair[:-1] >= 0) & ~start[1:]
-        at = np.flatnonzero(long)
-        triple = np.full(len(at), -1, dtype=np.int64)
-        inner = codes[at] < self.parts
-        triple[inner] = self.three.find(pair[at - 1][inner], codes[at][inner])
-        got = triple >= 0
-        out[at[got]] = self.book3[self.prob3[triple[got]]]
-        missed = at[~got]
-        out[missed] += self.bookb2[self.back2[pair[missed - 1]]]
-        return out
+        out[hit] += self.book2[self.value2[pair[hit]]]
+        at = hit[pair[hit - 1] >= 0]  # a document's first token ends no pair
+        triple[at] = self.three.find(pair[at - 1], codes[at])
+        hit = at[triple[at] >= 0]
+        out[hit] += self.book3[self.value3[triple[hit]]]
+        return out, pair, triple
 
 
-def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(documents: DataFrame, model: Model, table: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; a null or empty text is the end alone.
 
     Without training tokens every score is that of an unknown word each.  Repeated rows and ids are rows of their own.
+    A document's row and the n-grams of it that are not broadcast go through one join with the table; the document's
+    key there is its row's number, which is nobody else's.
     """
     spark = documents.sparkSession
     bounded_batches(spark, 4 << 20)
     shared = spark.sparkContext.broadcast(model)
+    names = ["row", "key", "times", "doc_id", "none", "known", "base", "lm"]
 
     def known(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -351,49 +388,41 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             frequent = codes < RARE
             base = np.zeros(len(codes))
             base[frequent] = exact[codes[frequent]]
-            lm = trie.scores(codes, firsts)
-            row = np.repeat(np.arange(len(frame)), sizes)
-            at = np.flatnonzero(~frequent)
-            order = at[np.lexsort((codes[at], row[at]))]
-            new = np.r_[True, (codes[order][1:] != codes[order][:-1]) | (row[order][1:] != row[order][:-1])] if len(order) else np.zeros(0, dtype=bool)
-            heads = np.flatnonzero(new)
-            times = np.diff(np.r_[heads, len(order)])
-            owner, words = row[order][heads], codes[order][heads]
-            cut = np.searchsorted(owner, np.arange(len(frame) + 1))
-            yield pd.DataFrame(
-                {
-                    "doc_id": frame["doc_id"],
-                    "n_tokens": sizes,
-                    "n_known": np.add.reduceat(frequent.astype(np.int64), firsts),
-                    "base": np.add.reduceat(base, firsts),
-                    "lm": np.add.reduceat(lm, firsts),
-                    "rare": [words[a:b] for a, b in zip(cut[:-1], cut[1:])],
-                    "times": [times[a:b] for a, b in zip(cut[:-1], cut[1:])],
-                }
-            )
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        known, "doc_id bigint, n_tokens bigint, n_known bigint, base double, lm double, rare array<bigint>, times array<int>"
-    )
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    few = rows.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
-    joined = few.join(counts, "key", "left")
-    logp = F.log10((F.coalesce("c", F.lit(0)) + F.lit(ADD)) / F.lit(float(model.floor or 1.0)))
-    sums = joined.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(logp * F.col("times")).alias("log"))
-    out = rows.drop("rare", "times").join(sums, "row", "left")
-    extra = F.coalesce("log", F.lit(0.0))
-    return out.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + extra).alias("base_score"),
-        (F.col("lm") + extra).alias("score"),
+            keys = codes.copy()
+            keys[frequent] = m.keys[codes[frequent]]
+            lm, in2, in3 = trie.scores(codes, firsts)
+            number = frame["row"].to_numpy(np.int64)
+            sums = [np.add.reduceat(x, firsts) for x in (frequent.astype(np.int64), base, lm)]
+            yield pd.DataFrame(dict(zip(names, [number, number, sizes, frame["doc_id"], frame["none"], *sums])))
+            pair, at2, at3 = _grams(keys, firsts)
+            at1, at2, at3 = np.flatnonzero(~frequent), at2[in2[at2] < 0], at3[in3[at3] < 0]
+            wanted = np.concatenate([keys[at1], pair[at2], gram_key(pair[at3 - 1], pair[at3])])
+            row = np.repeat(number, sizes)[np.concatenate([at1, at2, at3])]
+            _, first, times = np.unique(gram_key(row, wanted), return_index=True, return_counts=True)
+            for i in range(0, len(first), 200_000):
+                f = first[i : i + 200_000]
+                yield pd.DataFrame(dict(zip(names, [row[f], wanted[f], times[i : i + 200_000], 0, False, 0, 0.0, 0.0])))
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("row", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
+    rows = rows.mapInPandas(known, "row bigint, key bigint, times bigint, doc_id bigint, none boolean, known bigint, base double, lm double")
+    joined = rows.join(table.select("key", F.col("c"), "v"), "key", "left")
+    head, word = (F.col("key") >= 0) & (F.col("key") < RARE), F.col("key") >= RARE
+    joined = joined.where((F.col("key") >= 0) | F.col("v").isNotNull())
+    logp = F.log10((F.coalesce("c", F.lit(0)) + F.lit(ADD)) / F.lit(float(model.floor or 1.0))) * F.col("times")
+    more = F.coalesce("v", F.lit(0.0)) * F.col("times")
+    out = joined.groupBy("row").agg(
+        F.max(F.when(head & ~F.col("none"), F.col("doc_id"))).alias("doc_id"),
+        F.sum(F.when(head, F.col("times")).otherwise(0)).alias("n_tokens"),
+        F.sum(F.when(word & (F.col("c") > 0), F.col("times")).otherwise(F.col("known"))).alias("n_known"),
+        F.sum(F.when(word, logp).otherwise(F.col("base"))).alias("base_score"),
+        F.sum(F.when(word, logp + more).when(head, F.col("lm")).otherwise(more)).alias("score"),
     )
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def held_out_scores(documents: DataFrame, parts: int = 10, held: int = 0, params: Params = Params()) -> DataFrame:
     """Learns from the documents whose fold is not ``held`` and scores all."""
-    model, counts = fit(documents.where(fold(F.col("doc_id"), parts) != held), params)
-    scored = score(documents, model, counts)
+    model, table = fit(documents.where(fold(F.col("doc_id"), parts) != held), params)
+    scored = score(documents, model, table)
     return scored.withColumn("held_out", fold(F.col("doc_id"), parts) == held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

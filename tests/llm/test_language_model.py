@@ -103,3 +103,20 @@ def test_odd_rows_and_empty_tables(spark, odd, odd_rows, empty):
 def test_repeated_text_scores_better_than_words_alone(spark):
     out = M.held_out_scores(read(spark, "/root/testdata/sf0.001", "documents")).agg({"score": "sum", "base_score": "sum"}).first()
     assert out["sum(score)"] > out["sum(base_score)"]
+
+
+def test_every_pair_and_triple_of_two_occurrences_counts(spark):
+    """Words, pairs and triples far below what is broadcast have the model's probabilities all the same."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"c{x}" for x in rng.integers(0, 5, 30)) for _ in range(60)]
+    texts += ["a rare line of words", "a rare line of words again", "line of others", "A rare line of words", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, table = M.fit(docs.where("doc_id < 63"), M.Params(words=1 / 50, parts=1 / 50, trie=1 / 100))
+    want, _ = plain_scores(texts[:63], texts, 2, 0.5)
+    rows = {r.doc_id: r for r in M.score(docs, model, table).collect()}
+    assert model.parts <= 6
+    for i, (tokens, known, base, lm) in enumerate(want):
+        assert (rows[i].n_tokens, rows[i].n_known) == (tokens, known)
+        assert rows[i].base_score == pytest.approx(base, abs=1e-6)
+        assert rows[i].score == pytest.approx(lm, abs=0.02 * tokens + 0.02)
+    assert M.Params().least == 2 and M.Params().grams == 0
