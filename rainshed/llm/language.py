@@ -24,12 +24,11 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class Params:
-    """The fit reads about ``most_rows`` documents of a language, ``head`` characters of each, ``dictionary_bytes`` in
-    all.  A prediction is accepted if the second-best size exceeds the best by the share ``margin`` at least."""
+    """The fit learns the first ``head`` characters of about ``most_rows`` documents of a language, all of them: that
+    bounds a dictionary.  Equal texts of the sample count once.  A prediction is accepted if the second-best size exceeds the best by the share ``margin`` at least."""
 
     most_rows: int = 600
     head: int = 1024
-    dictionary_bytes: int = 65_536
     level: int = 5
     margin: float = 0.02
 
@@ -46,17 +45,17 @@ def letters(text: str) -> bytes:
 
 
 def fit(documents: DataFrame, params: Params = Params()) -> Model:
-    """One dictionary for each non-null lang of ``documents``; the sample is chosen by a hash of the id."""
+    """One dictionary for each non-null lang of ``documents``; the sample is chosen and ordered by hashes of the id."""
     known = documents.where("lang IS NOT NULL AND text IS NOT NULL")
     rate = F.lit(0.0)
     for lang, n in known.groupBy("lang").count().collect():
         rate = F.when(F.col("lang") == lang, params.most_rows / n).otherwise(rate)
-    few = known.where(share(F.col("doc_id")) < rate).select("lang", F.substring("text", 1, params.head).alias("text"))
-    texts: dict[str, list[bytes]] = defaultdict(list)
+    few = known.where(share(F.col("doc_id")) < rate)
+    few = few.select(F.xxhash64("doc_id").alias("h"), "lang", F.substring("text", 1, params.head).alias("text"))
+    texts: dict[str, dict[bytes, None]] = defaultdict(dict)
     for row in sorted(few.collect()):
-        texts[row.lang].append(letters(row.text))
-    each = {k: max(1, params.dictionary_bytes // max(len(v), 1)) for k, v in texts.items()}
-    joined = {k: b" ".join(x[: max(each[k], 256)] for x in v)[: params.dictionary_bytes] for k, v in texts.items()}
+        texts[row.lang][letters(row.text)] = None
+    joined = {k: b" ".join(v) for k, v in texts.items()}
     return Model(tuple(sorted(joined.items())), params.level, params.margin)
 
 

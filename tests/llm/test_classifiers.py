@@ -79,3 +79,14 @@ def test_narrow_margins_are_not_accepted(spark):
     model = language.Model((("a", b"some words in one language here"), ("b", b"some words in one language here")), 5, 0.02)
     lang, score, accepted = language.classifier(model)("some words")
     assert (lang, score, accepted) == ("a", 0.0, False)
+
+
+def test_every_text_of_the_language_sample_is_learned(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(3000)]
+    texts = [(i, "xx", " ".join(words[5 * i : 5 * i + 5]) + " and so on" * 90) for i in range(500)]
+    texts += [(1000 + i, "xx", "a copy of one text") for i in range(90)]
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    content = dict(language.fit(docs).dictionaries)["xx"]
+    assert all(language.letters(t[:1024]) in content for _, _, t in texts)
+    assert content.count(b"a copy of one text") == 1
