@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from rainshed.operators import evaluate as E
@@ -11,33 +13,46 @@ from rainshed.plans import bindings as B
 from rainshed.plans.evaluation_queries import SQL_PRED, predictions, sql_metrics
 from rainshed.plans.operation_queries import PREDICTORS, master
 from rainshed.plans.registry import query
+from rainshed.sources.integrity import scratch_dir
 
-FOLD, HOURS = "F3", 72
-Y = L.label_name(HOURS)
+FOLDS, HORIZONS = [f[0] for f in B.FOLDS], [24, 48, 72]
 STATIC = [p for p in PREDICTORS if p.startswith("static__")]
 
 
-def parts(spark, sf):
-    rows = master(spark, sf).where((F.col("fold_id") == FOLD) & F.col(Y).isNotNull()).withColumn("y", F.col(Y).cast("double"))
-    rows = rows.withColumn("weight", F.lit(1.0)).persist()
-    return rows.where("partition = 'FIT'"), rows.where("partition = 'VALIDATION'")
+def every_part(spark, sf, name, of, threads=4):
+    """``of`` the FIT and the VALIDATION rows of every fold and horizon, in one table with fold_id and horizon_hours.
+
+    The panel is written once, so that a fit's plans are short.  The driver only starts fits, a few at a time; each writes its rows as a part of the table in the shared folder.
+    """
+    path, panel = scratch_dir(spark, name), scratch_dir(spark, "master")
+    master(spark, sf).write.parquet(panel)
+    rows = spark.read.parquet(panel)
+
+    def run(job):
+        fold, h = job
+        y = F.col(L.label_name(h)).cast("double")
+        part = rows.where((F.col("fold_id") == fold) & y.isNotNull()).withColumns({"y": y, "weight": F.lit(1.0)}).persist()
+        out = of(part.where("partition = 'FIT'"), part.where("partition = 'VALIDATION'"))
+        out.withColumns({"fold_id": F.lit(fold), "horizon_hours": F.lit(h)}).write.parquet(f"{path}/{fold}-{h}")
+        part.unpersist()
 
+    with ThreadPoolExecutor(threads) as pool:
+        list(pool.map(run, [(fold, h) for h in HORIZONS for fold in FOLDS]))
+    return spark.read.parquet(f"{path}/*")
 
-@query("E-03 E-21", "receptor_id:i issue_date:d y:i probability:f")
+
+@query("E-03 E-21", "fold_id:s horizon_hours:i receptor_id:i issue_date:d y:i probability:f")
 def logistic_scores(spark, sf):
-    fit, val = parts(spark, sf)
-    m = M.fit_logistic(fit, PREDICTORS, "y", "weight", 1.0, 0.5)
-    return M.score(val, m, "probability")
+    """Validation scores of the logistic model in every fold and horizon."""
+    return every_part(spark, sf, "logistic", lambda fit, val: M.score(val, M.fit_logistic(fit, PREDICTORS, "y", "weight", 1.0, 0.5), "probability"))
 
 
-@query("E-04 E-21", "receptor_id:i issue_date:d y:i probability:f")
+@query("E-04 E-21", "fold_id:s horizon_hours:i receptor_id:i issue_date:d y:i probability:f")
 def boosting_scores(spark, sf):
-    fit, val = parts(spark, sf)
-    m = M.fit_boosting(fit, PREDICTORS, "y", "weight", 0.1, 15)
-    return M.score(val, m, "probability")
+    """Validation scores of boosted trees in every fold and horizon."""
+    return every_part(spark, sf, "boosting", lambda fit, val: M.score(val, M.fit_boosting(fit, PREDICTORS, "y", "weight", 0.1, 15), "probability"))
 
 
-FOLDS, HORIZONS = [f[0] for f in B.FOLDS], [24, 48, 72]
 BENCH_OUT = "horizon_hours:i fold_id:s config_id:s family:s rows:i average_precision:f brier_score:f macro_average_precision:f"
 SQL_BASELINES = f"""{B.SQL_LABELS}, y AS (SELECT fold_id, receptor_id, partition, h, y FROM (SELECT fold_id, receptor_id, partition, unnest([24, 48, 72]) AS h,
     unnest([label_extreme_within_24h, label_extreme_within_48h, label_extreme_within_72h]) AS y FROM labels) WHERE y IS NOT NULL),
@@ -86,11 +101,15 @@ def platt_calibration(spark, sf):
     return pred.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(a).alias("intercept"), F.lit(b).alias("slope"), "rows")
 
 
-@query("E-19 W-09", "predictor:s repeats:i mean_ap_drop:f std_ap_drop:f")
+@query("E-19 W-09", "fold_id:s horizon_hours:i predictor:s repeats:i mean_ap_drop:f std_ap_drop:f")
 def permutation_importance(spark, sf):
-    fit, val = parts(spark, sf)
-    m = M.fit_logistic(fit, PREDICTORS, "y", "weight", 1.0, 0.0)
-    return M.permutation_importance(val, m, ["receptor_id", "issue_date"], "receptor_id", PREDICTORS, STATIC, "y", repeats=5)
+    """Importance of each predictor to the logistic model in every fold and horizon."""
+
+    def of(fit, val):
+        m = M.fit_logistic(fit, PREDICTORS, "y", "weight", 1.0, 0.0)
+        return M.permutation_importance(val, m, ["receptor_id", "issue_date"], "receptor_id", PREDICTORS, STATIC, "y", repeats=5)
+
+    return every_part(spark, sf, "importance", of)
 
 
 @query(

@@ -1,0 +1,18 @@
+import pytest
+from pyspark.sql import functions as F
+
+from rainshed.plans import model_queries as Q
+
+SF = "/root/testdata/sf0.01"
+ALL = {(f, h) for f in ("F1", "F2", "F3") for h in (24, 48, 72)}
+
+
+@pytest.mark.parametrize("name", ["logistic_scores", "boosting_scores", "permutation_importance"])
+def test_every_fold_and_horizon(spark, monkeypatch, name):
+    fitted = []
+    for kind in ("fit_logistic", "fit_boosting"):
+        monkeypatch.setattr(Q.M, kind, lambda fit, *a, **b: fitted.append(fit))
+    monkeypatch.setattr(Q.M, "score", lambda df, model, out: df.withColumn(out, F.lit(0.5)))
+    monkeypatch.setattr(Q.M, "permutation_importance", lambda val, *a, **b: val.groupBy().agg(F.count("*").alias("rows")))
+    out = getattr(Q, name)(spark, SF).groupBy("fold_id", "horizon_hours").count().collect()
+    assert {(r.fold_id, r.horizon_hours) for r in out} == ALL and len(fitted) == 9
