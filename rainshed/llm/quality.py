@@ -17,16 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from rainshed.llm.common import bounded_batches, labelled_sample
+from rainshed.llm.common import bounded_batches, fold, labelled_sample, share
 
 
 @dataclass(frozen=True)
 class Params:
-    """most_rows bounds the labelled documents of a class that the fit reads; half of them, up to ``head`` characters
-    each, go into the dictionaries, the other half are measured whole for the calibration."""
+    """most_rows bounds the labelled documents of a class that the fit reads; half of them go into the
+    dictionaries, whole, in pieces of ``piece`` characters; of a class with more than ``most_rows`` pieces about so many
+    are taken, from anywhere in the texts.  The other half are measured whole for the calibration."""
 
     most_rows: int = 3000
-    head: int = 8192
+    piece: int = 8192
     dictionary_bytes: int = 112_640
     level: int = 3
     ridge: float = 1e-3
@@ -95,9 +96,15 @@ def fit(documents: DataFrame, labels: DataFrame, params: Params = Params(), part
     of good labels (one half without any)."""
     bounded_batches(documents.sparkSession)
     sample = labelled_sample(documents, labels, "quality", parts, held, params.most_rows)
-    teach = sample.where("part < 0.5 AND text IS NOT NULL").select("id", "label", F.substring("text", 1, params.head).alias("text"))
+    size = F.lit(params.piece)
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), size), lambda i: F.substring(F.col("text"), i + 1, size))
+    teach = sample.where("part < 0.5 AND text IS NOT NULL")
+    rate = F.lit(0.0)
+    for value, n in teach.groupBy("label").agg(F.sum(F.size(pieces))).collect():
+        rate = F.when(F.col("label") == value, params.most_rows / n).otherwise(rate)
+    teach = teach.select("id", "label", F.posexplode(pieces).alias("at", "text")).where(share(F.struct("id", "at")) < rate)
     texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in sorted(teach.collect()):
+    for row in sorted(teach.select("id", "label", "at", "text").collect()):
         texts[row.label].append(row.text.encode("utf-8", "surrogatepass"))
     good, bad = (dictionary(texts[k], params.dictionary_bytes) for k in (1, 0))
 
@@ -112,15 +119,16 @@ def fit(documents: DataFrame, labels: DataFrame, params: Params = Params(), part
     rows = sorted(held_back, key=lambda r: (r.id, r.label, r.m))
     y = np.array([r.label for r in rows], dtype=float)
     if len(set(y)) < 2:
-        share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-        return Model(good, bad, params.level, (0.0, 0.0), (1.0, 1.0), (float(np.log(share / (1 - share))), 0.0, 0.0))
+        good_share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
+        return Model(good, bad, params.level, (0.0, 0.0), (1.0, 1.0), (float(np.log(good_share / (1 - good_share))), 0.0, 0.0))
     x = np.array([r.m for r in rows])
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    sizes = labels.where("quality IS NOT NULL").groupBy(F.col("quality").cast("int").alias("q")).count()
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != held))
+    sizes = known.groupBy(F.col("quality").cast("int").alias("q")).count()
     prior = dict(sizes.collect())
     z = np.c_[np.ones(len(x)), (x - centre) / scale]
     w = logistic(z, y, params.ridge)
-    # the sample is balanced by its bound; the intercept goes back to the shares of all labels
+    # the sample is balanced by its bound; the intercept goes back to the shares of all labels outside the held-out fold
     w[0] += np.log(max(prior.get(1, 1), 1) / max(prior.get(0, 1), 1)) - np.log(y.mean() / (1 - y.mean()))
     return Model(good, bad, params.level, tuple(map(float, centre)), tuple(map(float, scale)), tuple(map(float, w)))
 

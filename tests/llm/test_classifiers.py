@@ -90,3 +90,15 @@ def test_every_text_of_the_language_sample_is_learned(spark):
     content = dict(language.fit(docs).dictionaries)["xx"]
     assert all(language.letters(t[:1024]) in content for _, _, t in texts)
     assert content.count(b"a copy of one text") == 1
+
+
+def test_quality_learns_whole_texts_and_no_held_out_labels(spark):
+    rng = random.Random(3)
+    words = {k: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(40)] for k in (0, 1, 2)}
+    say = lambda k, n: " ".join(rng.choices(words[k], k=n))
+    rows = [(i, say(2, 1100) + " " + say(i % 2, 200), i % 2) for i in range(160)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    assert sum(w.encode() in model.good for w in words[1]) > 20 and not any(w.encode() in model.good for w in words[0])
+    others = spark.createDataFrame([(i, y if held(i, 5) else 0) for i, _, y in rows], "doc_id long, quality int")
+    assert quality.fit(docs, others).weights == model.weights
