@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainshed.llm import decontamination, language, language_model, mixing, quality, simhash, token_files, topk, toxicity, url_filter
+from rainshed.llm import byte_bpe, decontamination, language, language_model, mixing, quality, simhash, token_files, topk, toxicity, url_filter
 from rainshed.llm.common import fold, read
 
 URL_RULES = (
@@ -70,6 +70,11 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.held_out_scores(read(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents")))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scores": op10_lm_scores,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 #: The same takes without a schedule: a source's stream is read from its start until its quota is met.
