@@ -34,7 +34,7 @@ GOLDEN, LOW = 0x9E3779B97F4A7C15, (1 << 64) - 1
 class Params:
     vocabulary: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     pattern: str = public_tokenizers.PATTERN
-    remembered: int = 200_000  #: pieces, and pairs of tokens, that a worker keeps
+    remembered: int = 200_000  #: pieces of a generation, of which a worker keeps two, and joined pairs of tokens
     longest: int = 64  #: characters of a piece that is kept
     batch: int = 1 << 20  #: characters encoded at a time, or one text
 
@@ -136,52 +136,66 @@ class Encoder:
     vocabulary: Vocabulary
     params: Params = Params()
     known: dict[str, bytes] = field(default_factory=dict)  #: pieces to their ids as little-endian 32-bit bytes
+    old: dict[str, bytes] = field(default_factory=dict)  #: the generation before
     pairs: dict[bytes, int] = field(default_factory=dict)  #: joined neighbours to their rank
 
     def __post_init__(self) -> None:
         self.cut = regex.compile(self.params.pattern)
 
     def _rank(self, joined: bytes) -> int:
-        rank = self.pairs.get(joined)
-        if rank is None:
-            if len(self.pairs) >= self.params.remembered:
-                self.pairs.clear()
-            rank = self.pairs[joined] = self.vocabulary.rank_of(joined)
+        if len(self.pairs) >= self.params.remembered:
+            self.pairs.clear()
+        rank = self.pairs[joined] = self.vocabulary.rank_of(joined)
         return rank
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of a piece that is no token itself."""
-        n, rank_of, two = len(piece), self._rank, self.vocabulary.two
+        n, known, two, push, pop = len(piece), self.pairs.get, self.vocabulary.two, heapq.heappush, heapq.heappop
         end = list(range(1, n + 1))  # of the part that begins here; 0: merged into the part before
         start = list(range(-1, n))  # of the part that ends at this place's left
-        ids = list(map(self.vocabulary.single.__getitem__, piece))
-        heap = [(r, a, a + 2) for a in range(n - 1) if (r := two[piece[a] << 8 | piece[a + 1]]) >= 0]
+        ids = [self.vocabulary.single[b] for b in piece]
+        heap = [(r, a, a + 2) for a, pair in enumerate(zip(piece, piece[1:])) if (r := two[pair[0] << 8 | pair[1]]) >= 0]
         heapq.heapify(heap)
         while heap:
-            rank, a, b = heapq.heappop(heap)
+            rank, a, b = pop(heap)
             middle = end[a]
             if not middle or middle >= b or end[middle] != b:
                 continue  # one of the two has been merged otherwise
             end[a], end[middle], ids[a] = b, 0, rank
             if b < n:
                 start[b] = a
-                if (r := rank_of(piece[a : end[b]])) >= 0:
-                    heapq.heappush(heap, (r, a, end[b]))
+                to = end[b]
+                joined = piece[a:to]
+                if (r := known(joined)) is None:
+                    r = self._rank(joined)
+                if r >= 0:
+                    push(heap, (r, a, to))
             if a:
                 before = start[a]
-                if (r := rank_of(piece[before:b])) >= 0:
-                    heapq.heappush(heap, (r, before, b))
+                joined = piece[before:b]
+                if (r := known(joined)) is None:
+                    r = self._rank(joined)
+                if r >= 0:
+                    push(heap, (r, before, b))
         return [i for i, e in zip(ids, end) if e]
 
-    def _learn(self, pieces: list[str]) -> None:
-        strings = [p.encode() for p in pieces]
-        for piece, string, rank in zip(pieces, strings, self.vocabulary.ranks(strings)):
+    def _learn(self, pieces: set[str]) -> None:
+        """All of ``pieces`` into ``known``: from the older generation or anew."""
+        old, known = self.old, self.known
+        rest = []
+        for piece in pieces:
+            if (ids := old.get(piece)) is None:
+                rest.append(piece)
+            else:
+                known[piece] = ids
+        strings = [p.encode() for p in rest]
+        for piece, string, rank in zip(rest, strings, self.vocabulary.ranks(strings)):
             ids = [rank] if rank >= 0 else self.merged(string)
-            self.known[piece] = pack(f"<{len(ids)}I", *ids)
+            known[piece] = pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
-        at, known, longest = 0, self.known, self.params.longest
+        at, longest = 0, self.params.longest
         while at < len(texts):
             cut, size = [], 0
             while at < len(texts) and (not cut or size < self.params.batch):
@@ -189,15 +203,16 @@ class Encoder:
                 cut.append(self.cut.findall(text))
                 size += len(text)
                 at += 1
-            if len(known) > self.params.remembered:
-                known.clear()
-            new = {p for pieces in cut for p in pieces if p not in known}
-            self._learn(list(new))
+            if len(self.known) > self.params.remembered:
+                self.old, self.known = self.known, {}
+            new = set().union(*cut).difference(self.known)
+            self._learn(new)
+            ids = self.known.__getitem__
             for pieces in cut:
-                yield b"".join(map(known.__getitem__, pieces))
+                yield b"".join(map(ids, pieces))
             for piece in new:
                 if len(piece) > longest:
-                    del known[piece]
+                    del self.known[piece]
 
 
 _encoders: dict[Params, Encoder] = {}
