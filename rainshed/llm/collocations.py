@@ -103,7 +103,7 @@ def shards(docs: DataFrame, params: Params) -> DataFrame:
                 if (s := open_.pop(lang)).size:
                     rows.append(s.row(number, lang))
                     number += 1
-            return pd.DataFrame(rows, columns=names)
+            return pd.DataFrame(rows, columns=names, dtype=object)
 
         for frame in frames:
             for lang, text in zip(frame["lang"].tolist(), frame["text"].tolist()):
@@ -173,7 +173,7 @@ def _pieces(shard_table: DataFrame, n: int, points: Points, step: int) -> DataFr
                 ids = np.frombuffer(ids, "<i4")
                 rows, _, counts = _grams(ids, _places(ids, alive, n), n)
                 cut = _cut(words.split(b"\n"), rows, counts, points[lang], step)
-                yield pd.DataFrame([(lang, at, shard, a.dumps()) for at, a in cut], columns=["lang", "range", "node", "counts"])
+                yield pd.DataFrame([(lang, at, shard, a.dumps()) for at, a in cut], columns=["lang", "range", "node", "counts"], dtype=object)
 
     return shard_table.select("shard", "lang", "words", "ids", "alive").mapInPandas(run, NODE)
 
@@ -185,7 +185,7 @@ def _united(n: int, least: int, points: Points, narrow: int, step: int) -> Calla
         lang, at, node = key
         whole = union([Automaton.loads(c) for c in frame["counts"]], n, least)
         parts = [(at, whole)] if narrow == 1 and len(whole.label) else _cut(whole.labels, *whole.rows(n), points[lang], step)
-        return pd.DataFrame([(lang, r, node, a.dumps()) for r, a in parts], columns=["lang", "range", "node", "counts"])
+        return pd.DataFrame([(lang, r, node, a.dumps()) for r, a in parts], columns=["lang", "range", "node", "counts"], dtype=object)
 
     return run
 
@@ -238,7 +238,7 @@ def _advance(shard_table: DataFrame, replies: DataFrame, n: int) -> DataFrame:
                 to[used] = np.arange(1, len(used) + 1)
                 new = np.where(covered, to[ids], 0)[keep]
                 out.append((shard, lang, b"\n".join(words[u - 1] for u in used.tolist()), new.astype("<i4").tobytes(), np.packbits(begins[keep]).tobytes()))
-            yield pd.DataFrame(out, columns=["shard", "lang", "words", "ids", "alive"])
+            yield pd.DataFrame(out, columns=["shard", "lang", "words", "ids", "alive"], dtype=object)
 
     both = shard_table.select("shard", "lang", "words", "ids", "alive").join(replies, "shard")
     return both.mapInPandas(run, "shard long, lang string, words binary, ids binary, alive binary")
@@ -283,7 +283,8 @@ def _phrases(counts: DataFrame, n: int) -> DataFrame:
                 a = Automaton.loads(c)
                 rows, weights = a.rows(n)
                 names = [x.decode("utf-8", "surrogatepass") for x in a.labels]
-                yield pd.DataFrame({"lang": lang, "phrase": [" ".join([names[i] for i in r]) for r in rows.tolist()], "words": n, "a": weights})
+                phrases = [" ".join([names[i] for i in r]) for r in rows.tolist()]
+                yield pd.DataFrame({"lang": [lang] * len(phrases), "phrase": phrases, "words": [n] * len(phrases), "a": weights.tolist()}, dtype=object)
 
     return counts.select("lang", "counts").mapInPandas(run, "lang string, phrase string, words int, a long")
 
@@ -305,7 +306,8 @@ def _looked_up(parts: DataFrame, counts: list[DataFrame], points: Points) -> Dat
             asked = Automaton.build(labels, rows, np.ones(len(rows), dtype=np.int64))
             for c in right["counts"]:
                 f += asked.compose(Automaton.loads(c), int(n))
-        return pd.DataFrame({"lang": lang, "part": [b" ".join(p).decode("utf-8", "surrogatepass") for p in wanted], "f": f})
+        names = [b" ".join(p).decode("utf-8", "surrogatepass") for p in wanted]
+        return pd.DataFrame({"lang": [lang] * len(names), "part": names, "f": f.tolist()}, dtype=object)
 
     asked = parts.select("lang", "part", F.size(F.split("part", " ")).alias("words"), F.pandas_udf(place, "int")("lang", "part").alias("range"))
     every = reduce(DataFrame.unionAll, [c.select("lang", "range", F.lit(n).alias("words"), "counts") for n, c in enumerate(counts, 1)])

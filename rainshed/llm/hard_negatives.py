@@ -128,8 +128,9 @@ def index(rows: DataFrame, n: int, params: Params) -> DataFrame:
     """(bucket, longest, data): numbers of buckets ascend as their greatest lengths descend."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat([pd.DataFrame(columns=["vec_id", "label", "v", "length"]), *frames], ignore_index=True)
-        frame = frame.sort_values("length", ascending=False, kind="stable")
+        if not (some := list(frames)):
+            return
+        frame = pd.concat(some, ignore_index=True).sort_values("length", ascending=False, kind="stable")
         for at in range(0, len(frame), params.rows):
             some = frame.iloc[at : at + params.rows]
             b = Bucket.of(some["vec_id"].to_numpy(np.int64), some["label"].to_numpy(np.int64), matrix(some["v"]), some["length"].to_numpy(np.float64))
@@ -203,7 +204,9 @@ def searched(anchors: DataFrame, buckets: DataFrame, sample: Bucket, same: bool,
             yield pd.DataFrame(rows, columns=["need", "data"])
 
     def block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat([pd.DataFrame(columns=["need", "data"]), *frames], ignore_index=True).sort_values("need", kind="stable")
+        if not (some := list(frames)):
+            return
+        frame = pd.concat(some, ignore_index=True).sort_values("need", kind="stable")
         for at in range(0, len(frame), params.anchors):
             some = frame.iloc[at : at + params.anchors]
             number = (TaskContext.get().partitionId() << 32) + at // params.anchors
