@@ -1,7 +1,7 @@
 """Weighted acyclic automata over words: counts of word sequences, shared prefixes and suffixes stored once.
 
 States are numbered in the order they were closed, so every arc leads to a smaller number and the root is the last.  A
-state's weight is the count of the sequence that ends in it.
+state's weight is the count of the sequence that ends in it.  All sequences of an automaton have the same length.
 """
 
 from __future__ import annotations
@@ -28,45 +28,42 @@ class Automaton:
     def build(cls, labels: Sequence[bytes], rows: np.ndarray, weights: np.ndarray) -> Automaton:
         """Incrementally from ascending, distinct ``rows`` (m, n) of label numbers with positive weights.
 
-        States beyond the prefix that a row shares with the row before are closed: a closed state equal to a registered
-        one (weight, arcs) is replaced by it.  Labels that no row uses are dropped.
+        Sequences with the same prefix lie together; from the longest prefixes to the shortest, each in order, the state
+        behind a prefix is closed: if a state with the same arcs is registered, that one stands for it.  Labels that no row
+        uses are dropped.
         """
         used = np.unique(rows)
         labels = [labels[i] for i in used.tolist()]
-        rows = np.searchsorted(used, rows)
-        n = rows.shape[1]
-        shared = np.zeros(len(rows), dtype=np.int64)
-        if len(rows) > 1:
-            shared[1:] = (np.cumprod(rows[1:] == rows[:-1], axis=1)).sum(axis=1)
-        register: dict[tuple[int, ...], int] = {}
-        weight: list[int] = []
-        sizes: list[int] = []
-        arcs: list[int] = []  # label, target, label, target, ...
-        path: list[list[int]] = [[0]]  # open states: weight, then label and target in turn; the last label is still open
-
-        def close(depth: int) -> None:
-            while len(path) > depth + 1:
-                key = tuple(path.pop())
-                state = register.get(key)
-                if state is None:
-                    state = register[key] = len(weight)
-                    weight.append(key[0])
-                    sizes.append(len(key) // 2)
-                    arcs.extend(key[1:])
-                path[-1].append(state)
-
-        for row, keep, w in zip(rows.tolist(), shared.tolist(), weights.tolist()):
-            close(keep)
-            for x in row[keep:]:
-                path[-1].append(x)
-                path.append([0])
-            path[-1][0] = w
-        close(0)
-        weight.append(0)
-        sizes.append(len(path[0]) // 2)
-        arcs.extend(path[0][1:])
-        flat = np.array(arcs, dtype=np.int32).reshape(-1, 2)
-        return cls(labels, np.array(weight, dtype=np.int64), np.r_[0, np.cumsum(sizes, dtype=np.int64)], flat[:, 0].copy(), flat[:, 1].copy())
+        rows = np.searchsorted(used, rows).astype(np.int32)
+        weight, child = np.unique(weights, return_inverse=True)
+        states, sizes, arcs = len(weight), [np.zeros(len(weight), dtype=np.int64)], [np.zeros((0, 2), dtype=np.int32)]
+        for depth in range(rows.shape[1] - 1, -1, -1):
+            out = np.column_stack([rows[:, depth], child]).astype(np.int32)
+            new = np.ones(len(rows), dtype=bool)
+            new[1:] = (rows[1:, :depth] != rows[:-1, :depth]).any(axis=1)
+            begin = np.flatnonzero(new)
+            end = np.r_[begin[1:], len(rows)] if len(begin) else begin
+            data, register, state, fresh = out.tobytes(), {}, [], []
+            for i, (x, y) in enumerate(zip((8 * begin).tolist(), (8 * end).tolist())):
+                key = data[x:y]
+                at = register.get(key)
+                if at is None:
+                    at = register[key] = states + len(fresh)
+                    fresh.append(i)
+                state.append(at)
+            states += len(fresh)
+            size = end - begin
+            closed = np.zeros(len(begin), dtype=bool)
+            closed[fresh] = True
+            sizes.append(size[fresh])
+            arcs.append(out[np.repeat(closed, size)])
+            rows, child = rows[begin, :depth], np.array(state, dtype=np.int64)
+        if not len(child):  # no sequences: the root alone
+            states, sizes = 1, [np.zeros(1, dtype=np.int64)]
+        flat = np.concatenate(arcs)
+        every = np.zeros(states, dtype=np.int64)
+        every[: len(weight)] = weight
+        return cls(labels, every, np.r_[0, np.cumsum(np.concatenate(sizes), dtype=np.int64)], flat[:, 0].copy(), flat[:, 1].copy())
 
     @property
     def root(self) -> int:

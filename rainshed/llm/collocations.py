@@ -69,9 +69,9 @@ class _Shard:
     def add(self, text: str) -> None:
         words = text.encode("utf-8", "surrogatepass").translate(TABLE).replace(CUT, b" \xff ").split()
         if words:
-            number = self.number
-            self.ids.append(np.array([number[w] for w in words] + [0], dtype=np.int32))
-            self.size += len(words)
+            words.append(CUT)
+            self.ids.append(np.fromiter(map(self.number.__getitem__, words), dtype=np.int32, count=len(words)))
+            self.size += len(words) - 1
 
     def row(self, shard: int, lang: str) -> tuple:
         del self.number[CUT]
