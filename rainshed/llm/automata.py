@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import zstandard
 
-HEAD = struct.Struct("<QQQ")  # states, arcs, bytes of the labels
+HEAD = struct.Struct("<5Q")  # bytes of the weights, sizes of states, labels and targets of arcs, words
 
 
 @dataclass
@@ -110,37 +111,67 @@ class Automaton:
         return ends[self.weight[mine] > 0]
 
     def dumps(self) -> bytes:
-        text = b"\n".join(self.labels)
-        sizes = np.diff(self.first).astype("<i4")
-        return HEAD.pack(len(self.weight), len(self.label), len(text)) + self.weight.astype("<i8").tobytes() + sizes.tobytes() + self.label.astype("<i4").tobytes() + self.target.astype("<i4").tobytes() + text
+        delta = np.diff(self.label, prepend=np.int32(0))  # labels ascend within a state
+        parts = [pack(self.weight), pack(np.diff(self.first)), pack(delta), pack(self.target), pack_bytes(b"\n".join(self.labels))]
+        return HEAD.pack(*map(len, parts)) + b"".join(parts)
 
     @classmethod
     def loads(cls, data: bytes) -> Automaton:
-        states, arcs, size = HEAD.unpack_from(data)
-        at = HEAD.size
-        weight = np.frombuffer(data, "<i8", states, at).astype(np.int64)
-        sizes = np.frombuffer(data, "<i4", states, at + 8 * states)
-        label = np.frombuffer(data, "<i4", arcs, at + 12 * states)
-        target = np.frombuffer(data, "<i4", arcs, at + 12 * states + 4 * arcs)
-        text = data[len(data) - size :]
-        return cls(text.split(b"\n") if arcs else [], weight, np.r_[0, np.cumsum(sizes, dtype=np.int64)], label, target)
-
-
-def union(parts: Sequence[Automaton], n: int, least: int = 1) -> Automaton:
-    """Sequences of length ``n`` of all ``parts``, weights summed; those below ``least`` are left out."""
+        at, parts = HEAD.size, []
+        for size in HEAD.unpack_from(data):
+            parts.append(data[at : at + size])
+            at += size
+        weight, sizes, delta, target = map(unpack, parts[:4])
+        text = unpack_bytes(parts[4])
+        return cls(text.split(b"\n") if len(delta) else [], weight, np.r_[0, np.cumsum(sizes)], np.cumsum(delta).astype(np.int32), target.astype(np.int32))
+
+
+def pack_bytes(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpack_bytes(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Integers, compressed byte plane by byte plane; as many planes as the greatest needs (signs are folded in)."""
+    x = x.astype(np.int64)
+    folded = ((x << 1) ^ (x >> 63)).view(np.uint64)
+    planes = max((int(folded.max(initial=0)).bit_length() + 7) // 8, 1)
+    flat = np.ascontiguousarray(folded.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+    return bytes([planes]) + pack_bytes(flat)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = data[0]
+    flat = np.frombuffer(unpack_bytes(data[1:]), np.uint8).reshape(planes, -1)
+    wide = np.zeros((flat.shape[1], 8), dtype=np.uint8)
+    wide[:, :planes] = flat.T
+    folded = wide.view("<u8").reshape(-1)
+    return (folded >> np.uint64(1)).astype(np.int64) ^ -(folded & np.uint64(1)).astype(np.int64)
+
+
+def union(parts: Sequence[Automaton], n: int, least: int = 1) -> tuple[Automaton, list[np.ndarray]]:
+    """Sequences of length ``n`` of all ``parts``, weights summed; those below ``least`` are left out.  With it, for each
+    part, which of its sequences are in the union."""
     labels = sorted(set().union(*[p.labels for p in parts]))
-    at = {x: i for i, x in enumerate(labels)}
-    rows, weights = [np.zeros((0, n), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    at = dict(zip(labels, range(len(labels))))
+    rows, weights = [np.zeros((0, n), dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
     for p in parts:
         r, w = p.rows(n)
-        to = np.array([at[x] for x in p.labels], dtype=np.int64)
-        rows.append(to[r] if len(r) else r)
+        to = np.fromiter(map(at.__getitem__, p.labels), dtype=np.int32, count=len(p.labels))
+        rows.append(to[r] if len(r) else r.astype(np.int32))
         weights.append(w)
     every, weight = np.concatenate(rows), np.concatenate(weights)
     order = np.lexsort(every.T[::-1])
-    every, weight = every[order], weight[order]
-    new = np.r_[True, (every[1:] != every[:-1]).any(axis=1)] if len(every) else np.zeros(0, dtype=bool)
+    sorted_ = every[order]
+    new = np.ones(len(every), dtype=bool)
+    new[1:] = (sorted_[1:] != sorted_[:-1]).any(axis=1)
     begin = np.flatnonzero(new)
-    sums = np.add.reduceat(weight, begin) if len(begin) else weight
+    sums = np.add.reduceat(weight[order], begin) if len(begin) else weight
     keep = sums >= least
-    return Automaton.build(labels, every[begin[keep]], sums[keep])
+    live = np.zeros(len(every), dtype=bool)
+    live[order] = keep[np.cumsum(new) - 1] if len(every) else False
+    whole = Automaton.build(labels, sorted_[begin[keep]], sums[keep])
+    return whole, np.split(live, np.cumsum([len(w) for w in weights[1:]])[:-1]) if parts else []

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rainshed.llm.automata import Automaton, union
+from rainshed.llm.automata import Automaton, pack, pack_bytes, union, unpack, unpack_bytes
 from rainshed.llm.common import bounded_batches, share, written
 
 UPPER = bytes(range(65, 91))
@@ -37,6 +37,7 @@ CUT = b"\xff"  # in no UTF-8 text
 TABLE = bytes.maketrans(UPPER + b".,;:!?\n\x0b\x0c\r\t", UPPER.lower() + CUT * 10 + b" ")
 SHARD = "shard long, lang string, n long, words binary, ids binary, alive binary, sample array<binary>"
 NODE = "lang string, range int, node long, counts binary"
+UNION = f"{NODE}, kept binary"  # a union, or to a transducer what the union kept of it
 
 Points = dict[str, list[tuple[bytes, ...]]]
 
@@ -49,8 +50,8 @@ class Params:
     scale: int = 2_000_000  #: of the score
     top: int = 2000  #: phrases of a language that are returned
     shard: int = 1 << 20  #: words
-    range: int = 1 << 20  #: words of the corpus to a prefix range
-    fan: int = 64  #: transducers of one union
+    range: int = 1 << 21  #: words of the corpus to a prefix range
+    fan: int = 1024  #: transducers of one union
     points: int = 1 << 20  #: sampled sequences, at most, on the driver
 
 
@@ -85,7 +86,7 @@ class _Shard:
             run = run[: run.index(0)] if 0 in run else run
             if run:
                 sample.append(b" ".join(words[i - 1] for i in run))
-        return shard, lang, int((ids > 0).sum()), b"\n".join(words), ids.astype("<i4").tobytes(), None, sample
+        return shard, lang, int((ids > 0).sum()), pack_bytes(b"\n".join(words)), pack(ids), None, sample
 
 
 def shards(docs: DataFrame, params: Params) -> DataFrame:
@@ -148,7 +149,7 @@ def _places(ids: np.ndarray, alive: bytes | None, n: int) -> np.ndarray:
     """Where a sequence of n words may begin: two sequences of n - 1 that reached the least count overlap there."""
     if n == 1:
         return np.flatnonzero(ids > 0)
-    a = np.unpackbits(np.frombuffer(alive, np.uint8), count=len(ids)).astype(bool)
+    a = np.unpackbits(np.frombuffer(unpack_bytes(alive), np.uint8), count=len(ids)).astype(bool)
     return np.flatnonzero(a[:-1] & a[1:])
 
 
@@ -170,50 +171,58 @@ def _pieces(shard_table: DataFrame, n: int, points: Points, step: int) -> DataFr
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for shard, lang, words, ids, alive in zip(*[frame[c] for c in ("shard", "lang", "words", "ids", "alive")]):
-                ids = np.frombuffer(ids, "<i4")
+                ids = unpack(ids)
                 rows, _, counts = _grams(ids, _places(ids, alive, n), n)
-                cut = _cut(words.split(b"\n"), rows, counts, points[lang], step)
+                cut = _cut(unpack_bytes(words).split(b"\n"), rows, counts, points[lang], step)
                 yield pd.DataFrame([(lang, at, shard, a.dumps()) for at, a in cut], columns=["lang", "range", "node", "counts"], dtype=object)
 
     return shard_table.select("shard", "lang", "words", "ids", "alive").mapInPandas(run, NODE)
 
 
-def _united(n: int, least: int, points: Points, narrow: int, step: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """One union; the result is cut from ranges of ``step * narrow`` to ranges of ``step`` points."""
+def _bits(live: np.ndarray) -> bytes:
+    return len(live).to_bytes(8, "little") + pack_bytes(np.packbits(live).tobytes())
+
+
+def _flags(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(unpack_bytes(bits[8:]), np.uint8), count=int.from_bytes(bits[:8], "little")).astype(bool)
+
+
+def _united(n: int, least: int, points: Points, narrow: int, step: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """One union; the result is cut from ranges of ``step * narrow`` to ranges of ``step`` points.  The ``last`` union also
+    answers each transducer which of its sequences it kept."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        lang, at, node = key
-        whole = union([Automaton.loads(c) for c in frame["counts"]], n, least)
+        lang, at, batch = key
+        frame = frame.sort_values("node")
+        whole, live = union([Automaton.loads(c) for c in frame["counts"]], n, least)
         parts = [(at, whole)] if narrow == 1 and len(whole.label) else _cut(whole.labels, *whole.rows(n), points[lang], step)
-        return pd.DataFrame([(lang, r, node, a.dumps()) for r, a in parts], columns=["lang", "range", "node", "counts"], dtype=object)
+        out = [(lang, r, batch, a.dumps(), None) for r, a in parts]
+        if last:
+            out += [(lang, at, node, None, _bits(x)) for node, x in zip(frame["node"], live)]
+        return pd.DataFrame(out, columns=["lang", "range", "node", "counts", "kept"], dtype=object)
 
     return run
 
 
-def _live(a: Automaton, theirs: list[bytes] | None, n: int) -> np.ndarray:
-    """Which of the automaton's sequences any of ``theirs`` holds."""
-    found = [a.compose(Automaton.loads(t), n) for t in (theirs if theirs is not None else [])]
-    return reduce(np.add, found) > 0 if found else np.zeros(len(a.rows(n)[1]), dtype=bool)
-
-
-def _kept(n: int, bits: bool) -> Callable[[pd.Series, pd.Series], pd.Series]:
-    """What is left of a transducer when composed with what its union kept, or a bit for each of its sequences."""
+def _passed_down(n: int) -> Callable[[pd.Series, pd.Series], pd.Series]:
+    """Which sequences of a transducer are left in its union: composed with what was kept of the union's ranges."""
 
     def run(mine: pd.Series, theirs: pd.Series) -> pd.Series:
         out = []
         for m, t in zip(mine, theirs):
             a = Automaton.loads(m)
-            live = _live(a, t, n)
-            if bits:
-                out.append(len(live).to_bytes(8, "little") + np.packbits(live).tobytes())
-            else:
-                rows, weights = a.rows(n)
-                out.append(Automaton.build(a.labels, rows[live], weights[live]).dumps())
+            found = [a.compose(_left(Automaton.loads(x["counts"]), _flags(x["kept"]), n), n) for x in t]
+            out.append(_bits(reduce(np.add, found) > 0))
         return pd.Series(out, dtype=object)
 
     return run
 
 
+def _left(a: Automaton, live: np.ndarray, n: int) -> Automaton:
+    rows, weights = a.rows(n)
+    return Automaton.build(a.labels, rows[live], weights[live])
+
+
 def _advance(shard_table: DataFrame, replies: DataFrame, n: int) -> DataFrame:
     """Shards with the words that a sequence of n words of the least count covers, and where such a sequence begins."""
 
@@ -221,11 +230,10 @@ def _advance(shard_table: DataFrame, replies: DataFrame, n: int) -> DataFrame:
         for frame in frames:
             out = []
             for shard, lang, words, ids, alive, kept in zip(*[frame[c] for c in ("shard", "lang", "words", "ids", "alive", "kept")]):
-                words, ids = words.split(b"\n"), np.frombuffer(ids, "<i4")
+                words, ids = unpack_bytes(words).split(b"\n"), unpack(ids)
                 at = _places(ids, alive, n)
                 _, which, _ = _grams(ids, at, n)
-                bits = [r["counts"] for r in sorted(kept, key=lambda r: r["range"])]
-                live = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, offset=8), count=int.from_bytes(b[:8], "little")) for b in bits]).astype(bool)
+                live = np.concatenate([_flags(r["kept"]) for r in sorted(kept, key=lambda r: r["range"])])
                 begins = np.zeros(len(ids), dtype=bool)
                 begins[at[live[which]]] = True
                 covered = begins.copy()
@@ -237,7 +245,7 @@ def _advance(shard_table: DataFrame, replies: DataFrame, n: int) -> DataFrame:
                 to = np.zeros(len(words) + 1, dtype=np.int32)
                 to[used] = np.arange(1, len(used) + 1)
                 new = np.where(covered, to[ids], 0)[keep]
-                out.append((shard, lang, b"\n".join(words[u - 1] for u in used.tolist()), new.astype("<i4").tobytes(), np.packbits(begins[keep]).tobytes()))
+                out.append((shard, lang, pack_bytes(b"\n".join(words[u - 1] for u in used.tolist())), pack(new), pack_bytes(np.packbits(begins[keep]).tobytes())))
             yield pd.DataFrame(out, columns=["shard", "lang", "words", "ids", "alive"], dtype=object)
 
     both = shard_table.select("shard", "lang", "words", "ids", "alive").join(replies, "shard")
@@ -258,20 +266,24 @@ def counted(shard_table: DataFrame, n: int, points: Points, most: int, params: P
         batches = -(-most // params.fan ** (j + 1))
         return F.lit(0).cast("long") if j == rounds - 1 else F.pmod(F.xxhash64("node", F.lit(j)), F.lit(batches))
 
-    levels = [written(_pieces(shard_table, n, points, steps[0]), "pieces")]
+    pieces = _pieces(shard_table, n, points, steps[0])
+    levels = [pieces if rounds == 1 else written(pieces, "pieces")]
     for j in range(rounds):
-        one = _united(n, params.least if j == rounds - 1 else 1, points, steps[j] // steps[j + 1], steps[j + 1])
-        levels.append(written(levels[j].withColumn("node", batch(j)).groupBy("lang", "range", "node").applyInPandas(one, NODE), "united"))
+        last = j == rounds - 1
+        one = _united(n, params.least if last else 1, points, steps[j] // steps[j + 1], steps[j + 1], last)
+        groups = levels[j].withColumn("batch", batch(j)).groupBy("lang", "range", "batch")
+        levels.append(written(groups.applyInPandas(one, UNION), "united"))
+    union_, kept = levels[-1].where("counts IS NOT NULL").drop("kept"), levels[-1].where("kept IS NOT NULL").drop("counts")
     if n == params.longest:
-        return levels[-1], None
-    kept = levels[-1]
-    for j in reversed(range(rounds)):
+        return union_, None
+    for j in reversed(range(rounds - 1)):  # from the transducers that the last union read down to the shards'
         wide = F.floor(F.col("range") / (steps[j] // steps[j + 1])).cast("int").alias("range")
-        theirs = kept.groupBy("lang", wide, F.col("node").alias("batch")).agg(F.collect_list("counts").alias("theirs"))
-        both = levels[j].withColumn("batch", batch(j)).join(theirs, ["lang", "range", "batch"], "left" if j == 0 else "inner")
-        kept = both.select("lang", "range", "node", F.pandas_udf(_kept(n, j == 0), "binary")("counts", "theirs").alias("counts"))
-    replies = kept.groupBy(F.col("node").alias("shard")).agg(F.collect_list(F.struct("range", "counts")).alias("kept"))
-    return levels[-1], written(_advance(shard_table, replies, n), "shards")
+        theirs = kept.join(levels[j + 1].select("lang", "range", "node", "counts"), ["lang", "range", "node"])
+        theirs = theirs.groupBy("lang", wide, F.col("node").alias("batch")).agg(F.collect_list(F.struct("counts", "kept")).alias("theirs"))
+        both = levels[j].withColumn("batch", batch(j)).join(theirs, ["lang", "range", "batch"])
+        kept = both.select("lang", "range", "node", F.pandas_udf(_passed_down(n), "binary")("counts", "theirs").alias("kept"))
+    replies = kept.groupBy(F.col("node").alias("shard")).agg(F.collect_list(F.struct("range", "kept")).alias("kept"))
+    return union_, written(_advance(shard_table, replies, n), "shards")
 
 
 def _phrases(counts: DataFrame, n: int) -> DataFrame:

@@ -94,13 +94,14 @@ def test_automata_share_suffixes_unite_and_compose():
     autos = [Automaton.loads(automaton(t).dumps()) for t in tables]
     for a, t in zip(autos, tables):
         assert items(a, 3) == sorted(t.items())
-    both = union(autos, 3, 4)
+    both, live = union(autos, 3, 4)
     total = sum(tables, Counter())
     assert items(both, 3) == sorted((k, v) for k, v in total.items() if v >= 4)
     asked = autos[0].compose(both, 3).tolist()
     assert asked == [total[k] if total[k] >= 4 else 0 for k in sorted(tables[0])]
     same = automaton({(w, b"x", b"y"): 7 for w in words})
     assert len(same.weight) == 4  # one chain for all
-    none = union([], 2)
+    assert [x.tolist() for x in live] == [[total[k] >= 4 for k in sorted(t)] for t in tables]
+    none, _ = union([], 2)
     assert items(none, 2) == [] and items(Automaton.loads(none.dumps()), 2) == []
     assert autos[0].compose(none, 3).tolist() == [0] * len(tables[0])
