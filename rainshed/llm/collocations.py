@@ -248,7 +248,8 @@ def _advance(shard_table: DataFrame, replies: DataFrame, n: int) -> DataFrame:
                 out.append((shard, lang, pack_bytes(b"\n".join(words[u - 1] for u in used.tolist())), pack(new), pack_bytes(np.packbits(begins[keep]).tobytes())))
             yield pd.DataFrame(out, columns=["shard", "lang", "words", "ids", "alive"], dtype=object)
 
-    both = shard_table.select("shard", "lang", "words", "ids", "alive").join(replies, "shard")
+    # Merged at every size: neither side is bounded, and a small one that is broadcast would hide what a large one costs.
+    both = shard_table.select("shard", "lang", "words", "ids", "alive").join(replies.hint("merge"), "shard")
     return both.mapInPandas(run, "shard long, lang string, words binary, ids binary, alive binary")
 
 
