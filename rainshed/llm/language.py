@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from rainshed.llm.common import bounded_batches, share
+from rainshed.llm.common import bounded_batches
 
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -24,11 +24,12 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class Params:
-    """The fit learns the first ``head`` characters of about ``most_rows`` documents of a language, all of them: that
-    bounds a dictionary.  Equal texts of the sample count once.  A prediction is accepted if the second-best size exceeds the best by the share ``margin`` at least."""
+    """The fit learns about ``most_rows`` pieces of ``piece`` characters of each language, from anywhere in the texts of
+    all documents: that bounds a dictionary.  Equal pieces of the sample count once.  A prediction is accepted if the
+    second-best size exceeds the best by the share ``margin`` at least."""
 
     most_rows: int = 600
-    head: int = 1024
+    piece: int = 1024
     level: int = 5
     margin: float = 0.02
 
@@ -45,13 +46,17 @@ def letters(text: str) -> bytes:
 
 
 def fit(documents: DataFrame, params: Params = Params()) -> Model:
-    """One dictionary for each non-null lang of ``documents``; the sample is chosen and ordered by hashes of the id."""
-    known = documents.where("lang IS NOT NULL AND text IS NOT NULL")
+    """One dictionary for each non-null lang of ``documents``; pieces are chosen and ordered by hashes of the id and place."""
+    known = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
+    size = F.lit(params.piece)
+    places = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), size)
     rate = F.lit(0.0)
-    for lang, n in known.groupBy("lang").count().collect():
+    for lang, n in known.groupBy("lang").agg(F.sum(F.size(places))).collect():
         rate = F.when(F.col("lang") == lang, params.most_rows / n).otherwise(rate)
-    few = known.where(share(F.col("doc_id")) < rate)
-    few = few.select(F.xxhash64("doc_id").alias("h"), "lang", F.substring("text", 1, params.head).alias("text"))
+    hashed = lambda at: F.xxhash64(F.coalesce("doc_id", F.lit(0)), at)
+    chosen = F.filter(places, lambda at: F.pmod(hashed(at), F.lit(1 << 31)) / F.lit(float(1 << 31)) < rate)
+    few = known.withColumn("at", F.explode(chosen))
+    few = few.select(hashed(F.col("at")).alias("h"), "lang", F.substring(F.col("text"), F.col("at") + 1, size).alias("text"))
     texts: dict[str, dict[bytes, None]] = defaultdict(dict)
     for row in sorted(few.collect()):
         texts[row.lang][letters(row.text)] = None
