@@ -51,6 +51,12 @@ def share(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << 31)) / F.lit(float(1 << 31))
 
 
+def labelled(labels: DataFrame, label: str, parts: int, held: int) -> DataFrame:
+    """(doc_id, label) of the documents outside the held-out fold; one with labels of both classes has the smaller one."""
+    known = labels.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != held))
+    return known.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label")).where("label IS NOT NULL")
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most: int) -> DataFrame:
     """(id, text, label, part): about ``most`` labelled documents of each class, none of them from the held-out fold.
 
@@ -58,8 +64,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, parts:
     at most about ``most`` a class and are therefore safe to broadcast.  ``part`` in [0, 1) splits the sample again.
     A document with labels of both classes counts with the smaller one; null ids and null labels teach nothing.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != held))
-    one = known.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label")).where("label IS NOT NULL")
+    one = labelled(labels, label, parts, held)
     rate = F.lit(0.0)
     for value, n in one.groupBy("label").count().collect():
         rate = F.when(F.col("label") == value, most / max(n, 1)).otherwise(rate)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from rainshed.llm.common import bounded_batches, labelled_sample
+from rainshed.llm.common import bounded_batches, labelled, labelled_sample
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -69,16 +69,18 @@ def _grouped(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else np.zeros(0)
 
 
-def train(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, width: int, params: Params) -> tuple[float, np.ndarray]:
-    """documents: feature numbers (repeats count) and how many of them each sentence has; no sentence is empty."""
+def train(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, width: int, params: Params, weights: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """documents: feature numbers (repeats count) and how many of them each sentence has; no sentence is empty.
+    ``weights`` of documents: what each stands for among all labelled ones."""
     counts = np.array([len(sizes) for _, sizes in documents])
     docs = np.flatnonzero(counts)
     y = labels[docs]
+    stands = np.ones(len(docs)) if weights is None else weights[docs] * (len(docs) / weights[docs].sum())
     ids = np.concatenate([ids for ids, _ in documents]).astype(np.int64)
     sizes = np.concatenate([sizes for _, sizes in documents]).astype(np.int64)
     starts, owner = np.r_[0, np.cumsum(sizes)[:-1]], np.repeat(np.arange(len(sizes)), sizes)
     first, of = np.r_[0, np.cumsum(counts[docs])[:-1]], np.repeat(np.arange(len(docs)), counts[docs])
-    prior = min(max(y.mean(), 0.01), 0.99)
+    prior = min(max((stands * y).mean(), 0.01), 0.99)
     bias = float(np.log(1 / max((1 - prior) ** (-len(docs) / len(sizes)) - 1, 1e-6)) * -1)
     w, square, square_bias = np.zeros(width), np.full(width, 1e-8), 1e-8
     for _ in range(params.steps):
@@ -87,7 +89,7 @@ def train(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, wi
         keep = -np.logaddexp(0, z)  # log(1 - p)
         none = np.minimum(_grouped(keep, first), -1e-9)  # log(1 - P(document))
         some = 1 - np.exp(none)
-        pull = (y * np.exp(none) / some - (1 - y))[of] * p / len(docs)  # d loglik / d z; p = -d log(1-p) / dz
+        pull = (stands * (y * np.exp(none) / some - (1 - y)))[of] * p / len(docs)  # d loglik / d z; p = -d log(1-p) / dz
         g = np.bincount(ids, weights=pull[owner], minlength=width)
         square += g * g
         square_bias += pull.sum() ** 2
@@ -112,8 +114,10 @@ def fit(documents: DataFrame, labels: DataFrame, params: Params = Params(), part
     rows = sample.select(F.explode(known("text")).alias("f")).groupBy("f").count().where(F.col("count") >= params.least).select("f")
     names = sorted(r.f for r in rows.collect())
     share = dict(sample.groupBy("label").count().collect())
-    total = sum(share.values())
-    prior = (share.get(1, 0) + 1) / (total + 2)
+    # The sample has a bound for each class; each of its documents stands for its share of the class, at every size.
+    known = dict(labelled(labels, "toxic", parts, held).groupBy("label").count().collect())
+    total = sum(known.values())
+    prior = (known.get(1, 0) + 1) / (total + 2)
     if len(share) < 2 or not names:
         return Model(float(np.log(prior / (1 - prior))) if len(share) == 1 else -3.0, {}, params.longest, prior if total else 0.0)
     number = {f: i for i, f in enumerate(names)}
@@ -131,7 +135,8 @@ def fit(documents: DataFrame, labels: DataFrame, params: Params = Params(), part
 
     rows = sorted(sample.select("id", "label", numbered("text").alias("d")).collect(), key=lambda r: (r.id, r.label, bytes(r.d.ids)))
     documents = [(np.frombuffer(r.d.ids, dtype=np.int32), np.frombuffer(r.d.sizes, dtype=np.int32)) for r in rows]
-    bias, w = train(documents, np.array([r.label for r in rows], dtype=float), len(names), params)
+    stands = np.array([known[r.label] / share[r.label] for r in rows])
+    bias, w = train(documents, np.array([r.label for r in rows], dtype=float), len(names), params, stands)
     return Model(bias, {f: float(w[i]) for f, i in number.items() if w[i]}, params.longest, 0.0)
 
 
