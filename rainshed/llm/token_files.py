@@ -4,8 +4,8 @@ Encoding.  The text is cut before each single space or line feed between two wor
 pre-tokenizer always cuts, so that encoding the pieces one by one gives the ids of the whole text; the ids of a piece are
 remembered.  Texts with other white space or with what could be a special token's string go to the tokenizer whole.
 
-Grammar.  Re-Pair in rounds: the most frequent pairs of symbols, counted over the whole shard, become nonterminals and
-are replaced from left to right; pairs with the end id are left, so no rule crosses a document.  A shard stores its
+Grammar.  Re-Pair in rounds: all pairs of symbols with the least count or more, over the whole shard, become nonterminals
+and are replaced from left to right, until no pair has it; pairs with the end id are left, so no rule crosses a document.  A shard stores its
 rules, the length of each rule's expansion, its symbols and, for each document, its id and its lengths in symbols and in
 tokens.  ``Shard.document`` and ``Shard.span`` decode a document or a range of tokens without the rest.
 
@@ -44,8 +44,7 @@ class Params:
     tokenizer: str = public_tokenizers.path("byte_bpe_50k.json")
     end: int = 2
     shard: int = 1 << 20
-    rounds: int = 4
-    least: int = 12
+    least: int = 12  #: occurrences of a pair from which on it gets a rule
     remembered: int = 500_000
 
 
@@ -129,22 +128,19 @@ def encoder(path: str, most: int) -> Encoder:
     return _encoders[path, most]
 
 
-def grammar(tokens: np.ndarray, first: int, end: int, rounds: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rules as rows (left, right), symbols).  Rule r is symbol ``first + r`` and refers to smaller symbols only."""
-    seq = np.asarray(tokens, dtype=np.uint32)
-    limit, rules, bits = 65_535, [], 17
-    if first >= limit:
-        limit = first + 65_535
-    wide = limit > 65_536
-    half = np.uint64(32) if wide else np.uint32(16)
-    kind = np.uint64 if wide else np.uint32
-    nothing = kind(np.iinfo(kind).max)
-    turn, drop = (kind(0x9E3779B97F4A7C15), kind(64 - bits)) if wide else (kind(0x9E3779B1), kind(32 - bits))
-    next_symbol = first
-    for r in range(rounds):
-        room = (limit - next_symbol) // (rounds - r)
-        if room <= 0 or len(seq) < 2:
-            break
+def grammar(tokens: np.ndarray, first: int, end: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rules as rows (left, right), symbols).  Rule r is symbol ``first + r`` and refers to smaller symbols only.
+
+    Rounds go on until no pair without the end id has ``least`` occurrences.  In a round all such pairs are replaced, from
+    left to right; a rule that would be used less than twice because its places overlap others' waits.
+    """
+    seq, rules, next_symbol = np.asarray(tokens, dtype=np.uint32), [], first
+    while len(seq) > 1:
+        wide = next_symbol > 65_535
+        half = np.uint64(32) if wide else np.uint32(16)
+        kind, bits = (np.uint64, 17) if wide else (np.uint32, 17)
+        turn, drop = (kind(0x9E3779B97F4A7C15), kind(64 - bits)) if wide else (kind(0x9E3779B1), kind(32 - bits))
+        nothing = kind(np.iinfo(kind).max)
         keys = (seq[:-1].astype(kind) << half) | seq[1:].astype(kind)
         ordered = np.sort(keys[(seq[:-1] != end) & (seq[1:] != end)])
         if not len(ordered):
@@ -154,28 +150,34 @@ def grammar(tokens: np.ndarray, first: int, end: int, rounds: int, least: int) -
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        best = often[np.lexsort((ordered[heads[often]], -counts[often]))][:room]
-        pairs = ordered[heads[best]]
-        slot = (pairs * turn) >> drop
-        key_of = np.full(1 << bits, nothing, dtype=kind)
-        key_of[slot[::-1]] = pairs[::-1]  # of pairs in one slot the most frequent stays
-        pairs = pairs[key_of[slot] == pairs]
-        slot = (pairs * turn) >> drop
-        symbol_of = np.zeros(1 << bits, dtype=np.uint32)
-        symbol_of[slot] = np.arange(next_symbol, next_symbol + len(pairs), dtype=np.uint32)
-        place = (keys * turn) >> drop
-        at = np.flatnonzero(key_of[place] == keys)
-        index = np.arange(len(at))
-        run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], index, 0))
-        at = at[((index - run) & 1) == 0]  # pairs that overlap: every other one
-        symbols = symbol_of[place[at]]
+        best = ordered[heads[often[np.lexsort((ordered[heads[often]], -counts[often]))]]]
+        for pairs in (best, best[:1]):
+            slot = (pairs * turn) >> drop
+            key_of = np.full(1 << bits, nothing, dtype=kind)
+            key_of[slot[::-1]] = pairs[::-1]  # of pairs in one slot the most frequent stays
+            pairs = pairs[key_of[slot] == pairs]
+            rank_of = np.zeros(1 << bits, dtype=np.int64)
+            rank_of[(pairs * turn) >> drop] = np.arange(len(pairs))
+            place = (keys * turn) >> drop
+            at = np.flatnonzero(key_of[place] == keys)
+            at = at[(seq[at] != end) & (seq[at + 1] != end)]
+            index = np.arange(len(at))
+            run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], index, 0))
+            at = at[((index - run) & 1) == 0]  # pairs that overlap: every other one
+            rank = rank_of[place[at]]
+            used = np.bincount(rank, minlength=len(pairs)) >= 2
+            if used.any():
+                break
+        else:
+            break
+        at, rank = at[used[rank]], rank[used[rank]]
         seq = seq.copy()
-        seq[at] = symbols
+        seq[at] = next_symbol + (np.cumsum(used) - 1)[rank]
         stay = np.ones(len(seq), dtype=bool)
         stay[at + 1] = False
         seq = seq[stay]
-        rules.append(np.column_stack([pairs >> half, pairs & kind((1 << int(half)) - 1)]).astype(np.uint32))
-        next_symbol += len(pairs)
+        rules.append(np.column_stack([pairs[used] >> half, pairs[used] & kind((1 << int(half)) - 1)]).astype(np.uint32))
+        next_symbol += int(used.sum())
     return (np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)), seq
 
 
@@ -183,7 +185,7 @@ def packed(ids: list[int | None], documents: list[bytes], first: int, params: Pa
     """A shard's bytes: header, null flags, ids, lengths in tokens and in symbols, rules, expansion lengths, symbols."""
     tokens = np.frombuffer(b"".join(documents), dtype="<u4")
     sizes = np.array([len(d) // 4 for d in documents], dtype="<u4")
-    rules, seq = grammar(tokens, first, params.end, params.rounds, params.least)
+    rules, seq = grammar(tokens, first, params.end, params.least)
     lengths = expansion_lengths(rules, first)
     spans = np.where(seq >= first, lengths[np.maximum(seq.astype(np.int64) - first, 0)] if len(rules) else 1, 1)
     ends = np.searchsorted(np.cumsum(spans), np.cumsum(sizes, dtype=np.int64)) + 1

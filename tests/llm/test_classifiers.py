@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from rainshed.llm import language, quality, toxicity
@@ -102,3 +104,71 @@ def test_quality_learns_whole_texts_and_no_held_out_labels(spark):
     assert sum(w.encode() in model.good for w in words[1]) > 20 and not any(w.encode() in model.good for w in words[0])
     others = spark.createDataFrame([(i, y if held(i, 5) else 0) for i, _, y in rows], "doc_id long, quality int")
     assert quality.fit(docs, others).weights == model.weights
+
+
+def test_words_late_in_a_text_teach_a_language(spark):
+    rng = random.Random(6)
+    words = {k: ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(60)] for k in ("both", "xx", "yy")}
+    say = lambda k, n: " ".join(rng.choices(words[k], k=n))
+    rows = [(i, lang, say("both", 300) + " " + say(lang, 100)) for i, lang in enumerate(["xx", "yy"] * 30)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    of = language.classifier(model)
+    for lang in ("xx", "yy"):
+        assert [of(say(lang, 40))[0] for _ in range(5)] == [lang] * 5
+
+
+def test_the_toxicity_fit_is_the_same_at_every_size(spark):
+    rng = random.Random(7)
+    clean, bad = [f"w{i}ord" for i in range(60)], ["grumptious", "slobwort"]
+    say = lambda i: ". ".join(" ".join([*rng.choices(clean, k=7), rng.choice(bad) if i % 10 == 0 and s == 1 else "fine"]) for s in range(6))
+    texts = [(i, say(i), int(i % 10 == 0)) for i in range(300)]
+    more = [(1000 * k + i, t, y) for k in range(10) for i, t, y in texts]
+    params = toxicity.Params(most_rows=250)  # binds for the clean class of the larger table only
+    biases = []
+    for rows in (texts, more):
+        d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        biases.append(toxicity.fit(d.drop("toxic"), d.drop("text"), params).bias)
+    assert abs(biases[0] - biases[1]) < 0.35
+
+
+def plain_noisy_or(model, text):
+    """Sentences, words and features as the module cuts them; one multiplication a sentence."""
+    keep, any_ = 1.0, False
+    for _, _, words in toxicity.sentences(text or "", model.longest):
+        z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in toxicity.features(w))
+        keep, any_ = keep * (1 - 1 / (1 + math.exp(-min(max(z, -30), 30)))), True
+    return 1 - keep if any_ else model.empty
+
+
+def test_scores_equal_plain_ones(spark, odd, odd_rows):
+    texts = [r[1] for r in odd_rows]
+    tox = toxicity.Model(-1.5, {f: 0.4 for w in ("alpha", "word", "text") for f in toxicity.features(w)}, toxicity.Params().longest, 0.25)
+    got = sorted((r.text or "", r.s.score) for r in toxicity.score(odd, tox, "s").collect())
+    assert [t for t, _ in got] == sorted(t or "" for t in texts)
+    assert all(s == pytest.approx(plain_noisy_or(tox, t), abs=1e-9) for t, s in got)
+
+    good, bad = b"alpha beta gamma delta omega " * 40, b"sigma kappa theta iota rho text word " * 40
+    q = quality.Model(good, bad, 5, (0.1, 0.3), (0.2, 0.1), (0.5, -1.0, 0.7))
+
+    def size(content, data):
+        return len(zstandard.ZstdCompressor(level=5, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False).compress(data))
+
+    for r in quality.score(odd, q, "s").collect():
+        data = (r.text or "").encode()
+        x, y = (size(good, data), size(bad, data)) if data else (0, 0)
+        n = max(len(data), 1)
+        z = 0.5 - 1.0 * ((x - y) / n - 0.1) / 0.2 + 0.7 * (min(x, y) / n - 0.3) / 0.1
+        assert r.s == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+    lang = language.Model((("aa", good), ("bb", bad), ("cc", good)), 5, 0.02)
+    raw = lambda content, data: len(zstandard.ZstdCompressor(level=5, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False).compress(data))
+    for r in language.predict(odd, lang, "s").collect():
+        if not any(map(str.isalpha, r.text or "")):
+            assert (r.s.lang, r.s.score, r.s.accepted) == ("und", 0.0, False)
+            continue
+        data = language.letters(r.text)
+        sizes = [raw(c, data) for _, c in lang.dictionaries]
+        best = min(sizes)
+        rest = sorted(sizes)[1]
+        assert r.s.lang == lang.dictionaries[sizes.index(best)][0]
+        assert r.s.score == pytest.approx(1 - best / rest) and r.s.accepted == (rest >= best * 1.02)

@@ -21,10 +21,10 @@ def test_pieces_give_the_ids_of_the_whole_text(text):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 5), max_size=40), max_size=12), st.integers(1, 5))
-def test_grammar_round_trip(documents, rounds):
+@given(st.lists(st.lists(st.integers(0, 5), max_size=40), max_size=12), st.integers(2, 5))
+def test_grammar_round_trip(documents, least):
     data = [np.array([*d, 2], dtype="<u4").tobytes() for d in documents]
-    shard = T.Shard(T.packed(list(range(len(data))), data, 6, T.Params(rounds=rounds, least=2)))
+    shard = T.Shard(T.packed(list(range(len(data))), data, 6, T.Params(least=least)))
     assert shard.tokens().tobytes() == b"".join(data)
     for i, d in enumerate(data):
         assert shard.document(i).tobytes() == d
@@ -34,9 +34,23 @@ def test_grammar_round_trip(documents, rounds):
 
 
 def test_grammar_compresses_and_splits_overlaps():
-    rules, seq = T.grammar(np.array([7] * 9 + [2] + [7, 8] * 50), 10, 2, 4, 2)
+    rules, seq = T.grammar(np.array([7] * 9 + [2] + [7, 8] * 50), 10, 2, 2)
     assert len(seq) < 20 and len(rules) > 2
-    assert T.grammar(np.array([1, 3, 1, 3]), 70_000, 2, 3, 2)[0].tolist() == [[1, 3]]
+    assert T.grammar(np.array([1, 3, 1, 3]), 70_000, 2, 2)[0].tolist() == [[1, 3]]
+
+
+def test_no_pair_with_the_least_count_is_left():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(3, 40_000, 70)
+    tokens = np.concatenate([np.r_[rng.integers(3, 400, 50), passage, 2] for _ in range(300)] + [np.full(5000, 9)])
+    for first, least in ((50_257, 12), (65_500, 12), (70_000, 3)):
+        rules, seq = T.grammar(tokens, first, 2, least)
+        pairs = np.column_stack([seq[:-1], seq[1:]])
+        pairs = pairs[(pairs != 2).all(axis=1)]
+        # runs of one symbol overlap themselves; they are the only ones that may count more
+        _, counts = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0, return_counts=True)
+        assert counts.max() < least
+        assert T.expansion_lengths(rules, first).max() >= 70
 
 
 def test_files_of_odd_rows(spark, odd, odd_rows, empty):
