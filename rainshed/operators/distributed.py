@@ -30,6 +30,8 @@ def value_splits(df: DataFrame, value: str, n: int = RANGES) -> list[float]:
 
 def with_range(df: DataFrame, value: str, splits: Sequence[float]) -> DataFrame:
     """Adds the index of the value's range (a binary search per row)."""
+    if not splits:
+        return df.withColumn(_RANGE, F.lit(0))
     edges = [float("-inf"), *splits, float("inf")]
     cut = Bucketizer(splits=edges, inputCol="__v", outputCol=_RANGE, handleInvalid="keep")
     ranged = cut.transform(df.withColumn("__v", F.col(value).cast("double"))).drop("__v")

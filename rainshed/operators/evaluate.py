@@ -7,15 +7,19 @@ and all ranked metrics come from running totals over it, cut into value ranges.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rainshed import policy
 from rainshed.functions.rows import clip
-from rainshed.operators.distributed import quantile_grid, running_totals, value_splits
+from rainshed.operators.distributed import RANGES, quantile_grid, running_totals, value_splits, with_range
 from rainshed.operators.windows import runs
+from rainshed.sources.integrity import written
 
 EPS = policy.PROBABILITY_CLIP
 
@@ -187,32 +191,144 @@ def hash_draw(parts: Sequence[Column], n: Column) -> Column:
 
 
 def numbered_blocks(pred: DataFrame, block: Sequence[str]) -> DataFrame:
-    """Blocks with an index 0..n-1 in key order and the block count; blocks are receptor x year, a dimension."""
-    b = pred.select(*block).distinct()
+    """Blocks with an index 0..n-1 in key order; blocks are receptor x year, a dimension."""
     w = Window.orderBy(*block)
-    return b.select(*block, (F.row_number().over(w) - 1).alias("block_id")).withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy()))
+    return pred.select(*block).distinct().select(*block, (F.row_number().over(w) - 1).alias("block_id"))
 
 
-def block_multiplicities(blocks: DataFrame, replicates: int, seed: int = policy.SEED) -> DataFrame:
-    """How often each block is drawn in each replicate (n draws with replacement)."""
-    draws = blocks.select("block_id", "blocks", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    drawn = hash_draw([F.col("replicate"), F.col("block_id"), F.lit(seed)], F.col("blocks"))
-    return draws.select("replicate", drawn.alias("block_id")).groupBy("replicate", "block_id").agg(
-        F.count(F.lit(1)).alias("m")
-    )
+def _multiplicities(spark: SparkSession, blocks: int, replicates: Sequence[int], seed: int) -> np.ndarray:
+    """(replicates, blocks): how often each block is drawn in each replicate (as many draws as blocks, with replacement)."""
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame["id"].tolist():
+                text = [f"{r}|{b}|{seed}".encode() for b in range(blocks)]
+                drawn = np.array([int.from_bytes(md5(t).digest()[:4], "big") for t in text], dtype=np.int64) % blocks
+                out.append(np.bincount(drawn, minlength=blocks).astype("<i4").tobytes())
+            yield pd.DataFrame({"replicate": frame["id"], "m": out})
+
+    tasks = min(-(-len(replicates) * blocks // 32_768), len(replicates))
+    parts = spark.range(min(replicates), max(replicates) + 1, 1, tasks).mapInPandas(draw, "replicate long, m binary")
+    rows = sorted((r["replicate"], r["m"]) for r in parts.collect())  # of ``most_bytes``, see ``block_bootstrap``
+    return np.stack([np.frombuffer(m, "<i4") for _, m in rows])
+
 
+def _chunks(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for at in range(0, len(frame), rows):
+            yield frame.iloc[at : at + rows]
 
-def block_bootstrap(pred: DataFrame, block: Sequence[str], y: str, p: str, replicates: int = policy.BOOTSTRAP_REPLICATES, seed: int = policy.SEED) -> DataFrame:
-    """Metrics of every replicate.  Resamples are never built: block score tables are weighted by how often the
-    block was drawn and merged per (replicate, score) on the map side."""
+
+def _replicate_sums(scores: DataFrame, drawn: np.ndarray, ranges: int) -> np.ndarray:
+    """(replicates, 6): rows, positives, and the sums behind the four metrics, of score tables weighted by the draws.
+
+    Two passes with vectors over the replicates: totals of every score range; then, each range in descending order with
+    the totals of the ranges above it, running totals and their sums.  A score row meets the draws of its block inside the
+    task and never becomes a row a replicate.
+    """
+    sc = scores.sparkSession.sparkContext
+    times = sc.broadcast(np.ascontiguousarray(drawn.T.astype(np.float64)))  # (blocks, replicates)
+    many = drawn.shape[0]
+    step = max((32 << 20) // (8 * many), 1)
+
+    def totals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = np.zeros((ranges, 2, many))
+        for f in _chunks(frames, step):
+            w, at = times.value[f["block_id"].to_numpy()], f["range"].to_numpy()
+            order = np.argsort(at, kind="stable")
+            begin = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+            for i, c in enumerate(("n", "pos")):
+                acc[at[order][begin], i] += np.add.reduceat((w * f[c].to_numpy()[:, None])[order], begin, axis=0)
+        there = np.flatnonzero(acc[:, 0].any(axis=1))
+        yield pd.DataFrame({"range": there, "v": [acc[r].tobytes() for r in there]})
+
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"range": [key[0]], "v": [sum(map(np.frombuffer, sorted(frame["v"]))).tobytes()]})
+
+    got = scores.mapInPandas(totals, "range int, v binary").groupBy("range").applyInPandas(add, "range int, v binary")
+    whole = np.zeros((ranges, 2, many))
+    for r in got.collect():  # two numbers for each range and replicate
+        whole[r["range"]] = np.frombuffer(r["v"]).reshape(2, many)
+    above = sc.broadcast(whole[::-1].cumsum(axis=0)[::-1] - whole)
+    total = sc.broadcast(whole.sum(axis=0))
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, now, p_now, open_ = np.zeros((4, many)), -1, None, np.zeros((2, many))
+        before = np.zeros((2, many))
+        negatives = total.value[0] - total.value[1]
+
+        def close(p: np.ndarray, n: np.ndarray, pos: np.ndarray, cum_n: np.ndarray, cum_pos: np.ndarray) -> None:
+            neg = n - pos
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[0] += np.where(cum_n > 0, pos * cum_pos / cum_n, 0.0).sum(axis=0)
+            out[1] += (pos * ((negatives - (cum_n - cum_pos)) + neg / 2)).sum(axis=0)
+            out[2] += (pos * (1 - p) ** 2 + neg * p**2).sum(axis=0)
+            out[3] -= (pos * np.log(p) + neg * np.log(1 - p)).sum(axis=0)
+
+        def flush() -> None:
+            nonlocal before, p_now, open_
+            if p_now is not None:
+                before = before + open_
+                close(np.array([[p_now]]), open_[:1], open_[1:], before[:1], before[1:])
+            p_now, open_ = None, np.zeros((2, many))
+
+        for f in _chunks(frames, step):
+            for r, some in f.groupby("range", sort=False):
+                if r != now:
+                    flush()
+                    now, before = r, above.value[r].copy()
+                w, p = times.value[some["block_id"].to_numpy()], some["p"].to_numpy()
+                begin = np.flatnonzero(np.r_[True, np.diff(p) != 0])
+                n, pos = (np.add.reduceat(w * some[c].to_numpy()[:, None], begin, axis=0) for c in ("n", "pos"))
+                if p_now == p[0]:
+                    n[0] += open_[0]
+                    pos[0] += open_[1]
+                else:
+                    flush()
+                cum_n, cum_pos = before[0] + n.cumsum(axis=0), before[1] + pos.cumsum(axis=0)
+                close(p[begin][:-1, None], n[:-1], pos[:-1], cum_n[:-1], cum_pos[:-1])  # the last score may go on
+                before = before + np.stack([n[:-1].sum(axis=0), pos[:-1].sum(axis=0)])
+                p_now, open_ = p[-1], np.stack([n[-1], pos[-1]])
+        flush()
+        yield pd.DataFrame({"range": [0], "v": [out.tobytes()]})
+
+    ordered = scores.repartition(ranges, "range").sortWithinPartitions("range", F.desc("p"))
+    parts = ordered.mapInPandas(sums, "range int, v binary").collect()  # four numbers for each range and replicate
+    found = sum((np.frombuffer(r["v"]).reshape(4, many) for r in parts), np.zeros((4, many)))
+    return np.column_stack([total.value.T, found.T])
+
+
+def block_bootstrap(pred: DataFrame, block: Sequence[str], y: str, p: str, replicates: int = policy.BOOTSTRAP_REPLICATES, seed: int = policy.SEED, most_bytes: int = 64 << 20) -> DataFrame:
+    """Metrics of every replicate, from block score tables and, for each block, a vector of how often it is drawn.
+
+    Draws go to the tasks for as many replicates at a time as fit ``most_bytes``.
+    """
+    spark = pred.sparkSession
     blocks = numbered_blocks(pred, block)
-    ids = blocks.select(*block, "block_id")
-    scores = score_table(pred, block, y, p).join(ids, list(block)).select("block_id", "p", "n", "pos")
-    weighted = scores.join(block_multiplicities(blocks, replicates, seed), "block_id")
-    merged = weighted.groupBy("replicate", "p").agg(
-        F.sum(F.col("n") * F.col("m")).alias("n"), F.sum(F.col("pos") * F.col("m")).alias("pos")
+    scores = written(score_table(pred, block, y, p).join(blocks, list(block)).select("block_id", "p", "n", "pos"), "scores")
+    ranges = min(max(scores.count() // 4096, 1), RANGES)  # for balance only
+    splits = value_splits(scores, "p", ranges) if ranges > 1 else []
+    named = with_range(scores, "p", splits).withColumnRenamed("__range", "range")
+    many = blocks.count()
+    size = max(most_bytes // max(8 * many, 1), 1)
+    rows = []
+    for at in range(1, replicates + 1, size):
+        some = range(at, min(at + size, replicates + 1))
+        if many:
+            found = _replicate_sums(named, _multiplicities(spark, many, some, seed), len(splits) + 1)
+            rows += [(r, *map(float, v)) for r, v in zip(some, found)]
+    table = spark.createDataFrame(rows, "replicate int, rows double, positives double, ap double, auc double, brier double, ll double")
+    n, pos = F.col("rows"), F.col("positives")
+    return table.where(n > 0).select(
+        "replicate",
+        n.cast("bigint").alias("rows"),
+        pos.cast("bigint").alias("positives"),
+        F.when(pos > 0, F.col("ap") / pos).alias("average_precision"),
+        F.when((pos > 0) & (n > pos), F.col("auc") / (pos * (n - pos))).alias("roc_auc"),
+        (F.col("brier") / n).alias("brier_score"),
+        (F.col("ll") / n).alias("log_loss"),
     )
-    return metrics_from_scores(merged, ["replicate"], value_splits(pred, p))
 
 
 METRICS = ("average_precision", "roc_auc", "brier_score", "log_loss")

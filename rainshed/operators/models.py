@@ -1,127 +1,55 @@
-"""Spark ML estimators for the exceedance probabilities, their calibration, benchmark and importance.
+"""Models of the exceedance probabilities of all folds and horizons, their calibration, benchmark and importance.
 
-Only fitted coefficients, medians and candidate lists live on the driver; all rows stay in DataFrames.
+A part is a fold and a horizon; rows carry its number.  All models of all parts are fitted together (``fitting``); only
+fitted coefficients, trees, medians and candidate lists live on the driver, all rows stay in DataFrames.
 """
 
 from __future__ import annotations
 
-import math
-import random
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainshed import policy
 from rainshed.functions.rows import logit, platt
 from rainshed.operators import evaluate as E
-from rainshed.operators.distributed import exact_quantiles, running_totals
-from rainshed.sources.integrity import prepare_checkpoints, scratch_dir
+from rainshed.operators import fitting
+from rainshed.operators.distributed import running_totals
 
 LOGIT_GRID = ((0.1, 0.0), (0.1, 0.5), (1.0, 0.0), (1.0, 0.5))  # C, l1 ratio
 BOOST_GRID = ((0.05, 15), (0.05, 31), (0.10, 15), (0.10, 31))  # learning rate, leaves
 WEIGHTINGS = ("NATURAL_ROW_WEIGHTING", "RECEPTOR_BALANCED_WEIGHTING")
 
 
-@dataclass(frozen=True)
-class Prepared:
-    """FIT-only preparation: exact medians of the predictors with any value, the ones with gaps, centre and scale."""
-
-    columns: tuple[str, ...]
-    medians: dict[str, float]
-    gappy: tuple[str, ...]
-    moments: dict[str, tuple[float, float]]
-
-    @property
-    def features(self) -> list[str]:
-        return [f"x_{c}" for c in self.columns] + [f"m_{c}" for c in self.gappy]
-
-    def apply(self, df: DataFrame) -> DataFrame:
-        """Doubles with gaps filled, constant 0 for predictors without any FIT value, 0/1 indicators of the gaps; then
-        centred and scaled, if the preparation has moments."""
-        filled = [F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) if c in self.medians else F.lit(0.0) for c in self.columns]
-        flags = [F.col(c).isNull().cast("double") for c in self.gappy]
-        scaled = []
-        for name, x in zip(self.features, [*filled, *flags]):
-            mean, std = self.moments.get(name, (0.0, 1.0))
-            scaled.append(((x - mean) / (std or 1.0)).alias(name))
-        return df.select("*", *scaled)
-
-
-def prepare(fit: DataFrame, columns: Sequence[str], scale: bool) -> Prepared:
-    """Counts, exact medians by value ranges, and with ``scale`` mean and population deviation of the filled columns."""
-    row = fit.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in columns]).first()
-    n = row["n"]
-    present = [c for c in columns if row[c] > 0]
-    medians: dict[str, float] = {}
-    if present:
-        long = fit.select(*[F.col(c).cast("double").alias(c) for c in present]).unpivot([], present, "column", "value")
-        medians = {r["column"]: r["median"] for r in exact_quantiles(long, ["column"], "value", [0.5], names=["median"]).collect()}
-    prep = Prepared(tuple(columns), medians, tuple(c for c in columns if row[c] < n), {})
-    if not scale:
-        return prep
-    stats = prep.apply(fit).agg(*[f(c).alias(f"{k}_{c}") for c in prep.features for k, f in (("a", F.avg), ("s", F.stddev_pop))]).first()
-    return replace(prep, moments={c: (stats[f"a_{c}"], stats[f"s_{c}"]) for c in prep.features})
-
-
-def _logistic(label: str, weight: str, c: float, l1_ratio: float, total: float) -> LogisticRegression:
-    """``C`` on summed losses becomes lambda = 1 / (C * sum of weights)."""
-    return LogisticRegression(
-        featuresCol="features",
-        labelCol=label,
-        weightCol=weight,
-        regParam=1.0 / (c * total),
-        elasticNetParam=l1_ratio,
-        standardization=False,
-        maxIter=2000,
-        tol=1e-4,
-    )
-
-
-def _boosting(label: str, weight: str, rate: float, leaves: int, iterations: int) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="features",
-        labelCol=label,
-        weightCol=weight,
-        stepSize=rate,
-        maxDepth=max(1, math.ceil(math.log2(leaves))),
-        maxIter=iterations,
-        minInstancesPerNode=20,
-        seed=policy.SEED,
-    )
-
+def fit(
+    rows: DataFrame, part: str, receptor: str, y: str, predictors: Sequence[str], models: Sequence[fitting.Logistic | fitting.Boosting]
+) -> dict[tuple[int, str], fitting.LinearFit | fitting.Forest]:
+    """Every model of every part from the part's FIT rows, by (part, name of the configuration).
 
-def _assembled(prep: Prepared, df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=prep.features, outputCol="features").transform(prep.apply(df)).drop(*prep.features)
-
-
-def fit_logistic(fit: DataFrame, columns: Sequence[str], label: str, weight: str, c: float, l1_ratio: float) -> tuple[Prepared, PipelineModel]:
-    """Elastic-net logistic regression on centred and scaled features."""
-    prep = prepare(fit, columns, scale=True)
-    clf = _logistic(label, weight, c, l1_ratio, fit.agg(F.sum(weight)).first()[0])
-    return prep, Pipeline(stages=[VectorAssembler(inputCols=prep.features, outputCol="features"), clf]).fit(prep.apply(fit))
-
-
-def fit_boosting(
-    fit: DataFrame, columns: Sequence[str], label: str, weight: str, rate: float, leaves: int, iterations: int = 200
-) -> tuple[Prepared, PipelineModel]:
-    """Gradient-boosted trees; leaves set the depth.  Missing values are imputed with an indicator, since the
-    library's trees do not take them natively."""
-    prep = prepare(fit, columns, scale=False)
-    clf = _boosting(label, weight, rate, leaves, iterations)
-    return prep, Pipeline(stages=[VectorAssembler(inputCols=prep.features, outputCol="features"), clf]).fit(prep.apply(fit))
+    ``models`` name a configuration for each part they are fitted in: names are "part/configuration".  Weight column 0
+    balances the receptors of the part.
+    """
+    known = rows.where(F.col(y).isNotNull()).select(part, receptor, y, *predictors)
+    known = fitting.written(E.balance_weights(known, [part], receptor), "fit")
+    blocks = fitting.written(fitting.pack(known, part, y, ["weight"], predictors), "blocks")
+    linear = [m for m in models if isinstance(m, fitting.Logistic)]
+    trees = [m for m in models if isinstance(m, fitting.Boosting)]
+    found: dict[str, fitting.LinearFit | fitting.Forest] = {}
+    if linear:
+        found |= fitting.fit_logistics(blocks, fitting.scalings(known, blocks, part, predictors), linear)
+    if trees:
+        found |= fitting.fit_boostings(blocks, fitting.bin_cuts(known, part, predictors), trees)
+    return {(int(k.split("/", 1)[0]), k.split("/", 1)[1]): v for k, v in found.items()}
 
 
-def score(df: DataFrame, model: tuple[Prepared, PipelineModel], out: str = "raw_probability") -> DataFrame:
-    """Batch scoring: input columns plus the probability of the positive class."""
-    prep, pipeline = model
-    return pipeline.transform(prep.apply(df)).select(*df.columns, vector_to_array("probability")[1].alias(out))
+def in_every_part(parts: Sequence[int], model: fitting.Logistic | fitting.Boosting) -> list:
+    return [replace(model, name=f"{p}/{model.name}", part=p) for p in parts]
 
 
 def score_with_flags(df: DataFrame, predictors: Sequence[str], p: str, max_csi: Column, recall80: Column) -> DataFrame:
@@ -171,97 +99,54 @@ def candidates(logit_grid: Sequence[tuple] = LOGIT_GRID, boost_grid: Sequence[tu
     return out
 
 
-@dataclass(frozen=True)
-class Split:
-    """FIT and VALIDATION rows (receptor, y) of a fold and horizon, with assembled features, scaled and plain."""
-
-    fit: dict[bool, DataFrame]
-    val: dict[bool, DataFrame]
-
-
-def split_rows(rows: DataFrame, receptor: str, predictors: Sequence[str]) -> Split:
-    """Prepared once for all candidates, and written, so that every fit reads vectors only."""
-    prepare_checkpoints(rows.sparkSession)
-    parts = [rows.where(F.col("partition") == p) for p in ("FIT", "VALIDATION")]
-    scaled = prepare(parts[0], predictors, scale=True)
-    out: list[dict[bool, DataFrame]] = [{}, {}]
-    for scale, prep in ((True, scaled), (False, replace(scaled, moments={}))):
-        for i, part in enumerate(parts):
-            out[i][scale] = _assembled(prep, part.select(receptor, "y", *predictors)).select(receptor, "y", "features").checkpoint()
-    return Split(*out)
-
-
-def candidate_scores(split: Split, candidate: tuple, receptor: str, iterations: int = 200) -> DataFrame:
-    """Validation rows (receptor, y) with the candidate's probability ``p``."""
-    _, family, weighting, params = candidate
-    scale = family == "LOGISTIC"
-    fit, val = split.fit[scale], split.val[scale]
-    if family == "BASELINE":
-        if params is None:
-            out = val.withColumn("p", E.fit_climatology(fit, [], "y").select("fit_climatology").scalar())
-        else:
-            out = E.smoothed_climatology(fit, val, [], receptor, "y", float(params)).withColumnRenamed("probability", "p")
-        return out.select(receptor, "y", "p")
-    rows = E.balance_weights(fit, [], receptor) if weighting == WEIGHTINGS[1] else fit.withColumn("weight", F.lit(1.0))
-    if scale:
-        clf = _logistic("y", "weight", *params, rows.agg(F.sum("weight")).first()[0])
-    else:
-        clf = _boosting("y", "weight", *params, iterations)
-    return clf.fit(rows).transform(val).select(receptor, "y", vector_to_array("probability")[1].alias("p"))
-
-
-def benchmark(
-    master: DataFrame,
-    folds: Sequence[str],
-    horizons: Sequence[int],
-    receptor: str,
-    predictors: Sequence[str],
-    configs: Sequence[tuple],
-    label_name,
-    iterations: int = 200,
-    threads: int = 4,
-) -> DataFrame:
-    """Validation metrics of every candidate x fold x horizon.
+def specification(candidate: tuple, rounds: int = 200) -> fitting.Logistic | fitting.Boosting:
+    name, family, weighting, params = candidate
+    weight = 0 if weighting == WEIGHTINGS[1] else None
+    if family == "LOGISTIC":
+        return fitting.Logistic(name, 0, params[0], params[1], weight)
+    return fitting.Boosting(name, 0, params[0], params[1], rounds, weight=weight)
+
+
+def benchmark(rows: DataFrame, parts: Sequence[int], part: str, receptor: str, y: str, predictors: Sequence[str], configs: Sequence[tuple], rounds: int = 200) -> DataFrame:
+    """Validation metrics of every candidate in every part, from one table of scores.
 
-    The driver only starts fits, a few at a time; each writes its scores as a part of one table in the shared folder,
-    and the metrics of all come from one grouped pass over that table.
+    ``rows``: (part, partition, receptor, y, predictors), a row for each part that it belongs to.
     """
-    spark = master.sparkSession
-    path = scratch_dir(spark, "scores")
-    master = master.persist()
-    jobs = []
-    for h in horizons:
-        for fold in folds:
-            y = F.col(label_name(h)).cast("double")
-            split = split_rows(master.where((F.col("fold_id") == fold) & y.isNotNull()).withColumn("y", y), receptor, predictors)
-            jobs += [(h, fold, split, c) for c in configs]
-    master.unpersist()
-
-    def run(job: tuple) -> None:
-        h, fold, split, c = job
-        named = [F.lit(h).alias("horizon_hours"), F.lit(fold).alias("fold_id"), F.lit(c[0]).alias("config_id"), F.lit(c[1]).alias("family")]
-        candidate_scores(split, c, receptor, iterations).select(*named, receptor, "y", "p").write.parquet(f"{path}/{h}-{fold}-{c[0]}")
-
-    with ThreadPoolExecutor(threads) as pool:
-        list(pool.map(run, jobs))
-    scores = spark.read.parquet(f"{path}/*")
-    keys = ["horizon_hours", "fold_id", "config_id", "family"]
-    micro = E.probability_metrics(scores, keys, "y", "p")
-    macro = E.macro_average_precision(scores, keys, receptor, "y", "p")
-    return micro.join(macro, keys, "left")
+    fits, val = rows.where("partition = 'FIT'"), rows.where("partition = 'VALIDATION'").where(F.col(y).isNotNull())
+    keep = [part, "config_id", "family", receptor, y, "p"]
+    tables = []
+    for name, family, _, k in configs:
+        if family == "BASELINE":
+            if k is None:
+                p = val.join(E.fit_climatology(fits, [part], y).select(part, F.col("fit_climatology").alias("p")), part)
+            else:
+                p = E.smoothed_climatology(fits, val, [part], receptor, y, float(k)).withColumnRenamed("probability", "p")
+            tables.append(p.withColumns({"config_id": F.lit(name), "family": F.lit(family)}).select(*keep))
+    specs = [specification(c, rounds) for c in configs if c[1] != "BASELINE"]
+    if specs:
+        found = fit(fits, part, receptor, y, predictors, [m for s in specs for m in in_every_part(parts, s)])
+        family = F.when(F.col("model").startswith("M1"), "LOGISTIC").otherwise("BOOSTING")
+        scores = fitting.scored(val, part, predictors, [receptor, y], found)
+        tables.append(scores.withColumns({"config_id": F.col("model"), "family": family}).select(*keep))
+    scores = tables[0]
+    for t in tables[1:]:
+        scores = scores.unionByName(t)
+    scores = fitting.written(scores, "scores")
+    keys = [part, "config_id", "family"]
+    return E.probability_metrics(scores, keys, y, "p").join(E.macro_average_precision(scores, keys, receptor, y, "p"), keys, "left")
 
 
 # ---- permutation importance --------------------------------------------------------------------------------------
-def _hash_rank(df: DataFrame, key: Sequence[str], seed: int, name: str) -> DataFrame:
-    """Rank 1..n of rows in the order of a seeded 60-bit hash of their key.
+def _hash_rank(df: DataFrame, key: Sequence[str], seed: int, name: str, within: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """Rank 1..n of rows, ``within`` groups, in the order of a seeded 60-bit hash of their key.
 
     Hashes are uniform, so equal cuts of the hash range balance the work and need no look at the data.
     """
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
-    h = df.select(*key, F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint").alias("__h"), F.lit(1).alias("__one"))
+    h = df.select(*within, *key, F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint").alias("__h"), F.lit(1).alias("__one"))
     cuts = [float(i * 2**54) for i in range(1, 64)]
-    ranked = running_totals(h, [], "__h", ["__one"], splits=cuts)
-    return ranked.select(*key, F.col("cum___one").alias(name))
+    ranked = running_totals(h, within, "__h", ["__one"], splits=cuts)
+    return ranked.select(*within, *key, F.col("cum___one").alias(name), *([F.col("tot___one").alias(total)] if total else []))
 
 
 def permute_rows(df: DataFrame, key: Sequence[str], column: str, seed: int) -> DataFrame:
@@ -282,66 +167,65 @@ def permute_receptors(df: DataFrame, receptor: str, column: str, seed: int) -> D
     return df.drop(column).join(moved, receptor).select(*df.columns)
 
 
-def _affine_moves(n: int, repeats: int, seed: int) -> Column:
-    """Per repeat a map rank -> (a * rank + b) mod n with a coprime to n: a permutation of 0..n-1."""
-    rng = random.Random(seed)
-    moves = []
-    for r in range(repeats):
-        a = rng.randrange(3, 2**20)
-        while math.gcd(a, n) != 1:
-            a += 1
-        b = rng.randrange(n)
-        moves.append(F.struct(F.lit(r).alias("repeat"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")))
-    return F.array(*moves)
+def with_contributions(rows: DataFrame, part: str, columns: Sequence[str], keep: Sequence[str], fits: dict[int, fitting.LinearFit]) -> DataFrame:
+    """(keep, part, margin, contributions): of the part's linear model, and what each predictor adds to its margin."""
+    fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]
+    inputs = [f"__x_{i}" for i in range(len(columns))]
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for p, some in frame.groupby("__part"):
+                if int(p) in fits:
+                    each = fits[int(p)].contributions(some[inputs].to_numpy(dtype=np.float64, na_value=np.nan))
+                    margin = fits[int(p)].beta[0] + each.sum(axis=1)
+                    yield some[list(keep)].assign(__part=int(p), margin=margin, contributions=list(each))
 
-def _donors(rows: DataFrame, ident: Sequence[str], columns: Sequence[str], repeats: int, seed: int, out: str) -> DataFrame:
-    """(ident, repeat, struct of the donor row's columns): rows in hash order, moved by one affine map per repeat."""
-    ranked = rows.select(*ident, *columns).join(
-        _hash_rank(rows.select(*ident), ident, seed, "__rank").withColumn("__rank", F.col("__rank") - 1), list(ident)
-    ).persist()
-    n = ranked.count()
-    giving = ranked.select(F.col("__rank").alias("__from"), F.struct(*columns).alias(out))
-    taking = ranked.select(*ident, "__rank", F.explode(_affine_moves(n, repeats, seed)).alias("__m"))
-    source = F.pmod(F.col("__m.a") * F.col("__rank") + F.col("__m.b"), F.lit(n).cast("bigint"))
-    return taking.select(*ident, F.col("__m.repeat").alias("repeat"), source.alias("__from")).join(giving, "__from").drop("__from")
+    chosen = rows.select(*keep, F.col(part).cast("int").alias("__part"), *[F.col(c).cast("double").alias(x) for c, x in zip(columns, inputs)])
+    out = chosen.mapInPandas(run, ", ".join([*fields, "__part int", "margin double", "contributions array<double>"]))
+    return out.withColumnRenamed("__part", part)
+
+
+def _donated(rows: DataFrame, part: str, ident: Sequence[str], places: Sequence[int], repeats: int, seed: int) -> DataFrame:
+    """(part, ident, repeat, donor): the donor's contributions at ``places``.
+
+    Rows stand in the order of a hash of their identity; in each repeat every row takes from the row a drawn number of
+    places further on, around the end: a permutation, on every engine the same.
+    """
+    ranked = _hash_rank(rows.select(part, *ident), ident, seed, "__rank", [part], total="__n")
+    r, n = F.col("__rank") - 1, F.col("__n")
+    shift = F.when(n > 1, 1 + E.hash_draw([F.col("repeat"), F.lit(seed)], F.greatest(n - 1, F.lit(1)))).otherwise(0)
+    taking = ranked.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    taking = taking.select(part, *ident, "repeat", F.pmod(r + shift, n).alias("__from"))
+    values = rows.select(part, *ident, F.array(*[F.col("contributions")[i] for i in places]).alias("donor"))
+    giving = values.join(ranked.select(part, *ident, r.alias("__from")), [part, *ident]).select(part, "__from", "donor")
+    return taking.join(giving, [part, "__from"]).drop("__from")
 
 
 def permutation_importance(
-    val: DataFrame,
-    model: tuple[Prepared, PipelineModel],
-    key: Sequence[str],
-    receptor: str,
-    predictors: Sequence[str],
-    static: Sequence[str],
-    y: str,
-    repeats: int = 5,
-    seed: int = policy.SEED,
+    val: DataFrame, part: str, key: Sequence[str], receptor: str, predictors: Sequence[str], static: Sequence[str], y: str, repeats: int = 5, seed: int = policy.SEED
 ) -> DataFrame:
-    """Mean and std of the drop in average precision per predictor.
+    """Mean and std of the drop in average precision per part and predictor of a linear model, all in one plan.
 
-    One plan for all predictors and repeats: rows meet one donor row per repeat, are copied once per predictor
-    with that predictor's value taken from the donor, scored together and evaluated in one grouped pass.  Static
-    predictors take the value of a donor receptor, so they stay constant inside a receptor.
+    ``val``: key, part, y, margin, contributions (in the order of ``predictors``).  A permuted predictor changes a margin by
+    the donor's contribution less the row's own, so no row is copied or scored again: a row meets one array of
+    contributions a repeat, which becomes one margin a predictor.  Static predictors take a donor receptor's contribution.
     """
-    dynamic = [c for c in predictors if c not in static]
-    val = val.select(*key, y, *predictors).persist()
-    x = val.join(_donors(val, key, dynamic, repeats, seed, "__dyn"), list(key)) if dynamic else val.withColumn(
-        "repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    )
-    if static:
-        values = val.groupBy(receptor).agg(*[F.first(c, ignorenulls=True).alias(c) for c in static])
-        x = x.join(_donors(values, [receptor], static, repeats, seed + 1, "__stat"), [receptor, "repeat"])
-    x = x.withColumn("predictor", F.explode(F.array(*[F.lit(c) for c in predictors])))
-
-    def swapped(c: str) -> Column:
-        donor = F.col("__stat" if c in static else "__dyn")[c]
-        return F.when(F.col("predictor") == c, donor).otherwise(F.col(c)).alias(c)
-
-    moved = x.select("predictor", "repeat", y, *[swapped(c) for c in predictors])
-    ap = E.probability_metrics(score(moved, model, "p").persist(), ["predictor", "repeat"], y, "p")
-    base = E.probability_metrics(score(val, model, "p"), [], y, "p").select("average_precision").scalar()
-    drops = ap.withColumn("drop", base - F.col("average_precision"))
-    return drops.groupBy("predictor").agg(
-        F.avg("drop").alias("mean_ap_drop"), F.stddev_pop("drop").alias("std_ap_drop"), F.count("drop").alias("repeats")
-    )
+    val = val.where(F.col(y).isNotNull())
+    tables = []
+    for names, ident, source, s in (
+        ([c for c in predictors if c not in static], list(key), val, seed),
+        (list(static), [receptor], val.groupBy(part, receptor).agg(F.array(*[F.max(F.col("contributions")[i]) for i in range(len(predictors))]).alias("contributions")), seed + 1),
+    ):
+        if not names:
+            continue
+        places = [list(predictors).index(c) for c in names]
+        met = val.select(part, *dict.fromkeys([*key, receptor]), y, "margin", "contributions").join(_donated(source, part, ident, places, repeats, s), [part, *ident])
+        moved = [F.struct(F.lit(c).alias("predictor"), (F.col("margin") - F.col("contributions")[i] + F.col("donor")[k]).alias("m")) for k, (c, i) in enumerate(zip(names, places))]
+        tables.append(met.select(part, "repeat", y, F.explode(F.array(*moved)).alias("e")).select(part, "repeat", y, "e.*"))
+    every = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+    p = lambda m: 1 / (1 + F.exp(-F.col(m)))
+    scores = fitting.written(E.score_table(every.withColumn("p", p("m")), [part, "predictor", "repeat"], y, "p"), "importance")
+    ap = E.metrics_from_scores(scores, [part, "predictor", "repeat"])
+    base = E.probability_metrics(val.withColumn("p", p("margin")), [part], y, "p").select(part, F.col("average_precision").alias("base"))
+    drops = ap.join(base, part).withColumn("drop", F.col("base") - F.col("average_precision"))
+    return drops.groupBy(part, "predictor").agg(F.avg("drop").alias("mean_ap_drop"), F.stddev_pop("drop").alias("std_ap_drop"), F.count("drop").alias("repeats"))

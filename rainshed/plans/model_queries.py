@@ -1,56 +1,120 @@
-"""Model fits, calibration and importance on the labelled panel (no SQL equivalent: iterative fits)."""
+"""Model fits, calibration and importance on the labelled panel."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import math
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from rainshed.operators import evaluate as E
+from rainshed.operators import fitting
 from rainshed.operators import labels as L
 from rainshed.operators import models as M
 from rainshed.plans import bindings as B
 from rainshed.plans.evaluation_queries import SQL_PRED, predictions, sql_metrics
-from rainshed.plans.operation_queries import PREDICTORS, master
+from rainshed.plans.operation_queries import PREDICTORS, SQL_MASTER, master
 from rainshed.plans.registry import query
-from rainshed.sources.integrity import scratch_dir
 
 FOLDS, HORIZONS = [f[0] for f in B.FOLDS], [24, 48, 72]
+PARTS = {i: (fold, h) for i, (fold, h) in enumerate((fold, h) for fold in FOLDS for h in HORIZONS)}
 STATIC = [p for p in PREDICTORS if p.startswith("static__")]
 
 
-def every_part(spark, sf, name, of, threads=4):
-    """``of`` the FIT and the VALIDATION rows of every fold and horizon, in one table with fold_id and horizon_hours.
+def parts(spark, sf):
+    """Labelled rows of every fold and horizon, written once: part, partition, receptor, date, y and the predictors."""
+    m = master(spark, sf)
+    labels = F.array(*[F.struct(F.lit(h).alias("horizon_hours"), F.col(L.label_name(h)).cast("double").alias("y")) for h in HORIZONS])
+    rows = m.select("fold_id", "partition", "receptor_id", "issue_date", *PREDICTORS, F.explode(labels).alias("l")).select("*", "l.*").drop("l")
+    number = reduce(lambda c, p: F.when((F.col("fold_id") == p[1][0]) & (F.col("horizon_hours") == p[1][1]), p[0]).otherwise(c), PARTS.items(), F.lit(None).cast("int"))
+    return fitting.written(rows.where("y IS NOT NULL AND partition IN ('FIT', 'VALIDATION')").withColumn("part", number), "parts")
 
-    The panel is written once, so that a fit's plans are short.  The driver only starts fits, a few at a time; each writes its rows as a part of the table in the shared folder.
-    """
-    path, panel = scratch_dir(spark, name), scratch_dir(spark, "master")
-    master(spark, sf).write.parquet(panel)
-    rows = spark.read.parquet(panel)
 
-    def run(job):
-        fold, h = job
-        y = F.col(L.label_name(h)).cast("double")
-        part = rows.where((F.col("fold_id") == fold) & y.isNotNull()).withColumns({"y": y, "weight": F.lit(1.0)}).persist()
-        out = of(part.where("partition = 'FIT'"), part.where("partition = 'VALIDATION'"))
-        out.withColumns({"fold_id": F.lit(fold), "horizon_hours": F.lit(h)}).write.parquet(f"{path}/{fold}-{h}")
-        part.unpersist()
+def fitted(rows, *models):
+    return M.fit(rows.where("partition = 'FIT'"), "part", "receptor_id", "y", PREDICTORS, [x for m in models for x in M.in_every_part(list(PARTS), m)])
 
-    with ThreadPoolExecutor(threads) as pool:
-        list(pool.map(run, [(fold, h) for h in HORIZONS for fold in FOLDS]))
-    return spark.read.parquet(f"{path}/*")
+
+def named(df):
+    """fold_id and horizon_hours instead of the part's number."""
+    pick = lambda k: reduce(lambda c, p: F.when(F.col("part") == p[0], p[1][k]).otherwise(c), PARTS.items(), F.lit(None))
+    return df.withColumns({"fold_id": pick(0), "horizon_hours": pick(1)})
+
+
+def scores(spark, sf, model):
+    rows = parts(spark, sf)
+    fits = fitted(rows, model)
+    return named(fitting.scored(rows.where("partition = 'VALIDATION'"), "part", PREDICTORS, ["receptor_id", "issue_date", "y"], fits, "probability"))
+
+
+LOGISTIC = fitting.Logistic("logistic", 0, 1.0, 0.5)
+BOOSTING = fitting.Boosting("boosting", 0, 0.1, 15)
 
 
 @query("E-03 E-21", "fold_id:s horizon_hours:i receptor_id:i issue_date:d y:i probability:f")
 def logistic_scores(spark, sf):
     """Validation scores of the logistic model in every fold and horizon."""
-    return every_part(spark, sf, "logistic", lambda fit, val: M.score(val, M.fit_logistic(fit, PREDICTORS, "y", "weight", 1.0, 0.5), "probability"))
+    return scores(spark, sf, LOGISTIC)
 
 
 @query("E-04 E-21", "fold_id:s horizon_hours:i receptor_id:i issue_date:d y:i probability:f")
 def boosting_scores(spark, sf):
     """Validation scores of boosted trees in every fold and horizon."""
-    return every_part(spark, sf, "boosting", lambda fit, val: M.score(val, M.fit_boosting(fit, PREDICTORS, "y", "weight", 0.1, 15), "probability"))
+    return scores(spark, sf, BOOSTING)
+
+
+SQL_FIT = f"""{SQL_MASTER}, fit AS (SELECT fold_id, receptor_id, issue_date, h, CAST(y AS DOUBLE) AS y, {', '.join(PREDICTORS)} FROM
+    (SELECT *, unnest([24, 48, 72]) AS h, unnest([label_extreme_within_24h, label_extreme_within_48h, label_extreme_within_72h]) AS y FROM master WHERE partition = 'FIT') WHERE y IS NOT NULL)"""
+SQL_CONFIGS = ", ".join(f"('{name}', {c}, {l1}, {'TRUE' if w == M.WEIGHTINGS[1] else 'FALSE'})" for name, family, w, p in M.candidates(M.LOGIT_GRID, ()) if family == "LOGISTIC" for c, l1 in [p])
+
+
+@query(
+    "E-03 E-05",
+    "fold_id:s horizon_hours:i config_id:s penalty:f9 optimal:b below_start:b",
+    f"""WITH {SQL_FIT}, w AS (SELECT fold_id, h, count(*) AS n FROM fit GROUP BY 1, 2)
+        SELECT fold_id, h AS horizon_hours, config_id, 1 / (c * n) AS penalty, TRUE AS optimal, TRUE AS below_start
+        FROM w CROSS JOIN (VALUES {SQL_CONFIGS}) AS k(config_id, c, l1, balanced)""",
+)
+def logistic_optimality(spark, sf):
+    """Every logistic fit of the benchmark in every fold and horizon: its penalty (both weightings sum to the number of
+    rows), whether it meets the optimality conditions, and whether its objective is below that of the constant model."""
+    rows = parts(spark, sf)
+    specs = [M.specification(c) for c in M.candidates(M.LOGIT_GRID, ()) if c[1] == "LOGISTIC"]
+    fits = fitted(rows, *specs)
+    entropy = rows.where("partition = 'FIT'").groupBy("part").agg(F.avg("y").alias("q"), F.count("*").alias("n")).collect()
+    size = {r["part"]: (r["n"], -(r["q"] * math.log(r["q"]) + (1 - r["q"]) * math.log(1 - r["q"]))) for r in entropy}
+    by_name = {s.name: s for s in specs}
+    out = [(p, name, 1 / (by_name[name].c * size[p][0]), bool(f.residual <= 1e-9), bool(by_name[name].weight == 0 or f.objective < size[p][1])) for (p, name), f in fits.items()]
+    return named(spark.createDataFrame(out, "part int, config_id string, penalty double, optimal boolean, below_start boolean"))
+
+
+SQL_ROOT = f"""{SQL_FIT}, u AS (SELECT fold_id, h, y, unnest({PREDICTORS}) AS predictor, unnest([{', '.join(f'CAST({p} AS DOUBLE)' for p in PREDICTORS)}]) AS v FROM fit),
+  k AS (SELECT fold_id, h, predictor, list_sort(list_distinct(list(v))) AS d, quantile_cont(v, [{', '.join(f'{i / 255!r}' for i in range(1, 255))}]) AS q FROM u GROUP BY 1, 2, 3),
+  c AS (SELECT fold_id, h, predictor, CASE WHEN len(d) <= 255 THEN list_transform(range(1, len(d)), lambda i: (d[i] + d[i + 1]) / 2) ELSE list_distinct(q) END AS cuts FROM k),
+  b AS (SELECT fold_id, h, predictor, CASE WHEN v IS NULL THEN 255 ELSE len(list_filter(cuts, lambda x: x < v)) END AS code, count(*) AS n, sum(y) AS pos FROM u JOIN c USING (fold_id, h, predictor) GROUP BY 1, 2, 3, 4),
+  t AS (SELECT fold_id, h, count(*) AS rows, sum(y) AS positives, avg(y) AS q FROM fit GROUP BY 1, 2),
+  e AS (SELECT fold_id, h, predictor, code, n, n * q - pos AS g, n * q * (1 - q) AS c FROM b JOIN t USING (fold_id, h)),
+  m AS (SELECT fold_id, h, predictor, sum(n) FILTER (WHERE code = 255) AS n0, sum(g) FILTER (WHERE code = 255) AS g0, sum(c) FILTER (WHERE code = 255) AS c0, sum(n) AS nt, sum(g) AS gt, sum(c) AS ct FROM e GROUP BY 1, 2, 3),
+  s AS (SELECT e.fold_id, e.h, e.predictor, sum(n) OVER w AS nl, sum(g) OVER w AS gl, sum(c) OVER w AS cl FROM e WHERE code < 255 WINDOW w AS (PARTITION BY fold_id, h, predictor ORDER BY code)),
+  x AS (SELECT s.fold_id, s.h, nl + z * coalesce(n0, 0) AS nl, gl + z * coalesce(g0, 0) AS gl, cl + z * coalesce(c0, 0) AS cl, nt, gt, ct FROM s JOIN m USING (fold_id, h, predictor) CROSS JOIN (VALUES (0), (1)) AS i(z)),
+  r AS (SELECT fold_id, h, max(gl * gl / (cl + 1) + (gt - gl) * (gt - gl) / (ct - cl + 1) - gt * gt / (ct + 1)) AS gain FROM x WHERE nl >= 20 AND nt - nl >= 20 AND cl >= 1e-3 AND ct - cl >= 1e-3 GROUP BY 1, 2)"""
+
+
+@query(
+    "E-04",
+    "fold_id:s horizon_hours:i rows:i positives:i start:f first_gain:f4 rounds:i rounds_with_less_loss:i leaves_in_bounds:b trees:i",
+    f"WITH {SQL_ROOT} SELECT fold_id, h AS horizon_hours, rows, positives, ln(q / (1 - q)) AS start, gain AS first_gain, 200 AS rounds, 200 AS rounds_with_less_loss, TRUE AS leaves_in_bounds, 200 AS trees FROM t JOIN r USING (fold_id, h)",
+)
+def boosting_rounds(spark, sf):
+    """The boosted forest of every fold and horizon: its start, the gain of its first split, and that each round lowers the loss."""
+    rows = parts(spark, sf)
+    fits = fitted(rows, BOOSTING)
+    size = {r["part"]: (r["n"], r["pos"]) for r in rows.where("partition = 'FIT'").groupBy("part").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).collect()}
+    out = []
+    for (p, _), f in fits.items():
+        lower = sum(b < a for a, b in zip(f.losses, f.losses[1:]))
+        leaves = [int((t.feature < 0).sum()) for t in f.trees]
+        out.append((p, size[p][0], int(size[p][1]), f.start, f.first_gain, len(f.losses) - 1, lower, 2 <= min(leaves) and max(leaves) <= BOOSTING.leaves, len(f.trees)))
+    return named(spark.createDataFrame(out, "part int, rows long, positives long, start double, first_gain double, rounds int, rounds_with_less_loss int, leaves_in_bounds boolean, trees int"))
 
 
 BENCH_OUT = "horizon_hours:i fold_id:s config_id:s family:s rows:i average_precision:f brier_score:f macro_average_precision:f"
@@ -73,13 +137,13 @@ SQL_BASELINES = f"""{B.SQL_LABELS}, y AS (SELECT fold_id, receptor_id, partition
 )
 def baseline_benchmark(spark, sf):
     """The baselines of the benchmark in every fold and horizon."""
-    return M.benchmark(master(spark, sf), FOLDS, HORIZONS, "receptor_id", PREDICTORS, M.candidates((), ()), L.label_name)
+    return named(M.benchmark(parts(spark, sf), list(PARTS), "part", "receptor_id", "y", PREDICTORS, M.candidates((), ())))
 
 
 @query("E-05 L-03", BENCH_OUT)
 def candidate_benchmark(spark, sf):
-    """Baselines and all logistic configurations under both weightings in every fold and horizon."""
-    return M.benchmark(master(spark, sf), FOLDS, HORIZONS, "receptor_id", PREDICTORS, M.candidates(M.LOGIT_GRID, ()), L.label_name)
+    """All 19 configurations, of both weightings, in every fold and horizon."""
+    return named(M.benchmark(parts(spark, sf), list(PARTS), "part", "receptor_id", "y", PREDICTORS, M.candidates()))
 
 
 SQL_NEWTON = f"""{SQL_PRED}, z AS (SELECT y, ln(q / (1 - q)) AS z, count(*) AS w FROM (SELECT y, least(greatest(p, 1e-6), 1 - 1e-6) AS q FROM pred) GROUP BY 1, 2),
@@ -104,12 +168,47 @@ def platt_calibration(spark, sf):
 @query("E-19 W-09", "fold_id:s horizon_hours:i predictor:s repeats:i mean_ap_drop:f std_ap_drop:f")
 def permutation_importance(spark, sf):
     """Importance of each predictor to the logistic model in every fold and horizon."""
+    rows = parts(spark, sf)
+    fits = fitted(rows, fitting.Logistic("ridge", 0, 1.0, 0.0))
+    val = M.with_contributions(rows.where("partition = 'VALIDATION'"), "part", PREDICTORS, ["receptor_id", "issue_date", "y"], {p: f for (p, _), f in fits.items()})
+    val = fitting.written(val, "contributions")
+    return named(M.permutation_importance(val, "part", ["receptor_id", "issue_date"], "receptor_id", PREDICTORS, STATIC, "y"))
+
+
+SQL_DROPS = f"""o AS (SELECT o_orderkey AS k, CAST(o_custkey % 2 AS INT) AS part, o_custkey % 25 AS receptor, CASE WHEN o_orderpriority = '1-URGENT' OR o_totalprice > 250000 THEN 1 ELSE 0 END AS y,
+    0.3 * (month(o_orderdate) - 6)::DOUBLE AS c0, 1.5 * (CAST(o_totalprice AS DOUBLE) / 100000 - 1) AS c1, 0.2 * (o_custkey % 25 * 7 % 11 - 5)::DOUBLE AS c2 FROM orders),
+  v AS (SELECT *, -0.5 + c0 + c1 + c2 AS margin, count(*) OVER (PARTITION BY part) AS n, row_number() OVER (PARTITION BY part ORDER BY ('0x' || substr(md5(k || '|5'), 1, 15))::BIGINT) - 1 AS r FROM o),
+  rc AS (SELECT part, receptor, c2, count(*) OVER (PARTITION BY part) AS n, row_number() OVER (PARTITION BY part ORDER BY ('0x' || substr(md5(receptor || '|6'), 1, 15))::BIGINT) - 1 AS r FROM (SELECT DISTINCT part, receptor, c2 FROM o)),
+  i AS (SELECT unnest([0, 1, 2]) AS repeat),
+  d AS (SELECT v.*, repeat, (r + 1 + ('0x' || substr(md5(repeat || '|5'), 1, 8))::BIGINT % (n - 1)) % n AS f FROM v CROSS JOIN i),
+  e AS (SELECT rc.*, repeat, (r + 1 + ('0x' || substr(md5(repeat || '|6'), 1, 8))::BIGINT % (n - 1)) % n AS f FROM rc CROSS JOIN i),
+  mv AS (SELECT d.part, d.repeat, d.y, unnest(['month', 'price']) AS predictor, unnest([d.margin - d.c0 + v.c0, d.margin - d.c1 + v.c1]) AS m FROM d JOIN v ON v.part = d.part AND v.r = d.f
+    UNION ALL SELECT v.part, e.repeat, v.y, 'receptor', v.margin - v.c2 + g.c2 FROM v JOIN e ON e.part = v.part AND e.receptor = v.receptor JOIN rc g ON g.part = e.part AND g.r = e.f),
+  p AS (SELECT part, predictor, repeat, least(greatest(1 / (1 + exp(-m)), 1e-8), 1 - 1e-8) AS p, y FROM mv UNION ALL SELECT part, 'base', 0, least(greatest(1 / (1 + exp(-margin)), 1e-8), 1 - 1e-8), y FROM v),
+  sc AS (SELECT part, predictor, repeat, p, count(*) AS n, count(*) FILTER (WHERE y = 1) AS pos FROM p GROUP BY 1, 2, 3, 4)"""
 
-    def of(fit, val):
-        m = M.fit_logistic(fit, PREDICTORS, "y", "weight", 1.0, 0.0)
-        return M.permutation_importance(val, m, ["receptor_id", "issue_date"], "receptor_id", PREDICTORS, STATIC, "y", repeats=5)
 
-    return every_part(spark, sf, "importance", of)
+@query(
+    "E-19",
+    "part:i predictor:s repeats:i mean_ap_drop:f4 std_ap_drop:f4",
+    f"""WITH {SQL_DROPS}, {sql_metrics('sc', 'part, predictor, repeat')}, dr AS (SELECT m.part, m.predictor, b.average_precision - m.average_precision AS x FROM metrics m JOIN metrics b ON b.part = m.part AND b.predictor = 'base' WHERE m.predictor <> 'base')
+        SELECT part, predictor, count(*) AS repeats, avg(x) AS mean_ap_drop, stddev_pop(x) AS std_ap_drop FROM dr GROUP BY 1, 2""",
+)
+def linear_importance(spark, sf):
+    """Importance of the predictors of a given linear model of urgent or dear orders, in two parts."""
+    o = B.table(spark, sf, "orders")
+    receptor = F.col("o_custkey") % 25
+    each = [0.3 * (F.month("o_orderdate") - 6), 1.5 * (F.col("o_totalprice").cast("double") / 100000 - 1), 0.2 * (receptor * 7 % 11 - 5)]
+    each = [c.cast("double") for c in each]
+    val = o.select(
+        F.col("o_orderkey").alias("k"),
+        (F.col("o_custkey") % 2).cast("int").alias("part"),
+        receptor.alias("receptor"),
+        ((F.col("o_orderpriority") == "1-URGENT") | (F.col("o_totalprice") > 250000)).cast("int").alias("y"),
+        (F.lit(-0.5) + each[0] + each[1] + each[2]).alias("margin"),
+        F.array(*each).alias("contributions"),
+    )
+    return M.permutation_importance(val, "part", ["k"], "receptor", ["month", "price", "receptor"], ["receptor"], "y", repeats=3, seed=5)
 
 
 @query(

@@ -39,6 +39,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: cuts the lineage, survives lost executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prepare_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable: the session's folder when it names one, else a scratch folder."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -1,6 +1,7 @@
 """Station statistics, network resolution and probability evaluation on hand cases and brute force."""
 
 import datetime as dt
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rainshed.operators import evaluate as E
+from rainshed.operators import fitting
 from rainshed.operators import models as M
 from rainshed.operators import network as N
 from rainshed.operators import stations as S
@@ -164,14 +166,15 @@ def test_bootstrap_equals_explicit_resampling(spark):
     pdf["y"] = (rng.uniform(size=n) < pdf.p).astype(int)
     df = spark.createDataFrame(pdf)
     blocks = E.numbered_blocks(df, ["r", "yr"])
-    mult = E.block_multiplicities(blocks, 5).toPandas()
     ids = blocks.toPandas().set_index("block_id")
-    assert (mult.groupby("replicate").m.sum() == len(ids)).all()
-    got = E.block_bootstrap(df, ["r", "yr"], "y", "p", 5).toPandas().set_index("replicate")
-    for rep, g in mult.groupby("replicate"):
-        parts = [pdf[(pdf.r == ids.r[b]) & (pdf.yr == ids.yr[b])] for b, m in zip(g.block_id, g.m) for _ in range(m)]
-        s = pd.concat(parts)
-        assert got.loc[rep, list(E.METRICS)].tolist() == pytest.approx(brute(s.y, s.p), abs=1e-9)
+    for most in (1 << 20, 100):  # all replicates at once, and a few at a time
+        got = E.block_bootstrap(df, ["r", "yr"], "y", "p", 5, 11, most).toPandas().set_index("replicate")
+        assert sorted(got.index) == [1, 2, 3, 4, 5]
+        for rep in got.index:
+            drawn = [int(md5(f"{rep}|{b}|11".encode()).hexdigest()[:8], 16) % len(ids) for b in range(len(ids))]
+            s = pd.concat([pdf[(pdf.r == ids.r[b]) & (pdf.yr == ids.yr[b])] for b in drawn])
+            assert got.loc[rep, list(E.METRICS)].tolist() == pytest.approx(brute(s.y, s.p), abs=1e-9)
+    assert E.block_bootstrap(df.limit(0), ["r", "yr"], "y", "p", 5).count() == 0
 
 
 def test_platt_recovers_its_own_curve(spark):
@@ -196,16 +199,19 @@ def test_importance_finds_the_signal(spark):
     n = 600
     pdf = pd.DataFrame({"i": range(n), "r": np.arange(n) % 10, "signal": rng.normal(size=n), "noise": rng.normal(size=n)})
     pdf["y"] = (pdf.signal + 0.3 * rng.normal(size=n) > 0.5).astype(float)
-    pdf["weight"], pdf["fixed"] = 1.0, pdf.r.astype(float)
+    pdf["part"], pdf["fixed"] = 0, pdf.r.astype(float)
     df = spark.createDataFrame(pdf)
-    model = M.fit_logistic(df, ["signal", "noise", "fixed"], "y", "weight", 1.0, 0.0)
-    imp = M.permutation_importance(df, model, ["i", "r"], "r", ["signal", "noise", "fixed"], ["fixed"], "y", 2).toPandas().set_index("predictor")
+    names = ["signal", "noise", "fixed"]
+    fits = M.fit(df, "part", "r", "y", names, M.in_every_part([0], fitting.Logistic("ridge", 0, 1.0, 0.0)))
+    val = M.with_contributions(df, "part", names, ["i", "r", "y"], {0: fits[0, "ridge"]})
+    imp = M.permutation_importance(val, "part", ["i", "r"], "r", names, ["fixed"], "y", 2).toPandas().set_index("predictor")
     assert imp.mean_ap_drop["signal"] > 0.3 and abs(imp.mean_ap_drop["noise"]) < 0.1 and (imp.repeats == 2).all()
 
 
 def test_empty_and_gappy_predictors_are_kept(spark):
-    rows = [(float(i % 2), float(i) if i % 3 else None, None, 1.0) for i in range(60)]
-    df = spark.createDataFrame(rows, "y double, a double, b double, weight double")
-    prep, model = M.fit_logistic(df, ["a", "b"], "y", "weight", 1.0, 0.0)
-    assert prep.features == ["x_a", "x_b", "m_a", "m_b"]
-    assert M.score(df, (prep, model)).where("raw_probability IS NULL").count() == 0
+    rows = [(0, i % 4, float(i % 2), float(i) if i % 3 else None, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "part int, r int, y double, a double, b double")
+    fits = M.fit(df, "part", "r", "y", ["a", "b"], [m for s in (fitting.Logistic("line", 0, 1.0, 0.0, 0), fitting.Boosting("trees", 0, rounds=3)) for m in M.in_every_part([0], s)])
+    assert set(fits) == {(0, "line"), (0, "trees")} and fits[0, "line"].scaling.gappy.tolist() == [0, 1]
+    got = fitting.scored(df, "part", ["a", "b"], ["y"], fits)
+    assert got.count() == 120 and got.where("p IS NULL OR p <= 0 OR p >= 1").count() == 0
