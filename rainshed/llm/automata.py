@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import zstandard
+
+from rainshed.llm.packing import pack, pack_bytes, unpack, unpack_bytes
 
 HEAD = struct.Struct("<5Q")  # bytes of the weights, sizes of states, labels and targets of arcs, words
 
@@ -126,32 +127,6 @@ class Automaton:
         return cls(text.split(b"\n") if len(delta) else [], weight, np.r_[0, np.cumsum(sizes)], np.cumsum(delta).astype(np.int32), target.astype(np.int32))
 
 
-def pack_bytes(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
-
-
-def unpack_bytes(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
-def pack(x: np.ndarray) -> bytes:
-    """Integers, compressed byte plane by byte plane; as many planes as the greatest needs (signs are folded in)."""
-    x = x.astype(np.int64)
-    folded = ((x << 1) ^ (x >> 63)).view(np.uint64)
-    planes = max((int(folded.max(initial=0)).bit_length() + 7) // 8, 1)
-    flat = np.ascontiguousarray(folded.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
-    return bytes([planes]) + pack_bytes(flat)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    planes = data[0]
-    flat = np.frombuffer(unpack_bytes(data[1:]), np.uint8).reshape(planes, -1)
-    wide = np.zeros((flat.shape[1], 8), dtype=np.uint8)
-    wide[:, :planes] = flat.T
-    folded = wide.view("<u8").reshape(-1)
-    return (folded >> np.uint64(1)).astype(np.int64) ^ -(folded & np.uint64(1)).astype(np.int64)
-
-
 def union(parts: Sequence[Automaton], n: int, least: int = 1) -> tuple[Automaton, list[np.ndarray]]:
     """Sequences of length ``n`` of all ``parts``, weights summed; those below ``least`` are left out.  With it, for each
     part, which of its sequences are in the union."""

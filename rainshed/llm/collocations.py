@@ -29,8 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rainshed.llm.automata import Automaton, pack, pack_bytes, union, unpack, unpack_bytes
+from rainshed.llm.automata import Automaton, union
 from rainshed.llm.common import bounded_batches, share, written
+from rainshed.llm.packing import pack, pack_bytes, unpack, unpack_bytes
 
 UPPER = bytes(range(65, 91))
 CUT = b"\xff"  # in no UTF-8 text

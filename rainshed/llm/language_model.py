@@ -1,67 +1,58 @@
-"""Language-model scores from an n-gram trie in Elias-Fano form with quantised back-off probabilities.
+"""Language-model scores from n-gram tries in Elias-Fano form with quantised back-off probabilities.
 
-Counting covers all training documents and the whole vocabulary, by Spark, in two passes: words; pairs and triples.  A
-word is known to Spark by a 62-bit hash of its bytes, a longer n-gram by a 63-bit hash of its parts.  Every pair and
-triple of a fixed count or more is kept, in a table that grows with the corpus.  The frequent ones (``Params``; as
-frequencies add up to one, their number is bounded on any corpus) are also broadcast as a trie; workers map it into
-memory from an unlinked file.  All others meet the documents in a join; none of them is frequent, so no key is hot.
+Shards.  Documents are dealt into shards of about ``Params.shard`` tokens, of training documents or of others.  A shard
+numbers its words in byte order and stays in the shared folder.
+
+Passes: words, pairs, triples.  In each pass a shard sorts its distinct n-grams by their context and sends them, with their
+counts, to the ranges of contexts they belong to.  A range adds the counts of the training shards, keeps n-grams of
+``Params.least`` occurrences or more, makes its part of the trie, and answers every shard from the trie.  A longer n-gram
+is only asked for where both its parts are kept, as no other can be.  Cut points of the ranges come from a bounded sample
+and affect balance only; all n-grams of a context are in one range.
 
 Model: P(w | v u) is (c(v u w) - D) / c(v u) for a kept triple, else the back-off weight of (v u) times
 P(w | u); P(w | u) likewise down to P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).  A weight is what the kept continuations
-leave, over what the shorter context gives all others, so the probabilities of a context add up to one.
-
-The log of a document's score is a sum over its n-grams, each with a value of its own: a word brings log P(w) and its
-weight as a context; a kept pair or triple what it adds to the backed-off log, and the weight of the pair.  The end is
-never a context.  So an n-gram is looked up alone, wherever its entry is.
+leave, over what the shorter context gives all others, so the probabilities of a context add up to one.  The log of a
+document's score is a sum over its n-grams: each kept one brings what it adds to the backed-off log, each context its weight.
 
-Trie: level 1 has the words by rank of count; level 2 the successors of each word, level 3 those of each pair.  The
-first successor's place of each node is a monotone sequence; the successors' numbers are made monotone by adding the
-last number of the node before, and are found by a successor search relative to it.
+Trie of a range: the nodes are its contexts, the numbers of their successors follow.  The first successor's place of each
+node is a monotone sequence; the successors' numbers are made monotone by adding the last number of the node before, and
+are found by a successor search relative to it.  Values are one byte each.  A task maps the levels from an unlinked file.
 """
 
 from __future__ import annotations
 
+import bisect
 import mmap
 import pickle
 import tempfile
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
 
-from rainshed.llm.common import bounded_batches, fold, word_list, written
+from rainshed.llm.common import bounded_batches, fold, share, word_list, written
 from rainshed.llm.elias_fano import Codebook, EliasFano
+from rainshed.llm.packing import pack, pack_bytes, unpack, unpack_bytes
 
-END = b" "  # no word has a space
-RARE = 1 << 62
+END = b" "  # no word has a space; nor a line feed, which stands between the words of a list
 ADD = 0.1
+SHARD = "shard long, train boolean, n long, words binary, ids binary, docs binary, sample array<binary>"
+STATE = "shard long, train boolean, words binary, ids binary, extra binary, docs binary"
+PART = "range int, shard long, part binary"
+ANSWER = "range int, shard long, answer binary, trie binary"
 
 
 @dataclass(frozen=True)
 class Params:
-    """Relative frequencies from which on words, the words of the trie's longer n-grams, and those are broadcast
-    (``words``, ``parts``, ``trie``).  Each bounds what is broadcast by its inverse and cuts nothing from the model.
-    Pairs and triples are kept from ``least`` occurrences on, and from the relative frequency ``grams`` if that is set.
-    ``memory``: words that a counting task holds before it hands them on."""
-
-    words: float = 2.0**-20
-    parts: float = 2.0**-18
-    trie: float = 2.0**-21
-    least: int = 2
-    grams: float = 0.0
+    least: int = 2  #: training occurrences from which on a pair or triple is kept
     discount: float = 0.5
-    memory: int = 400_000
-
-
-def word_key(word: bytes) -> int:
-    return (xxhash.xxh64_intdigest(word, 0) >> 2) | RARE
+    shard: int = 1 << 20  #: tokens
+    range: int = 1 << 20  #: tokens of the corpus to a range
+    points: int = 1 << 20  #: sampled pairs, at most, on the driver
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -70,111 +61,124 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
-class Coder(dict):
-    """Word to its number if frequent, else to its key.  Frequent words are remembered, which bounds the memory."""
-
-    def __init__(self, keys: np.ndarray):
-        super().__init__()
-        self.numbers = {k: i for i, k in enumerate(keys.tolist())}
-
+# ---- shards ------------------------------------------------------------------------------------------------------
+class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
-        key = word_key(word)
-        number = self.numbers.get(key)
-        if number is None:
-            return key
-        self[word] = number
+        self[word] = number = len(self)
         return number
 
-    def codes(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """(code of each token, documents' first tokens) of a batch, end tokens included."""
-        get = self.__getitem__
-        each = []
-        for text in texts:
-            words = tokens(text)
-            each.append(np.fromiter(map(get, words), dtype=np.int64, count=len(words)))
-        sizes = np.array([len(x) for x in each], dtype=np.int64)
-        return (np.concatenate(each) if each else np.zeros(0, dtype=np.int64)), np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else sizes
 
+class _Shard:
+    def __init__(self) -> None:
+        self.number, self.ids, self.docs, self.size = _Numbers({END: 0}), [], [], 0
 
-def word_counts(training: DataFrame, params: Params) -> DataFrame:
-    """(key, c): exact counts of the words and the end, combined in each task before the exchange."""
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"key": np.fromiter(map(word_key, seen), dtype=np.int64, count=len(seen)), "c": np.fromiter(seen.values(), dtype=np.int64, count=len(seen))})
-
-        for frame in frames:
-            for text in frame["text"]:
-                seen.update(word_list(text))
-            seen[END] += len(frame)
-            if len(seen) >= 2 * params.memory:
-                yield out()
-                seen = Counter()
-        yield out()
-
-    rows = training.select("text").mapInPandas(count, "key bigint, c bigint")
-    return rows.groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def _pairs(codes: np.ndarray, firsts: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose token and the one before it are both words of the trie's pairs, in one document; and the pair."""
-    inner = codes < parts
-    both = np.zeros(len(codes), dtype=bool)
-    both[1:] = inner[1:] & inner[:-1]
-    both[firsts] = False
-    at = np.flatnonzero(both)
-    return at, codes[at - 1] * parts + codes[at]
-
-
-def gram_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A negative number from two: the pair of two words, or the triple of two pairs that share a word."""
-    x = np.ascontiguousarray(a, dtype=np.int64).view(np.uint64)
-    for y in (0, np.ascontiguousarray(b, dtype=np.int64).view(np.uint64)):
-        x = x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019) + y
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x = x ^ (x >> np.uint64(31))
-    return (x | np.uint64(1 << 63)).view(np.int64)
-
-
-def _grams(keys: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pair that ends at each token (0 at the first of a document); positions at which pairs and triples end."""
-    n = len(keys)
-    old = np.ones(n, dtype=bool)
-    old[firsts] = False
-    at2 = np.flatnonzero(old)
-    pair = np.zeros(n, dtype=np.int64)
-    pair[at2] = gram_key(keys[at2 - 1], keys[at2])
-    return pair, at2, at2[old[at2 - 1]]
-
-
-def gram_counts(training: DataFrame) -> DataFrame:
-    """(a, b, c): counts of all pairs of words, and of all triples as pairs of pairs, which are negative."""
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(np.zeros(0, dtype=np.int64))
-        for frame in frames:
-            keys, firsts = coder.codes(frame["text"])
-            pair, at2, at3 = _grams(keys, firsts)
-            for at, of in ((at2, keys), (at3, pair)):
-                a, b = of[at - 1], of[at]
-                _, first, c = np.unique(pair[at] if of is keys else gram_key(a, b), return_index=True, return_counts=True)
-                yield pd.DataFrame({"a": a[first], "b": b[first], "c": c})
-
-    rows = training.select("text").mapInPandas(count, "a bigint, b bigint, c bigint")
-    return rows.groupBy("a", "b").agg(F.sum("c").alias("c"))
+    def add(self, doc_id: int | None, text: str | None) -> None:
+        words = tokens(text)
+        self.ids.append(np.fromiter(map(self.number.__getitem__, words), dtype=np.int32, count=len(words)))
+        self.docs.append(doc_id)
+        self.size += len(words)
 
+    def row(self, shard: int, train: bool) -> tuple:
+        words = sorted(self.number)
+        to = np.zeros(len(words), dtype=np.int32)
+        to[[self.number[w] for w in words]] = np.arange(len(words))
+        ids = to[np.concatenate(self.ids)]
+        none = np.array([d is None for d in self.docs])
+        docs = pickle.dumps((pack(none.astype(np.int64)), pack(np.array([d or 0 for d in self.docs], dtype=np.int64)), pack(np.array(list(map(len, self.ids))))))
+        sample = [b"\n".join(words[i] for i in ids[at : at + 2].tolist()) for at in range(0, len(ids), max(len(ids) // 64, 1))]
+        return shard, train, len(ids), pack_bytes(b"\n".join(words)), pack(ids), docs, sample
 
-def _find(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Places of values in an ordered array, -1 where absent."""
-    if not len(ordered):
-        return np.full(len(values), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
-    return np.where(ordered[at] == values, at, -1)
 
+def shards(documents: DataFrame, train: Column, params: Params) -> DataFrame:
+    bounded_batches(documents.sparkSession, 4 << 20)
+    names = [c.split()[0] for c in SHARD.split(", ")]
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_, number = {True: _Shard(), False: _Shard()}, TaskContext.get().partitionId() << 32
+        for frame in frames:
+            none = frame["none"].tolist()
+            for doc_id, gone, text, t in zip(frame["doc_id"].tolist(), none, frame["text"].tolist(), frame["train"].tolist()):
+                open_[t].add(None if gone else doc_id, text if isinstance(text, str) else None)
+                if open_[t].size >= params.shard:
+                    yield pd.DataFrame([open_[t].row(number, t)], columns=names, dtype=object)
+                    open_[t], number = _Shard(), number + 1
+        for t, s in open_.items():
+            if s.docs:
+                yield pd.DataFrame([s.row(number, t)], columns=names, dtype=object)
+                number += 1
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
+    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text", "train")
+    return rows.mapInPandas(run, SHARD)
+
+
+def cut_points(table: DataFrame, params: Params) -> list[tuple[bytes, ...]]:
+    """Ascending pairs that divide all pairs into ranges; their first words divide the words."""
+    n, many = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    wanted = -(-n // params.range)
+    if wanted < 2:
+        return []
+    sample = table.select(F.explode("sample").alias("s")).where(share(F.col("s")) < params.points / (65 * many)).distinct()
+    found = sorted(tuple(bytes(r["s"]).split(b"\n")) for r in sample.toLocalIterator())
+    return sorted({found[i * len(found) // wanted] for i in range(1, wanted)}) if found else []
+
+
+# ---- parts of a shard for the ranges -----------------------------------------------------------------------------
+@dataclass
+class Part:
+    """N-grams of a shard by context: contexts (k, order) and successors as label numbers, both ascending."""
+
+    labels: list[bytes]
+    known: np.ndarray  #: training count of each label
+    contexts: np.ndarray
+    context_counts: np.ndarray  #: training count of each context
+    sizes: np.ndarray  #: successors of each context
+    successors: np.ndarray
+    counts: np.ndarray  #: in this shard, 0 unless it trains
+    shorter: np.ndarray  #: training count of the n-gram without its first word
+
+    def slice(self, a: int, b: int) -> Part:
+        x, y = np.r_[0, np.cumsum(self.sizes)][[a, b]]
+        used = np.unique(np.concatenate([self.contexts[a:b].ravel(), self.successors[x:y]]))
+        at = lambda v: np.searchsorted(used, v)
+        return Part(
+            [self.labels[i] for i in used.tolist()], self.known[used], at(self.contexts[a:b]), self.context_counts[a:b],
+            self.sizes[a:b], at(self.successors[x:y]), self.counts[x:y], self.shorter[x:y],
+        )
+
+    def dumps(self) -> bytes:
+        columns = [self.contexts[:, j] for j in range(self.contexts.shape[1])]
+        columns[0] = np.diff(columns[0], prepend=0)
+        rest = (self.known, self.context_counts, self.sizes, np.diff(self.successors, prepend=0), self.counts, self.shorter)
+        return pickle.dumps((pack_bytes(b"\n".join(self.labels)), [pack(c) for c in columns], [pack(x) for x in rest]), protocol=5)
+
+    @classmethod
+    def loads(cls, data: bytes) -> Part:
+        labels, columns, rest = pickle.loads(data)
+        columns = [unpack(c) for c in columns]
+        columns[0] = np.cumsum(columns[0])
+        known, context_counts, sizes, successors, counts, shorter = map(unpack, rest)
+        return cls(unpack_bytes(labels).split(b"\n"), known, np.column_stack(columns), context_counts, sizes, np.cumsum(successors), counts, shorter)
+
+    def cut(self, points: Sequence[tuple[bytes, ...]]) -> Iterator[tuple[int, Part]]:
+        place = lambda i: tuple(self.labels[x] for x in self.contexts[i].tolist())
+        begin, n = 0, len(self.contexts)
+        while begin < n:
+            at = bisect.bisect_right(points, place(begin))
+            end = n if at >= len(points) else bisect.bisect_left(range(n), points[at], lo=begin, key=place)
+            yield at, self.slice(begin, end)
+            begin = end
+
+
+def _floats(x: np.ndarray) -> bytes:
+    return pack_bytes(x.astype("<f4").tobytes())
+
+
+def _unfloats(data: bytes) -> np.ndarray:
+    return np.frombuffer(unpack_bytes(data), "<f4").astype(np.float64)
+
+
+# ---- the trie of a range -----------------------------------------------------------------------------------------
 def level(parents: np.ndarray, children: np.ndarray, nodes: int, width: int) -> tuple:
     """Pointers and numbers of a level in Elias-Fano form; parents ascend, children ascend within a parent."""
     starts = np.searchsorted(parents, np.arange(nodes + 1))
@@ -211,101 +215,8 @@ class Level:
         return out
 
 
-def _weight(kept: str, shorter: str):
-    """log10 of what the continuations of a context leave, over what the shorter context gives all others."""
-    left, rest = (F.greatest(1 - F.sum(c), F.lit(1e-6)) for c in (kept, shorter))
-    return F.log10(F.least(left, F.lit(1.0)) / F.least(rest, F.lit(1.0)))
-
-
-@pandas_udf(LongType())
-def _gram_column(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(gram_key(a.to_numpy(), b.to_numpy()))
-
-
-@dataclass(frozen=True)
-class Model:
-    keys: np.ndarray
-    counts: np.ndarray
-    parts: int
-    total: int
-    types: int
-    stored: bytes
-
-    @property
-    def floor(self) -> float:
-        return self.total + ADD * (self.types + 1)
-
-
-def values(counts: DataFrame, grams: DataFrame, floor: float, discount: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(key, c, v) of words: count and weight as a context; (key, a, b, c, v) of pairs and of triples: what each adds."""
-    word = (F.col("c") + ADD) / F.lit(float(floor))
-    first, second = counts.select(F.col("key").alias("a"), F.col("c").alias("ca")), counts.select(F.col("key").alias("b"), word.alias("shorter"))
-    two = grams.where("a > 0").join(first, "a").join(second, "b")
-    two = written(two.select(_gram_column("a", "b").alias("key"), "a", "b", "c", ((F.col("c") - discount) / F.col("ca")).alias("p"), "shorter"), "pairs")
-    first, second = two.select(F.col("key").alias("a"), F.col("c").alias("ca")), two.select(F.col("key").alias("b"), F.col("p").alias("shorter"))
-    three = grams.where("a < 0").join(first, "a").join(second, "b")
-    three = written(three.select(_gram_column("a", "b").alias("key"), "a", "b", "c", ((F.col("c") - discount) / F.col("ca")).alias("p"), "shorter"), "triples")
-    of1, of2 = (x.groupBy("a").agg(_weight("p", "shorter").alias("weight")) for x in (two, three))
-    added = F.log10("p") - F.col("weight") - F.log10("shorter")
-    weight = F.coalesce("weight", F.lit(0.0))
-    words = counts.join(of1.withColumnRenamed("a", "key"), "key", "left").select("key", "c", weight.alias("v"))
-    pairs = two.join(of1, "a").select("key", "a", "b", "c", added.alias("d")).join(of2.withColumnRenamed("a", "key"), "key", "left")
-    triples = three.join(of2, "a").select("key", "a", "b", "c", added.alias("v"))
-    return words, pairs.select("key", "a", "b", "c", (F.col("d") + weight).alias("v")), triples
-
-
-def fit(training: DataFrame, params: Params = Params()) -> tuple[Model, DataFrame]:
-    """The model's frequent part, and the table (key, a, b, c, v) of all words, pairs and triples; a is null for words.
-    ``training`` needs a column text; null is an empty text."""
-    bounded_batches(training.sparkSession, 4 << 20)
-    counts = written(word_counts(training, params), "words")
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(params.least, int(np.ceil(params.grams * total)))
-    grams = written(gram_counts(training).where(F.col("c") >= least), "grams")
-    floor = total + ADD * (types + 1)
-    words, pairs, triples = values(counts, grams, floor, params.discount)
-    none = F.lit(None).cast("bigint")
-    table = words.select("key", none.alias("a"), none.alias("b"), "c", "v").unionAll(pairs).unionAll(triples)
-    table = written(table, "model")
-
-    def frequent(condition: str, share: float) -> pd.DataFrame:
-        """Entries of bounded number."""
-        return table.where(condition).where(F.col("c") >= max(1.0, share * total)).toPandas()
-
-    top = frequent("a IS NULL", params.words)
-    keys, c1, v1 = top["key"].to_numpy(np.int64), top["c"].to_numpy(np.int64), top["v"].to_numpy(float)
-    order = np.lexsort((keys, -c1))
-    keys, c1, v1 = keys[order], c1[order], v1[order]
-    parts = max(1, int((c1 >= params.parts * total).sum()))
-    ranks = np.argsort(keys[:parts])
-
-    def place(sorted_keys: np.ndarray, at: np.ndarray, values: pd.Series) -> np.ndarray:
-        found = _find(sorted_keys, values.to_numpy(np.int64))
-        return np.where(found >= 0, at[found], -1) if len(at) else found
-
-    two = frequent("a > 0", params.trie)
-    u, w = (place(keys[:parts][ranks], ranks, two[c]) for c in ("a", "b"))
-    inner = np.flatnonzero((u >= 0) & (w >= 0))
-    inner = inner[np.lexsort((w[inner], u[inner]))]
-    u, w, g2, v2 = u[inner], w[inner], two["key"].to_numpy(np.int64)[inner], two["v"].to_numpy(float)[inner]
-    three = frequent("a < 0", params.trie)
-    ranks = np.argsort(g2)
-    node, last = (place(g2[ranks], ranks, three[c]) for c in ("a", "b"))
-    inner = np.flatnonzero((node >= 0) & (last >= 0))
-    node, x, v3 = node[inner], w[last[inner]], three["v"].to_numpy(float)[inner]
-    order = np.lexsort((x, node))
-    node, x, v3 = node[order], x[order], v3[order]
-    levels = {
-        "one": (Codebook.encode(np.log10((c1 + ADD) / floor)), Codebook.encode(v1)),
-        "two": (level(u, w, parts, parts), Codebook.encode(v2)),
-        "three": (level(node, x, len(g2), parts), Codebook.encode(v3)),
-    }
-    return Model(keys, c1, parts, total, types, pickle.dumps(levels, protocol=5)), table
-
-
-def mapped(stored: bytes) -> dict:
+def mapped(levels: tuple) -> tuple:
     """The levels, their arrays lying in an unlinked memory-mapped file."""
-    levels = pickle.loads(stored)
     parts: list[np.ndarray] = []
 
     def gather(x):
@@ -315,8 +226,7 @@ def mapped(stored: bytes) -> dict:
             for y in x:
                 gather(y)
 
-    for v in levels.values():
-        gather(v)
+    gather(levels)
     size = sum(-(-x.nbytes // 64) * 64 for x in parts)
     with tempfile.TemporaryFile() as f:
         f.truncate(max(size, 64))
@@ -332,97 +242,359 @@ def mapped(stored: bytes) -> dict:
             return view
         return tuple(placed(y) for y in x) if isinstance(x, (tuple, list)) else x
 
-    return {k: placed(v) for k, v in levels.items()}
+    return placed(levels)
 
 
+@dataclass
 class Trie:
-    def __init__(self, model: Model):
-        levels = mapped(model.stored)
-        self.parts = model.parts
-        (self.book1, self.prob1), (self.bookb1, self.back1) = levels["one"]
-        two, (self.book2, self.value2) = levels["two"]
-        three, (self.book3, self.value3) = levels["three"]
-        self.two, self.three = Level(two), Level(three)
-
-    def scores(self, codes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sum of the values of the trie's n-grams that end at each token; places of the pair and of the triple that end
-        there, -1 where the trie has none."""
-        out = np.zeros(len(codes))
-        frequent = codes < len(self.prob1)
-        own = codes[frequent]
-        out[frequent] = self.book1[self.prob1[own]] + self.bookb1[self.back1[own]]
-        pair, triple = np.full((2, len(codes)), -1, dtype=np.int64)
-        at, grams = _pairs(codes, firsts, self.parts)
-        distinct, back = np.unique(grams, return_inverse=True)
-        pair[at] = self.two.find(distinct // self.parts, distinct % self.parts)[back]
-        hit = np.flatnonzero(pair >= 0)
-        out[hit] += self.book2[self.value2[pair[hit]]]
-        at = hit[pair[hit - 1] >= 0]  # a document's first token ends no pair
-        triple[at] = self.three.find(pair[at - 1], codes[at])
-        hit = at[triple[at] >= 0]
-        out[hit] += self.book3[self.value3[triple[hit]]]
-        return out, pair, triple
-
-
-def score(documents: DataFrame, model: Model, table: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; a null or empty text is the end alone.
-
-    Without training tokens every score is that of an unknown word each.  Repeated rows and ids are rows of their own.
-    A document's row and the n-grams of it that are not broadcast go through one join with the table; the document's
-    key there is its row's number, which is nobody else's.
-    """
-    spark = documents.sparkSession
-    bounded_batches(spark, 4 << 20)
-    shared = spark.sparkContext.broadcast(model)
-    names = ["row", "key", "times", "doc_id", "none", "known", "base", "lm"]
-
-    def known(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        coder, trie = Coder(m.keys), Trie(m)
-        exact = np.log10((m.counts + ADD) / m.floor) if len(m.counts) else np.zeros(0)
+    """Of one range: contexts in order, their successors, values and weights.  ``stored`` is what the file has."""
+
+    labels: list[bytes]
+    contexts: np.ndarray
+    stored: tuple  #: levels, value codes, weight codes
+    kept: np.ndarray  #: training counts of the successors
+
+    def __post_init__(self) -> None:
+        levels, (self.book, self.codes), (self.weight_book, self.weights) = mapped(self.stored)
+        self.level = Level(levels)
+
+    def dumps(self) -> bytes:
+        columns = [pack(self.contexts[:, j]) for j in range(self.contexts.shape[1])]
+        return pickle.dumps((pack_bytes(b"\n".join(self.labels)), columns, self.stored, pack(self.kept)), protocol=5)
+
+    @classmethod
+    def loads(cls, data: bytes) -> Trie:
+        labels, columns, stored, kept = pickle.loads(data)
+        return cls(unpack_bytes(labels).split(b"\n"), np.column_stack([unpack(c) for c in columns]), stored, unpack(kept))
+
+
+def _log_ratio(left: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """log10 of what the continuations of a context leave, over what the shorter context gives all others."""
+    bound = lambda x: np.clip(1 - x, 1e-6, 1.0)
+    return np.log10(bound(left) / bound(rest))
+
+
+def united(parts: Sequence[Part], floor: float, params: Params) -> tuple[Trie, list[np.ndarray], list[np.ndarray]]:
+    """The trie of a range; for each part the trie's number of each of its contexts, and of each of its labels."""
+    labels = sorted(set().union(*[p.labels for p in parts]))
+    at = dict(zip(labels, range(len(labels))))
+    known = np.zeros(len(labels), dtype=np.int64)
+    names, rows, counts_ = [], [], []
+    for p in parts:
+        to = np.fromiter(map(at.__getitem__, p.labels), dtype=np.int64, count=len(p.labels))
+        known[to] = p.known
+        names.append(to)
+        rows.append(to[p.contexts])
+        counts_.append(p.context_counts)
+    every = np.concatenate(rows)
+    order = np.lexsort(every.T[::-1])
+    new = np.ones(len(every), dtype=bool)
+    new[1:] = (every[order][1:] != every[order][:-1]).any(axis=1)
+    number = np.zeros(len(every), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    contexts, of_context = every[order][new], np.concatenate(counts_)[order][new]
+    numbers = np.split(number, np.cumsum(list(map(len, rows)))[:-1])
+    key = np.concatenate([np.repeat(k, p.sizes) * len(labels) + to[p.successors] for p, k, to in zip(parts, numbers, names)])
+    distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
+    total = np.bincount(back, weights=np.concatenate([p.counts for p in parts]), minlength=len(distinct)).astype(np.int64)
+    keep = total >= params.least
+    parent, child, c = distinct[keep] // len(labels), distinct[keep] % len(labels), total[keep]
+    p = (c - params.discount) / of_context[parent]
+    if contexts.shape[1] == 1:
+        shorter = (known[child] + ADD) / floor
+    else:
+        shorter = (np.concatenate([x.shorter for x in parts])[first[keep]] - params.discount) / known[contexts[parent, -1]]
+    sums = [np.bincount(parent, weights=x, minlength=len(contexts)) for x in (p, shorter)]
+    weight = np.where(np.bincount(parent, minlength=len(contexts)) > 0, _log_ratio(*sums), 0.0)
+    value = np.log10(p) - weight[parent] - np.log10(shorter)
+    stored = (level(parent, child, len(contexts), len(labels)), Codebook.encode(value), Codebook.encode(weight))
+    return Trie(labels, contexts, stored, c), numbers, names
+
+
+def answered(trie: Trie, part: Part, numbers: np.ndarray, names: np.ndarray) -> bytes:
+    """Weights of the part's contexts; which of its n-grams the trie has, their training counts and values."""
+    place = trie.level.find(np.repeat(numbers, part.sizes), names[part.successors])
+    hit = place[place >= 0]
+    values = trie.book[trie.codes[hit]] if len(hit) else np.zeros(0)
+    found = np.packbits(place >= 0).tobytes()
+    return pickle.dumps((_floats(trie.weight_book[trie.weights[numbers]]), pack_bytes(found), pack(trie.kept[hit]), _floats(values)), protocol=5)
+
+
+def _range_answers(floor: float, params: Params) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("shard")
+        parts = [Part.loads(p) for p in frame["part"]]
+        trie, numbers, names = united(parts, floor, params)
+        out = [(key[0], s, answered(trie, p, n, to), None) for s, p, n, to in zip(frame["shard"], parts, numbers, names)]
+        return pd.DataFrame([*out, (key[0], None, None, trie.dumps())], columns=["range", "shard", "answer", "trie"], dtype=object)
+
+    return run
+
+
+def _word_answers(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """Training counts of the words of a range, to every shard that has them."""
+    frame = frame.sort_values("shard")
+    parts = [pickle.loads(p) for p in frame["part"]]
+    lists = [unpack_bytes(w).split(b"\n") for w, _ in parts]
+    at = {w: i for i, w in enumerate(set().union(*lists))}
+    places = [np.fromiter(map(at.__getitem__, x), dtype=np.int64, count=len(x)) for x in lists]
+    total = np.zeros(len(at), dtype=np.int64)
+    for to, (_, counts) in zip(places, parts):
+        total[to] += unpack(counts)
+    rows = [(key[0], s, pack(total[to]), 0, 0) for s, to in zip(frame["shard"], places)]
+    return pd.DataFrame([*rows, (key[0], None, None, int(total.sum()), int((total > 0).sum()))], columns=["range", "shard", "answer", "total", "types"], dtype=object)
+
+
+def _joined(state: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each shard with all its answers in the order of the ranges; merged at every size, as neither side is bounded."""
+    mine = answers.where("shard IS NOT NULL").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("range", "answer"))).alias("answers"))
+    return state.join(mine.hint("merge"), "shard", "left")
+
+
+def _mapped(df: DataFrame, of: Callable[[object], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows that ``of`` makes of each row, one after another: a shard in memory at a time."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if not len(frame):
-                continue
-            codes, firsts = coder.codes(frame["text"])
-            sizes = np.diff(np.r_[firsts, len(codes)])
-            frequent = codes < RARE
-            base = np.zeros(len(codes))
-            base[frequent] = exact[codes[frequent]]
-            keys = codes.copy()
-            keys[frequent] = m.keys[codes[frequent]]
-            lm, in2, in3 = trie.scores(codes, firsts)
-            number = frame["row"].to_numpy(np.int64)
-            sums = [np.add.reduceat(x, firsts) for x in (frequent.astype(np.int64), base, lm)]
-            yield pd.DataFrame(dict(zip(names, [number, number, sizes, frame["doc_id"], frame["none"], *sums])))
-            pair, at2, at3 = _grams(keys, firsts)
-            at1, at2, at3 = np.flatnonzero(~frequent), at2[in2[at2] < 0], at3[in3[at3] < 0]
-            wanted = np.concatenate([keys[at1], pair[at2], gram_key(pair[at3 - 1], pair[at3])])
-            row = np.repeat(number, sizes)[np.concatenate([at1, at2, at3])]
-            _, first, times = np.unique(gram_key(row, wanted), return_index=True, return_counts=True)
-            for i in range(0, len(first), 200_000):
-                f = first[i : i + 200_000]
-                yield pd.DataFrame(dict(zip(names, [row[f], wanted[f], times[i : i + 200_000], 0, False, 0, 0.0, 0.0])))
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    rows = rows.select("row", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
-    rows = rows.mapInPandas(known, "row bigint, key bigint, times bigint, doc_id bigint, none boolean, known bigint, base double, lm double")
-    joined = rows.join(table.select("key", F.col("c"), "v"), "key", "left")
-    head, word = (F.col("key") >= 0) & (F.col("key") < RARE), F.col("key") >= RARE
-    joined = joined.where((F.col("key") >= 0) | F.col("v").isNotNull())
-    logp = F.log10((F.coalesce("c", F.lit(0)) + F.lit(ADD)) / F.lit(float(model.floor or 1.0))) * F.col("times")
-    more = F.coalesce("v", F.lit(0.0)) * F.col("times")
-    out = joined.groupBy("row").agg(
-        F.max(F.when(head & ~F.col("none"), F.col("doc_id"))).alias("doc_id"),
-        F.sum(F.when(head, F.col("times")).otherwise(0)).alias("n_tokens"),
-        F.sum(F.when(word & (F.col("c") > 0), F.col("times")).otherwise(F.col("known"))).alias("n_known"),
-        F.sum(F.when(word, logp).otherwise(F.col("base"))).alias("base_score"),
-        F.sum(F.when(word, logp + more).when(head, F.col("lm")).otherwise(more)).alias("score"),
-    )
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+            for row in frame.itertuples(index=False):
+                yield pd.DataFrame(list(of(row)), columns=names, dtype=object)
+
+    return df.mapInPandas(run, schema)
+
+
+# ---- what a shard does -------------------------------------------------------------------------------------------
+def _word_parts(points: list[tuple[bytes, ...]]) -> Callable[[object], Iterator[tuple]]:
+    def of(row) -> Iterator[tuple]:
+        words, ids = unpack_bytes(row.words).split(b"\n"), unpack(row.ids)
+        counts = np.bincount(ids, minlength=len(words)) if row.train else np.zeros(len(words), dtype=np.int64)
+        begin = 0
+        while begin < len(words):
+            at = bisect.bisect_right(points, (words[begin],))
+            end = len(words) if at >= len(points) else bisect.bisect_left(words, points[at][0], lo=begin)
+            yield at, row.shard, pickle.dumps((pack_bytes(b"\n".join(words[begin:end])), pack(counts[begin:end])), protocol=5)
+            begin = end
+
+    return of
+
+
+def _after_words(total: int, types: int, least: int) -> Callable[[object], Iterator[tuple]]:
+    """State: words of ``least`` training occurrences; places hold them, 0 stands for any others between them."""
+    floor = total + ADD * (types + 1)
+
+    def of(row) -> Iterator[tuple]:
+        words, ids = unpack_bytes(row.words).split(b"\n"), unpack(row.ids)
+        known = np.concatenate([unpack(a["answer"]) for a in row.answers])
+        none, doc_ids, sizes = map(unpack, pickle.loads(row.docs))
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        logs = np.log10((known + ADD) / floor)
+        base = np.bincount(doc, weights=logs[ids], minlength=len(sizes))
+        n_known = np.bincount(doc, weights=known[ids] > 0, minlength=len(sizes)).astype(np.int64)
+        ids, doc, words, known = _narrowed(ids, doc, words, known, known[ids] >= least)
+        docs = (none, doc_ids, sizes, n_known, base, base.copy())
+        yield row.shard, row.train, pack_bytes(b"\n".join(words)), _places(ids, doc), pickle.dumps((pack(known),)), pickle.dumps(docs, protocol=5)
+
+    return of
+
+
+def _narrowed(ids: np.ndarray, doc: np.ndarray, words: list[bytes], known: np.ndarray, stay: np.ndarray) -> tuple:
+    """Places that ``stay``, numbered from 1 by their words alone, and a 0 after each stretch of them."""
+    keep = stay.copy()
+    keep[1:] |= stay[:-1]
+    used = np.unique(ids[stay])
+    to = np.zeros(len(words) + 1, dtype=np.int64)
+    to[used] = np.arange(1, len(used) + 1)
+    return np.where(stay, to[ids], 0)[keep], doc[keep], [words[u] for u in used.tolist()], known[used]
+
+
+def _places(ids: np.ndarray, doc: np.ndarray) -> bytes:
+    return pickle.dumps((pack(ids), pack(np.diff(doc, prepend=0))), protocol=5)
+
+
+@dataclass
+class _State:
+    """A shard between passes."""
+
+    words: list[bytes]
+    ids: np.ndarray  #: word number + 1, or 0
+    doc: np.ndarray
+    extra: list[np.ndarray]
+
+    @classmethod
+    def of(cls, row) -> _State:
+        ids, doc = map(unpack, pickle.loads(row.ids))
+        words = unpack_bytes(row.words)
+        return cls(words.split(b"\n") if words else [], ids, np.cumsum(doc), [unpack(x) for x in pickle.loads(row.extra)])
+
+    def inner(self) -> np.ndarray:
+        """Places of words, not of ends: what comes next belongs to the same document."""
+        end = self.words.index(END) + 1 if END in self.words else 0
+        return (self.ids > 0) & (self.ids != end)
+
+    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs that begin at the places ``at``, as (first, second) word numbers, ascending; which is where."""
+        wide = len(self.words) + 1
+        key, which = np.unique(self.ids[at] * wide + self.ids[at + 1], return_inverse=True)
+        return np.column_stack([key // wide, key % wide]) - 1, which
+
+
+def _pair_places(s: _State) -> np.ndarray:
+    inner = s.inner()
+    return np.flatnonzero(inner[:-1] & (s.ids[1:] > 0))
+
+
+def _pair_part(s: _State, train: bool) -> tuple[Part, np.ndarray, np.ndarray]:
+    """Contexts: all words but the end; the pairs at each place, and the places."""
+    at = _pair_places(s)
+    rows, which = s.pairs(at)
+    counts = np.bincount(which, minlength=len(rows)) if train else np.zeros(len(rows), dtype=np.int64)
+    contexts = np.unique(s.ids[s.inner()]) - 1
+    sizes = np.bincount(np.searchsorted(contexts, rows[:, 0]), minlength=len(contexts))
+    known = s.extra[0]
+    return Part(s.words, known, contexts[:, None], known[contexts], sizes, rows[:, 1], counts, np.zeros(len(rows), dtype=np.int64)), which, at
+
+
+def _triple_part(s: _State, train: bool) -> tuple[Part, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts: the kept pairs whose second word is not the end.  Also which context is at which place, and the triples."""
+    known, begins, of_pair = s.extra
+    pair_at = np.flatnonzero(begins)
+    rows, which = s.pairs(pair_at)
+    pair = np.full(len(s.ids), -1, dtype=np.int64)
+    pair[pair_at] = which
+    end = s.words.index(END) if END in s.words else -1
+    goes_on = rows[:, 1] != end
+    number = np.cumsum(goes_on) - 1  # of a pair among the contexts
+    at = pair_at[pair_at + 1 < len(s.ids)]
+    at = at[(pair[at + 1] >= 0) & goes_on[pair[at]]]
+    wide = len(s.words) + 1
+    key, first, triple = np.unique(number[pair[at]] * wide + s.ids[at + 2], return_index=True, return_inverse=True)
+    counts = np.bincount(triple, minlength=len(key)) if train else np.zeros(len(key), dtype=np.int64)
+    sizes = np.bincount(key // wide, minlength=int(goes_on.sum()))
+    part = Part(s.words, known, rows[goes_on], of_pair[goes_on], sizes, key % wide - 1, counts, of_pair[pair[at + 1][first]])
+    here = pair_at[goes_on[which]]
+    return part, number[pair[here]], here, triple, at
+
+
+def _parts(triples: bool, points: list[tuple[bytes, ...]]) -> Callable[[object], Iterator[tuple]]:
+    def of(row) -> Iterator[tuple]:
+        part = (_triple_part if triples else _pair_part)(_State.of(row), row.train)[0]
+        for at, some in part.cut(points):
+            yield at, row.shard, some.dumps()
+
+    return of
+
+
+def _replies(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of the contexts, which n-grams are kept, counts and values of those, over all ranges."""
+    weights, found, counts, values = [np.zeros(0)], [np.zeros(0, dtype=bool)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+    for a, size in zip(row.answers if row.answers is not None else [], row.lengths):
+        w, f, c, v = pickle.loads(a["answer"])
+        weights.append(_unfloats(w))
+        found.append(np.unpackbits(np.frombuffer(unpack_bytes(f), np.uint8), count=size).astype(bool))
+        counts.append(unpack(c))
+        values.append(_unfloats(v))
+    return tuple(map(np.concatenate, (weights, found, counts, values)))
+
+
+@dataclass
+class _Row:
+    """A shard's row with the number of n-grams that each of its ranges was asked for."""
+
+    answers: list
+    lengths: list[int]
+
+
+def _after_pairs(points: list[tuple[bytes, ...]]) -> Callable[[object], Iterator[tuple]]:
+    def of(row) -> Iterator[tuple]:
+        s = _State.of(row)
+        part, which, at = _pair_part(s, False)
+        weights, found, counts, values = _replies(_Row(row.answers, [len(x.successors) for _, x in part.cut(points)]))
+        none, doc_ids, sizes, n_known, base, score = pickle.loads(row.docs)
+        score = score.copy()
+        inner = np.flatnonzero(s.inner())
+        if len(inner):
+            score += np.bincount(s.doc[inner], weights=weights[np.searchsorted(part.contexts[:, 0], s.ids[inner] - 1)], minlength=len(score))
+        value = np.zeros(len(found))
+        value[found] = values
+        if len(at):
+            score += np.bincount(s.doc[at], weights=value[which], minlength=len(score))
+        begins = np.zeros(len(s.ids) + 1, dtype=bool)
+        begins[at[found[which]]] = True
+        stay = begins[:-1].copy()
+        stay[1:] |= begins[:-2]
+        keep = stay.copy()
+        keep[1:] |= stay[:-1]
+        shifted = np.where(s.ids > 0, s.ids - 1, 0)
+        ids, doc, words, known = _narrowed(shifted, s.doc, s.words, s.extra[0], stay)
+        extra = (pack(known), pack(begins[:-1][keep].astype(np.int64)), pack(counts))
+        yield row.shard, row.train, pack_bytes(b"\n".join(words)), _places(ids, doc), pickle.dumps(extra), pickle.dumps((none, doc_ids, sizes, n_known, base, score), protocol=5)
+
+    return of
+
+
+def _after_triples(points: list[tuple[bytes, ...]]) -> Callable[[object], Iterator[tuple]]:
+    def of(row) -> Iterator[tuple]:
+        s = _State.of(row)
+        none, doc_ids, sizes, n_known, base, score = pickle.loads(row.docs)
+        score = score.copy()
+        if len(s.ids):
+            part, context, here, triple, at = _triple_part(s, False)
+            weights, found, _, values = _replies(_Row(row.answers, [len(x.successors) for _, x in part.cut(points)]))
+            value = np.zeros(len(found))
+            value[found] = values
+            if len(here):
+                score += np.bincount(s.doc[here], weights=weights[context], minlength=len(score))
+            if len(at):
+                score += np.bincount(s.doc[at], weights=value[triple], minlength=len(score))
+        for gone, i, n, k, b, x in zip(none.tolist(), doc_ids.tolist(), sizes.tolist(), n_known.tolist(), base.tolist(), score.tolist()):
+            yield None if gone else i, row.train, n, k, b, x
+
+    return of
+
+
+# ---- the operator ------------------------------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Scored:
+    """``documents``: (doc_id, train, n_tokens, n_known, base_score, score); the tries are tables (range, trie)."""
+
+    documents: DataFrame
+    pairs: DataFrame
+    triples: DataFrame
+    total: int  #: training tokens
+    types: int
+
+
+def scored(documents: DataFrame, train: Column, params: Params = Params()) -> Scored:
+    """Learns from the rows of ``documents`` (doc_id, text) where ``train`` holds and scores all rows.
+
+    A null or empty text is the end alone.  Without training tokens every score is that of an unknown word each.  Repeated
+    rows and ids are rows of their own; a null id stays null.  A text of any length is scored whole.  No documents give no
+    rows.  Other columns are not looked at.
+    """
+    table = written(shards(documents, train, params), "shards")
+    points = cut_points(table, params)
+    firsts = sorted({(p[0],) for p in points})
+    words = _mapped(table.select("shard", "train", "words", "ids"), _word_parts(firsts), PART)
+    words = written(words.groupBy("range").applyInPandas(_word_answers, "range int, shard long, answer binary, total long, types long"), "words")
+    total, types = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    floor = total + ADD * (types + 1)
+    state = _joined(table.select("shard", "train", "words", "ids", "docs"), words.select("range", "shard", "answer"))
+    state = written(_mapped(state, _after_words(total, types, params.least), STATE), "state")
+
+    def asked(state: DataFrame, triples: bool, points: list[tuple[bytes, ...]], name: str) -> DataFrame:
+        parts = _mapped(state, _parts(triples, points), PART)
+        return written(parts.groupBy("range").applyInPandas(_range_answers(floor, params), ANSWER), name)
+
+    pairs = asked(state, False, firsts, "pairs")
+    state = written(_mapped(_joined(state, pairs), _after_pairs(firsts), STATE), "state")
+    triples = asked(state, True, points, "triples")
+    rows = _mapped(_joined(state, triples), _after_triples(points), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    tries = [t.where("trie IS NOT NULL").select("range", "trie") for t in (pairs, triples)]
+    return Scored(rows, *tries, total, types)
 
 
 def held_out_scores(documents: DataFrame, parts: int = 10, held: int = 0, params: Params = Params()) -> DataFrame:
     """Learns from the documents whose fold is not ``held`` and scores all."""
-    model, table = fit(documents.where(fold(F.col("doc_id"), parts) != held), params)
-    scored = score(documents, model, table)
-    return scored.withColumn("held_out", fold(F.col("doc_id"), parts) == held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    found = scored(documents, fold(F.col("doc_id"), parts) != held, params)
+    n = F.lit(found.total).cast("long").alias("train_tokens")
+    return found.documents.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", n, "base_score", "score")

@@ -3,6 +3,7 @@ from math import log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rainshed.llm import language_model as M
 from rainshed.llm.common import read
@@ -66,7 +67,22 @@ def plain_scores(training, texts, least, discount):
     return out, n
 
 
-def test_scores_equal_the_plain_model(spark):
+def check(spark, texts, train, params):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = M.scored(docs, F.col("doc_id") < train, params)
+    want, n = plain_scores(texts[:train], texts, params.least, params.discount)
+    rows = {r.doc_id: r for r in found.documents.collect()}
+    assert found.total == n and len(rows) == len(texts)
+    for i, (tokens, known, base, lm) in enumerate(want):
+        r = rows[i]
+        assert (r.train, r.n_tokens, r.n_known) == (i < train, tokens, known)
+        assert r.base_score == pytest.approx(base, abs=1e-6)
+        assert r.score == pytest.approx(lm, abs=0.02 * tokens + 0.02)
+    return rows, found
+
+
+@pytest.mark.parametrize("params", [M.Params(), M.Params(least=3, shard=40, range=30), M.Params(discount=0.3, shard=300, range=700)])
+def test_scores_equal_the_plain_model(spark, params):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(30)]
     chain = rng.dirichlet(np.full(30, 0.2), size=30)
@@ -78,45 +94,41 @@ def test_scores_equal_the_plain_model(spark):
             s.append(words[w])
         texts.append(" ".join(s))
     texts += ["unseen words only", None, "", "W1 w2 unseen w3"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model, counts = M.fit(docs.where("doc_id < 120"), M.Params(words=1 / 400, parts=1 / 300, grams=1 / 500))
-    want, n = plain_scores(texts[:120], texts, max(2, int(np.ceil(model.total / 500))), 0.5)
-    rows = {r.doc_id: r for r in M.score(docs, model, counts).collect()}
-    assert 0 < len(model.keys) and model.parts > 3
-    gain = 0.0
-    for i, (tokens, known, base, lm) in enumerate(want):
-        r = rows[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (tokens, known, n)
-        assert r.base_score == pytest.approx(base, abs=1e-6)
-        assert r.score == pytest.approx(lm, abs=0.02 * tokens + 0.02)
-        gain += (r.score - r.base_score) * (i >= 120)
-    assert gain > 0
+    rows, found = check(spark, texts, 120, params)
+    assert sum(r.score - r.base_score for i, r in rows.items() if i >= 120) > 0
+    tries = [M.Trie.loads(r.trie) for r in found.triples.collect()]
+    assert (len(tries) > 5) == (params.range < 100)
+    contexts = [tuple(t.labels[x] for x in c) for t in tries for c in t.contexts.tolist()]
+    assert len(contexts) == len(set(contexts))  # all n-grams of a context are in one range
+    assert all(len(t.codes) == len(t.kept) and t.kept.min(initial=9) >= params.least for t in tries)
+
+
+def test_every_pair_and_triple_of_two_occurrences_counts(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"c{x}" for x in rng.integers(0, 5, 30)) for _ in range(60)]
+    texts += ["a rare line of words", "a rare line of words again", "line of others", "A rare line of words", None]
+    check(spark, texts, 63, M.Params(shard=100, range=100))
+    assert M.Params().least == 2
+
+
+def test_values_are_quantised_to_a_byte(spark):
+    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 11} c{i % 5}") for i in range(200)], "doc_id long, text string")
+    trie = M.Trie.loads(M.scored(docs, F.lit(True)).pairs.first().trie)
+    assert trie.codes.dtype == np.uint8 and trie.weights.dtype == np.uint8 and len(trie.book) <= 256
+    node = [trie.labels[c[0]] for c in trie.contexts.tolist()].index(b"a3")
+    child = np.array([trie.labels.index(x) for x in (b"b1", b"a3")])
+    assert (trie.level.find(np.array([node, node]), child) >= 0).tolist() == [True, False]
 
 
 def test_odd_rows_and_empty_tables(spark, odd, odd_rows, empty):
-    out = M.held_out_scores(odd, params=M.Params(memory=10)).collect()
+    out = M.held_out_scores(odd, params=M.Params(shard=50)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in out) == sorted((i or 0, len((t or "").encode().split()) + 1) for i, t, *_ in odd_rows)
     assert all(r.score <= 0 and r.base_score < 0 for r in out)
     assert M.held_out_scores(empty).count() == 0
+    none = M.scored(odd, F.lit(False))
+    assert none.total == 0 and none.documents.count() == len(odd_rows)
 
 
 def test_repeated_text_scores_better_than_words_alone(spark):
     out = M.held_out_scores(read(spark, "/root/testdata/sf0.001", "documents")).agg({"score": "sum", "base_score": "sum"}).first()
     assert out["sum(score)"] > out["sum(base_score)"]
-
-
-def test_every_pair_and_triple_of_two_occurrences_counts(spark):
-    """Words, pairs and triples far below what is broadcast have the model's probabilities all the same."""
-    rng = np.random.default_rng(4)
-    texts = [" ".join(f"c{x}" for x in rng.integers(0, 5, 30)) for _ in range(60)]
-    texts += ["a rare line of words", "a rare line of words again", "line of others", "A rare line of words", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model, table = M.fit(docs.where("doc_id < 63"), M.Params(words=1 / 50, parts=1 / 50, trie=1 / 100))
-    want, _ = plain_scores(texts[:63], texts, 2, 0.5)
-    rows = {r.doc_id: r for r in M.score(docs, model, table).collect()}
-    assert model.parts <= 6
-    for i, (tokens, known, base, lm) in enumerate(want):
-        assert (rows[i].n_tokens, rows[i].n_known) == (tokens, known)
-        assert rows[i].base_score == pytest.approx(base, abs=1e-6)
-        assert rows[i].score == pytest.approx(lm, abs=0.02 * tokens + 0.02)
-    assert M.Params().least == 2 and M.Params().grams == 0
