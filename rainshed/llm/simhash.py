@@ -56,7 +56,10 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
 
 def fingerprint_of(text: str | None, n: int) -> int:
     """Bit b is set if it is set in more than half of the shingle hashes.  In signed 64-bit form."""
-    hashes = shingle_hashes(word_list(text), n)
+    return fingerprint_from(shingle_hashes(word_list(text), n))
+
+
+def fingerprint_from(hashes: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 15):
         part = np.ascontiguousarray(hashes[i : i + (1 << 15)], dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -161,15 +164,3 @@ def near_duplicates(documents: DataFrame, params: Params = Params()) -> DataFram
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of = named.join(smallest, "component").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def deduplicated(documents: DataFrame, params: Params = Params()) -> DataFrame:
-    """``documents`` with one row of each component: that of its smallest id (of its smallest texts, if the id repeats)."""
-    bounded_batches(documents.sparkSession)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text", "source").alias("h"), F.monotonically_increasing_id().alias("row"))
-    kept = written(documents.withColumn("_llm_fp", fingerprint(F.col("text"), params.shingle)).withColumn("_llm_rank", rank), "candidates")
-    nodes = written(kept.groupBy(F.col("_llm_fp").alias("fp")).agg(F.min("_llm_rank").alias("first")), "nodes")
-    joined = components(thinned(links(nodes.select("fp"), params)))
-    named = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("first", F.coalesce("component", "fp").alias("component"))
-    stays = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_llm_row"))
-    return kept.withColumn("_llm_row", F.col("_llm_rank.row")).join(stays, "_llm_row", "left_semi").select(*[F.col(c) for c in documents.columns])

@@ -79,14 +79,6 @@ def test_odd_rows(odd, odd_rows, empty):
     assert S.near_duplicates(empty).count() == 0
 
 
-def test_one_document_of_each_group_stays(odd, odd_rows):
-    out = S.deduplicated(odd)
-    assert out.columns == odd.columns
-    kept = out.select("doc_id").collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 3, 4, 5, 8, 9, 10]
-    assert len(kept) == 8  # and the row without an id
-
-
 def test_fingerprints_of_many_shingles_are_counted_in_parts():
     words = [f"w{i}" for i in range(40_000)]
     assert np.uint64(S.fingerprint_of(" ".join(words), 4) & (1 << 64) - 1) == np.uint64(by_hand(" ".join(words)))
