@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainshed.llm import decontamination, mixing, quality, simhash, token_files
+from rainshed.llm import decontamination, mixing, near_copies, quality, token_files
 from rainshed.llm.common import read, written
 
 REJECT_BELOW = 0.3
@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, that of the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies (five-word similarity of 0.8 or more) stays, that of the smallest id."""
+    return near_copies.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
