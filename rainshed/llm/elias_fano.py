@@ -59,14 +59,18 @@ class EliasFano:
         before = np.zeros(len(value), dtype=np.int64)
         some = high > 0
         before[some] = self.high.place(high[some] - 1, False) - (high[some] - 1)
-        stop = np.minimum(self.high.place(high, False) - high, end)
-        at = np.minimum(np.maximum(before, begin), end)
-        going = at < stop
-        going[going] = self.low[at[going]] < low[going]
-        while going.any():
-            at[going] += 1
-            going &= at < stop
-            going[going] = self.low[at[going]] < low[going]
+        stop = np.maximum(np.minimum(self.high.place(high, False) - high, end), begin)
+        at = np.minimum(np.maximum(before, begin), stop)
+        going = np.flatnonzero(at < stop)  # low parts ascend within a high part
+        a, b, low = at[going], stop[going], low[going]
+        while len(going):
+            middle = (a + b) >> 1
+            less = self.low[middle] < low
+            a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+            more = a < b
+            done = ~more
+            at[going[done]] = a[done]
+            going, a, b, low = going[more], a[more], b[more], low[more]
         return at
 
 

@@ -3,8 +3,9 @@
 Shards.  Documents are dealt into shards of about ``Params.shard`` tokens, of training documents or of others.  A shard
 numbers its words in byte order and stays in the shared folder.
 
-Passes: words, pairs, triples.  In each pass a shard sorts its distinct n-grams by their context and sends them, with their
-counts, to the ranges of contexts they belong to.  A range adds the counts of the training shards, keeps n-grams of
+Passes: words, pairs, triples.  The first numbers all words in byte order, range by range; from then on only numbers travel.
+In each pass a shard sorts its distinct n-grams by their context and sends them, with their counts, to the ranges of
+contexts they belong to.  A range adds the counts of the training shards, keeps n-grams of
 ``Params.least`` occurrences or more, makes its part of the trie, and answers every shard from the trie.  A longer n-gram
 is only asked for where both its parts are kept, as no other can be.  Cut points of the ranges come from a bounded sample
 and affect balance only; all n-grams of a context are in one range.
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainshed.llm.common import bounded_batches, fold, share, word_list, written
+from rainshed.llm.common import bounded_batches, fold, removed, share, word_list, written
 from rainshed.llm.elias_fano import Codebook, EliasFano
 from rainshed.llm.packing import pack, pack_bytes, unpack, unpack_bytes
 
@@ -126,9 +127,9 @@ def cut_points(table: DataFrame, params: Params) -> list[tuple[bytes, ...]]:
 # ---- parts of a shard for the ranges -----------------------------------------------------------------------------
 @dataclass
 class Part:
-    """N-grams of a shard by context: contexts (k, order) and successors as label numbers, both ascending."""
+    """N-grams of a shard by context: contexts (k, order) and successors as places in ``labels``, both ascending."""
 
-    labels: list[bytes]
+    labels: np.ndarray  #: numbers of words, ascending
     known: np.ndarray  #: training count of each label
     contexts: np.ndarray
     context_counts: np.ndarray  #: training count of each context
@@ -139,43 +140,40 @@ class Part:
 
     def slice(self, a: int, b: int) -> Part:
         x, y = np.r_[0, np.cumsum(self.sizes)][[a, b]]
-        used = np.unique(np.concatenate([self.contexts[a:b].ravel(), self.successors[x:y]]))
-        at = lambda v: np.searchsorted(used, v)
-        return Part(
-            [self.labels[i] for i in used.tolist()], self.known[used], at(self.contexts[a:b]), self.context_counts[a:b],
-            self.sizes[a:b], at(self.successors[x:y]), self.counts[x:y], self.shorter[x:y],
-        )
+        contexts, successors = self.contexts[a:b], self.successors[x:y]
+        there = np.zeros(len(self.labels), dtype=bool)
+        there[contexts.ravel()] = there[successors] = True
+        at = np.cumsum(there) - 1
+        return Part(self.labels[there], self.known[there], at[contexts], self.context_counts[a:b], self.sizes[a:b], at[successors], self.counts[x:y], self.shorter[x:y])
 
     def dumps(self) -> bytes:
         columns = [self.contexts[:, j] for j in range(self.contexts.shape[1])]
         columns[0] = np.diff(columns[0], prepend=0)
-        rest = (self.known, self.context_counts, self.sizes, np.diff(self.successors, prepend=0), self.counts, self.shorter)
-        return pickle.dumps((pack_bytes(b"\n".join(self.labels)), [pack(c) for c in columns], [pack(x) for x in rest]), protocol=5)
+        rest = (np.diff(self.labels, prepend=0), self.known, self.context_counts, self.sizes, self.successors, self.counts, self.shorter)
+        return pickle.dumps(([pack(c) for c in columns], [pack(x) for x in rest]), protocol=5)
 
     @classmethod
     def loads(cls, data: bytes) -> Part:
-        labels, columns, rest = pickle.loads(data)
+        columns, rest = pickle.loads(data)
         columns = [unpack(c) for c in columns]
         columns[0] = np.cumsum(columns[0])
-        known, context_counts, sizes, successors, counts, shorter = map(unpack, rest)
-        return cls(unpack_bytes(labels).split(b"\n"), known, np.column_stack(columns), context_counts, sizes, np.cumsum(successors), counts, shorter)
+        labels, known, context_counts, sizes, successors, counts, shorter = map(unpack, rest)
+        return cls(np.cumsum(labels), known, np.column_stack(columns), context_counts, sizes, successors, counts, shorter)
 
-    def cut(self, points: Sequence[tuple[bytes, ...]]) -> Iterator[tuple[int, Part]]:
-        place = lambda i: tuple(self.labels[x] for x in self.contexts[i].tolist())
+    def bounds(self, points: Sequence[tuple[int, ...]]) -> Iterator[tuple[int, int, int]]:
+        """(range, begin, end) of the contexts of each range; ``points`` as numbers of words."""
+        place = lambda i: tuple(self.labels[self.contexts[i]].tolist())
         begin, n = 0, len(self.contexts)
         while begin < n:
             at = bisect.bisect_right(points, place(begin))
             end = n if at >= len(points) else bisect.bisect_left(range(n), points[at], lo=begin, key=place)
-            yield at, self.slice(begin, end)
+            yield at, begin, end
             begin = end
 
-
-def _floats(x: np.ndarray) -> bytes:
-    return pack_bytes(x.astype("<f4").tobytes())
-
-
-def _unfloats(data: bytes) -> np.ndarray:
-    return np.frombuffer(unpack_bytes(data), "<f4").astype(np.float64)
+    def asked(self, points: Sequence[tuple[int, ...]]) -> list[int]:
+        """How many n-grams each range is asked for."""
+        upto = np.r_[0, np.cumsum(self.sizes)]
+        return [int(upto[b] - upto[a]) for _, a, b in self.bounds(points)]
 
 
 # ---- the trie of a range -----------------------------------------------------------------------------------------
@@ -249,7 +247,7 @@ def mapped(levels: tuple) -> tuple:
 class Trie:
     """Of one range: contexts in order, their successors, values and weights.  ``stored`` is what the file has."""
 
-    labels: list[bytes]
+    labels: np.ndarray  #: numbers of words, ascending
     contexts: np.ndarray
     stored: tuple  #: levels, value codes, weight codes
     kept: np.ndarray  #: training counts of the successors
@@ -260,12 +258,12 @@ class Trie:
 
     def dumps(self) -> bytes:
         columns = [pack(self.contexts[:, j]) for j in range(self.contexts.shape[1])]
-        return pickle.dumps((pack_bytes(b"\n".join(self.labels)), columns, self.stored, pack(self.kept)), protocol=5)
+        return pickle.dumps((pack(np.diff(self.labels, prepend=0)), columns, self.stored, pack(self.kept)), protocol=5)
 
     @classmethod
     def loads(cls, data: bytes) -> Trie:
         labels, columns, stored, kept = pickle.loads(data)
-        return cls(unpack_bytes(labels).split(b"\n"), np.column_stack([unpack(c) for c in columns]), stored, unpack(kept))
+        return cls(np.cumsum(unpack(labels)), np.column_stack([unpack(c) for c in columns]), stored, unpack(kept))
 
 
 def _log_ratio(left: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -276,16 +274,10 @@ def _log_ratio(left: np.ndarray, rest: np.ndarray) -> np.ndarray:
 
 def united(parts: Sequence[Part], floor: float, params: Params) -> tuple[Trie, list[np.ndarray], list[np.ndarray]]:
     """The trie of a range; for each part the trie's number of each of its contexts, and of each of its labels."""
-    labels = sorted(set().union(*[p.labels for p in parts]))
-    at = dict(zip(labels, range(len(labels))))
-    known = np.zeros(len(labels), dtype=np.int64)
-    names, rows, counts_ = [], [], []
-    for p in parts:
-        to = np.fromiter(map(at.__getitem__, p.labels), dtype=np.int64, count=len(p.labels))
-        known[to] = p.known
-        names.append(to)
-        rows.append(to[p.contexts])
-        counts_.append(p.context_counts)
+    labels, first = np.unique(np.concatenate([p.labels for p in parts]), return_index=True)
+    known = np.concatenate([p.known for p in parts])[first]
+    names = [np.searchsorted(labels, p.labels) for p in parts]
+    rows, counts_ = [to[p.contexts] for to, p in zip(names, parts)], [p.context_counts for p in parts]
     every = np.concatenate(rows)
     order = np.lexsort(every.T[::-1])
     new = np.ones(len(every), dtype=bool)
@@ -312,12 +304,12 @@ def united(parts: Sequence[Part], floor: float, params: Params) -> tuple[Trie, l
 
 
 def answered(trie: Trie, part: Part, numbers: np.ndarray, names: np.ndarray) -> bytes:
-    """Weights of the part's contexts; which of its n-grams the trie has, their training counts and values."""
+    """Weights of the part's contexts; which of its n-grams the trie has, their training counts and values; both as codes."""
     place = trie.level.find(np.repeat(numbers, part.sizes), names[part.successors])
     hit = place[place >= 0]
-    values = trie.book[trie.codes[hit]] if len(hit) else np.zeros(0)
+    books = [np.asarray(b, dtype="<f4").tobytes() for b in (trie.weight_book, trie.book)]
     found = np.packbits(place >= 0).tobytes()
-    return pickle.dumps((_floats(trie.weight_book[trie.weights[numbers]]), pack_bytes(found), pack(trie.kept[hit]), _floats(values)), protocol=5)
+    return pickle.dumps((books, pack_bytes(trie.weights[numbers].tobytes()), pack_bytes(found), pack(trie.kept[hit]), pack_bytes(trie.codes[hit].tobytes())), protocol=5)
 
 
 def _range_answers(floor: float, params: Params) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
@@ -331,18 +323,29 @@ def _range_answers(floor: float, params: Params) -> Callable[[tuple, pd.DataFram
     return run
 
 
-def _word_answers(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Training counts of the words of a range, to every shard that has them."""
-    frame = frame.sort_values("shard")
-    parts = [pickle.loads(p) for p in frame["part"]]
-    lists = [unpack_bytes(w).split(b"\n") for w, _ in parts]
-    at = {w: i for i, w in enumerate(set().union(*lists))}
-    places = [np.fromiter(map(at.__getitem__, x), dtype=np.int64, count=len(x)) for x in lists]
-    total = np.zeros(len(at), dtype=np.int64)
-    for to, (_, counts) in zip(places, parts):
-        total[to] += unpack(counts)
-    rows = [(key[0], s, pack(total[to]), 0, 0) for s, to in zip(frame["shard"], places)]
-    return pd.DataFrame([*rows, (key[0], None, None, int(total.sum()), int((total > 0).sum()))], columns=["range", "shard", "answer", "total", "types"], dtype=object)
+WORDS = "range int, shard long, answer binary, points binary, total long, types long, size long"
+
+
+def _word_answers(wanted: frozenset[bytes]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Place in the range and training count of each word, to every shard that has it; the range's totals and, of the words
+    that cut points are made of, the places."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("shard")
+        parts = [pickle.loads(p) for p in frame["part"]]
+        lists = [unpack_bytes(w).split(b"\n") for w, _ in parts]
+        words = sorted(set().union(*lists))
+        at = dict(zip(words, range(len(words))))
+        places = [np.fromiter(map(at.__getitem__, x), dtype=np.int64, count=len(x)) for x in lists]
+        total = np.zeros(len(words), dtype=np.int64)
+        for to, (_, counts) in zip(places, parts):
+            total[to] += unpack(counts)
+        rows = [(key[0], s, pickle.dumps((pack(np.diff(to, prepend=0)), pack(total[to]))), None, 0, 0, 0) for s, to in zip(frame["shard"], places)]
+        points = pickle.dumps([(w, at[w]) for w in wanted if w in at])
+        rows.append((key[0], None, None, points, int(total.sum()), int((total > 0).sum()), len(words)))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in WORDS.split(", ")], dtype=object)
+
+    return run
 
 
 def _joined(state: DataFrame, answers: DataFrame) -> DataFrame:
@@ -378,33 +381,36 @@ def _word_parts(points: list[tuple[bytes, ...]]) -> Callable[[object], Iterator[
     return of
 
 
-def _after_words(total: int, types: int, least: int) -> Callable[[object], Iterator[tuple]]:
+def _after_words(total: int, types: int, least: int, base: dict[int, int], end: int) -> Callable[[object], Iterator[tuple]]:
     """State: words of ``least`` training occurrences; places hold them, 0 stands for any others between them."""
     floor = total + ADD * (types + 1)
 
     def of(row) -> Iterator[tuple]:
-        words, ids = unpack_bytes(row.words).split(b"\n"), unpack(row.ids)
-        known = np.concatenate([unpack(a["answer"]) for a in row.answers])
+        ids = unpack(row.ids)
+        answers = [(a["range"], *map(unpack, pickle.loads(a["answer"]))) for a in row.answers]
+        words = np.concatenate([base[r] + np.cumsum(p) for r, p, _ in answers])
+        known = np.concatenate([k for *_, k in answers])
         none, doc_ids, sizes = map(unpack, pickle.loads(row.docs))
         doc = np.repeat(np.arange(len(sizes)), sizes)
         logs = np.log10((known + ADD) / floor)
-        base = np.bincount(doc, weights=logs[ids], minlength=len(sizes))
+        log = np.bincount(doc, weights=logs[ids], minlength=len(sizes))
         n_known = np.bincount(doc, weights=known[ids] > 0, minlength=len(sizes)).astype(np.int64)
         ids, doc, words, known = _narrowed(ids, doc, words, known, known[ids] >= least)
-        docs = (none, doc_ids, sizes, n_known, base, base.copy())
-        yield row.shard, row.train, pack_bytes(b"\n".join(words)), _places(ids, doc), pickle.dumps((pack(known),)), pickle.dumps(docs, protocol=5)
+        docs = (none, doc_ids, sizes, n_known, log, log.copy())
+        yield row.shard, row.train, pack(np.diff(words, prepend=0)), _places(ids, doc), pickle.dumps((pack(known),)), pickle.dumps(docs, protocol=5)
 
     return of
 
 
-def _narrowed(ids: np.ndarray, doc: np.ndarray, words: list[bytes], known: np.ndarray, stay: np.ndarray) -> tuple:
+def _narrowed(ids: np.ndarray, doc: np.ndarray, words: np.ndarray, known: np.ndarray, stay: np.ndarray) -> tuple:
     """Places that ``stay``, numbered from 1 by their words alone, and a 0 after each stretch of them."""
     keep = stay.copy()
     keep[1:] |= stay[:-1]
-    used = np.unique(ids[stay])
-    to = np.zeros(len(words) + 1, dtype=np.int64)
-    to[used] = np.arange(1, len(used) + 1)
-    return np.where(stay, to[ids], 0)[keep], doc[keep], [words[u] for u in used.tolist()], known[used]
+    used = np.zeros(len(words) + 1, dtype=bool)
+    used[ids[stay]] = True
+    to = np.cumsum(used)
+    used = used[: len(words)]
+    return np.where(stay, to[ids], 0)[keep], doc[keep], words[used], known[used]
 
 
 def _places(ids: np.ndarray, doc: np.ndarray) -> bytes:
@@ -415,21 +421,22 @@ def _places(ids: np.ndarray, doc: np.ndarray) -> bytes:
 class _State:
     """A shard between passes."""
 
-    words: list[bytes]
-    ids: np.ndarray  #: word number + 1, or 0
+    words: np.ndarray  #: their numbers among all words
+    ids: np.ndarray  #: place in ``words`` + 1, or 0
     doc: np.ndarray
     extra: list[np.ndarray]
+    end: int  #: place in ``words`` of the end, -1 if it is not there
 
     @classmethod
-    def of(cls, row) -> _State:
+    def of(cls, row, end: int) -> _State:
         ids, doc = map(unpack, pickle.loads(row.ids))
-        words = unpack_bytes(row.words)
-        return cls(words.split(b"\n") if words else [], ids, np.cumsum(doc), [unpack(x) for x in pickle.loads(row.extra)])
+        words = np.cumsum(unpack(row.words))
+        at = np.flatnonzero(words == end)
+        return cls(words, ids, np.cumsum(doc), [unpack(x) for x in pickle.loads(row.extra)], int(at[0]) if len(at) else -1)
 
     def inner(self) -> np.ndarray:
         """Places of words, not of ends: what comes next belongs to the same document."""
-        end = self.words.index(END) + 1 if END in self.words else 0
-        return (self.ids > 0) & (self.ids != end)
+        return (self.ids > 0) & (self.ids != self.end + 1)
 
     def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs that begin at the places ``at``, as (first, second) word numbers, ascending; which is where."""
@@ -461,8 +468,7 @@ def _triple_part(s: _State, train: bool) -> tuple[Part, np.ndarray, np.ndarray,
     rows, which = s.pairs(pair_at)
     pair = np.full(len(s.ids), -1, dtype=np.int64)
     pair[pair_at] = which
-    end = s.words.index(END) if END in s.words else -1
-    goes_on = rows[:, 1] != end
+    goes_on = rows[:, 1] != s.end
     number = np.cumsum(goes_on) - 1  # of a pair among the contexts
     at = pair_at[pair_at + 1 < len(s.ids)]
     at = at[(pair[at + 1] >= 0) & goes_on[pair[at]]]
@@ -475,40 +481,33 @@ def _triple_part(s: _State, train: bool) -> tuple[Part, np.ndarray, np.ndarray,
     return part, number[pair[here]], here, triple, at
 
 
-def _parts(triples: bool, points: list[tuple[bytes, ...]]) -> Callable[[object], Iterator[tuple]]:
+def _parts(triples: bool, points: list[tuple[int, ...]], end: int) -> Callable[[object], Iterator[tuple]]:
     def of(row) -> Iterator[tuple]:
-        part = (_triple_part if triples else _pair_part)(_State.of(row), row.train)[0]
-        for at, some in part.cut(points):
-            yield at, row.shard, some.dumps()
+        part = (_triple_part if triples else _pair_part)(_State.of(row, end), row.train)[0]
+        for at, a, b in part.bounds(points):
+            yield at, row.shard, part.slice(a, b).dumps()
 
     return of
 
 
-def _replies(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _replies(answers: list | None, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Weights of the contexts, which n-grams are kept, counts and values of those, over all ranges."""
     weights, found, counts, values = [np.zeros(0)], [np.zeros(0, dtype=bool)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-    for a, size in zip(row.answers if row.answers is not None else [], row.lengths):
-        w, f, c, v = pickle.loads(a["answer"])
-        weights.append(_unfloats(w))
+    for a, size in zip(answers if answers is not None else [], lengths):
+        books, w, f, c, v = pickle.loads(a["answer"])
+        weight_book, book = (np.frombuffer(b, "<f4").astype(np.float64) for b in books)
+        weights.append(weight_book[np.frombuffer(unpack_bytes(w), np.uint8)])
         found.append(np.unpackbits(np.frombuffer(unpack_bytes(f), np.uint8), count=size).astype(bool))
         counts.append(unpack(c))
-        values.append(_unfloats(v))
+        values.append(book[np.frombuffer(unpack_bytes(v), np.uint8)])
     return tuple(map(np.concatenate, (weights, found, counts, values)))
 
 
-@dataclass
-class _Row:
-    """A shard's row with the number of n-grams that each of its ranges was asked for."""
-
-    answers: list
-    lengths: list[int]
-
-
-def _after_pairs(points: list[tuple[bytes, ...]]) -> Callable[[object], Iterator[tuple]]:
+def _after_pairs(points: list[tuple[int, ...]], end: int) -> Callable[[object], Iterator[tuple]]:
     def of(row) -> Iterator[tuple]:
-        s = _State.of(row)
+        s = _State.of(row, end)
         part, which, at = _pair_part(s, False)
-        weights, found, counts, values = _replies(_Row(row.answers, [len(x.successors) for _, x in part.cut(points)]))
+        weights, found, counts, values = _replies(row.answers, part.asked(points))
         none, doc_ids, sizes, n_known, base, score = pickle.loads(row.docs)
         score = score.copy()
         inner = np.flatnonzero(s.inner())
@@ -527,19 +526,19 @@ def _after_pairs(points: list[tuple[bytes, ...]]) -> Callable[[object], Iterator
         shifted = np.where(s.ids > 0, s.ids - 1, 0)
         ids, doc, words, known = _narrowed(shifted, s.doc, s.words, s.extra[0], stay)
         extra = (pack(known), pack(begins[:-1][keep].astype(np.int64)), pack(counts))
-        yield row.shard, row.train, pack_bytes(b"\n".join(words)), _places(ids, doc), pickle.dumps(extra), pickle.dumps((none, doc_ids, sizes, n_known, base, score), protocol=5)
+        yield row.shard, row.train, pack(np.diff(words, prepend=0)), _places(ids, doc), pickle.dumps(extra), pickle.dumps((none, doc_ids, sizes, n_known, base, score), protocol=5)
 
     return of
 
 
-def _after_triples(points: list[tuple[bytes, ...]]) -> Callable[[object], Iterator[tuple]]:
+def _after_triples(points: list[tuple[int, ...]], end: int) -> Callable[[object], Iterator[tuple]]:
     def of(row) -> Iterator[tuple]:
-        s = _State.of(row)
+        s = _State.of(row, end)
         none, doc_ids, sizes, n_known, base, score = pickle.loads(row.docs)
         score = score.copy()
         if len(s.ids):
             part, context, here, triple, at = _triple_part(s, False)
-            weights, found, _, values = _replies(_Row(row.answers, [len(x.successors) for _, x in part.cut(points)]))
+            weights, found, _, values = _replies(row.answers, part.asked(points))
             value = np.zeros(len(found))
             value[found] = values
             if len(here):
@@ -552,6 +551,16 @@ def _after_triples(points: list[tuple[bytes, ...]]) -> Callable[[object], Iterat
     return of
 
 
+def _handed_on(df: DataFrame, name: str, *before: DataFrame) -> DataFrame:
+    """``df`` written; the tables that it was made from, which nothing reads again, are removed, and so are their shuffles."""
+    new = written(df, name)
+    del df
+    for old in before:
+        removed(old)
+    new.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffles of plans that are gone
+    return new
+
+
 # ---- the operator ------------------------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Scored:
@@ -572,23 +581,31 @@ def scored(documents: DataFrame, train: Column, params: Params = Params()) -> Sc
     rows.  Other columns are not looked at.
     """
     table = written(shards(documents, train, params), "shards")
-    points = cut_points(table, params)
-    firsts = sorted({(p[0],) for p in points})
-    words = _mapped(table.select("shard", "train", "words", "ids"), _word_parts(firsts), PART)
-    words = written(words.groupBy("range").applyInPandas(_word_answers, "range int, shard long, answer binary, total long, types long"), "words")
-    total, types = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    floor = total + ADD * (types + 1)
-    state = _joined(table.select("shard", "train", "words", "ids", "docs"), words.select("range", "shard", "answer"))
-    state = written(_mapped(state, _after_words(total, types, params.least), STATE), "state")
-
-    def asked(state: DataFrame, triples: bool, points: list[tuple[bytes, ...]], name: str) -> DataFrame:
-        parts = _mapped(state, _parts(triples, points), PART)
+    cuts = cut_points(table, params)
+    firsts = sorted({p[0] for p in cuts})
+    parts = _mapped(table.select("shard", "train", "words", "ids"), _word_parts([(w,) for w in firsts]), PART)
+    words = written(parts.groupBy("range").applyInPandas(_word_answers(frozenset({END, *(w for p in cuts for w in p)})), WORDS), "words")
+    ranges = sorted(words.where("shard IS NULL").select("range", "total", "types", "size", "points").collect())  # one row a range
+    total, types = sum(r.total for r in ranges), sum(r.types for r in ranges)
+    base, numbers, upto = {}, {}, 0
+    for r in ranges:
+        base[r["range"]] = upto
+        numbers |= {w: upto + at for w, at in pickle.loads(r.points)}
+        upto += r["size"]
+    points = [tuple(map(numbers.__getitem__, p)) for p in cuts]
+    firsts = [(numbers[w],) for w in firsts]
+    floor, end = total + ADD * (types + 1), numbers.get(END, -1)
+    state = _joined(table.select("shard", "train", "ids", "docs"), words.select("range", "shard", "answer"))
+    state = _handed_on(_mapped(state, _after_words(total, types, params.least, base, end), STATE), "state", table, words)
+
+    def asked(state: DataFrame, triples: bool, points: list[tuple[int, ...]], name: str) -> DataFrame:
+        parts = _mapped(state, _parts(triples, points, end), PART)
         return written(parts.groupBy("range").applyInPandas(_range_answers(floor, params), ANSWER), name)
 
     pairs = asked(state, False, firsts, "pairs")
-    state = written(_mapped(_joined(state, pairs), _after_pairs(firsts), STATE), "state")
+    state = _handed_on(_mapped(_joined(state, pairs), _after_pairs(firsts, end), STATE), "state", state)
     triples = asked(state, True, points, "triples")
-    rows = _mapped(_joined(state, triples), _after_triples(points), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    rows = _mapped(_joined(state, triples), _after_triples(points, end), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     tries = [t.where("trie IS NOT NULL").select("range", "trie") for t in (pairs, triples)]
     return Scored(rows, *tries, total, types)
 

@@ -98,7 +98,7 @@ def test_scores_equal_the_plain_model(spark, params):
     assert sum(r.score - r.base_score for i, r in rows.items() if i >= 120) > 0
     tries = [M.Trie.loads(r.trie) for r in found.triples.collect()]
     assert (len(tries) > 5) == (params.range < 100)
-    contexts = [tuple(t.labels[x] for x in c) for t in tries for c in t.contexts.tolist()]
+    contexts = [tuple(t.labels[c]) for t in tries for c in t.contexts]
     assert len(contexts) == len(set(contexts))  # all n-grams of a context are in one range
     assert all(len(t.codes) == len(t.kept) and t.kept.min(initial=9) >= params.least for t in tries)
 
@@ -115,8 +115,10 @@ def test_values_are_quantised_to_a_byte(spark):
     docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 11} c{i % 5}") for i in range(200)], "doc_id long, text string")
     trie = M.Trie.loads(M.scored(docs, F.lit(True)).pairs.first().trie)
     assert trie.codes.dtype == np.uint8 and trie.weights.dtype == np.uint8 and len(trie.book) <= 256
-    node = [trie.labels[c[0]] for c in trie.contexts.tolist()].index(b"a3")
-    child = np.array([trie.labels.index(x) for x in (b"b1", b"a3")])
+    names = [" ", *sorted({w for i in range(200) for w in f"a{i % 7} b{i % 11} c{i % 5}".split()})]  # words are numbered in byte order
+    label = [names[x] for x in trie.labels.tolist()]
+    node = [label[c] for c in trie.contexts[:, 0].tolist()].index("a3")
+    child = np.array([label.index(x) for x in ("b1", "a3")])
     assert (trie.level.find(np.array([node, node]), child) >= 0).tolist() == [True, False]
 
 
