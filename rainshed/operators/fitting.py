@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import RDD, StorageLevel, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainshed.operators.distributed import exact_quantiles, quantile_grid
@@ -125,6 +125,16 @@ class LinearFit:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.beta[0] + self.scaling.features(x) @ self.beta[1:]
 
+    def column(self, columns: Sequence[str]) -> Column:
+        """The margin as an expression over the predictors' columns."""
+        values = [F.coalesce(F.col(c).cast("double"), F.lit(float(f))) for c, f in zip(columns, self.scaling.fill)]
+        values += [F.col(columns[j]).isNull().cast("double") for j in self.scaling.gappy]
+        out = F.lit(float(self.beta[0]))
+        for x, mean, std, b in zip(values, self.scaling.mean, self.scaling.std, self.beta[1:]):
+            if b:
+                out = out + (x - F.lit(float(mean))) / F.lit(float(std)) * F.lit(float(b))
+        return out
+
     def contributions(self, x: np.ndarray) -> np.ndarray:
         """(n, predictors): what each predictor, with its indicator, adds to the margin."""
         p = len(self.scaling.fill)
@@ -529,17 +539,34 @@ def _rebased(state: DataFrame, growths: Sequence[_Growth], columns: dict[str, in
 
 # ---- scores ------------------------------------------------------------------------------------------------------
 def scored(rows: DataFrame, part: str, columns: Sequence[str], keep: Sequence[str], fits: dict[tuple[int, str], LinearFit | Forest], out: str = "p") -> DataFrame:
-    """(keep, part, model, probability) of every row and every model of its part; ``fits`` by part and model name."""
-    by_part: dict[int, list[tuple[str, LinearFit | Forest]]] = {}
-    for (p, name), fit in fits.items():
-        by_part.setdefault(p, []).append((name, fit))
+    """(keep, part, model, probability) of every row and every model of its part; ``fits`` by part and model name.
+
+    Linear models are expressions; forests run over batches of rows.
+    """
+    linear: dict[int, list[tuple[str, LinearFit]]] = {}
+    forests: dict[int, list[tuple[str, Forest]]] = {}
+    for (p, name), fit in sorted(fits.items(), key=lambda x: x[0]):
+        (linear if isinstance(fit, LinearFit) else forests).setdefault(p, []).append((name, fit))
+    both = []
+    if linear or not fits:
+        each = F.array().cast(f"array<struct<model:string,{out}:double>>")
+        for p, models in linear.items():
+            structs = [F.struct(F.lit(n).alias("model"), (1 / (1 + F.exp(-m.column(columns)))).alias(out)) for n, m in models]
+            each = F.when(F.col(part) == p, F.array(*structs)).otherwise(each)
+        both.append(rows.select(*keep, F.col(part).cast("int").alias(part), F.explode(each).alias("__m")).select(*keep, part, "__m.*"))
+    if forests:
+        both.append(_by_forests(rows, part, columns, keep, forests, out))
+    return both[0] if len(both) == 1 else both[0].unionByName(both[1])
+
+
+def _by_forests(rows: DataFrame, part: str, columns: Sequence[str], keep: Sequence[str], forests: dict[int, list[tuple[str, Forest]]], out: str) -> DataFrame:
     fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p, some in frame.groupby("__part"):
                 x = some[[f"__x_{i}" for i in range(len(columns))]].to_numpy(dtype=np.float64, na_value=np.nan)
-                for name, fit in by_part.get(int(p), []):
+                for name, fit in forests.get(int(p), []):
                     yield some[list(keep)].assign(__part=int(p), model=name, **{out: _sigmoid(fit.margin(x))})
 
     chosen = rows.select(*keep, F.col(part).cast("int").alias("__part"), *[F.col(c).cast("double").alias(f"__x_{i}") for i, c in enumerate(columns)])
