@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from rainshed.llm.automata import Automaton, union
 from rainshed.llm.common import bounded_batches, share, written
-from rainshed.llm.packing import pack, pack_bytes, unpack, unpack_bytes
+from rainshed.llm.packing import pack_bytes, pack_ranked, unpack_bytes, unpack_ranked
 
 UPPER = bytes(range(65, 91))
 CUT = b"\xff"  # in no UTF-8 text
@@ -87,7 +87,7 @@ class _Shard:
             run = run[: run.index(0)] if 0 in run else run
             if run:
                 sample.append(b" ".join(words[i - 1] for i in run))
-        return shard, lang, int((ids > 0).sum()), pack_bytes(b"\n".join(words)), pack(ids), None, sample
+        return shard, lang, int((ids > 0).sum()), pack_bytes(b"\n".join(words)), pack_ranked(ids), None, sample
 
 
 def shards(docs: DataFrame, params: Params) -> DataFrame:
@@ -172,7 +172,7 @@ def _pieces(shard_table: DataFrame, n: int, points: Points, step: int) -> DataFr
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for shard, lang, words, ids, alive in zip(*[frame[c] for c in ("shard", "lang", "words", "ids", "alive")]):
-                ids = unpack(ids)
+                ids = unpack_ranked(ids)
                 rows, _, counts = _grams(ids, _places(ids, alive, n), n)
                 cut = _cut(unpack_bytes(words).split(b"\n"), rows, counts, points[lang], step)
                 yield pd.DataFrame([(lang, at, shard, a.dumps()) for at, a in cut], columns=["lang", "range", "node", "counts"], dtype=object)
@@ -231,7 +231,7 @@ def _advance(shard_table: DataFrame, replies: DataFrame, n: int) -> DataFrame:
         for frame in frames:
             out = []
             for shard, lang, words, ids, alive, kept in zip(*[frame[c] for c in ("shard", "lang", "words", "ids", "alive", "kept")]):
-                words, ids = unpack_bytes(words).split(b"\n"), unpack(ids)
+                words, ids = unpack_bytes(words).split(b"\n"), unpack_ranked(ids)
                 at = _places(ids, alive, n)
                 _, which, _ = _grams(ids, at, n)
                 live = np.concatenate([_flags(r["kept"]) for r in sorted(kept, key=lambda r: r["range"])])
@@ -246,7 +246,7 @@ def _advance(shard_table: DataFrame, replies: DataFrame, n: int) -> DataFrame:
                 to = np.zeros(len(words) + 1, dtype=np.int32)
                 to[used] = np.arange(1, len(used) + 1)
                 new = np.where(covered, to[ids], 0)[keep]
-                out.append((shard, lang, pack_bytes(b"\n".join(words[u - 1] for u in used.tolist())), pack(new), pack_bytes(np.packbits(begins[keep]).tobytes())))
+                out.append((shard, lang, pack_bytes(b"\n".join(words[u - 1] for u in used.tolist())), pack_ranked(new), pack_bytes(np.packbits(begins[keep]).tobytes())))
             yield pd.DataFrame(out, columns=["shard", "lang", "words", "ids", "alive"], dtype=object)
 
     # Merged at every size: neither side is bounded, and a small one that is broadcast would hide what a large one costs.

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from rainshed.llm.common import bounded_batches, fold, removed, share, word_list, written
 from rainshed.llm.elias_fano import Codebook, EliasFano
-from rainshed.llm.packing import pack, pack_bytes, unpack, unpack_bytes
+from rainshed.llm.packing import pack, pack_bytes, pack_ranked, unpack, unpack_bytes, unpack_ranked
 
 END = b" "  # no word has a space; nor a line feed, which stands between the words of a list
 ADD = 0.1
@@ -52,7 +52,7 @@ class Params:
     least: int = 2  #: training occurrences from which on a pair or triple is kept
     discount: float = 0.5
     shard: int = 1 << 20  #: tokens
-    range: int = 1 << 20  #: tokens of the corpus to a range
+    range: int = 1 << 21  #: tokens of the corpus to a range
     points: int = 1 << 20  #: sampled pairs, at most, on the driver
 
 
@@ -87,7 +87,7 @@ class _Shard:
         none = np.array([d is None for d in self.docs])
         docs = pickle.dumps((pack(none.astype(np.int64)), pack(np.array([d or 0 for d in self.docs], dtype=np.int64)), pack(np.array(list(map(len, self.ids))))))
         sample = [b"\n".join(words[i] for i in ids[at : at + 2].tolist()) for at in range(0, len(ids), max(len(ids) // 64, 1))]
-        return shard, train, len(ids), pack_bytes(b"\n".join(words)), pack(ids), docs, sample
+        return shard, train, len(ids), pack_bytes(b"\n".join(words)), pack_ranked(ids), docs, sample
 
 
 def shards(documents: DataFrame, train: Column, params: Params) -> DataFrame:
@@ -130,7 +130,7 @@ class Part:
     """N-grams of a shard by context: contexts (k, order) and successors as places in ``labels``, both ascending."""
 
     labels: np.ndarray  #: numbers of words, ascending
-    known: np.ndarray  #: training count of each label
+    known: np.ndarray  #: training count of each label that a probability of the shorter n-grams needs, else 0
     contexts: np.ndarray
     context_counts: np.ndarray  #: training count of each context
     sizes: np.ndarray  #: successors of each context
@@ -144,21 +144,22 @@ class Part:
         there = np.zeros(len(self.labels), dtype=bool)
         there[contexts.ravel()] = there[successors] = True
         at = np.cumsum(there) - 1
-        return Part(self.labels[there], self.known[there], at[contexts], self.context_counts[a:b], self.sizes[a:b], at[successors], self.counts[x:y], self.shorter[x:y])
+        needed = np.zeros(len(self.labels), dtype=bool)  # counts of other labels are not asked for
+        needed[successors if contexts.shape[1] == 1 else contexts[:, -1]] = True
+        return Part(self.labels[there], (self.known * needed)[there], at[contexts], self.context_counts[a:b], self.sizes[a:b], at[successors], self.counts[x:y], self.shorter[x:y])
 
     def dumps(self) -> bytes:
         columns = [self.contexts[:, j] for j in range(self.contexts.shape[1])]
-        columns[0] = np.diff(columns[0], prepend=0)
-        rest = (np.diff(self.labels, prepend=0), self.known, self.context_counts, self.sizes, self.successors, self.counts, self.shorter)
-        return pickle.dumps(([pack(c) for c in columns], [pack(x) for x in rest]), protocol=5)
+        first, later = pack(np.diff(columns[0], prepend=0)), [pack(c) for c in [*columns[1:], self.successors]]
+        rest = (np.diff(self.labels, prepend=0), self.known, self.context_counts, self.sizes, self.counts, self.shorter)
+        return pickle.dumps((first, later, [pack(x) for x in rest]), protocol=5)
 
     @classmethod
     def loads(cls, data: bytes) -> Part:
-        columns, rest = pickle.loads(data)
-        columns = [unpack(c) for c in columns]
-        columns[0] = np.cumsum(columns[0])
-        labels, known, context_counts, sizes, successors, counts, shorter = map(unpack, rest)
-        return cls(np.cumsum(labels), known, np.column_stack(columns), context_counts, sizes, successors, counts, shorter)
+        first, later, rest = pickle.loads(data)
+        *columns, successors = map(unpack, later)
+        labels, known, context_counts, sizes, counts, shorter = map(unpack, rest)
+        return cls(np.cumsum(labels), known, np.column_stack([np.cumsum(unpack(first)), *columns]), context_counts, sizes, successors, counts, shorter)
 
     def bounds(self, points: Sequence[tuple[int, ...]]) -> Iterator[tuple[int, int, int]]:
         """(range, begin, end) of the contexts of each range; ``points`` as numbers of words."""
@@ -274,9 +275,11 @@ def _log_ratio(left: np.ndarray, rest: np.ndarray) -> np.ndarray:
 
 def united(parts: Sequence[Part], floor: float, params: Params) -> tuple[Trie, list[np.ndarray], list[np.ndarray]]:
     """The trie of a range; for each part the trie's number of each of its contexts, and of each of its labels."""
-    labels, first = np.unique(np.concatenate([p.labels for p in parts]), return_index=True)
-    known = np.concatenate([p.known for p in parts])[first]
+    labels = np.unique(np.concatenate([p.labels for p in parts]))
+    known = np.zeros(len(labels), dtype=np.int64)
     names = [np.searchsorted(labels, p.labels) for p in parts]
+    for to, p in zip(names, parts):
+        known[to] = np.maximum(known[to], p.known)
     rows, counts_ = [to[p.contexts] for to, p in zip(names, parts)], [p.context_counts for p in parts]
     every = np.concatenate(rows)
     order = np.lexsort(every.T[::-1])
@@ -369,7 +372,7 @@ def _mapped(df: DataFrame, of: Callable[[object], Iterator[tuple]], schema: str)
 # ---- what a shard does -------------------------------------------------------------------------------------------
 def _word_parts(points: list[tuple[bytes, ...]]) -> Callable[[object], Iterator[tuple]]:
     def of(row) -> Iterator[tuple]:
-        words, ids = unpack_bytes(row.words).split(b"\n"), unpack(row.ids)
+        words, ids = unpack_bytes(row.words).split(b"\n"), unpack_ranked(row.ids)
         counts = np.bincount(ids, minlength=len(words)) if row.train else np.zeros(len(words), dtype=np.int64)
         begin = 0
         while begin < len(words):
@@ -386,7 +389,7 @@ def _after_words(total: int, types: int, least: int, base: dict[int, int], end:
     floor = total + ADD * (types + 1)
 
     def of(row) -> Iterator[tuple]:
-        ids = unpack(row.ids)
+        ids = unpack_ranked(row.ids)
         answers = [(a["range"], *map(unpack, pickle.loads(a["answer"]))) for a in row.answers]
         words = np.concatenate([base[r] + np.cumsum(p) for r, p, _ in answers])
         known = np.concatenate([k for *_, k in answers])
@@ -414,7 +417,7 @@ def _narrowed(ids: np.ndarray, doc: np.ndarray, words: np.ndarray, known: np.nda
 
 
 def _places(ids: np.ndarray, doc: np.ndarray) -> bytes:
-    return pickle.dumps((pack(ids), pack(np.diff(doc, prepend=0))), protocol=5)
+    return pickle.dumps((pack_ranked(ids), pack(np.diff(doc, prepend=0))), protocol=5)
 
 
 @dataclass
@@ -429,7 +432,8 @@ class _State:
 
     @classmethod
     def of(cls, row, end: int) -> _State:
-        ids, doc = map(unpack, pickle.loads(row.ids))
+        ids, doc = pickle.loads(row.ids)
+        ids, doc = unpack_ranked(ids), unpack(doc)
         words = np.cumsum(unpack(row.words))
         at = np.flatnonzero(words == end)
         return cls(words, ids, np.cumsum(doc), [unpack(x) for x in pickle.loads(row.extra)], int(at[0]) if len(at) else -1)

@@ -30,3 +30,17 @@ def unpack(data: bytes) -> np.ndarray:
     wide[:, :planes] = flat.T
     folded = wide.view("<u8").reshape(-1)
     return (folded >> np.uint64(1)).astype(np.int64) ^ -(folded & np.uint64(1)).astype(np.int64)
+
+
+def pack_ranked(x: np.ndarray) -> bytes:
+    """Numbers from 0 on of which few are frequent: as ranks by frequency, after how often each occurs."""
+    counts = np.bincount(x)
+    rank = np.empty(len(counts), dtype=np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+    head = pack(counts)
+    return len(head).to_bytes(8, "little") + head + pack(rank[x])
+
+
+def unpack_ranked(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.argsort(-unpack(data[8 : 8 + size]), kind="stable")[unpack(data[8 + size :])]

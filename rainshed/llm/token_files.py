@@ -34,7 +34,7 @@ from rainshed.llm.common import bounded_batches
 from rainshed.sources.integrity import scratch_dir
 
 MAGIC = b"RPG1"
-HEAD = struct.Struct("<4sIIIIQ")  # magic, documents, first nonterminal, rules, bytes a symbol, symbols
+HEAD = struct.Struct("<4sIIIIQ")  # magic, documents, first nonterminal, rules, bit planes over 16 bits, symbols
 #: a line feed, letters, then marks: the pre-tokenizer cuts between the three
 CORE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!|*$&%#]*)")
 
@@ -79,8 +79,12 @@ class Encoder(dict):
 
     def _word(self, word: str) -> bytes:
         """Letters with at most a space before them are one unit of the pre-tokenizer: straight to the model."""
-        unit = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(unit)], dtype="<u4").tobytes()
+        if word.isascii():
+            unit = word.replace(" ", self.letters[32])
+        else:
+            unit = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(unit)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
         m = CORE.fullmatch(piece)
@@ -132,44 +136,55 @@ def grammar(tokens: np.ndarray, first: int, end: int, least: int) -> tuple[np.nd
     """(rules as rows (left, right), symbols).  Rule r is symbol ``first + r`` and refers to smaller symbols only.
 
     Rounds go on until no pair without the end id has ``least`` occurrences.  In a round all such pairs are replaced, from
-    left to right; a rule that would be used less than twice because its places overlap others' waits.
+    left to right; a rule that would be used less than twice because its places overlap others' waits.  Only pairs with a
+    symbol of the round before can be new, so others are left out until no new one is found; a last round looks at all.
     """
-    seq, rules, next_symbol = np.asarray(tokens, dtype=np.uint32), [], first
+    seq, rules, next_symbol, fresh = np.asarray(tokens, dtype=np.uint32), [], first, 0
     while len(seq) > 1:
         wide = next_symbol > 65_535
         half = np.uint64(32) if wide else np.uint32(16)
         kind, bits = (np.uint64, 17) if wide else (np.uint32, 17)
         turn, drop = (kind(0x9E3779B97F4A7C15), kind(64 - bits)) if wide else (kind(0x9E3779B1), kind(32 - bits))
         nothing = kind(np.iinfo(kind).max)
-        keys = (seq[:-1].astype(kind) << half) | seq[1:].astype(kind)
-        ordered = np.sort(keys[(seq[:-1] != end) & (seq[1:] != end)])
-        if not len(ordered):
-            break
-        heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        inner = seq != end
+        both = inner[:-1] & inner[1:]
+        if fresh:
+            new = seq >= fresh
+            both &= new[:-1] | new[1:]
+        there = np.flatnonzero(both)
+        keys = (seq[there].astype(kind) << half) | seq[there + 1].astype(kind)
+        ordered = np.sort(keys)
+        heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, dtype=np.int64)
         counts = np.diff(np.r_[heads, len(ordered)])
         often = np.flatnonzero(counts >= least)
         if not len(often):
-            break
+            if not fresh:
+                break
+            fresh = 0
+            continue
         best = ordered[heads[often[np.lexsort((ordered[heads[often]], -counts[often]))]]]
         for pairs in (best, best[:1]):
             slot = (pairs * turn) >> drop
             key_of = np.full(1 << bits, nothing, dtype=kind)
             key_of[slot[::-1]] = pairs[::-1]  # of pairs in one slot the most frequent stays
             pairs = pairs[key_of[slot] == pairs]
-            rank_of = np.zeros(1 << bits, dtype=np.int64)
+            rank_of = np.zeros(1 << bits, dtype=np.int32)
             rank_of[(pairs * turn) >> drop] = np.arange(len(pairs))
             place = (keys * turn) >> drop
-            at = np.flatnonzero(key_of[place] == keys)
-            at = at[(seq[at] != end) & (seq[at + 1] != end)]
+            hit = np.flatnonzero(key_of[place] == keys)
+            at = there[hit]
             index = np.arange(len(at))
             run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], index, 0))
-            at = at[((index - run) & 1) == 0]  # pairs that overlap: every other one
-            rank = rank_of[place[at]]
+            odd = ((index - run) & 1) == 0  # pairs that overlap: every other one
+            at, rank = at[odd], rank_of[place[hit[odd]]]
             used = np.bincount(rank, minlength=len(pairs)) >= 2
             if used.any():
                 break
         else:
-            break
+            if not fresh:
+                break
+            fresh = 0
+            continue
         at, rank = at[used[rank]], rank[used[rank]]
         seq = seq.copy()
         seq[at] = next_symbol + (np.cumsum(used) - 1)[rank]
@@ -177,7 +192,7 @@ def grammar(tokens: np.ndarray, first: int, end: int, least: int) -> tuple[np.nd
         stay[at + 1] = False
         seq = seq[stay]
         rules.append(np.column_stack([pairs[used] >> half, pairs[used] & kind((1 << int(half)) - 1)]).astype(np.uint32))
-        next_symbol += int(used.sum())
+        fresh, next_symbol = next_symbol, next_symbol + int(used.sum())
     return (np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)), seq
 
 
@@ -190,11 +205,13 @@ def packed(ids: list[int | None], documents: list[bytes], first: int, params: Pa
     spans = np.where(seq >= first, lengths[np.maximum(seq.astype(np.int64) - first, 0)] if len(rules) else 1, 1)
     ends = np.searchsorted(np.cumsum(spans), np.cumsum(sizes, dtype=np.int64)) + 1
     symbols = np.diff(np.r_[0, ends]).astype("<u4")
-    width = 2 if not len(seq) or int(seq.max()) < 65_536 else 4
+    high = int(seq.max(initial=0)) >> 16
+    planes = high.bit_length()  # of one bit each, for what does not fit 16 bits
     null = np.array([i is None for i in ids], dtype=np.uint8)
     number = np.array([0 if i is None else i for i in ids], dtype="<i8")
-    head = HEAD.pack(MAGIC, len(ids), first, len(rules), width, len(seq))
-    body = [null, number, sizes, symbols, rules.astype("<u4"), lengths.astype("<u4"), seq.astype(f"<u{width}")]
+    head = HEAD.pack(MAGIC, len(ids), first, len(rules), planes, len(seq))
+    body = [null, number, sizes, symbols, rules.astype("<u4"), lengths.astype("<u4"), (seq & 0xFFFF).astype("<u2")]
+    body += [np.packbits((seq >> np.uint32(16 + b)) & 1 == 1) for b in range(planes)]
     return head + b"".join(x.tobytes() for x in body)
 
 
@@ -209,7 +226,7 @@ class Shard:
     """A shard read back from its bytes."""
 
     def __init__(self, data: bytes):
-        magic, n, self.first, rules, width, symbols = HEAD.unpack_from(data)
+        magic, n, self.first, rules, planes, symbols = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = HEAD.size
@@ -223,7 +240,10 @@ class Shard:
         null, number = take("u1", n), take("<i8", n)
         self.ids = [None if x else int(i) for x, i in zip(null, number)]
         self.sizes, self.symbol_sizes = take("<u4", n), take("<u4", n)
-        self.rules, self.lengths, self.symbols = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules), take(f"<u{width}", symbols)
+        self.rules, self.lengths, self.symbols = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules), take("<u2", symbols)
+        for b in range(planes):
+            bit = np.unpackbits(take("u1", -(-symbols // 8)), count=symbols)
+            self.symbols = self.symbols.astype(np.uint32) | bit.astype(np.uint32) << np.uint32(16 + b)
         self.starts = np.r_[0, np.cumsum(self.sizes, dtype=np.int64)]
         self.symbol_starts = np.r_[0, np.cumsum(self.symbol_sizes, dtype=np.int64)]
         # expansions of all rules one after another, then one place for every terminal
