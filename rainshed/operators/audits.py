@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rainshed.functions.clock import wall_micros
 from rainshed.operators.distributed import exact_quantiles, previous_in_order
+from rainshed.sources.integrity import written
 
 
 def time_audit(df: DataFrame, unit: Sequence[str], ts: str, order: str, start: Column, end: Column, step: str, order_width: float) -> DataFrame:
@@ -31,7 +32,7 @@ def time_audit(df: DataFrame, unit: Sequence[str], ts: str, order: str, start: C
     sec = df.select(*unit, order, (wall_micros(F.col(ts)) / 1e6).alias("__s"))
     prev = previous_in_order(sec, unit, order, order_width, ["__s"])
     steps = prev.select(*unit, (F.col("__s") - F.col("prev___s")).alias("hop")).where(F.col("hop").isNotNull())
-    steps = steps.persist()  # read by the disorder count, the cut points and the value counts
+    steps = written(steps, "steps")  # read by the disorder count, the cut points and the value counts
     disorder = steps.groupBy(*unit).agg(F.count_if(F.col("hop") < 0).alias("out_of_order_times"))
     median = exact_quantiles(steps, unit, "hop", [0.5], names=["median_step_seconds"])
     return (

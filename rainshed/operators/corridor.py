@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +12,6 @@ from rainshed import policy
 from rainshed.functions import geo
 
 KM_PER_DEGREE = 111.0
-BLOCK_DEG = 5.0
-LON_BLOCKS = int(360 / BLOCK_DEG)
 
 
 def axis_edges(axis: DataFrame) -> DataFrame:
@@ -36,44 +35,40 @@ def grid_with_area(cells: DataFrame) -> DataFrame:
     return cells.join(la, "lat_idx").join(lo, "lon_idx").select(*cells.columns, area.alias("area_m2"))
 
 
-def _block(lat: Column, lon: Column) -> Column:
-    return F.struct(
-        F.floor(lat / BLOCK_DEG).cast("int").alias("la"),
-        F.pmod(F.floor(lon / BLOCK_DEG), F.lit(LON_BLOCKS)).cast("int").alias("lo"),
-    )
+def cell_degrees(max_km: float) -> float:
+    """The edge of the nested cells (360 degrees halved again and again) that is the last not less than the radius."""
+    reach = max(max_km, 1e-3) / KM_PER_DEGREE
+    return 360.0 / 2 ** max(math.floor(math.log2(360.0 / reach)), 0)
 
 
 def within_distance(points: DataFrame, cells: DataFrame, max_km: float) -> DataFrame:
     """Pairs of a point (lat0, lon0) and a cell (lat, lon) at most ``max_km`` apart, with distance and bearing.
 
-    Every point is copied to the latitude/longitude blocks its radius can reach and meets cells by block
-    (an equi join); the exact distance decides.  Work grows with the pairs in reach, not with all pairs.
+    Both sides stand in nested latitude/longitude cells of the level that fits the radius: a point is copied to the few
+    cells its radius can reach and meets the others by cell (an equi join); the exact distance decides.  Work grows with
+    the pairs in reach: places closer together than the radius spread over more and smaller cells as it shrinks.
     """
-    reach = F.lit(max_km / KM_PER_DEGREE + 0.1)
+    size = cell_degrees(max_km)
+    around = round(360 / size)
+    reach = F.lit(max_km / KM_PER_DEGREE * 1.01 + 1e-6)
     top = F.least(F.abs(F.col("lat0")) + reach, F.lit(89.0))
     lon_reach = F.when(F.abs(F.col("lat0")) + reach >= 89.0, F.lit(180.0)).otherwise(
         F.least(reach / F.cos(F.radians(top)), F.lit(180.0))
     )
 
     def blocks(centre: Column, r: Column) -> Column:
-        return F.sequence(F.floor((centre - r) / BLOCK_DEG).cast("int"), F.floor((centre + r) / BLOCK_DEG).cast("int"))
+        return F.sequence(F.floor((centre - r) / size).cast("int"), F.floor((centre + r) / size).cast("int"))
 
-    lon_blocks = F.array_distinct(
-        F.transform(blocks(F.col("lon0"), lon_reach), lambda b: F.pmod(b, F.lit(LON_BLOCKS)))
-    )
-    spread = (
-        points.withColumn("__la", F.explode(blocks(F.col("lat0"), reach)))
-        .withColumn("__lo", F.explode(lon_blocks))
-        .withColumn("__b", F.struct(F.col("__la").alias("la"), F.col("__lo").alias("lo")))
-        .drop("__la", "__lo")
-    )
-    joined = spread.join(cells.withColumn("__b", _block(F.col("lat"), F.col("lon"))), "__b")
+    lon_blocks = F.array_distinct(F.transform(blocks(F.col("lon0"), lon_reach), lambda b: F.pmod(b, F.lit(around))))
+    spread = points.withColumn("__la", F.explode(blocks(F.col("lat0"), reach))).withColumn("__lo", F.explode(lon_blocks))
+    placed = cells.withColumns({"__la": F.floor(F.col("lat") / size).cast("int"), "__lo": F.pmod(F.floor(F.col("lon") / size), F.lit(around)).cast("int")})
+    joined = spread.join(placed, ["__la", "__lo"])
     args = [F.col(c) for c in ("lat0", "lon0", "lat", "lon")]
     return (
         joined.withColumn("distance_km", geo.haversine_km(*args))
         .where(F.col("distance_km") <= max_km)
         .withColumn("bearing", geo.initial_bearing(*args))
-        .drop("__b")
+        .drop("__la", "__lo")
     )
 
 

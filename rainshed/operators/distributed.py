@@ -173,6 +173,29 @@ def quantile_grid(df: DataFrame, keys: Sequence[str], value: str, parts: int, *,
     return long.withColumn("i", F.col("i") + 1)
 
 
+def weighted_quantile_grid(counts: DataFrame, keys: Sequence[str], value: str, weight: str, parts: int, *, splits: Sequence[float] | None = None) -> DataFrame:
+    """As ``quantile_grid``, from distinct values with counts (keys, value, weight): the rows themselves are not read again."""
+    keys = list(keys)
+    cum = running_totals(counts, keys, value, [weight], splits=splits)
+    total, end = F.col(f"tot_{weight}"), F.col(f"cum_{weight}")
+    begin = end - F.col(weight)
+    scale = F.lit(float(parts)) / F.greatest(total - 1, F.lit(1))
+    first = F.when(total > 1, F.greatest(F.floor((begin - 1) * scale), F.lit(1))).otherwise(1).cast("int")
+    last = F.when(total > 1, F.least(F.ceil(end * scale), F.lit(parts - 1))).otherwise(parts - 1).cast("int")
+    near = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    wanted = F.transform(near, lambda i: F.struct(i.alias("i"), (i.cast("double") / parts * (total - 1)).alias("at")))
+    here = lambda r: (r >= begin) & (r < end)
+    kept = F.filter(wanted, lambda x: here(F.floor(x["at"])) | here(F.ceil(x["at"])))
+    hits = cum.select(*keys, value, begin.alias("__a"), end.alias("__b"), F.explode(kept).alias("__x")).select(*keys, value, "__a", "__b", "__x.*")
+    low, high = F.floor("at"), F.ceil("at")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("__a")) & (rank < F.col("__b")), F.col(value)))
+
+    picked = hits.groupBy(*keys, "i").agg(at(low).alias("__lo"), at(high).alias("__hi"), F.max(F.col("at") - F.floor("at")).alias("__f"))
+    return picked.select(*keys, "i", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")).alias("quantile"))
+
+
 def percent_rank_average(
     df: DataFrame, keys: Sequence[str], value: str, out: str, *, splits: Sequence[float] | None = None
 ) -> DataFrame:
@@ -194,28 +217,31 @@ def percent_rank_average(
     return ranked.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
-def previous_in_order(df: DataFrame, keys: Sequence[str], order: str, width: float, cols: Sequence[str]) -> DataFrame:
+FAN = 4096  #: buckets of a level that share one of the next
+
+
+def previous_in_order(df: DataFrame, keys: Sequence[str], order: str, width: float, cols: Sequence[str], levels: int = 2) -> DataFrame:
     """``prev_<c>`` of the preceding row per key by a numeric order column.
 
-    A key is cut into order buckets of ``width``; each bucket hands its last row to the next non-empty bucket, so
-    a key with most of the rows is still spread over many tasks.  ``keys``, ``order`` and ``cols`` hold no NULL order.
+    A key is cut into order buckets of ``width``; each bucket hands its last row to the next non-empty bucket, so a key
+    with most of the rows is still spread over many tasks.  Which bucket is the next is found in the same way: ``FAN``
+    buckets share one of the level above, and only those of the last level are ordered in one window, 1 / (width * FAN)
+    of the key's span.  ``keys``, ``order`` and ``cols`` hold no NULL order.
     """
-    keys = list(keys)
-    b = df.withColumn("__b", F.floor(F.col(order) / width)).withColumn("__ghost", F.lit(False))
+    keys, bucket, ghost = list(keys), f"__b{levels}", f"__ghost{levels}"
+    values = list(dict.fromkeys([order, *cols]))
+    b = df.withColumn(bucket, F.floor(F.col(order) / width)).withColumn(ghost, F.lit(False))
     # Plain columns, not a struct: their buffers stay in a hash aggregate.
-    last = b.groupBy(*keys, "__b").agg(
-        F.max(order).alias("__order"), *[F.max_by(c, order).alias(f"__last_{c}") for c in cols if c != order]
-    )
-    over = Window.partitionBy(*keys).orderBy("__b")
-    handed = last.select(
-        *keys,
-        "__b",
-        F.lag("__order").over(over).alias(order),
-        *[F.lag(f"__last_{c}").over(over).alias(c) for c in cols if c != order],
-        F.lit(True).alias("__ghost"),
-    ).where(F.col(order).isNotNull())
+    last = b.groupBy(*keys, bucket).agg(*[F.max(order).alias(c) if c == order else F.max_by(c, order).alias(c) for c in values])
+    if levels > 1:
+        earlier = previous_in_order(last, keys, bucket, FAN, values, levels - 1)
+        handed = earlier.select(*keys, bucket, *[F.col(f"prev_{c}").alias(c) for c in values])
+    else:
+        over = Window.partitionBy(*keys).orderBy(bucket)
+        handed = last.select(*keys, bucket, *[F.lag(c).over(over).alias(c) for c in values])
+    handed = handed.withColumn(ghost, F.lit(True)).where(F.col(order).isNotNull())
     # The row handed over sorts before its new bucket, so one window serves bucket and border alike.
-    inside = Window.partitionBy(*keys, "__b").orderBy(order)
+    inside = Window.partitionBy(*keys, bucket).orderBy(order)
     both = b.unionByName(handed, allowMissingColumns=True)
     prev = both.select("*", *[F.lag(c).over(inside).alias(f"prev_{c}") for c in cols])
-    return prev.where(~F.col("__ghost")).drop("__b", "__ghost")
+    return prev.where(~F.col(ghost)).drop(bucket, ghost)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rainshed import policy
 from rainshed.functions.rows import clip
-from rainshed.operators.distributed import RANGES, quantile_grid, running_totals, value_splits, with_range
+from rainshed.operators.distributed import RANGES, running_totals, value_splits, weighted_quantile_grid, with_range
 from rainshed.operators.windows import runs
 from rainshed.sources.integrity import written
 
@@ -72,6 +72,16 @@ def macro_average_precision(pred: DataFrame, keys: Sequence[str], receptor: str,
     return per.groupBy(*keys).agg(F.avg(ap).alias("macro_average_precision"), F.count(ap).alias("receptors"))
 
 
+def climatology_reference(pred: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
+    """(keys, brier_score) of the share of positives over all rows as a forecast, from one aggregate."""
+    per = pred.where(F.col(y).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("__pos"))
+    whole = Window.partitionBy()  # a row a key
+    c = clip(F.sum("__pos").over(whole) / F.sum("__n").over(whole), EPS, 1 - EPS)
+    rows = per.select(*keys, "__n", "__pos", c.alias("__c"))
+    n, pos, share = F.col("__n"), F.col("__pos"), F.col("__c")
+    return rows.select(*keys, ((pos * F.pow(1 - share, 2) + (n - pos) * F.pow(share, 2)) / n).alias("brier_score"))
+
+
 def brier_skill(model: DataFrame, reference: DataFrame, keys: Sequence[str]) -> DataFrame:
     r = reference.select(*keys, F.col("brier_score").alias("reference_brier"))
     j = model.join(r, list(keys)) if keys else model.withColumn("reference_brier", r.select("reference_brier").scalar())
@@ -106,16 +116,17 @@ def at_threshold(pred: DataFrame, keys: Sequence[str], y: str, p: str, threshold
 def threshold_sweep(pred: DataFrame, keys: Sequence[str], y: str, p: str) -> DataFrame:
     """Contingency scores at 999 fixed levels and the 99 percentiles of the scores.
 
-    Thresholds are merged into the score table as rows without counts; one descending running total then gives
-    every threshold its counts.  No scores x thresholds product is formed.
+    The predictions are read once, into a score table.  Thresholds are merged into it as rows without counts; one descending
+    running total then gives every threshold its counts.  No scores x thresholds product is formed.
     """
     keys = list(keys)
     rows = pred.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     scores = rows.groupBy(*keys, F.col(p).cast("double").alias("p")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("pos")
     )
-    splits = value_splits(rows, p)
-    percentiles = quantile_grid(rows, keys, p, 100, splits=splits).select(*keys, F.col("quantile").alias("p"))
+    scores = written(scores, "scores")
+    splits = value_splits(scores, "p")
+    percentiles = weighted_quantile_grid(scores, keys, "p", "n", 100, splits=splits).select(*keys, F.col("quantile").alias("p"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(998)), lambda i: F.lit(0.001) + i * F.lit(0.998 / 998.0))
     levels = scores.select(*keys).distinct() if keys else percentiles.select(F.lit(1).alias("one")).distinct()
     levels = levels.select(*keys, F.explode(grid).alias("p")).unionByName(percentiles)

@@ -14,8 +14,10 @@ from __future__ import annotations
 import heapq
 import math
 import pickle
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,8 @@ from rainshed.sources.integrity import written
 
 MISSING = 255  #: the code of a missing value
 BUCKETS = 16  #: groups in which the sums of all models meet
+PASS = 1 << 18  #: rows times models of a task of a boosting pass
+STATE = "part int, margins long, data binary"
 
 
 def _sigmoid(m: np.ndarray) -> np.ndarray:
@@ -329,7 +333,7 @@ class _Growth:
     """One model: the forest so far and the tree that is growing, with splits that may turn out not to be needed."""
 
     def __init__(self, model: Boosting, forest: Forest):
-        self.model, self.forest, self.fresh = model, forest, list[Tree]()
+        self.model, self.forest, self.fresh = model, forest, list[bytes]()  # trees since the margins were renewed
         self.nodes: list[_Node] = [_Node(0.0, 0.0, math.inf)]
         self.asked = [0]  # whose histograms the next pass adds up
 
@@ -377,7 +381,7 @@ class _Growth:
         if not self.forest.trees and self.nodes[0].split:
             self.forest.first_gain = self.nodes[0].split[0]
         self.forest.trees.append(tree)
-        self.fresh.append(tree)
+        self.fresh.append(pickle.dumps(tree, protocol=5))
         self.nodes, self.asked = [_Node(0.0, 0.0, math.inf)], [0]
 
     def tree(self, split: set[int] | None = None) -> Tree:
@@ -415,6 +419,22 @@ def best_split(hist: np.ndarray, l2: float, least: int, curvature: float) -> tup
     return best
 
 
+_margins: dict[tuple, tuple[int, np.ndarray]] = {}  # of a worker, see ``_margin``
+
+
+def _margin(key: tuple, stored: np.ndarray, fresh: list[bytes], codes: np.ndarray, most: int = 1 << 23) -> np.ndarray:
+    """A model's margins on a block: the stored ones and the trees since.  A worker that saw the block before goes on from
+    there; it keeps up to ``most`` numbers and is right whatever it has kept."""
+    known, m = _margins.get(key, (0, stored))
+    if known < len(fresh):
+        for t in fresh[known:]:
+            m = m + pickle.loads(t)(codes)
+        if sum(len(x) for _, x in _margins.values()) + len(m) > most:
+            _margins.clear()
+        _margins[key] = (len(fresh), m)
+    return m
+
+
 def _histograms(blocks: RDD, growing: dict[int, list[tuple]], limits: dict[int, tuple]) -> list[tuple]:
     """(model, predictor, slot, best split or None, sums) of each asked node; sums: of the node, loss and weight.
 
@@ -424,9 +444,9 @@ def _histograms(blocks: RDD, growing: dict[int, list[tuple]], limits: dict[int,
 
     def add(task: int, rows: Iterator[tuple]) -> Iterator[tuple]:
         acc: dict[tuple[int, int], np.ndarray] = {}
-        for part, (codes, y, w, margins) in rows:
+        for name, part, (codes, y, w, margins) in rows:
             for model, at, k, fresh, tree, asked in growing.get(part, []):
-                m = margins[:, at] + sum((t(codes) for t in fresh), np.zeros(len(y)))
+                m = _margin((name, model), margins[:, at], fresh, codes)
                 wi = np.ones(len(y)) if k is None else w[:, k]
                 p = _sigmoid(m)
                 slot = np.full(len(tree.feature), -1)
@@ -440,7 +460,8 @@ def _histograms(blocks: RDD, growing: dict[int, list[tuple]], limits: dict[int,
                     if j == 0 and asked[0] == 0:
                         v[-2:] = (wi * _losses(m, y)).sum(), wi.sum()
                     acc[model, j] = acc[model, j] + v if (model, j) in acc else v
-        return iter([(key, (task, v)) for key, v in acc.items()])
+        found = [(key, (task, v)) for key, v in acc.items()]
+        return iter([b for key, x in found for b in choose((key, [x]))] if alone else found)
 
     def choose(item: tuple) -> list[tuple]:
         (model, j), some = item
@@ -448,16 +469,21 @@ def _histograms(blocks: RDD, growing: dict[int, list[tuple]], limits: dict[int,
         hist = v[:-2].reshape(3, -1, 256)
         return [(model, j, s, best_split(hist[:, s], *limits[model]), (*hist[:, s].sum(axis=1).tolist(), *v[-2:].tolist())) for s in range(hist.shape[1])]
 
-    return blocks.mapPartitionsWithIndex(add).groupByKey(min(BUCKETS, blocks.getNumPartitions())).flatMap(choose).collect()
+    alone = blocks.getNumPartitions() == 1  # its sums are the sums
+    sums = blocks.mapPartitionsWithIndex(add)
+    return (sums if alone else sums.groupByKey(min(BUCKETS, blocks.getNumPartitions())).flatMap(choose)).collect()
 
 
 def _kept(blocks: DataFrame) -> RDD:
-    """The blocks in memory, or on the executors' disks, spread over all cores."""
-    spread = blocks.repartition(max(blocks.sparkSession.sparkContext.defaultParallelism, blocks.rdd.getNumPartitions()))
-    return spread.rdd.map(lambda r: (r["part"], pickle.loads(r["data"]))).persist(StorageLevel.MEMORY_AND_DISK)
+    """The blocks in memory, or on the executors' disks, named by their content, about ``PASS`` margins to a task."""
+    size = blocks.agg(F.coalesce(F.sum("margins"), F.lit(0))).first()[0]
+    n = max(1, min(-(-size // PASS), blocks.count()))
+    name = uuid.uuid4().hex
+    rows = blocks.select("part", "data").repartition(n).rdd
+    return rows.map(lambda r: (name + md5(r["data"]).hexdigest(), r["part"], pickle.loads(r["data"]))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def fit_boostings(blocks: DataFrame, cuts: dict[int, list[np.ndarray]], models: Sequence[Boosting], rebase: int = 20) -> dict[str, Forest]:
+def fit_boostings(blocks: DataFrame, cuts: dict[int, list[np.ndarray]], models: Sequence[Boosting], rebase: int = 50) -> dict[str, Forest]:
     """Every model whose part has rows, all at once.  The margins are kept with the blocks and renewed every ``rebase``
     rounds, so a lost executor costs a re-read of blocks and a few trees.  One class alone gives a constant forest."""
     models = [m for m in models if m.part in cuts]
@@ -473,13 +499,14 @@ def fit_boostings(blocks: DataFrame, cuts: dict[int, list[np.ndarray]], models:
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            data = []
+            data, sizes = [], []
             for part, d in zip(frame["part"], frame["data"]):
                 x, y, w = pickle.loads(d)
                 data.append(pickle.dumps((coded(x, cuts[part]), y, w, np.tile(starts[part], (len(y), 1))), protocol=5))
-            yield pd.DataFrame({"part": frame["part"], "data": data})
+                sizes.append(len(y) * len(starts[part]))
+            yield pd.DataFrame({"part": frame["part"], "margins": sizes, "data": data})
 
-    table = written(blocks.mapInPandas(first, "part int, data binary"), "boosting")
+    table = written(blocks.mapInPandas(first, STATE), "boosting")
     state = _kept(table)
     limits = {i: (m.l2, m.least, m.curvature) for i, m in enumerate(models)}
     while any(not g.done for g in growths):
@@ -515,7 +542,7 @@ def fit_boostings(blocks: DataFrame, cuts: dict[int, list[np.ndarray]], models:
 
 def _rebased(state: DataFrame, growths: Sequence[_Growth], columns: dict[str, int]) -> DataFrame:
     """Blocks with margins that include every tree so far."""
-    trees: dict[int, list[tuple[int, list[Tree]]]] = {}
+    trees: dict[int, list[tuple[int, list[bytes]]]] = {}
     for g in growths:
         trees.setdefault(g.model.part, []).append((columns[g.model.name], list(g.fresh)))
 
@@ -527,11 +554,11 @@ def _rebased(state: DataFrame, growths: Sequence[_Growth], columns: dict[str, in
                 margins = margins.copy()
                 for at, fresh in trees.get(part, []):
                     for t in fresh:
-                        margins[:, at] += t(codes)
+                        margins[:, at] += pickle.loads(t)(codes)
                 data.append(pickle.dumps((codes, y, w, margins), protocol=5))
-            yield pd.DataFrame({"part": frame["part"], "data": data})
+            yield pd.DataFrame({"part": frame["part"], "margins": frame["margins"], "data": data})
 
-    new = written(state.mapInPandas(run, "part int, data binary"), "boosting")
+    new = written(state.mapInPandas(run, STATE), "boosting")
     for g in growths:
         g.fresh.clear()
     return new

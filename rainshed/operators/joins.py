@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rainshed.operators.distributed import value_splits, with_range
 from rainshed.operators.windows import first_by
 
 
@@ -59,36 +60,70 @@ def active_per_day(intervals: DataFrame, group: Sequence[str], member: str, star
 def align_nearest(left: DataFrame, right: DataFrame, x: str, y: str, tolerance: float, left_id: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
     """Nearest right value within ``tolerance``; left rows without one are dropped.  Ties go to the smaller value.
 
-    Both sides meet in buckets of one tolerance width (left rows look at three buckets).
+    An ordered merge: the distinct values of both sides stand in one order, cut into value ranges; each range is handed the
+    last right value before it and the first one after it, so the neighbours of a value are found in one pass over its
+    range.  No pair of values is formed, however many lie within the tolerance.  Rows of equal ``y`` are told apart by
+    ``extra``, ascending; a null is near to nothing.  Left rows keep their number; ``left_id`` names them for the reader.
     """
-    b = F.floor(F.col(x) / tolerance)
-    probe = left.withColumn("__b", F.explode(F.array(b - 1, b, b + 1)))
-    target = right.withColumn("__b", F.floor(F.col(y) / tolerance))
-    near = probe.join(target, "__b").drop("__b").where(F.abs(F.col(x) - F.col(y)) <= tolerance)
-    return first_by(near, list(left_id), [F.abs(F.col(x) - F.col(y)), F.col(y), *extra])
+    value, right_value, ghost = F.col("__at"), F.col("__right"), F.col("__ghost")
+    one = first_by(right.where(F.col(y).isNotNull()).withColumn("__y", F.col(y).cast("double")), ["__y"], list(extra) or [F.lit(0)])
+    probes = left.select(F.col(x).cast("double").alias("__at")).where("__at IS NOT NULL").distinct()
+    both = probes.withColumn("__right", F.lit(None).cast("double")).unionAll(one.select(F.col("__y").alias("__at"), F.col("__y").alias("__right")))
+    ranged = with_range(both, "__at", value_splits(both, "__at")).withColumn("__ghost", F.lit(False))
+    ends = ranged.groupBy("__range").agg(F.min("__right").alias("__min"), F.max("__right").alias("__max"))  # a row a range
+    order = Window.orderBy("__range")
+    before = F.last("__max", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("__min", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    handed = ends.select("__range", before.alias("__before"), after.alias("__after"))
+    handed = handed.select("__range", F.explode(F.array("__before", "__after")).alias("__at")).where("__at IS NOT NULL")
+    merged = ranged.unionByName(handed.select("__at", value.alias("__right"), "__range", F.lit(True).alias("__ghost")))
+    inside = Window.partitionBy("__range").orderBy("__at")
+    low = F.last("__right", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    high = F.first("__right", ignorenulls=True).over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    placed = merged.select("__at", "__right", "__ghost", low.alias("__low"), high.alias("__high")).where(right_value.isNull() & ~ghost)
+    lower = F.col("__high").isNull() | (F.abs(value - F.col("__low")) <= F.abs(value - F.col("__high")))
+    near = placed.select("__at", F.when(F.col("__low").isNotNull() & lower, F.col("__low")).otherwise(F.col("__high")).alias("__y"))
+    near = near.where(F.abs(value - F.col("__y")) <= tolerance).join(one, "__y").drop("__y")
+    return left.withColumn("__at", F.col(x).cast("double")).join(near, "__at").drop("__at")
 
 
 BOX = ("west", "south", "east", "north")
+LEVELS = (-30, 30)  # edges of cells: powers of two
 
 
-def overlapping_boxes(a: DataFrame, b: DataFrame, a_id: str, b_id: str, block: float = 1.0) -> DataFrame:
-    """Pairs of overlapping boxes.  Boxes are copied to the blocks they touch; a pair is kept only in the block
-    of the south-west corner of its overlap, so no pair appears twice."""
+def overlapping_boxes(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
+    """Pairs of overlapping boxes.
+
+    Cells are nested: a box has the level whose edge, a power of two, is the first not less than its longer side, so it
+    touches four cells of it at most.  Two boxes meet at the greater of their levels: a box stands in the cells of its own
+    level, and in the enclosing cells of every greater level that the other side has.  Small boxes never meet one
+    another in a large cell.  A pair is kept only in the cell of the south-west corner of its overlap, so no pair appears
+    twice.
+    """
+
+    def sized(df: DataFrame, ident: str, tag: str) -> DataFrame:
+        side = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+        level = F.when(side > 0, F.least(F.greatest(F.ceil(F.log2(side)).cast("int"), F.lit(LEVELS[0])), F.lit(LEVELS[1]))).otherwise(LEVELS[0])
+        return df.select(ident, *[F.col(c).alias(f"{tag}_{c}") for c in BOX], level.alias("__own"))
+
+    def spread(df: DataFrame, tag: str, others: list[int], own_tags: tuple[int, int], above_tag: int) -> DataFrame:
+        own = [F.struct(F.col("__own").alias("level"), F.lit(t).alias("meets")) for t in own_tags]
+        above = F.filter(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(above_tag).alias("meets")) for k in others]), lambda s: s["level"] > F.col("__own"))
+        rows = df.withColumn("__at", F.explode(F.concat(F.array(*own), above))).select("*", "__at.*").drop("__at", "__own")
+        edge = F.pow(F.lit(2.0), F.col("level"))
 
-    def spread(df: DataFrame, ident: str, tag: str) -> DataFrame:
         def cover(lo: str, hi: str) -> Column:
-            return F.explode(F.sequence(F.floor(F.col(lo) / block), F.floor(F.col(hi) / block)))
+            return F.explode(F.sequence(F.floor(F.col(lo) / edge), F.floor(F.col(hi) / edge)))
 
-        renamed = df.select(ident, *[F.col(c).alias(f"{tag}_{c}") for c in BOX])
-        return renamed.withColumn("__bx", cover(f"{tag}_west", f"{tag}_east")).withColumn(
-            "__by", cover(f"{tag}_south", f"{tag}_north")
-        )
+        return rows.withColumn("__bx", cover(f"{tag}_west", f"{tag}_east")).withColumn("__by", cover(f"{tag}_south", f"{tag}_north"))
 
-    j = spread(a, a_id, "a").join(spread(b, b_id, "b"), ["__bx", "__by"])
-    west = F.greatest("a_west", "b_west")
-    south = F.greatest("a_south", "b_south")
+    one, two = sized(a, a_id, "a"), sized(b, b_id, "b")
+    levels = [sorted(r[0] for r in d.select("__own").distinct().collect()) for d in (one, two)]  # at most 61 numbers
+    j = spread(one, "a", levels[1], (0, 1), 2).join(spread(two, "b", levels[0], (0, 2), 1), ["level", "meets", "__bx", "__by"])
+    west, south = F.greatest("a_west", "b_west"), F.greatest("a_south", "b_south")
     overlap = (west < F.least("a_east", "b_east")) & (south < F.least("a_north", "b_north"))
-    home = (F.floor(west / block) == F.col("__bx")) & (F.floor(south / block) == F.col("__by"))
+    edge = F.pow(F.lit(2.0), F.col("level"))
+    home = (F.floor(west / edge) == F.col("__bx")) & (F.floor(south / edge) == F.col("__by"))
     return j.where(overlap & home).select(a_id, b_id)
 
 

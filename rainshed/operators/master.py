@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainshed.functions.text import forbidden_name
-from rainshed.operators.panel import CardinalityError, duplicate_keys, validated_join
+from rainshed.functions.text import FORBIDDEN_PATTERNS
+from rainshed.operators.panel import CardinalityError, asserted_unique, duplicate_keys
 from rainshed.operators.windows import first_by
 
 # Classes admitted to the primary dynamic core and their missingness class.
@@ -166,11 +167,10 @@ def target_coverage(base: DataFrame, receptor: str, date: str, value: str) -> Da
 
 
 # ---- master ------------------------------------------------------------------------------------------------------
-def check_leakage(predictors: Sequence[str], spark) -> None:
+def check_leakage(predictors: Sequence[str]) -> None:
     """Fails when a predictor name matches a forbidden pattern; the names are schema metadata."""
-    names = spark.createDataFrame([(p,) for p in predictors], "name string")
-    bad = [r["name"] for r in names.where(forbidden_name(F.col("name"))).collect()]
-    if bad:
+    forbidden = re.compile("|".join(FORBIDDEN_PATTERNS))
+    if bad := [p for p in predictors if forbidden.search(p.lower())]:
         raise LeakageError(f"forbidden predictor names: {bad}")
 
 
@@ -185,16 +185,16 @@ def build_master(
 ) -> DataFrame:
     """Labels with dynamic (receptor, day) and static (receptor) predictors, many-to-one on both joins.
 
-    Join flags are kept so that coverage can be audited; predictor names are checked for leakage first.
+    Join flags are kept so that coverage can be audited; predictor names are checked for leakage first.  With ``check``
+    a repeated key on a "one" side fails the job that reads the master.
     """
     dyn = project(dynamic.withColumnRenamed("date", "issue_date"), [receptor, "issue_date"], "dynamic", dynamic_cols)
     stat = project(static, [receptor], "static", static_cols)
-    check_leakage([*dyn.columns[2:], *stat.columns[1:]], labels.sparkSession)
+    check_leakage([*dyn.columns[2:], *stat.columns[1:]])
     dyn, stat = dyn.withColumn("dynamic_match", F.lit(True)), stat.withColumn("static_match", F.lit(True))
     if check:
-        out = validated_join(validated_join(labels, dyn, [receptor, "issue_date"], "left"), stat, [receptor], "left")
-    else:
-        out = labels.join(dyn, [receptor, "issue_date"], "left").join(stat, receptor, "left")
+        dyn, stat = asserted_unique(dyn, [receptor, "issue_date"]), asserted_unique(stat, [receptor])
+    out = labels.join(dyn, [receptor, "issue_date"], "left").join(stat, receptor, "left")
     no = F.lit(False)
     return out.withColumn("dynamic_match", F.coalesce("dynamic_match", no)).withColumn("static_match", F.coalesce("static_match", no))
 

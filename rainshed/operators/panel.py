@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainshed import policy
@@ -108,6 +108,17 @@ def validated_join(
     return left.join(right, list(on), how)
 
 
+def asserted_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows as they are; a job that meets a repeated key fails.
+
+    The check is a count over the key in the layout that a join on the key needs anyway, so the side is read once and no
+    job runs while the plan is built.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    text = F.lit(f"repeated key on {list(keys)}")
+    return df.withColumn("__n", n).where(F.when(F.col("__n") > 1, F.raise_error(text).cast("boolean")).otherwise(True)).drop("__n")
+
+
 def indicator_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join with ``match`` in both / left_only / right_only."""
     joined = left.withColumn("__l", F.lit(True)).join(right.withColumn("__r", F.lit(True)), list(on), how)

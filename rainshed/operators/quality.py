@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainshed.operators.distributed import exact_quantiles, histogram, running_totals, value_splits
+from rainshed.sources.integrity import written
 
 PROFILE_PROBS = (0.001, 0.005, 0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99, 0.995, 0.999)
 TAIL, EXTREME_TAIL = 0.01, 0.005
@@ -70,7 +71,7 @@ def sensitivity(results: DataFrame, group: Sequence[str], ident: Sequence[str],
 
 
 # ---- distribution profile and drift ------------------------------------------------------------------------------
-def profile(df: DataFrame, keys: Sequence[str], value: str, bounded: bool = False) -> DataFrame:
+def profile(df: DataFrame, keys: Sequence[str], value: str, bounded: bool = False, splits: Sequence[float] | None = None) -> DataFrame:
     """Eleven exact quantiles, range, mean, population std, IQR and robust scale per key.
 
     ``bounded`` states that a key has few rows (a panel: at most the days of the record) and takes the quantiles in
@@ -86,13 +87,13 @@ def profile(df: DataFrame, keys: Sequence[str], value: str, bounded: bool = Fals
         base = df.groupBy(*keys).agg(*stats, q)
         out = base.select(*base.columns[:-1], *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
     else:
-        out = df.groupBy(*keys).agg(*stats).join(exact_quantiles(df, keys, value, PROFILE_PROBS, names=names), list(keys), "left")
+        out = df.groupBy(*keys).agg(*stats).join(exact_quantiles(df, keys, value, PROFILE_PROBS, names=names, splits=splits), list(keys), "left")
     iqr = F.col("q75") - F.col("q25")
     return out.select("*", iqr.alias("iqr"), F.when(iqr > 0, iqr / ROBUST_FACTOR).alias("robust_scale"))
 
 
 def midrank_cdf(
-    reference: DataFrame, current: DataFrame, keys: Sequence[str], value: str, ident: Sequence[str], bounded: bool = False
+    reference: DataFrame, current: DataFrame, keys: Sequence[str], value: str, ident: Sequence[str], bounded: bool = False, splits: Sequence[float] | None = None
 ) -> DataFrame:
     """Mid-rank position of each current value in the reference sample of its key.
 
@@ -107,7 +108,7 @@ def midrank_cdf(
         by_key = Window.partitionBy(*keys)
         cum = merged.select("*", F.sum("nref").over(by_key.orderBy(value)).alias("cum_nref"), F.sum("nref").over(by_key).alias("tot_nref"))
     else:
-        cum = running_totals(merged, keys, value, ["nref"], splits=value_splits(reference, value))
+        cum = running_totals(merged, keys, value, ["nref"], splits=value_splits(reference, value) if splits is None else splits)
     below = F.col("cum_nref") - F.col("nref")
     cdf = cum.select(
         *keys, value, F.when(F.col("tot_nref") > 0, (below + F.col("cum_nref")) / (2.0 * F.col("tot_nref"))).alias("percentile")
@@ -139,8 +140,12 @@ def compatibility(
 
     ``bounded`` as in ``profile``: only for histories with few rows a key.
     """
-    prof = profile(history, keys, value, bounded).select(*keys, "n", "min", "max", F.col("q5").alias("median"), "robust_scale")
-    pos = midrank_cdf(history, current, keys, value, ident, bounded)
+    if not bounded:  # read by the profile, the ranks and their cut points
+        history = written(history.select(*keys, value), "history")
+        current = written(current.select(*dict.fromkeys([*keys, *ident, value])), "current")
+    splits = None if bounded else value_splits(history, value)
+    prof = profile(history, keys, value, bounded, splits).select(*keys, "n", "min", "max", F.col("q5").alias("median"), "robust_scale")
+    pos = midrank_cdf(history, current, keys, value, ident, bounded, splits)
     x = F.col(value)
     return pos.join(prof, list(keys), "left").select(
         *dict.fromkeys([*keys, *ident]),

@@ -228,17 +228,35 @@ def modal_category(df: DataFrame, key: Sequence[str], category: str) -> DataFram
 
 
 # ---- terrain -----------------------------------------------------------------------------------------------------
-def slope_degrees(dem: DataFrame, tile: Sequence[str], row: str, col: str, z: str, spacing: float) -> DataFrame:
-    """Slope by central differences, one-sided at the raster border; a window spans one raster row or column."""
+def slope_degrees(dem: DataFrame, tile: Sequence[str], row: str, col: str, z: str, spacing: float, block: int = 256) -> DataFrame:
+    """Slope by central differences, one-sided at the raster border and beside absent cells.
 
-    def gradient(along: str, across: str) -> Column:
-        w = Window.partitionBy(*tile, across).orderBy(along)
-        before, after = F.lag(z).over(w), F.lead(z).over(w)
-        steps = F.lag(F.lit(1), 1, 0).over(w) + F.lead(F.lit(1), 1, 0).over(w)
-        return (F.coalesce(after, F.col(z)) - F.coalesce(before, F.col(z))) / (steps * spacing)
+    A raster (``tile``) is cut into blocks of ``block`` x ``block`` cells; a cell on a block's edge is also given to the
+    block beyond it.  So both gradients come from windows inside a block, after one exchange, and a raster of any size
+    is spread over tasks.
+    """
+    r, c = F.col(row), F.col(col)
+
+    def copies(at: Column) -> Column:
+        own = F.floor(at / block)
+        return F.array_distinct(F.array(F.floor((at - 1) / block), own, F.floor((at + 1) / block)))
 
-    g = dem.withColumn("__gx", gradient(col, row)).withColumn("__gy", gradient(row, col))
-    return g.withColumn("slope_deg", F.degrees(F.atan(F.hypot("__gx", "__gy")))).drop("__gx", "__gy")
+    # The own block, and those to which the cell is a halo above, below, left or right.
+    rows = F.transform(copies(r), lambda b: F.struct(b.alias("__br"), F.floor(c / block).alias("__bc")))
+    cols = F.transform(copies(c), lambda b: F.struct(F.floor(r / block).alias("__br"), b.alias("__bc")))
+    spread = dem.withColumn("__b", F.explode(F.array_distinct(F.concat(rows, cols)))).select("*", "__b.*").drop("__b")
+    spread = spread.repartition(*tile, "__br", "__bc")
+
+    def gradient(along: str, across: str) -> Column:
+        w = Window.partitionBy(*tile, "__br", "__bc", across).orderBy(along)
+        there = [F.coalesce(F.lag(along).over(w) == F.col(along) - 1, F.lit(False)), F.coalesce(F.lead(along).over(w) == F.col(along) + 1, F.lit(False))]
+        before, after = F.when(there[0], F.lag(z).over(w)), F.when(there[1], F.lead(z).over(w))
+        steps = there[0].cast("int") + there[1].cast("int")
+        return F.when(steps > 0, (F.coalesce(after, F.col(z)) - F.coalesce(before, F.col(z))) / (steps * spacing))
+
+    g = spread.withColumn("__gx", gradient(col, row)).withColumn("__gy", gradient(row, col))
+    own = (F.floor(r / block) == F.col("__br")) & (F.floor(c / block) == F.col("__bc"))
+    return g.where(own).withColumn("slope_deg", F.degrees(F.atan(F.hypot("__gx", "__gy")))).drop("__gx", "__gy", "__br", "__bc")
 
 
 def terrain_stats(cells: DataFrame, receptor: str, z: str, slope: str, bounds: Sequence[float] = (500.0, 1000.0, 1500.0)) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rainshed import policy
 from rainshed.functions.clock import wall_micros
 from rainshed.operators.distributed import exact_quantiles, previous_in_order
+from rainshed.sources.integrity import written
 
 
 def policy_of(code: Column, policies: dict[str, str] = policy.STATION_POLICY) -> Column:
@@ -119,8 +120,8 @@ def infer_cadence(obs: DataFrame, series: Sequence[str], ts: str, interval: str
     timed = obs.where(F.col(ts).isNotNull()).select(*keys, seconds.alias("__s"))
     prev = previous_in_order(timed, keys, "__s", policy.DAY_SECONDS, ["__s"])
     gap = F.col("__s") - F.col("prev___s")
-    # Read twice (cut points, then value counts); kept so that the ordering work is done once.
-    gaps = prev.select(*keys, gap.alias("gap")).where((gap > 0) & (gap <= policy.MAX_CADENCE_GAP_SECONDS)).persist()
+    # Read twice (cut points, then value counts); written so that the ordering work is done once.
+    gaps = written(prev.select(*keys, gap.alias("gap")).where((gap > 0) & (gap <= policy.MAX_CADENCE_GAP_SECONDS)), "gaps")
     base = obs.groupBy(*keys).agg((F.bool_or(daily) if daily is not None else F.lit(False)).alias("__daily"))
     base = base.join(exact_quantiles(gaps, keys, "gap", [0.5], names=["__gap"]), keys, "left")
     if interval is not None:
@@ -152,9 +153,12 @@ def infer_cadence(obs: DataFrame, series: Sequence[str], ts: str, interval: str
     )
 
 
-def year_coverage(obs: DataFrame, station: Sequence[str], date: str, first_year: int, last_year: int, days: int = policy.SEASON_DAYS) -> DataFrame:
-    """Rows, distinct days and coverage of every station and year; years without rows are explicit zeros."""
-    per_day = obs.groupBy(*station, F.year(date).alias("year"), date).agg(F.count(F.lit(1)).alias("__n"))
+def year_coverage(obs: DataFrame, station: Sequence[str], date: str, first_year: int, last_year: int, days: int = policy.SEASON_DAYS, rows: Column | None = None) -> DataFrame:
+    """Rows, distinct days and coverage of every station and year; years without rows are explicit zeros.
+
+    ``rows``: how many rows a group of ``obs`` stands for, where it is counted already.
+    """
+    per_day = obs.groupBy(*station, F.year(date).alias("year"), date).agg((F.count(F.lit(1)) if rows is None else rows).alias("__n"))
     per_year = per_day.groupBy(*station, "year").agg(F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("unique_dates"))
     years = F.explode(F.sequence(F.lit(first_year), F.lit(last_year)))
     zero = F.lit(0).cast("bigint")

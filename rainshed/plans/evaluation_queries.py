@@ -93,10 +93,8 @@ def macro_average_precision(spark, sf):
 )
 def brier_skill(spark, sf):
     pred = predictions(spark, sf)
-    clim = E.fit_climatology(pred, [], "y").select("fit_climatology").scalar()
     model = E.probability_metrics(pred, ["receptor_id"], "y", "p")
-    ref = E.probability_metrics(pred.withColumn("c", clim), ["receptor_id"], "y", "c")
-    return E.brier_skill(model, ref, ["receptor_id"])
+    return E.brier_skill(model, E.climatology_reference(pred, ["receptor_id"], "y"), ["receptor_id"])
 
 
 @query(

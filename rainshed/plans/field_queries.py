@@ -374,13 +374,17 @@ def shape_descriptors(spark, sf):
 
 @query(
     "A-44",
-    "vec_id:i monotone:b",
-    """WITH l AS (SELECT vec_id, list_filter([CAST(embedding[i] AS DOUBLE) FOR i IN [1, 2, 3]], lambda x: x >= -0.1) AS v FROM embeddings)
-       SELECT vec_id, v = list_sort(v) AS monotone FROM l""",
+    "vec_id:i block:i monotone:b",
+    """WITH e AS (SELECT vec_id, embedding, unnest(range(0, (len(embedding) + 3) // 4)) AS block FROM embeddings),
+       l AS (SELECT vec_id, block, list_filter(list_transform(embedding[4 * block + 1:4 * block + 4], lambda x: CAST(x AS DOUBLE)), lambda x: x >= -0.1) AS v FROM e)
+       SELECT vec_id, block, v = list_sort(v) AS monotone FROM l""",
 )
 def threshold_monotonicity(spark, sf):
-    lv = [F.when(F.col("embedding")[i] >= -0.1, F.col("embedding")[i].cast("double")) for i in range(3)]
-    return B.table(spark, sf, "embeddings").select("vec_id", R.is_monotone(lv).alias("monotone"))
+    """Levels are the elements of a vector, four at a time; low ones count as missing."""
+    blocks = F.sequence(F.lit(0), F.floor((F.size("embedding") - 1) / 4).cast("int"))
+    e = B.table(spark, sf, "embeddings").select("vec_id", "embedding", F.explode(blocks).alias("block"))
+    level = [F.get("embedding", F.col("block") * 4 + i).cast("double") for i in range(4)]
+    return e.select("vec_id", "block", R.is_monotone([F.when(x >= -0.1, x) for x in level]).alias("monotone"))
 
 
 # ---- distances ---------------------------------------------------------------------------------------------------
@@ -458,15 +462,18 @@ def tile_overlap(spark, sf):
 
 # ---- corridor ----------------------------------------------------------------------------------------------------
 def bearing_panel(spark, sf):
-    """Source bearing per (receptor, time) from the first two elements, turned by receptor."""
-    e = B.table(spark, sf, "embeddings").select(
-        "vec_id", geo.bearing_toward(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")).alias("b")
-    )
+    """Source bearing per (receptor, time) from the sums of the vector's even and odd elements, turned by receptor."""
+
+    def total(odd: int):
+        return F.aggregate(F.filter("embedding", lambda x, i: i % 2 == odd), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+
+    e = B.table(spark, sf, "embeddings").select("vec_id", geo.bearing_toward(total(0), total(1)).alias("b"))
     turned = e.withColumn("receptor_id", F.explode(F.sequence(F.lit(0), F.lit(4))))
     return turned.select("receptor_id", "vec_id", F.pmod(F.col("b") + 72.0 * F.col("receptor_id"), F.lit(360.0)).alias("source_bearing"))
 
 
-SQL_BP = """bp AS (SELECT r AS receptor_id, vec_id, ((degrees(atan2(CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE))) + 360) % 360 + 72.0 * r) % 360 AS source_bearing FROM embeddings CROSS JOIN range(5) t(r))"""
+SQL_SIDE = "list_sum(list_transform(range({0}, len(embedding) + 1, 2), lambda i: CAST(embedding[i] AS DOUBLE)))"
+SQL_BP = f"""bp AS (SELECT r AS receptor_id, vec_id, ((degrees(atan2({SQL_SIDE.format(1)}, {SQL_SIDE.format(2)})) + 360) % 360 + 72.0 * r) % 360 AS source_bearing FROM embeddings CROSS JOIN range(5) t(r))"""
 
 
 def sql_kernel(scenarios) -> str:

@@ -385,18 +385,22 @@ _BEAR = sql_mod("degrees(atan2(e, n)) + 360", "360")
 
 @query(
     "M-01 M-02 M-03 M-04 M-05 M-06 M-07",
-    "vec_id:i bearing:f from_dir:f turn:f sector:s dir_sin:f dir_cos:f low:i high:i frac:f nearest:f",
-    f"""WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e, CAST(embedding[2] AS DOUBLE) AS n FROM embeddings),
+    "vec_id:i pair:i bearing:f from_dir:f turn:f sector:s dir_sin:f dir_cos:f low:i high:i frac:f nearest:f",
+    f"""WITH p AS (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 2)) AS pair FROM embeddings),
+        v AS (SELECT vec_id, pair, CAST(embedding[2 * pair + 1] AS DOUBLE) AS e, CAST(embedding[2 * pair + 2] AS DOUBLE) AS n FROM p),
         b AS (SELECT *, {_BEAR} AS bearing, {sql_mod('degrees(atan2(-e, -n)) + 360', '360')} AS from_dir FROM v)
-        SELECT vec_id, bearing, from_dir, abs({sql_mod('bearing - 90 + 180', '360')} - 180) AS turn,
+        SELECT vec_id, pair, bearing, from_dir, abs({sql_mod('bearing - 90 + 180', '360')} - 180) AS turn,
           ['N-Tramontana','NE-Grecale','E-Levante','SE-Scirocco','S-Ostro','SW-Libeccio','W-Ponente','NW-Maestrale'][1 + CAST(floor({sql_mod('bearing + 22.5', '360')} / 45) AS INT)] AS sector,
           sin(radians(bearing)) AS dir_sin, cos(radians(bearing)) AS dir_cos, CAST(floor(bearing / 22.5) AS INT) % 16 AS low,
           (CAST(floor(bearing / 22.5) AS INT) + 1) % 16 AS high, bearing / 22.5 - floor(bearing / 22.5) AS frac,
           (round_even(bearing / 22.5, 0) * 22.5) % 360 AS nearest FROM b""",
 )
 def vector_directions(spark, sf):
-    e, n = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
-    b = B.table(spark, sf, "embeddings").select("vec_id", geo.bearing_toward(e, n).alias("bearing"), geo.wind_from(e, n).alias("from_dir"))
+    """Every two elements of a vector are the components of a direction."""
+    pairs = F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1)
+    p = B.table(spark, sf, "embeddings").where(F.size("embedding") > 1).select("vec_id", "embedding", F.explode(pairs).alias("pair"))
+    e, n = (F.get("embedding", F.col("pair") * 2 + i).cast("double") for i in (0, 1))
+    b = p.select("vec_id", "pair", geo.bearing_toward(e, n).alias("bearing"), geo.wind_from(e, n).alias("from_dir"))
     d = F.col("bearing")
     return b.select(
         "*",

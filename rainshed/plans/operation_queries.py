@@ -14,6 +14,7 @@ from rainshed.plans import bindings as B
 from rainshed.plans.function_queries import sql_slug
 from rainshed.plans.panel_queries import _day, _frame, _full, _sql_runs, labels
 from rainshed.plans.registry import query
+from rainshed.sources.integrity import written
 
 KEY = ["receptor_id"]
 
@@ -213,8 +214,7 @@ STATIC = ("customers", "mean_balance")
 
 def master(spark, sf):
     w = W.SeasonWindow(KEY)
-    # The panel (receptors x days) stands for a stored table here: labels, features and the key check read it.
-    panel = B.sparse_panel(spark, sf).persist()
+    panel = written(B.sparse_panel(spark, sf), "panel")  # receptors x days: labels, thresholds and features read it
     dyn = panel.select(
         "receptor_id", "date", "value", w.lag("value").alias("prev1d"), w.previous("value", 3).alias("prev3d_sum"), "season_day"
     )

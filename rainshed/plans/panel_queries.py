@@ -11,6 +11,7 @@ from rainshed.operators.distributed import percent_rank_average
 from rainshed.plans import bindings as B
 from rainshed.plans.bindings import SQL_CAL, SQL_DENSE, SQL_FOLDS, SQL_LABELS, SQL_ORDERS_DAILY, SQL_SPARSE, sql_expand
 from rainshed.plans.registry import query
+from rainshed.sources.integrity import written
 
 KEY = ["receptor_id"]
 
@@ -186,7 +187,7 @@ def antecedent_completeness(spark, sf):
         FROM sparse""",
 )
 def percentile_rank(spark, sf):
-    p = B.sparse_panel(spark, sf).persist()
+    p = written(B.sparse_panel(spark, sf), "panel")
     return percent_rank_average(p, [], "value", "value_pct_rank")
 
 

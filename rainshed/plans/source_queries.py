@@ -57,7 +57,7 @@ def interval_file_scan(spark, sf):
         F.concat_ws(",", stamp, value)
     )
     line = F.when(F.col("event_type") == "view", bad).otherwise(good)
-    e.select(line.alias("line"), F.col("user_id").alias("u")).write.partitionBy("u").option("quote", "").option("sep", "\u0001").option(
+    e.select(line.alias("line"), F.col("user_id").alias("u")).repartition("u").write.partitionBy("u").option("quote", "").option("sep", "\u0001").option(
         "encoding", "ISO-8859-1"
     ).csv(path)
     rows = X.parse_interval_lines(X.scan_lines(spark, path))
@@ -202,6 +202,24 @@ def integrity_check(spark, sf):
     return I.verify(registry.unionByName(gone), files)
 
 
+@query(
+    "S-13 S-14",
+    "file:s bytes:i status:s",
+    """SELECT 's=' || s_suppkey AS file, CASE WHEN s_suppkey % 11 <> 0 THEN strlen(s_name || '|' || s_nationkey || CASE WHEN s_suppkey % 7 = 0 THEN '!' ELSE '' END) + 1 END AS bytes,
+       CASE WHEN s_suppkey % 11 = 0 THEN 'MISSING' WHEN s_suppkey % 7 = 0 THEN 'HASH_MISMATCH' ELSE 'OK' END AS status FROM supplier""",
+)
+def file_integrity(spark, sf):
+    """Files of suppliers, some altered and some never written, against a registry of what they should hold."""
+    path = I.scratch_dir(spark, "files")
+    k = F.col("s_suppkey")
+    s = B.table(spark, sf, "supplier").select(k, F.concat_ws("|", "s_name", F.col("s_nationkey").cast("string")).alias("line"))
+    registry = s.select(F.concat(F.lit("s="), k).alias("file"), F.sha2(F.concat("line", F.lit("\n")).cast("binary"), 256).alias("sha256"))
+    held = s.where(k % 11 != 0).select(F.when(k % 7 == 0, F.concat("line", F.lit("!"))).otherwise(F.col("line")).alias("line"), k.alias("s"))
+    held.repartition("s").write.partitionBy("s").text(path)
+    files = I.checksums(spark, path, "part-*", level=-2)
+    return I.verify(registry, files).join(files.select("file", "bytes"), "file", "left")
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------
 STREAM_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from rainshed.functions import text
@@ -170,13 +172,16 @@ def wide_observation_panel(spark, sf):
        SELECT g.s_nationkey, g.year, coalesce(rows, 0) AS rows, coalesce(u, 0) AS unique_dates, 100.0 * coalesce(u, 0) / 122 AS coverage_pct FROM g LEFT JOIN c ON c.s_nationkey = g.s_nationkey AND c.year = g.year""",
 )
 def station_year_coverage(spark, sf):
-    return S.year_coverage(_ship_obs(spark, sf), ["s_nationkey"], "day", 1994, 2002)
+    s = B.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    inside = [F.col("l_shipdate").between(f"{y}-09-01", f"{y}-12-31 23:59:59.999999") for y in range(1994, 2003)]  # reaches the scan
+    days = _ship_days(B.table(spark, sf, "lineitem").where(reduce(lambda a, b: a | b, inside)))
+    return S.year_coverage(days.join(s, F.col("l_suppkey") == F.col("s_suppkey")), ["s_nationkey"], "day", 1994, 2002, rows=F.sum("n"))
 
 
-def _ship_obs(spark, sf):
-    li = B.table(spark, sf, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("day")).where(F.month("day").between(9, 12))
-    s = B.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    return li.join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+def _ship_days(lineitem):
+    """(l_suppkey, day, n) of the season's rows, counted before anything is joined."""
+    li = lineitem.select("l_suppkey", F.to_date("l_shipdate").alias("day")).where(F.month("day").between(9, 12))
+    return li.groupBy("l_suppkey", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
 SQL_BY = """cov AS (SELECT l_suppkey, year(l_shipdate) AS year, count(DISTINCT CAST(l_shipdate AS DATE)) AS days FROM lineitem WHERE month(l_shipdate) BETWEEN 9 AND 12 GROUP BY 1, 2),
@@ -187,10 +192,8 @@ SQL_BY = """cov AS (SELECT l_suppkey, year(l_shipdate) AS year, count(DISTINCT C
 def _basin_year(spark, sf):
     k = F.col("l_suppkey")
     cov = (
-        _ship_obs(spark, sf)
-        .groupBy("l_suppkey", F.year("day").alias("year"), "day")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("l_suppkey", "year")
+        _ship_days(B.table(spark, sf, "lineitem"))
+        .groupBy("l_suppkey", F.year("day").alias("year"))
         .agg(F.count(F.lit(1)).alias("days"))
         .withColumn("receptors", F.array(k % 5, 5 + k % 3))
     )

@@ -52,13 +52,16 @@ def prepare_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoints"))
 
 
-def checksums(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """(file, bytes, sha256) of every file.  Files over 2 GiB make the binary source fail loudly."""
+def checksums(spark: SparkSession, path: str | Sequence[str], glob: str | None = None, level: int = -1) -> DataFrame:
+    """(file, bytes, sha256) of every file, named by the path's element ``level`` (-1: the file itself, -2: its folder).
+
+    Files over 2 GiB make the binary source fail loudly.
+    """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
     return r.load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+        F.element_at(F.split("path", "/"), level).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
     )
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rainshed.operators import distributed as D
 
@@ -66,3 +67,28 @@ def test_previous_in_order(skewed):
     got = D.previous_in_order(df, ["k"], "id", 64.0, ["v"]).toPandas().set_index("id").prev_v.sort_index()
     want = pdf.sort_values("id").groupby("k").v.shift(1)
     assert np.array_equal(got.to_numpy(), want.to_numpy(), equal_nan=True)
+
+
+@pytest.mark.parametrize("levels", [1, 2, 4])
+def test_previous_in_order_over_levels_of_buckets(spark, monkeypatch, levels):
+    """One unit with all rows, gaps wider than buckets, and equal orders that are told apart by nothing."""
+    monkeypatch.setattr(D, "FAN", 3)
+    rng = np.random.default_rng(3)
+    at = np.sort(rng.choice(5000, 300, replace=False))
+    pdf = pd.DataFrame({"k": "only", "t": at.astype(float), "v": rng.normal(size=300)})
+    got = D.previous_in_order(spark.createDataFrame(pdf), ["k"], "t", 10.0, ["v", "t"], levels).toPandas().sort_values("t")
+    assert np.array_equal(got.prev_v.to_numpy(), pdf.v.shift(1).to_numpy(), equal_nan=True)
+    assert np.array_equal(got.prev_t.to_numpy(), pdf.t.shift(1).to_numpy(), equal_nan=True)
+    assert list(got.columns) == ["k", "t", "v", "prev_v", "prev_t"]
+
+
+def test_weighted_quantile_grid_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 500)) for v in np.round(rng.normal(size=n), 1)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    counts = df.groupBy("k", "v").agg(F.count("*").alias("n"))
+    for parts in (4, 100):
+        got = D.weighted_quantile_grid(counts, ["k"], "v", "n", parts, splits=[-0.5, 0.0, 0.6]).collect()
+        assert len(got) == 3 * (parts - 1)
+        for r in got:
+            assert r.quantile == pytest.approx(np.quantile([v for k, v in rows if k == r.k], r.i / parts))

@@ -119,6 +119,49 @@ def test_slope_matches_numpy_gradient(spark):
     assert np.allclose(got, np.degrees(np.arctan(np.hypot(gx, gy))))
 
 
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_slopes_are_equal_at_block_borders(spark, block):
+    z = np.random.default_rng(1).normal(size=(7, 6)) * 100
+    rows = [(t, i, j, float(z[i, j] * (t + 1))) for t in range(2) for i in range(7) for j in range(6)]
+    df = spark.createDataFrame(rows, "tile int, r int, c int, z double")
+    out = R.slope_degrees(df, ["tile"], "r", "c", "z", 30.0, block)
+    assert out.count() == len(rows)
+    whole = {(x.tile, x.r, x.c): x.slope_deg for x in R.slope_degrees(df, ["tile"], "r", "c", "z", 30.0).collect()}
+    assert {(x.tile, x.r, x.c): x.slope_deg for x in out.collect()} == whole
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
+def test_a_missing_cell_is_no_neighbour(spark):
+    df = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 1, 2.0), (0, 0, 3, 9.0)], "tile int, r int, c int, z double")
+    got = {x.c: x.slope_deg for x in R.slope_degrees(df, ["tile"], "r", "c", "z", 1.0).collect()}
+    assert got[3] is None  # alone in its row and column
+    assert R.slope_degrees(df.limit(0), ["tile"], "r", "c", "z", 1.0).count() == 0
+
+
+def test_align_nearest_when_all_values_lie_within_the_tolerance(spark):
+    n = 4000
+    a = spark.createDataFrame([(i, (i % 997) / 1e4) for i in range(n)] + [(n, None)], "i int, x double")
+    b = spark.createDataFrame([((i * 7 % 2003) / 2e4, i) for i in range(2003)] + [(0.01, 9999), (None, 1)], "y double, k int")
+    out = J.align_nearest(a, b, "x", "y", 1.0, ["i"], [F.col("k")]).collect()
+    ys = sorted({(i * 7 % 2003) / 2e4 for i in range(2003)})
+    assert len(out) == n
+    for r in out:
+        at = int(np.searchsorted(ys, r.x))
+        near = min((abs(r.x - y), y) for y in ys[max(at - 1, 0) : at + 2])
+        assert r.y == near[1]
+    assert all(r.k != 9999 for r in out if r.y == 0.01)  # of equal values the first by the extra order
+    none = J.align_nearest(a, b.limit(0), "x", "y", 1.0, ["i"])
+    assert none.count() == 0 and J.align_nearest(a.limit(0), b, "x", "y", 1.0, ["i"]).count() == 0
+
+
+def test_align_nearest_hands_values_over_empty_ranges(spark):
+    left = [(i, float(i)) for i in range(0, 3000, 3)]
+    right = [(1.0,), (1500.2,), (2998.5,)]
+    got = {r.i: r.y for r in J.align_nearest(spark.createDataFrame(left, "i int, x double"), spark.createDataFrame(right, "y double"), "x", "y", 5000.0, ["i"]).collect()}
+    assert got == {i: min((abs(x - y), y) for (y,) in right)[1] for i, x in left}
+
+
 def test_align_nearest_brute_force(spark):
     rng = np.random.default_rng(5)
     left, right = np.round(rng.uniform(-5, 5, 200), 2), np.round(rng.uniform(-5, 5, 80), 2)
@@ -141,6 +184,8 @@ def test_overlapping_boxes_brute_force(spark):
         return [(i, float(w[i]), float(s[i]), float(w[i] + rng.uniform(0.01, 3)), float(s[i] + rng.uniform(0.01, 3))) for i in range(n)]
 
     a, b = boxes(60), boxes(70)
+    a += [(100, -50.0, -50.0, 50.0, 50.0), (101, 0.0, 0.0, 0.001, 0.002), (102, 0.0005, 0.0, 0.0006, 0.0001), (103, 1.0, 1.0, 1.0, 1.0)]
+    b += [(200, 0.0, 0.0, 0.0008, 0.5), (201, -3.0, -4.0, 4.0, 4.0), (202, 2.0, 2.0, 4.0, 4.0)]
     schema = "{} int, west double, south double, east double, north double"
     out = J.overlapping_boxes(spark.createDataFrame(a, schema.format("a_id")), spark.createDataFrame(b, schema.format("b_id")), "a_id", "b_id")
     got = sorted((r.a_id, r.b_id) for r in out.collect())
