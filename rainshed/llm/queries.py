@@ -137,10 +137,11 @@ WITH dw AS (
 iw AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM (SELECT DISTINCT item_id, text FROM benchmark)),
-d AS (SELECT DISTINCT row, doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM dw),
-i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM iw),
+m AS (SELECT DISTINCT least(5, len(w)) AS m FROM iw WHERE len(w) > 0),
+d AS (SELECT DISTINCT row, doc_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS s FROM dw CROSS JOIN m WHERE len(w) >= m),
+i AS (SELECT DISTINCT item_id, least(5, len(w)) AS m, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS s FROM iw WHERE len(w) > 0),
 n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
-p AS (SELECT row, any_value(doc_id) AS doc_id, item_id, count(*) AS shared FROM d JOIN i USING (s) GROUP BY row, item_id)
+p AS (SELECT row, any_value(doc_id) AS doc_id, item_id, count(*) AS shared FROM d JOIN i USING (m, s) GROUP BY row, item_id)
 SELECT doc_id, item_id, CAST(shared AS INTEGER) AS shared, CAST(n AS INTEGER) AS shingles, shared / n AS containment
 FROM p JOIN n USING (item_id) WHERE shared >= 0.8 * n - 1e-9
 """

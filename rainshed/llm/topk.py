@@ -176,11 +176,15 @@ def top_k(vectors: DataFrame, is_query: Column, params: Params = Params()) -> Da
 
     Ties go to the smaller vec_id; rows with the query's own vec_id are no candidates; fewer than k others give fewer
     rows.  Null vectors, vectors with a null or non-finite component and rows with a null vec_id take no part.  Shorter
-    vectors count as padded with zeros.  A repeated row is a candidate each time; a repeated query is answered once.
+    vectors count as padded with zeros.  A repeated row is a candidate each time; a repeated query is answered once.  Vectors so long that scores could
+    pass 64 bits end the job with an error.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     known = vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v"), is_query.alias("asks"))
+    beyond = F.raise_error(F.lit("a vector's length is beyond 2^31: scores would pass 64 bits")).cast("boolean")
+    known = known.where(F.when(length < 2.0**31, True).otherwise(beyond))
     n, asked = known.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
     groups, blocks = -(-max(n, 1) // params.rows), -(-max(asked, 1) // params.queries)
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))

@@ -48,3 +48,9 @@ def test_few_and_no_rows(spark):
     one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
     assert T.top_k(one, F.col("vec_id") % 50 == 0).count() == 0
     assert T.top_k(one.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_too_long_vectors_end_the_job(spark):
+    rows = spark.createDataFrame([(0, [4e7, 1e15]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        T.top_k(rows, F.col("vec_id") % 50 == 0).count()
