@@ -6,8 +6,8 @@ of the pairs of similarity 0.9 only.  A candidate counts if the two texts' sets
 of ``Params.least`` or more.  Equal texts are one node from the start.
 
 A band that many texts share is never paired out: its texts meet the smallest of them; those that are not similar to it
-meet the smallest of the rest, and so on, until each has met one it is similar to or was the smallest itself.  As the
-bands have other smallest texts each, a text meets many of its group.
+meet the four smallest of the rest, then sixteen, and so on, until each has met one it is similar to, or all others.  As
+the bands have other smallest texts each, a text meets many of its group.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -115,19 +115,23 @@ def linked(nodes: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
     near = near.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     found = [verified(same.unionAll(near).distinct(), texts, params).where("similar").select("a", "b")]
     left = written(nodes.select("node", F.explode("bands").alias("band")), "bands")
-    known = None
+    known, many = None, 1
     while True:
-        first = left.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-        met = written(left.join(first, "band").where("node <> a").select("band", "a", F.col("node").alias("b")), "met")
+        rank = F.row_number().over(Window.partitionBy("band").orderBy("node"))
+        first = left.withColumn("rank", rank).where(F.col("rank") <= many).select("band", F.col("node").alias("a"))
+        met = written(left.join(first, "band").where("node > a").select("band", "a", F.col("node").alias("b")), "met")
         pairs = met.select("a", "b").distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         new = written(verified(pairs, texts, params), "verified")
         known = new if known is None else written(known.unionAll(new), "verified")
         found.append(new.where("similar").select("a", "b"))
-        left = written(met.join(known.where("NOT similar"), ["a", "b"], "left_semi").select(F.col("b").alias("node"), "band"), "bands")
-        if not left.limit(1).count():
+        settled = met.join(known.where("similar"), ["a", "b"], "left_semi").select("band", F.col("b").alias("node"))
+        settled = settled.unionAll(first.select("band", F.col("a").alias("node")))
+        left = written(met.select("band", F.col("b").alias("node")).distinct().join(settled, ["band", "node"], "left_anti"), "bands")
+        if not left.groupBy("band").count().where("count > 1").limit(1).count():
             return reduce(DataFrame.unionAll, found)
+        many *= 4
 
 
 def deduplicated(documents: DataFrame, params: Params = Params()) -> DataFrame:
