@@ -87,6 +87,8 @@ class Encoder(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return self._word(" " + piece)
         m = CORE.fullmatch(piece)
         if not m:
             return self._whole(piece if piece[:1] == "\n" else f" {piece}")
