@@ -69,22 +69,22 @@ SQL_CONFIGS = ", ".join(f"('{name}', {c}, {l1}, {'TRUE' if w == M.WEIGHTINGS[1]
 
 @query(
     "E-03 E-05",
-    "fold_id:s horizon_hours:i config_id:s penalty:f9 optimal:b below_start:b",
+    "fold_id:s horizon_hours:i config_id:s penalty:f9 optimal:b not_above_constant:b",
     f"""WITH {SQL_FIT}, w AS (SELECT fold_id, h, count(*) AS n FROM fit GROUP BY 1, 2)
-        SELECT fold_id, h AS horizon_hours, config_id, 1 / (c * n) AS penalty, TRUE AS optimal, TRUE AS below_start
+        SELECT fold_id, h AS horizon_hours, config_id, 1 / (c * n) AS penalty, TRUE AS optimal, TRUE AS not_above_constant
         FROM w CROSS JOIN (VALUES {SQL_CONFIGS}) AS k(config_id, c, l1, balanced)""",
 )
 def logistic_optimality(spark, sf):
     """Every logistic fit of the benchmark in every fold and horizon: its penalty (both weightings sum to the number of
-    rows), whether it meets the optimality conditions, and whether its objective is below that of the constant model."""
+    rows), whether it meets the optimality conditions, and whether its objective is at most that of the constant model."""
     rows = parts(spark, sf)
     specs = [M.specification(c) for c in M.candidates(M.LOGIT_GRID, ()) if c[1] == "LOGISTIC"]
     fits = fitted(rows, *specs)
     entropy = rows.where("partition = 'FIT'").groupBy("part").agg(F.avg("y").alias("q"), F.count("*").alias("n")).collect()
-    size = {r["part"]: (r["n"], -(r["q"] * math.log(r["q"]) + (1 - r["q"]) * math.log(1 - r["q"]))) for r in entropy}
+    size = {r["part"]: (r["n"], -sum(q * math.log(q) for q in (r["q"], 1 - r["q"]) if q > 0)) for r in entropy}
     by_name = {s.name: s for s in specs}
-    out = [(p, name, 1 / (by_name[name].c * size[p][0]), bool(f.residual <= 1e-9), bool(by_name[name].weight == 0 or f.objective < size[p][1])) for (p, name), f in fits.items()]
-    return named(spark.createDataFrame(out, "part int, config_id string, penalty double, optimal boolean, below_start boolean"))
+    out = [(p, name, 1 / (by_name[name].c * size[p][0]), bool(f.residual <= 1e-9), bool(by_name[name].weight == 0 or f.objective <= size[p][1])) for (p, name), f in fits.items()]
+    return named(spark.createDataFrame(out, "part int, config_id string, penalty double, optimal boolean, not_above_constant boolean"))
 
 
 SQL_ROOT = f"""{SQL_FIT}, u AS (SELECT fold_id, h, y, unnest({PREDICTORS}) AS predictor, unnest([{', '.join(f'CAST({p} AS DOUBLE)' for p in PREDICTORS)}]) AS v FROM fit),

@@ -63,7 +63,7 @@ def test_equals_sql_and_has_a_clean_plan(spark, sf, duck, name):
     spark.catalog.clearCache()
 
 
-SLOW_TO_BUILD = {"boosting_scores", "boosting_rounds", "candidate_benchmark", "permutation_importance", "streamed_daily_layer", "repaired_daily_layer"}
+SLOW_TO_BUILD = {"boosting_scores", "boosting_rounds", "logistic_optimality", "candidate_benchmark", "permutation_importance", "streamed_daily_layer", "repaired_daily_layer"}
 
 
 @pytest.mark.parametrize("name", sorted(set(REGISTRY) - set(SAMPLE) - SLOW_TO_BUILD))
