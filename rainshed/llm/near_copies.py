@@ -150,4 +150,5 @@ def deduplicated(documents: DataFrame, params: Params = Params()) -> DataFrame:
     of = components(linked(nodes.select("node", "fp", "bands"), texts, params))
     named = nodes.join(of, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
     stays = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_llm_row"))
+    stays = written(stays, "stays")  # its size is known then, and texts are not exchanged for a small one
     return rows.join(stays, "_llm_row", "left_semi").select(*[F.col(c) for c in documents.columns])
