@@ -102,7 +102,8 @@ def verified(pairs: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
     named = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
     few = written(texts.join(named, "node", "left_semi"), "texts")  # whole texts are only exchanged if they are in a pair
     x, y = (few.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in ("a", "b"))
-    both = pairs.join(y, "b").join(x, "a")
+    # Merged at every size: copies shrink so much in a file that its size says nothing about the texts in memory.
+    both = pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a")
     return both.select("a", "b", similar("a", "text_a", "text_b").alias("similar"))
 
 
