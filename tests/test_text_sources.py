@@ -138,3 +138,32 @@ def test_restart_skips_finished_units(spark, tmp_path):
     want = spark.createDataFrame([("u1", "f1"), ("u2", "f2"), ("u3", "f3"), ("u4", "f4")], "unit string, fp string")
     left = I.missing_units(want, spark.read.parquet(m), ["unit"], ["fp"])
     assert sorted(r.unit for r in left.collect()) == ["u2", "u3", "u4"]
+
+
+def test_written_lines_are_one_file_a_name(spark, tmp_path):
+    rows = [(f"u-{i % 300}", i, f"{i};à") for i in range(3000)] + [("u-x", 1, None)]
+    X.write_lines(spark.createDataFrame(rows, "file string, n long, line string").repartition(7), str(tmp_path / "w"), "n")
+    files = {p.name: p.read_bytes().decode("latin-1") for p in (tmp_path / "w").rglob("*") if p.is_file()}
+    assert files.pop("u-x") == "\n"
+    assert files == {f"u-{k}": "".join(f"{i};à\n" for i in range(k, 3000, 300)) for k in range(300)}
+    got = X.scan_lines(spark, str(tmp_path / "w")).collect()
+    assert sorted((r.path.rsplit("/")[-1], r.line) for r in got) == sorted((f, x) for f, _, x in rows if x)
+    X.write_lines(spark.createDataFrame([], "file string, n long, line string"), str(tmp_path / "none"), "n")
+    assert X.scan_lines(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_scanned_lines_keep_every_byte(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"\x80uro \xe0\r\n\n  \nlast \xff\xfe\x01end")
+    assert sorted(r.line for r in X.scan_lines(spark, str(tmp_path)).collect()) == ["last ÿþ\x01end", "€uro à"]
+    (tmp_path / "a").write_bytes("perché\n".encode() + b"\xff\n")
+    assert sorted(r.line for r in X.scan_lines(spark, str(tmp_path), cp1252=False).collect()) == ["perché", "�"]
+
+
+@pytest.mark.parametrize("name", ["hourly_file_scan"])
+def test_file_queries_open_no_writer_for_each_key(spark, sf, monkeypatch, name):
+    from pyspark.sql import DataFrameWriter
+
+    from rainshed.plans.catalog import REGISTRY
+
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda *_: pytest.fail("a writer for each key"))
+    assert REGISTRY[name].run(spark, sf).count() > 0
