@@ -159,7 +159,13 @@ def test_scanned_lines_keep_every_byte(spark, tmp_path):
     assert sorted(r.line for r in X.scan_lines(spark, str(tmp_path), cp1252=False).collect()) == ["perché", "�"]
 
 
-@pytest.mark.parametrize("name", ["hourly_file_scan"])
+def test_an_interval_line_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a").write_text("01/09/2001 00:00,01/09/2001 01:00,1,ok,x\n")
+    plan = X.parse_interval_lines(X.scan_lines(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv") == 1
+
+
+@pytest.mark.parametrize("name", ["hourly_file_scan", "interval_file_scan"])
 def test_file_queries_open_no_writer_for_each_key(spark, sf, monkeypatch, name):
     from pyspark.sql import DataFrameWriter
 
