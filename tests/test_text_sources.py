@@ -165,7 +165,7 @@ def test_an_interval_line_is_parsed_once(spark, tmp_path):
     assert plan.count("from_csv") == 1
 
 
-@pytest.mark.parametrize("name", ["hourly_file_scan", "interval_file_scan"])
+@pytest.mark.parametrize("name", ["hourly_file_scan", "interval_file_scan", "file_integrity"])
 def test_file_queries_open_no_writer_for_each_key(spark, sf, monkeypatch, name):
     from pyspark.sql import DataFrameWriter
 
