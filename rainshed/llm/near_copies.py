@@ -5,21 +5,22 @@ that agree on a band of MinHash values, which finds the rest: 64 bits within a r
 of the pairs of similarity 0.9 only.  A candidate counts if the two texts' sets of word shingles have a Jaccard similarity
 of ``Params.least`` or more.  Equal texts are one node from the start.
 
-A band that many texts share is never paired out: its texts meet the smallest of them; those that are not similar to it
-meet the four smallest of the rest, then sixteen, and so on, until each has met one it is similar to, or all others.  As
-the bands have other smallest texts each, a text meets many of its group.
+A band that many texts share is never paired out.  Its texts meet its smallest one.  A band whose texts are all in one
+component then is done.  The texts of the others are joined exactly by a prefix filter (``alike``): texts of similarity
+``Params.least`` have one of their rarest shingles in common, so the many texts that differ from a group each in its own
+way meet nobody.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -36,6 +37,7 @@ class Params:
     bands: int = 20
     rows: int = 7
     grid: simhash.Params = simhash.Params(shingle=5)
+    step: float = 1.05  #: ratio of two size classes of the prefix filter
 
 
 @lru_cache(maxsize=4)
@@ -114,25 +116,62 @@ def linked(nodes: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
     near = simhash.thinned(simhash.links(nodes.select("fp").distinct(), params.grid))
     one, two = (smallest.select(F.col("fp").alias(f), F.col("first").alias(n)) for f, n in (("a", "x"), ("b", "y")))
     near = near.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    found = [verified(same.unionAll(near).distinct(), texts, params).where("similar").select("a", "b")]
-    left = written(nodes.select("node", F.explode("bands").alias("band")), "bands")
-    known, many = None, 1
-    while True:
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-        first = left.withColumn("rank", rank).where(F.col("rank") <= many).select("band", F.col("node").alias("a"))
-        met = written(left.join(first, "band").where("node > a").select("band", "a", F.col("node").alias("b")), "met")
-        pairs = met.select("a", "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        new = written(verified(pairs, texts, params), "verified")
-        known = new if known is None else written(known.unionAll(new), "verified")
-        found.append(new.where("similar").select("a", "b"))
-        settled = met.join(known.where("similar"), ["a", "b"], "left_semi").select("band", F.col("b").alias("node"))
-        settled = settled.unionAll(first.select("band", F.col("a").alias("node")))
-        left = written(met.select("band", F.col("b").alias("node")).distinct().join(settled, ["band", "node"], "left_anti"), "bands")
-        if not left.groupBy("band").count().where("count > 1").limit(1).count():
-            return reduce(DataFrame.unionAll, found)
-        many *= 4
+    bands = written(nodes.select("node", F.explode("bands").alias("band")), "bands")
+    rank = F.row_number().over(Window.partitionBy("band").orderBy("node"))
+    first = bands.withColumn("rank", rank).where("rank = 1").select("band", F.col("node").alias("a"))
+    star = bands.join(first, "band").where("node > a").select("a", F.col("node").alias("b"))
+    met = same.unionAll(near).unionAll(star).distinct()
+    found = written(verified(met, texts, params).where("similar").select("a", "b"), "found")
+    left = written(undecided(bands, found), "undecided")
+    return found.unionAll(verified(alike(left, texts, params), texts, params).where("similar").select("a", "b"))
+
+
+def undecided(bands: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, component) of the texts in bands (band, node) whose texts are in several components of the links found."""
+    of = components(found)
+    named = written(bands.join(of, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "named")
+    several = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return named.join(several.select("band"), "band", "left_semi").select("node", "component").distinct()
+
+
+def alike(nodes: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
+    """(a, b): all pairs of ``nodes`` (node, component) of different components that can be similar, by a prefix filter.
+
+    The shingles of a text are ranked, those of one component only first, then by the number of texts that have them.
+    Sets of n and m shingles are similar if they share t = least / (1 + least) * (n + m); so the first one they share is
+    at a place of n - t and m - t at most.  Texts meet by shingle and by the size class of the smaller one, which bounds
+    the places of both before they are joined.  Texts of the component that a shingle is most frequent in do not meet.
+    """
+    least, step = params.least, params.step
+
+    @pandas_udf("array<bigint>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([np.unique(simhash.shingle_hashes(word_list(t), params.shingle)).view(np.int64) for t in s])
+
+    def need(n: Column, m: Column) -> Column:
+        return least / (1 + least) * (n + m) - 1e-6
+
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(n) / float(np.log(step))).cast("int")
+
+    few = texts.join(nodes.select("node"), "node", "left_semi").select("node", hashes("text").alias("all"))
+    grams = written(few.select("node", F.size("all").alias("n"), F.explode("all").alias("s")).join(nodes, "node"), "grams")
+    each = grams.groupBy("s", "component").count().groupBy("s")
+    kinds = each.agg(F.sum("count").alias("df"), (F.count("*") > 1).alias("shared"), F.max_by("component", F.struct("count", "component")).alias("main"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("shared", "df", "s")) - 1
+    n, at = F.col("n"), F.col("place")
+    ranked = grams.join(kinds, "s").withColumn("place", place).where(F.col("shared") & (at <= n - need(n, least * n)))
+    ranked = written(ranked.select("node", "component", "n", "s", "place", (F.col("main") == F.col("component")).alias("main")), "prefixes")
+    small = ranked.where(at <= n - need(n, n)).withColumn("class", size_class(n))
+    classes = F.sequence(size_class(least * n - 1e-6), size_class(n))
+    large = ranked.withColumn("class", F.explode(classes)).where(at <= n - need(n, F.pow(F.lit(step), F.col("class"))))
+    large = large.select("s", "class", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "place", "main")])
+    t = need(n, F.col("n_b"))
+    fits = (n <= F.col("n_b")) & (F.col("component") != F.col("component_b")) & (at <= n - t) & (F.col("place_b") <= F.col("n_b") - t)
+    sides = [(small.where("NOT main"), large), (small.where("main"), large.where("NOT main_b"))]
+    met = [x.join(y, ["s", "class"]).where(fits).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")) for x, y in sides]
+    return met[0].unionAll(met[1]).distinct()
 
 
 def deduplicated(documents: DataFrame, params: Params = Params()) -> DataFrame:

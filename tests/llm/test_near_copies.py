@@ -64,6 +64,66 @@ def test_a_band_of_unlike_texts_is_taken_apart(spark):
     assert {(r.a, r.b) for r in links} == {(i, i + 6) for i in range(6)}
 
 
+def links_in_one_band(spark, texts):
+    """Links between texts that all share the first band; and the pairs that were verified."""
+    asked = []
+
+    def counted(pairs, of, params, verified=N.verified):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return verified(pairs, of, params)
+
+    nodes = spark.createDataFrame([(i, 1 << 62 | i * 0x123456789ABC, [7]) for i in range(len(texts))], "node long, fp long, bands array<long>")
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(N, "verified", counted)
+        return {(r.a, r.b) for r in N.linked(nodes, rows, N.Params()).collect()}, asked
+
+
+def test_pairs_of_a_large_group_grow_with_its_size(spark):
+    """Every text differs from all others, each in its own words, by more than the least similarity allows."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    base = rng.choices(words, k=200)
+    texts = []
+    for i in range(120):
+        w = list(base)
+        for k in rng.sample(range(200), 6):
+            w[k] = f"own{i}x{k}"
+        texts.append(" ".join(w))
+    texts.append(texts[100] + " tail")
+    pairs, asked = links_in_one_band(spark, texts)
+    assert (100, 120) in pairs
+    assert all(similarity(texts[a], texts[b]) >= 0.8 for a, b in pairs)
+    assert len(asked) < 8 * len(texts)
+
+
+def test_the_links_of_a_band_are_those_of_all_its_pairs(spark):
+    """Chains: a text may be similar to one that has found its own link already, whatever their sizes and order."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(6):
+        w = rng.choices(words, k=rng.randrange(30, 200))
+        for _ in range(10):
+            texts.append(" ".join(w))
+            w = list(w)
+            for k in rng.sample(range(len(w)), rng.randrange(0, 1 + len(w) // 25)):
+                w[k] = rng.choice(words)
+            w = w[rng.randrange(0, 3) :] + rng.choices(words, k=rng.randrange(0, 3))
+    rng.shuffle(texts)
+    pairs, _ = links_in_one_band(spark, texts)
+    truth = {(a, b) for b in range(len(texts)) for a in range(b) if similarity(texts[a], texts[b]) >= 0.8}
+
+    def groups(links):
+        of = list(range(len(texts)))
+        for a, b in list(links) * len(texts):
+            of[a] = of[b] = min(of[a], of[b])
+        return of
+
+    assert pairs <= truth and groups(pairs) == groups(truth)
+    assert len(set(groups(truth))) > 6  # and some of them are not linked
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 5000])
 def test_band_keys_are_those_of_plain_minima(n):
     hashes = np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64)
