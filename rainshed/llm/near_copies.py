@@ -5,10 +5,10 @@ that agree on a band of MinHash values, which finds the rest: 64 bits within a r
 of the pairs of similarity 0.9 only.  A candidate counts if the two texts' sets of word shingles have a Jaccard similarity
 of ``Params.least`` or more.  Equal texts are one node from the start.
 
-A band that many texts share is never paired out.  Its texts meet its smallest one.  A band whose texts are all in one
-component then is done.  The texts of the others are joined exactly by a prefix filter (``alike``): texts of similarity
-``Params.least`` have one of their rarest shingles in common, so the many texts that differ from a group each in its own
-way meet nobody.
+A band that many texts share is never paired out.  Its texts meet its centre, the one that shares most bands with most
+texts.  A band whose texts are all in one component then is done.  The texts of the others are joined exactly by a prefix
+filter (``alike``): texts of similarity ``Params.least`` have one of their rarest shingles in common, so the many texts
+that differ from a group each in its own way meet nobody.
 """
 
 from __future__ import annotations
@@ -117,9 +117,10 @@ def linked(nodes: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
     one, two = (smallest.select(F.col("fp").alias(f), F.col("first").alias(n)) for f, n in (("a", "x"), ("b", "y")))
     near = near.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     bands = written(nodes.select("node", F.explode("bands").alias("band")), "bands")
-    rank = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-    first = bands.withColumn("rank", rank).where("rank = 1").select("band", F.col("node").alias("a"))
-    star = bands.join(first, "band").where("node > a").select("a", F.col("node").alias("b"))
+    several = bands.join(bands.groupBy("band").count().where("count > 1"), "band")
+    bands = written(several.join(several.groupBy("node").agg(F.sum("count").alias("met")), "node"), "shared")
+    centre = bands.groupBy("band").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("centre"))
+    star = bands.join(centre, "band").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     met = same.unionAll(near).unionAll(star).distinct()
     found = written(verified(met, texts, params).where("similar").select("a", "b"), "found")
     left = written(undecided(bands, found), "undecided")
