@@ -38,6 +38,7 @@ class Params:
     rows: int = 7
     grid: simhash.Params = simhash.Params(shingle=5)
     step: float = 1.05  #: ratio of two size classes of the prefix filter
+    batch: int = 1 << 20  #: bytes of a batch that goes to a Python worker; hashes of its shingles come back, several times as many
 
 
 @lru_cache(maxsize=4)
@@ -156,7 +157,9 @@ def alike(nodes: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
     def size_class(n: Column) -> Column:
         return F.floor(F.log(n) / float(np.log(step))).cast("int")
 
-    few = texts.join(nodes.select("node"), "node", "left_semi").select("node", hashes("text").alias("all"))
+    # Else Spark also filters by the hashes' size below the explode: each text is hashed twice, by two workers of a task.
+    once = hashes.asNondeterministic()
+    few = texts.join(nodes.select("node"), "node", "left_semi").select("node", once("text").alias("all"))
     grams = written(few.select("node", F.size("all").alias("n"), F.explode("all").alias("s")).join(nodes, "node"), "grams")
     each = grams.groupBy("s", "component").count().groupBy("s")
     kinds = each.agg(F.sum("count").alias("df"), (F.count("*") > 1).alias("shared"), F.max_by("component", F.struct("count", "component")).alias("main"))
@@ -182,7 +185,7 @@ def deduplicated(documents: DataFrame, params: Params = Params()) -> DataFrame:
     only if equal.  Null ids come last.  Repeated rows are copies.  An empty table stays empty; a very long text is read
     whole; clashing columns stay as they are.
     """
-    bounded_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession, params.batch)
     rows = written(with_prints(documents, params), "prints")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text", "source").alias("h"), F.col("_llm_row").alias("row"))
     best = rows.groupBy("_llm_text").agg(F.min(rank).alias("first"), F.first("_llm_fp").alias("fp"), F.first("_llm_bands").alias("bands"))

@@ -97,6 +97,24 @@ def test_pairs_of_a_large_group_grow_with_its_size(spark):
     assert len(asked) < 8 * len(texts)
 
 
+def test_shingles_are_hashed_once_and_in_bounded_batches(spark, monkeypatch):
+    """By one Python worker of a task: two, each with its batches, took an executor beyond its memory."""
+    plans, real = {}, N.written
+
+    def recorded(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(N, "written", recorded)
+    texts = spark.createDataFrame([(i, f"a b c d e f g h {i}") for i in range(4)] + [(9, "")], "node long, text string")
+    nodes = spark.createDataFrame([(i, i) for i in (0, 1, 2, 3, 9)], "node long, component long")
+    found = {tuple(sorted((r.a, r.b))) for r in N.alike(nodes, texts, N.Params(least=0.5)).collect()}
+    assert found == {(a, b) for a in range(4) for b in range(a + 1, 4)}
+    assert plans["grams"].count("ArrowEvalPython") == 1
+    N.deduplicated(spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")).count()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == N.Params().batch
+
+
 def test_the_links_of_a_band_are_those_of_all_its_pairs(spark):
     """Chains: a text may be similar to one that has found its own link already, whatever their sizes and order."""
     rng = random.Random(4)
