@@ -3,6 +3,7 @@
 Rows of all parts (a fold and a horizon, say) are packed into blocks once.  A step of every model that is still being
 fitted is one pass over the blocks: a task adds up what each model needs over its blocks, sums meet by model, and only
 vectors of the length of the predictors (logistic models) or one best split a node and predictor (trees) reach the driver.
+Boosted trees take thousands of passes; where a part has at most ``ALONE`` rows, a task grows a model's whole forest.
 
 Logistic models with an elastic net: proximal Newton steps.  Boosted trees: predictors are binned once to byte codes, the
 last code stands for a missing value; trees grow best gain first up to a number of leaves, from histograms of gradient
@@ -15,14 +16,14 @@ import heapq
 import math
 import pickle
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from hashlib import md5
 
 import numpy as np
 import pandas as pd
 from pyspark import RDD, StorageLevel, TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainshed.operators.distributed import exact_quantiles, quantile_grid
@@ -30,6 +31,7 @@ from rainshed.sources.integrity import written
 
 MISSING = 255  #: the code of a missing value
 BUCKETS = 16  #: groups in which the sums of all models meet
+ALONE = 1 << 16  #: rows of a part whose boosted models are grown by one task each
 PASS = 1 << 18  #: rows times models of a task of a boosting pass
 STATE = "part int, margins long, data binary"
 
@@ -127,16 +129,12 @@ class LinearFit:
     steps: int
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return self.beta[0] + self.scaling.features(x) @ self.beta[1:]
-
-    def column(self, columns: Sequence[str]) -> Column:
-        """The margin as an expression over the predictors' columns."""
-        values = [F.coalesce(F.col(c).cast("double"), F.lit(float(f))) for c, f in zip(columns, self.scaling.fill)]
-        values += [F.col(columns[j]).isNull().cast("double") for j in self.scaling.gappy]
-        out = F.lit(float(self.beta[0]))
-        for x, mean, std, b in zip(values, self.scaling.mean, self.scaling.std, self.beta[1:]):
+        """Predictor by predictor, so that equal rows have equal margins wherever they stand."""
+        out = np.full(len(x), self.beta[0])
+        raw = self.scaling.raw(x)
+        for j, b in enumerate(self.beta[1:]):
             if b:
-                out = out + (x - F.lit(float(mean))) / F.lit(float(std)) * F.lit(float(b))
+                out += (raw[:, j] - self.scaling.mean[j]) / self.scaling.std[j] * b
         return out
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
@@ -168,7 +166,39 @@ def scalings(rows: DataFrame, blocks: DataFrame, part: str, columns: Sequence[st
 
 
 def _newton_step(beta: np.ndarray, g: np.ndarray, h: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
-    """The minimiser of the quadratic model with both penalties, by coordinate descent; vectors of the predictors only."""
+    """The minimiser of the quadratic model with both penalties; vectors of the predictors only.
+
+    The coefficients that are not zero are solved for at once for the signs they have; the way there stops where one of
+    them had better be zero, and a zero one whose slope exceeds its penalty joins.  Coordinate descent creeps where
+    predictors nearly depend on each other, and is left to the case that some depend on others outright.
+    """
+    a, b = h + np.diag(l2), h @ beta - g
+    value = lambda x: 0.5 * x @ a @ x - b @ x + l1 @ np.abs(x)
+    x, near = beta.copy(), 1e-12 * max(1.0, np.abs(b).max())
+    for _ in range(50 * len(beta)):
+        slope, sign, active = a @ x - b, np.sign(x), (x != 0) | (l1 == 0)
+        if np.abs(slope + l1 * sign)[active].max(initial=0.0) <= near:
+            excess = np.where(active, 0.0, np.abs(slope) - l1)
+            j = int(np.argmax(excess))
+            if excess[j] <= near:
+                return x
+            active[j], sign[j] = True, -np.sign(slope[j])
+        to = x.copy()
+        try:
+            to[active] = np.linalg.solve(a[np.ix_(active, active)], (b - l1 * sign)[active])
+        except np.linalg.LinAlgError:
+            break
+        stops = [to]
+        for j in np.flatnonzero((x * to < 0) & (l1 > 0)):
+            stop = x + x[j] / (x[j] - to[j]) * (to - x)
+            stop[j] = 0.0
+            stops.append(stop)
+        x = min(stops, key=value)
+    return _descended(beta, g, h, l1, l2)
+
+
+def _descended(beta: np.ndarray, g: np.ndarray, h: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
+    """As ``_newton_step``, by coordinate descent."""
     new, slope = beta.copy(), g.copy()  # slope: g + h (new - beta)
     diagonal = np.diag(h) + l2 + 1e-12
     for _ in range(10_000):
@@ -266,8 +296,9 @@ class Tree:
     right: np.ndarray
     value: np.ndarray
 
-    def places(self, codes: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(codes), dtype=np.int64)
+    def places(self, codes: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
+        """The leaf of each row; ``node``: where the rows are known to pass, moved on in place."""
+        node = np.zeros(len(codes), dtype=np.int64) if node is None else node
         moving = np.flatnonzero(self.feature[node] >= 0)
         while len(moving):
             at = node[moving]
@@ -344,6 +375,23 @@ class _Growth:
     def _open(self, i: int) -> bool:
         return self.nodes[i].split is None and self.nodes[i].n >= 2 * self.model.least
 
+    def take(self, found: Iterable[tuple]) -> None:
+        """(predictor, slot, best split or None, sums) of the asked nodes; the tree grows on."""
+        best: dict[int, tuple] = {}
+        for j, slot, split, sums in found:
+            if j == 0 and self.asked[slot] == 0:
+                self.nodes[0].g, self.nodes[0].h, self.nodes[0].n = sums[:3]
+                self.forest.losses.append(sums[3] / sums[4])
+            if split is not None:
+                better = (-round(split[0], 9), j)
+                if slot not in best or better < best[slot][0]:
+                    best[slot] = (better, (split[0], j, *split[1:5]))
+        if self.done:
+            return
+        for s, at in enumerate(self.asked):
+            self.nodes[at].split = best[s][1] if s in best else ()
+        self.advance()
+
     def advance(self) -> None:
         """After the asked histograms have come: grow as far as they allow; ask for more, or end the tree."""
         chosen: list[int] = []
@@ -399,26 +447,44 @@ class _Growth:
         return Tree(*[np.array(c, dtype=k) for c, k in zip(zip(*rows), kinds)])
 
 
-def best_split(hist: np.ndarray, l2: float, least: int, curvature: float) -> tuple | None:
-    """(gain, code, missing left, left sums, right sums) of a histogram (3, 256) of gradient, curvature and rows."""
-    total, gone = hist.sum(axis=1), hist[:, MISSING]
-    upto = np.cumsum(hist[:, :MISSING], axis=1)
-    best = None
+def best_splits(hist: np.ndarray, l2: float, least: int, curvature: float) -> list[tuple | None]:
+    """(gain, code, missing left, left sums, right sums) of each of the histograms (3, histograms, 256) of gradient,
+    curvature and rows; None where no split is allowed."""
+    total, gone = hist.sum(axis=2), hist[:, :, MISSING]
+    upto = np.cumsum(hist[:, :, :MISSING], axis=2)
+    best: list[tuple | None] = [None] * hist.shape[1]
     score = lambda s: s[0] ** 2 / (s[1] + l2)
-    for missing_left in ([False, True] if gone[2] > 0 else [False]):
-        left = upto + gone[:, None] if missing_left else upto
-        right = total[:, None] - left
+    for missing_left in (False, True):
+        at = np.flatnonzero(gone[2] > 0) if missing_left else np.arange(hist.shape[1])
+        if not len(at):
+            continue
+        left = upto[:, at] + gone[:, at, None] if missing_left else upto
+        right = total[:, at, None] - left
         ok = (left[2] >= least) & (right[2] >= least) & (left[1] >= curvature) & (right[1] >= curvature)
-        if ok.any():
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.where(ok, score(left) + score(right) - score(total), -np.inf)
-            b = int(np.argmax(np.round(gain, 10)))
-            if gain[b] > 1e-10 and (best is None or gain[b] > best[0] + 1e-10):
-                side = missing_left if gone[2] > 0 else bool(left[2, b] >= right[2, b])
-                best = (float(gain[b]), b, side, tuple(left[:, b].tolist()), tuple(right[:, b].tolist()))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(ok, score(left) + score(right) - score(total[:, at])[:, None], -np.inf)
+        code = np.argmax(np.round(gain, 10), axis=1)
+        for k in np.flatnonzero(gain[np.arange(len(at)), code] > 1e-10):
+            i, b = at[k], int(code[k])
+            if best[i] is None or gain[k, b] > best[i][0] + 1e-10:
+                side = missing_left if gone[2, i] > 0 else bool(left[2, k, b] >= right[2, k, b])
+                best[i] = (float(gain[k, b]), b, side, tuple(left[:, k, b].tolist()), tuple(right[:, k, b].tolist()))
     return best
 
 
+def _sums(codes: np.ndarray, here: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int) -> np.ndarray:
+    """Histograms (predictors, 3, slots, 256) of gradient, curvature and rows; ``here``: the slot of a row, or -1."""
+    some = np.flatnonzero(here >= 0)
+    columns = codes.shape[1]
+    if not columns:
+        return np.zeros((0, 3, slots, 256))
+    size = columns * slots * 256
+    place = codes[some].T + here[some] * 256 + (np.arange(columns) * slots * 256)[:, None]
+    place = place.ravel()
+    each = [np.bincount(place, np.tile(x[some], columns), size) for x in (g, h)]
+    return np.stack([*each, np.bincount(place, minlength=size)]).reshape(3, columns, slots, 256).swapaxes(0, 1)
+
+
 _margins: dict[tuple, tuple[int, np.ndarray]] = {}  # of a worker, see ``_margin``
 
 
@@ -452,11 +518,8 @@ def _histograms(blocks: RDD, growing: dict[int, list[tuple]], limits: dict[int,
                 slot = np.full(len(tree.feature), -1)
                 slot[asked] = np.arange(len(asked))
                 here = slot[tree.places(codes)]
-                some = np.flatnonzero(here >= 0)
-                g, h, base, size = (wi * (p - y))[some], (wi * p * (1 - p))[some], here[some] * 256, 256 * len(asked)
-                for j in range(codes.shape[1]):
-                    place = base + codes[some, j]
-                    v = np.concatenate([np.bincount(place, g, size), np.bincount(place, h, size), np.bincount(place, minlength=size), [0.0, 0.0]])
+                for j, hist in enumerate(_sums(codes, here, wi * (p - y), wi * p * (1 - p), len(asked))):
+                    v = np.concatenate([hist.ravel(), [0.0, 0.0]])
                     if j == 0 and asked[0] == 0:
                         v[-2:] = (wi * _losses(m, y)).sum(), wi.sum()
                     acc[model, j] = acc[model, j] + v if (model, j) in acc else v
@@ -467,13 +530,61 @@ def _histograms(blocks: RDD, growing: dict[int, list[tuple]], limits: dict[int,
         (model, j), some = item
         v = sum(v for _, v in sorted(some, key=lambda x: x[0]))  # in the order of the tasks, so reruns agree
         hist = v[:-2].reshape(3, -1, 256)
-        return [(model, j, s, best_split(hist[:, s], *limits[model]), (*hist[:, s].sum(axis=1).tolist(), *v[-2:].tolist())) for s in range(hist.shape[1])]
+        return [(model, j, s, split, (*hist[:, s].sum(axis=1).tolist(), *v[-2:].tolist())) for s, split in enumerate(best_splits(hist, *limits[model]))]
 
     alone = blocks.getNumPartitions() == 1  # its sums are the sums
     sums = blocks.mapPartitionsWithIndex(add)
     return (sums if alone else sums.groupByKey(min(BUCKETS, blocks.getNumPartitions())).flatMap(choose)).collect()
 
 
+def _grown(growth: _Growth, codes: np.ndarray, y: np.ndarray, w: np.ndarray) -> Forest:
+    """The whole forest from all rows of its part."""
+    model, columns = growth.model, codes.shape[1]
+    wi = np.ones(len(y)) if model.weight is None else w[:, model.weight]
+    margin = np.full(len(y), growth.forest.start)
+    while not growth.done:
+        if growth.asked == [0]:
+            p = _sigmoid(margin)
+            g, h, tail = wi * (p - y), wi * p * (1 - p), ((wi * _losses(margin, y)).sum(), wi.sum())
+            node = np.zeros(len(y), dtype=np.int64)
+        slots = len(growth.asked)
+        slot = np.full(len(growth.nodes), -1)
+        slot[growth.asked] = np.arange(slots)
+        hist = _sums(codes, slot[growth.tree().places(codes, node)], g, h, slots)
+        splits = best_splits(hist.swapaxes(0, 1).reshape(3, columns * slots, 256), model.l2, model.least, model.curvature)
+        totals = hist[0].sum(axis=2).T.tolist()
+        growth.take((i // slots, i % slots, split, (*totals[i % slots], *tail)) for i, split in enumerate(splits))
+        if growth.fresh:
+            margin += growth.forest.trees[-1](codes)
+            growth.fresh.clear()
+    return growth.forest
+
+
+def _fit_alone(blocks: DataFrame, growths: dict[int, _Growth], sizes: dict[int, float]) -> dict[int, Forest]:
+    """Forests of models whose parts have few rows (``sizes``): a task a model, the longest first."""
+    longest = sorted(growths, key=lambda i: -sizes[i] * growths[i].model.leaves * growths[i].model.rounds)
+    task = {i: k for k, i in enumerate(longest)}
+    of: dict[int, list[int]] = {}
+    for i in longest:
+        of.setdefault(growths[i].model.part, []).append(i)
+    cuts = {p: growths[some[0]].forest.cuts for p, some in of.items()}
+
+    def copies(row: tuple) -> list[tuple]:
+        if row[0] not in of:
+            return []
+        x, y, w = pickle.loads(row[1])
+        data = pickle.dumps((coded(x, cuts[row[0]]), y, w), protocol=5)
+        return [(task[i], data) for i in of[row[0]]]
+
+    def grow(k: int, rows: Iterator[tuple]) -> Iterator[tuple]:
+        codes, y, w = map(np.concatenate, zip(*(pickle.loads(data) for _, data in rows)))
+        order = np.lexsort([*codes.T, *w.T, y])  # rows in whatever order give the same sums
+        yield longest[k], pickle.dumps(_grown(growths[longest[k]], codes[order], y[order], w[order]), protocol=5)
+
+    rows = blocks.select("part", "data").rdd.flatMap(copies).partitionBy(len(longest), lambda k: k)
+    return {i: pickle.loads(f) for i, f in rows.mapPartitionsWithIndex(grow).collect()}
+
+
 def _kept(blocks: DataFrame) -> RDD:
     """The blocks in memory, or on the executors' disks, named by their content, about ``PASS`` margins to a task."""
     size = blocks.agg(F.coalesce(F.sum("margins"), F.lit(0))).first()[0]
@@ -483,15 +594,43 @@ def _kept(blocks: DataFrame) -> RDD:
     return rows.map(lambda r: (name + md5(r["data"]).hexdigest(), r["part"], pickle.loads(r["data"]))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def fit_boostings(blocks: DataFrame, cuts: dict[int, list[np.ndarray]], models: Sequence[Boosting], rebase: int = 50) -> dict[str, Forest]:
-    """Every model whose part has rows, all at once.  The margins are kept with the blocks and renewed every ``rebase``
-    rounds, so a lost executor costs a re-read of blocks and a few trees.  One class alone gives a constant forest."""
+def fit_boostings(blocks: DataFrame, cuts: dict[int, list[np.ndarray]], models: Sequence[Boosting], rebase: int = 50, alone: int = ALONE) -> dict[str, Forest]:
+    """Every model whose part has rows.  One class alone gives a constant forest.
+
+    A model whose part has at most ``alone`` rows is grown by one task, and all those at once.  The others grow together,
+    in passes over the blocks: the margins are kept with the blocks and renewed every ``rebase`` rounds, so a lost executor
+    costs a re-read of blocks and a few trees.
+    """
     models = [m for m in models if m.part in cuts]
-    sums = summed(blocks, lambda p, b: ((i, np.array([(b[2][:, m.weight] * b[1]).sum() if m.weight is not None else b[1].sum(), b[2][:, m.weight].sum() if m.weight is not None else len(b[1])])) for i, m in enumerate(models) if m.part == p))
+
+    def of(part: int, block: tuple) -> Iterator[tuple[int, np.ndarray]]:
+        _, y, w = block
+        for i, m in enumerate(models):
+            if m.part == part:
+                wi = np.ones(len(y)) if m.weight is None else w[:, m.weight]
+                yield i, np.array([(wi * y).sum(), wi.sum(), len(y)])
+
+    sums = summed(blocks, of)
     growths: list[_Growth] = []
     for i, m in enumerate(models):
         share = min(max(sums[i][0] / sums[i][1], 1e-8), 1 - 1e-8)
         growths.append(_Growth(m, Forest(cuts[m.part], math.log(share / (1 - share)))))
+    small = {i: g for i, g in enumerate(growths) if sums[i][2] <= alone}
+    found = {}
+    if small:
+        found = {models[i].name: f for i, f in _fit_alone(blocks, small, {i: sums[i][2] for i in small}).items()}
+    if large := [g for i, g in enumerate(growths) if i not in small]:
+        parts = {g.model.part for g in large}
+        _fit_together(blocks.where(F.col("part").isin(sorted(parts))), {p: cuts[p] for p in parts}, large, rebase)
+        found |= {g.model.name: g.forest for g in large}
+    for m in models:
+        del found[m.name].trees[m.rounds :]
+    return {m.name: found[m.name] for m in models}
+
+
+def _fit_together(blocks: DataFrame, cuts: dict[int, list[np.ndarray]], growths: Sequence[_Growth], rebase: int) -> None:
+    """Grow the forests, all at once, in passes over the blocks."""
+    models = [g.model for g in growths]
     columns = {}  # of a model in the margins of its part
     for m in models:
         columns[m.name] = sum(1 for other in models[: models.index(m)] if other.part == m.part)
@@ -514,30 +653,17 @@ def fit_boostings(blocks: DataFrame, cuts: dict[int, list[np.ndarray]], models:
         for i, g in enumerate(growths):
             if not g.done:
                 growing.setdefault(g.model.part, []).append((i, columns[g.model.name], g.model.weight, list(g.fresh), g.tree(), np.array(g.asked)))
-        best: dict[tuple[int, int], tuple] = {}
-        for model, j, slot, split, sums in _histograms(state, growing, limits):
-            g = growths[model]
-            if j == 0 and g.asked[slot] == 0:
-                g.nodes[0].g, g.nodes[0].h, g.nodes[0].n = sums[:3]
-                g.forest.losses.append(sums[3] / sums[4])
-            if split is not None:
-                better = (-round(split[0], 9), j)
-                if (model, slot) not in best or better < best[model, slot][0]:
-                    best[model, slot] = (better, (split[0], j, *split[1:5]))
+        found: dict[int, list[tuple]] = {}
+        for model, *some in _histograms(state, growing, limits):
+            found.setdefault(model, []).append(some)
         for i, g in enumerate(growths):
-            if g.done:
-                continue
-            for s, at in enumerate(g.asked):
-                g.nodes[at].split = best[i, s][1] if (i, s) in best else ()
-            g.advance()
+            if not g.done:
+                g.take(found[i])
         if max(len(g.fresh) for g in growths) >= rebase:
             table = _rebased(table, growths, columns)
             state.unpersist()
             state = _kept(table)
     state.unpersist()
-    for g in growths:
-        del g.forest.trees[g.model.rounds :]
-    return {g.model.name: g.forest for g in growths}
 
 
 def _rebased(state: DataFrame, growths: Sequence[_Growth], columns: dict[str, int]) -> DataFrame:
@@ -568,7 +694,7 @@ def _rebased(state: DataFrame, growths: Sequence[_Growth], columns: dict[str, in
 def scored(rows: DataFrame, part: str, columns: Sequence[str], keep: Sequence[str], fits: dict[tuple[int, str], LinearFit | Forest], out: str = "p") -> DataFrame:
     """(keep, part, model, probability) of every row and every model of its part; ``fits`` by part and model name.
 
-    Linear models are expressions; forests run over batches of rows.
+    Models run over batches of rows; as expressions, the linear ones of a benchmark outgrew what Spark compiles.
     """
     linear: dict[int, list[tuple[str, LinearFit]]] = {}
     forests: dict[int, list[tuple[str, Forest]]] = {}
@@ -576,25 +702,24 @@ def scored(rows: DataFrame, part: str, columns: Sequence[str], keep: Sequence[st
         (linear if isinstance(fit, LinearFit) else forests).setdefault(p, []).append((name, fit))
     both = []
     if linear or not fits:
-        each = F.array().cast(f"array<struct<model:string,{out}:double>>")
-        for p, models in linear.items():
-            structs = [F.struct(F.lit(n).alias("model"), (1 / (1 + F.exp(-m.column(columns)))).alias(out)) for n, m in models]
-            each = F.when(F.col(part) == p, F.array(*structs)).otherwise(each)
-        both.append(rows.select(*keep, F.col(part).cast("int").alias(part), F.explode(each).alias("__m")).select(*keep, part, "__m.*"))
+        margins = _in_batches(rows, part, columns, keep, linear, lambda fit, x: fit.margin(x), out)
+        both.append(margins.withColumn(out, 1 / (1 + F.exp(-F.col(out)))))
     if forests:
-        both.append(_by_forests(rows, part, columns, keep, forests, out))
+        # Hundreds of trees a row: a table of few files would keep few cores busy.
+        spread = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
+        both.append(_in_batches(spread, part, columns, keep, forests, lambda fit, x: _sigmoid(fit.margin(x)), out))
     return both[0] if len(both) == 1 else both[0].unionByName(both[1])
 
 
-def _by_forests(rows: DataFrame, part: str, columns: Sequence[str], keep: Sequence[str], forests: dict[int, list[tuple[str, Forest]]], out: str) -> DataFrame:
+def _in_batches(rows: DataFrame, part: str, columns: Sequence[str], keep: Sequence[str], fits: dict[int, list[tuple[str, LinearFit | Forest]]], of: Callable[[LinearFit | Forest, np.ndarray], np.ndarray], out: str) -> DataFrame:
     fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p, some in frame.groupby("__part"):
                 x = some[[f"__x_{i}" for i in range(len(columns))]].to_numpy(dtype=np.float64, na_value=np.nan)
-                for name, fit in forests.get(int(p), []):
-                    yield some[list(keep)].assign(__part=int(p), model=name, **{out: _sigmoid(fit.margin(x))})
+                for name, fit in fits.get(int(p), []):
+                    yield some[list(keep)].assign(__part=int(p), model=name, **{out: of(fit, x)})
 
     chosen = rows.select(*keep, F.col(part).cast("int").alias("__part"), *[F.col(c).cast("double").alias(f"__x_{i}") for i, c in enumerate(columns)])
     return chosen.mapInPandas(run, ", ".join([*fields, "__part int", "model string", f"{out} double"])).withColumnRenamed("__part", part)

@@ -120,6 +120,73 @@ def test_boosting_equals_growing_one_split_at_a_time(rows, blocks, data):
     assert all(len(t.feature) == 1 for t in fits["one class"].trees)
 
 
+def test_small_parts_grow_in_one_job_as_in_passes(spark, rows, blocks):
+    cuts = T.bin_cuts(rows.where("y IS NOT NULL"), "part", ["a", "b", "c", "d"], bins=12)
+    models = [T.Boosting(f"{p}-{k}-{r}", p, 0.3, 5, r, 10, 1.0, k) for p in (0, 1) for k in (None, 0) for r in (6, 9)] + [T.Boosting("one class", 2, rounds=2)]
+
+    def jobs(name, **how):
+        spark.sparkContext.setJobGroup(name, name)
+        fits = T.fit_boostings(blocks, cuts, models, **how)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return fits, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    alone, few = jobs("alone")
+    together, many = jobs("together", alone=0, rebase=4)
+    some, _ = jobs("some", alone=int((rows.where("part = 0 AND y IS NOT NULL")).count()))
+    assert few < 9 < many  # no pass a round
+    assert list(alone) == list(together) == list(some) == [m.name for m in models]
+    for name, f in alone.items():
+        for g in (together[name], some[name]):
+            assert len(f.trees) == len(g.trees) and f.start == pytest.approx(g.start) and f.first_gain == pytest.approx(g.first_gain)
+            assert f.losses == pytest.approx(g.losses, abs=1e-9)
+            for a, b in zip(f.trees, g.trees):
+                assert a.feature.tolist() == b.feature.tolist() and a.code.tolist() == b.code.tolist() and a.missing_left.tolist() == b.missing_left.tolist()
+                assert a.value == pytest.approx(b.value, abs=1e-9)
+
+
+def test_best_splits_equal_trying_every_threshold():
+    rng = np.random.default_rng(2)
+    hist = np.zeros((3, 30, 256))
+    for i in range(30):
+        codes = np.r_[rng.integers(0, 12, 60), np.full(0 if i % 3 else 9, T.MISSING)]
+        hist[2, i] = np.bincount(codes, minlength=256)
+        hist[0, i] = np.bincount(codes, rng.normal(size=len(codes)), 256)
+        hist[1, i] = np.bincount(codes, rng.uniform(0.01, 0.3, len(codes)), 256)
+    hist[:, 7] = 0.0
+    for i, got in enumerate(T.best_splits(hist, 1.0, 10, 1e-3)):
+        v, gone, best = hist[:, i], hist[:, i, 255], 0.0
+        for gone_left in (0, 1):
+            for b in range(255):
+                left = v[:, : b + 1].sum(axis=1) + gone_left * gone
+                right = v.sum(axis=1) - left
+                if min(left[2], right[2]) >= 10 and min(left[1], right[1]) >= 1e-3:
+                    best = max(best, sum(s[0] ** 2 / (s[1] + 1) for s in (left, right)) - v[0].sum() ** 2 / (v[1].sum() + 1))
+        if best <= 1e-10:
+            assert got is None
+            continue
+        assert got[0] == pytest.approx(best)
+        left = v[:, : got[1] + 1].sum(axis=1) + (gone if got[2] and gone[2] else 0)
+        assert got[3] == pytest.approx(left) and got[4] == pytest.approx(v.sum(axis=1) - left)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
+def test_a_newton_step_is_exact_where_predictors_nearly_depend_on_each_other(share):
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(300, 8))
+    z[:, 1] = z[:, 0] + 1e-3 * rng.normal(size=300)
+    z[:, 2] = z[:, 0] - z[:, 3] + 1e-3 * rng.normal(size=300)
+    z[:, 7] = 0.0  # a predictor without any value
+    z = np.column_stack([np.ones(300), z])
+    h, g, beta = z.T @ z / 300, z.T @ rng.normal(size=300) / 300 - z.T @ z[:, 2] / 300, rng.normal(size=9) * 0.1
+    beta[8] = 0.0
+    l1, l2 = np.full(9, 1e-5 * share), np.full(9, 1e-5 * (1 - share))
+    l1[0] = l2[0] = 0.0
+    x = T._newton_step(beta, g, h, l1, l2)
+    slope = g + h @ (x - beta) + l2 * x
+    off = np.where(x != 0, np.abs(slope + l1 * np.sign(x)), np.maximum(np.abs(slope) - l1, 0.0))
+    assert off.max() < 1e-11
+
+
 def test_a_missing_value_learns_its_side(spark):
     rows = [(0, float(i % 2), 1.0, None if i % 2 else float(i % 7)) for i in range(200)]
     d = spark.createDataFrame(rows, "part int, y double, w double, a double")
@@ -140,6 +207,21 @@ def test_scores_carry_every_model_and_odd_parts(spark, rows, blocks):
     assert T.fit_logistics(T.pack(empty, "part", "y", ["w"], ["a"]), {}, [T.Logistic("m", 0, 1.0, 0.0)]) == {}
 
 
+def test_scores_of_many_linear_models_are_no_long_expression(spark, rows, blocks):
+    known = rows.where("y IS NOT NULL")
+    scaling = T.scalings(known, blocks, "part", ["a", "b", "c", "d"])
+    fits = {(p, f"m{i}"): T.LinearFit(scaling[p], np.r_[0.1 * i, np.linspace(-1, 1, len(scaling[p].mean))], 0.0, 0.0, 1) for p in (0, 1) for i in range(60)}
+    plan = lambda f: T.scored(rows, "part", ["a", "b", "c", "d"], ["y"], f)._jdf.queryExecution().optimizedPlan().toString()
+    few = {k: v for k, v in fits.items() if k[1] == "m0"}
+    assert len(plan(fits)) < len(plan(few)) + 100
+    got = T.scored(rows, "part", ["a", "b", "c", "d"], ["y", "a", "b", "c", "d"], fits).toPandas()
+    assert len(got) == 60 * known.where("part < 2").count() + 60 * rows.where("y IS NULL AND part < 2").count()
+    for (p, name), f in fits.items():
+        some = got[(got.part == p) & (got.model == name)]
+        x = some[["a", "b", "c", "d"]].to_numpy(dtype=np.float64)
+        assert some.p.to_numpy() == pytest.approx(1 / (1 + np.exp(-(f.beta[0] + f.scaling.features(x) @ f.beta[1:]))))
+
+
 def test_every_fold_horizon_and_configuration(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(Q.M, "fit", lambda rows, part, receptor, y, predictors, models: asked.extend(models) or {})
