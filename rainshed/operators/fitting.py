@@ -23,7 +23,7 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 from pyspark import RDD, StorageLevel, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainshed.operators.distributed import exact_quantiles, quantile_grid
@@ -129,13 +129,14 @@ class LinearFit:
     steps: int
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        """Predictor by predictor, so that equal rows have equal margins wherever they stand."""
-        out = np.full(len(x), self.beta[0])
-        raw = self.scaling.raw(x)
-        for j, b in enumerate(self.beta[1:]):
-            if b:
-                out += (raw[:, j] - self.scaling.mean[j]) / self.scaling.std[j] * b
-        return out
+        return self.beta[0] + self.scaling.features(x) @ self.beta[1:]
+
+    def terms(self) -> list[tuple[int, bool, float, float, float, float]]:
+        """(predictor, whether it is the indicator of its gaps, fill, mean, deviation, coefficient) of each coefficient
+        that is not zero, in order; the margin is the intercept and the sum of their terms."""
+        s, p = self.scaling, len(self.scaling.fill)
+        where = [(j, False, float(s.fill[j])) for j in range(p)] + [(int(j), True, 0.0) for j in s.gappy]
+        return [(*w, float(s.mean[k]), float(s.std[k]), float(b)) for k, (w, b) in enumerate(zip(where, self.beta[1:])) if b]
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
         """(n, predictors): what each predictor, with its indicator, adds to the margin."""
@@ -694,32 +695,48 @@ def _rebased(state: DataFrame, growths: Sequence[_Growth], columns: dict[str, in
 def scored(rows: DataFrame, part: str, columns: Sequence[str], keep: Sequence[str], fits: dict[tuple[int, str], LinearFit | Forest], out: str = "p") -> DataFrame:
     """(keep, part, model, probability) of every row and every model of its part; ``fits`` by part and model name.
 
-    Models run over batches of rows; as expressions, the linear ones of a benchmark outgrew what Spark compiles.
+    Linear models are a table that meets the rows; forests run over batches of rows.
     """
-    linear: dict[int, list[tuple[str, LinearFit]]] = {}
+    linear: dict[tuple[int, str], LinearFit] = {}
     forests: dict[int, list[tuple[str, Forest]]] = {}
     for (p, name), fit in sorted(fits.items(), key=lambda x: x[0]):
-        (linear if isinstance(fit, LinearFit) else forests).setdefault(p, []).append((name, fit))
+        if isinstance(fit, LinearFit):
+            linear[p, name] = fit
+        else:
+            forests.setdefault(p, []).append((name, fit))
     both = []
     if linear or not fits:
-        margins = _in_batches(rows, part, columns, keep, linear, lambda fit, x: fit.margin(x), out)
-        both.append(margins.withColumn(out, 1 / (1 + F.exp(-F.col(out)))))
+        both.append(_by_linear(rows, part, columns, keep, linear, out))
     if forests:
         # Hundreds of trees a row: a table of few files would keep few cores busy.
         spread = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
-        both.append(_in_batches(spread, part, columns, keep, forests, lambda fit, x: _sigmoid(fit.margin(x)), out))
+        both.append(_by_forests(spread, part, columns, keep, forests, out))
     return both[0] if len(both) == 1 else both[0].unionByName(both[1])
 
 
-def _in_batches(rows: DataFrame, part: str, columns: Sequence[str], keep: Sequence[str], fits: dict[int, list[tuple[str, LinearFit | Forest]]], of: Callable[[LinearFit | Forest, np.ndarray], np.ndarray], out: str) -> DataFrame:
+def _by_linear(rows: DataFrame, part: str, columns: Sequence[str], keep: Sequence[str], fits: dict[tuple[int, str], LinearFit], out: str) -> DataFrame:
+    """One short expression for all models: spelt out for each, those of a benchmark outgrew what Spark compiles."""
+    table = [(p, name, float(f.beta[0]), f.terms()) for (p, name), f in fits.items()]
+    models = rows.sparkSession.createDataFrame(table, "__part int, model string, __start double, __terms array<struct<i:int,gap:boolean,fill:double,mean:double,std:double,b:double>>")
+    chosen = rows.select(*keep, F.col(part).cast("int").alias(part), F.array(*[F.col(c).cast("double") for c in columns]).alias("__x"))
+
+    def added(margin: Column, t: Column) -> Column:
+        x = F.get("__x", t["i"])
+        return margin + (F.when(t["gap"], x.isNull().cast("double")).otherwise(F.coalesce(x, t["fill"])) - t["mean"]) / t["std"] * t["b"]
+
+    margin = F.aggregate("__terms", F.col("__start"), added)
+    return chosen.join(F.broadcast(models), F.col(part) == F.col("__part")).select(*keep, part, "model", (1 / (1 + F.exp(-margin))).alias(out))
+
+
+def _by_forests(rows: DataFrame, part: str, columns: Sequence[str], keep: Sequence[str], forests: dict[int, list[tuple[str, Forest]]], out: str) -> DataFrame:
     fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p, some in frame.groupby("__part"):
                 x = some[[f"__x_{i}" for i in range(len(columns))]].to_numpy(dtype=np.float64, na_value=np.nan)
-                for name, fit in fits.get(int(p), []):
-                    yield some[list(keep)].assign(__part=int(p), model=name, **{out: of(fit, x)})
+                for name, fit in forests.get(int(p), []):
+                    yield some[list(keep)].assign(__part=int(p), model=name, **{out: _sigmoid(fit.margin(x))})
 
     chosen = rows.select(*keep, F.col(part).cast("int").alias("__part"), *[F.col(c).cast("double").alias(f"__x_{i}") for i, c in enumerate(columns)])
     return chosen.mapInPandas(run, ", ".join([*fields, "__part int", "model string", f"{out} double"])).withColumnRenamed("__part", part)
