@@ -117,7 +117,8 @@ def links(fingerprints: DataFrame, params: Params = Params()) -> DataFrame:
     condition &= (F.bit_count(gap) <= params.radius) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= params.radius)
     for g, mask in enumerate(masks):
         condition &= (F.col("differ").bitwiseAND(F.lit(1 << g)) == 0) | (gap.bitwiseAND(F.lit(mask)) != 0)
-    return left.join(right, "cell").where(condition).select("a", "b")
+    # Merged at every size: Spark sizes a table by what it was before the explode, and would broadcast all these rows.
+    return left.join(right.hint("merge"), "cell").where(condition).select("a", "b")
 
 
 def thinned(pairs: DataFrame, most: int = 500_000) -> DataFrame:

@@ -3,7 +3,9 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
+from rainshed.llm import common
 from rainshed.llm import simhash as S
 from rainshed.llm.common import components
 
@@ -82,3 +84,21 @@ def test_odd_rows(odd, odd_rows, empty):
 def test_fingerprints_of_many_shingles_are_counted_in_parts():
     words = [f"w{i}" for i in range(40_000)]
     assert np.uint64(S.fingerprint_of(" ".join(words), 4) & (1 << 64) - 1) == np.uint64(by_hand(" ".join(words)))
+
+
+def test_the_rows_of_the_grid_are_not_broadcast(spark):
+    """Spark sizes them as if there were one for each fingerprint, not one for each choice of groups."""
+    d = spark.range(200).select(F.xxhash64(F.col("id") % 150).alias("fp")).distinct()
+    found = S.links(d, S.Params(radius=24, groups=25))
+    got = [tuple(r) for r in found.collect()]
+    fps = sorted(r.fp for r in d.collect())
+    assert sorted(got) == [(a, b) for a, b in combinations(fps, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 24]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_of_many_links_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_BROADCAST", 10)
+    links = spark.range(50).where("id % 10 < 8").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = spark.range(50).select(F.col("id").alias("node")).join(components(links), "node", "left")
+    assert {r.node: r.component for r in found.collect()} == {i: i // 10 * 10 if i % 10 < 9 else None for i in range(50)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
