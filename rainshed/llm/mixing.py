@@ -138,7 +138,8 @@ def mix(documents: DataFrame, params: Params = Params(), carry: Sequence[str] =
     upto = F.least(F.col("to"), F.col("block") * b + F.col("head"))
     got = F.coalesce(F.col("full") * (F.col("to") - F.col("from")) + F.greatest(F.lit(0), upto - F.col("from")), F.lit(0))
     whole = ["sid", "start", *names, "size", "source_size", "target"]
-    taken = pieces.join(reads, ["sid", "block"], "left").groupBy(*whole).agg(F.sum(got).alias("taken"))
+    # Merged at every size: the schedule's files are small for the number of its blocks.
+    taken = pieces.join(reads.hint("merge"), ["sid", "block"], "left").groupBy(*whole).agg(F.sum(got).alias("taken"))
     out = taken.drop("sid", "start").unionByName(known.where("size = 0").select(*names, "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
     return Mix(sources, slots, out.select(*[F.col(k).alias(c) for k, c in names.items()], "size", "source_size", "target", "taken"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from rainshed.llm import simhash
-from rainshed.llm.common import bounded_batches, components, word_list, written
+from rainshed.llm.common import bounded_batches, components, sized, word_list, written
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def verified(pairs: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
 
     pairs = written(pairs, "pairs")
     named = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
-    few = written(texts.join(named, "node", "left_semi"), "texts")  # whole texts are only exchanged if they are in a pair
+    few = written(texts.join(sized(named, named.count()), "node", "left_semi"), "texts")  # whole texts are only exchanged if they are in a pair
     x, y = (few.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in ("a", "b"))
     # Merged at every size: copies shrink so much in a file that its size says nothing about the texts in memory.
     both = pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a")
@@ -165,7 +165,7 @@ def alike(nodes: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
     kinds = each.agg(F.sum("count").alias("df"), (F.count("*") > 1).alias("shared"), F.max_by("component", F.struct("count", "component")).alias("main"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("shared", "df", "s")) - 1
     n, at = F.col("n"), F.col("place")
-    ranked = grams.join(kinds, "s").withColumn("place", place).where(F.col("shared") & (at <= n - need(n, least * n)))
+    ranked = grams.join(kinds.hint("merge"), "s").withColumn("place", place).where(F.col("shared") & (at <= n - need(n, least * n)))
     ranked = written(ranked.select("node", "component", "n", "s", "place", (F.col("main") == F.col("component")).alias("main")), "prefixes")
     small = ranked.where(at <= n - need(n, n)).withColumn("class", size_class(n))
     classes = F.sequence(size_class(least * n - 1e-6), size_class(n))
@@ -174,7 +174,8 @@ def alike(nodes: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
     t = need(n, F.col("n_b"))
     fits = (n <= F.col("n_b")) & (F.col("component") != F.col("component_b")) & (at <= n - t) & (F.col("place_b") <= F.col("n_b") - t)
     sides = [(small.where("NOT main"), large), (small.where("main"), large.where("NOT main_b"))]
-    met = [x.join(y, ["s", "class"]).where(fits).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")) for x, y in sides]
+    # Merged at every size: Spark sizes the larger texts' rows by what they were before the explode, and would broadcast them.
+    met = [x.join(y.hint("merge"), ["s", "class"]).where(fits).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")) for x, y in sides]
     return met[0].unionAll(met[1]).distinct()
 
 
@@ -195,4 +196,4 @@ def deduplicated(documents: DataFrame, params: Params = Params()) -> DataFrame:
     named = nodes.join(of, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
     stays = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_llm_row"))
     stays = written(stays, "stays")  # its size is known then, and texts are not exchanged for a small one
-    return rows.join(stays, "_llm_row", "left_semi").select(*[F.col(c) for c in documents.columns])
+    return rows.join(sized(stays, stays.count()), "_llm_row", "left_semi").select(*[F.col(c) for c in documents.columns])

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rainshed.llm import near_copies as N
 from rainshed.llm.common import word_list
@@ -151,3 +152,15 @@ def test_band_keys_are_those_of_plain_minima(n):
     if n:
         plain = [min((int(h) ^ int(f)) * int(t) % (1 << 64) for h in hashes.tolist()) for f, t in zip(flip[:7, 0], turn[:7, 0])]
         assert N.xxhash.xxh64_intdigest(np.array(plain, dtype=np.uint64).tobytes(), 0) >> 1 == keys[0]
+
+
+def test_the_rows_of_the_prefix_filter_are_not_broadcast(spark):
+    """Spark sizes the larger texts' rows as if each were in one size class."""
+    nodes = spark.range(40).select(F.col("id").alias("node"), (F.col("id") % 2).alias("component"))
+    word = F.concat(F.lit("w"), F.col("i").cast("string"), F.lit("of"), F.expr("id div 4").cast("string"))
+    last = F.when(F.col("i") < 39, word).otherwise(F.concat(F.lit("x"), F.col("id").cast("string")))
+    texts = spark.range(40).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(39)))).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", last.alias("w")))).alias("w"))
+    texts = texts.select(F.col("id").alias("node"), F.concat_ws(" ", F.col("w.w")).alias("text"))
+    found = N.alike(nodes, texts, N.Params())
+    assert {tuple(r) for r in found.collect()} == {(a, b) for a in range(40) for b in range(a + 1, 40) if a // 4 == b // 4 and (b - a) % 2}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
