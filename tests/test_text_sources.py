@@ -173,3 +173,40 @@ def test_file_queries_open_no_writer_for_each_key(spark, sf, monkeypatch, name):
 
     monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda *_: pytest.fail("a writer for each key"))
     assert REGISTRY[name].run(spark, sf).count() > 0
+
+
+def test_gathered_lines_are_those_of_one_scan_in_few_tasks(spark, tmp_path, monkeypatch):
+    rows = [(f"u-{i % 300}", i, f"{i};à") for i in range(3000)]
+    path = str(tmp_path / "w")
+    files = X.write_lines(spark.createDataFrame(rows, "file string, n long, line string").repartition(7), path, "n")
+    assert files == 300
+    planned, scan = [], X.scan_lines
+
+    def recorded(*args):
+        lines = scan(*args)
+        planned.append(len(lines.inputFiles()))
+        return lines
+
+    monkeypatch.setattr(X, "scan_lines", recorded)
+    got = X.gathered_lines(spark, path, files, most=60)
+    assert sum(planned) == 300 and max(planned) <= 120 and len(planned) >= 5
+    assert len(got.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism * len(planned)
+    each = {}
+    for r in sorted(got.collect(), key=lambda r: r.line_no):
+        each.setdefault(r.path.rsplit("/")[-1], []).append(r.line)
+    assert each == {f"u-{k}": [f"{i};à" for i in range(k, 3000, 300)] for k in range(300)}
+    (tmp_path / "none").mkdir()
+    assert X.gathered_lines(spark, str(tmp_path / "none"), 0).count() == 0
+
+
+def test_hourly_scan_opens_each_file_once_and_keeps_null_users(spark, tmp_path):
+    from rainshed.plans.catalog import REGISTRY
+
+    stamp = "timestamp_ntz'2024-01-01 10:00:00'"
+    e = spark.range(1, 41).selectExpr("id AS event_id", f"{stamp} AS ts", "CASE WHEN id % 5 > 0 THEN id % 5 END AS user_id", "IF(id % 2 = 0, 'click', 'buy') AS event_type", "CAST(id AS DOUBLE) AS value", "'' AS props")
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    found = REGISTRY["hourly_file_scan"].run(spark, str(tmp_path))
+    assert all(f.endswith(".parquet") for f in found.inputFiles())
+    got = {r.user_id: (r.station, r.rows, r.numeric_rows, r.total) for r in found.collect()}
+    odd = {k: [i for i in range(1, 41) if i % 5 == k and i % 2] for k in range(5)}
+    assert got == {k or None: (f"Stazione {k}" if k else None, 8, 4, float(sum(v))) for k, v in odd.items()}
