@@ -382,7 +382,7 @@ class _Growth:
         for j, slot, split, sums in found:
             if j == 0 and self.asked[slot] == 0:
                 self.nodes[0].g, self.nodes[0].h, self.nodes[0].n = sums[:3]
-                self.forest.losses.append(sums[3] / sums[4])
+                self.forest.losses.append(float(sums[3] / sums[4]))
             if split is not None:
                 better = (-round(split[0], 9), j)
                 if slot not in best or better < best[slot][0]:

@@ -268,3 +268,13 @@ def test_importance_of_a_linear_model_equals_scoring_again(spark):
         for c in ("x", "s"):
             assert got[p, c].mean_ap_drop == pytest.approx(np.mean(drops[c]), abs=1e-9)
             assert got[p, c].std_ap_drop == pytest.approx(np.std(drops[c]), abs=1e-9)
+
+
+def test_losses_are_plain_numbers_however_a_forest_grows(spark, rows, blocks):
+    """Rows of a result are made of them, and Spark takes no NumPy number."""
+    cuts = T.bin_cuts(rows.where("y IS NOT NULL"), "part", ["a", "b", "c", "d"], bins=12)
+    for how in ({}, {"alone": 0}):
+        f = T.fit_boostings(blocks, cuts, [T.Boosting("m", 0, 0.3, 5, 2, 10)], **how)["m"]
+        assert {type(x) for x in [*f.losses, f.start, f.first_gain]} == {float}
+        lower = sum(b < a for a, b in zip(f.losses, f.losses[1:]))
+        assert spark.createDataFrame([(lower,)], "n int").first().n == 2
